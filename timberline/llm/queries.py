@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import minhash, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are left of every document when its repeated 35-word windows go."""
+    return substring.mark(_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near duplicates of every document."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, posterior and verdict for every document."""
     found = quality.score(_table(spark, sf_dir, "documents"))
@@ -22,7 +32,7 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_quality_votes,)}
+    return {f.__name__: f for f in (op3_repeated_passages, op6_minhash, op9_quality_votes)}
 
 
 def oracle_sql() -> dict[str, str]:
