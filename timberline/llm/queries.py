@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, quality, substring
+from . import minhash, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,17 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*first, F.round("posterior", 6).alias("posterior"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from four fifths of the labelled ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(*toxicity.sample(docs, _table(spark, sf_dir, "labels")))
+    found = toxicity.scored(docs.select("doc_id", "text"), model)
+    score = F.col("toxic_score")
+    return found.select("doc_id", (~toxicity.may_learn()).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_repeated_passages, op6_minhash, op9_quality_votes)}
+    return {f.__name__: f for f in (op3_repeated_passages, op6_minhash, op9_quality_votes, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
