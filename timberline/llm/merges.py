@@ -10,8 +10,6 @@ needs as many sweeps as the longest word has merges instead of one step for each
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 
 #: The entry of a pair that doesn't merge.
@@ -35,27 +33,26 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
-    def replay(self, words: Sequence[Sequence[int]]) -> list[list[int]]:
-        """Ids of each word, from its first symbols."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        symbols = np.fromiter((i for w in words for i in w), np.int64, int(sizes.sum()))
-        out: list[list[int]] = [[] for _ in words]
+    def replay(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has; from their first symbols and how many those are."""
+        symbols, counts = symbols.astype(np.int64), np.zeros(len(sizes), np.int64)
         word = np.flatnonzero(sizes)  # numbers of the words that are still worked on
         sizes = sizes[word]
         index = np.full(len(symbols), NONE)
         if len(symbols) > 1:
             index[:-1] = self.entries(symbols[:-1], symbols[1:])
             index[np.cumsum(sizes) - 1] = NONE
+        done: list[np.ndarray] = []
+        order: list[np.ndarray] = []
         while len(word):
             starts = np.cumsum(sizes) - sizes
             least = np.minimum.reduceat(index, starts)
             over = least == NONE
             if over.any():
                 ready = np.repeat(over, sizes)
-                flat, at = symbols[ready].tolist(), 0
-                for w, n in zip(word[over].tolist(), sizes[over].tolist(), strict=True):
-                    out[w] = flat[at : at + n]
-                    at += n
+                done.append(symbols[ready].astype(np.uint32))
+                order.append(np.repeat(word[over], sizes[over]))
+                counts[word[over]] = sizes[over]
                 symbols, index = symbols[~ready], index[~ready]
                 word, sizes, least = word[~over], sizes[~over], least[~over]
                 if not len(word):
@@ -75,9 +72,16 @@ class Merges:
             starts = np.cumsum(sizes) - sizes
             # only the touched neighbours: the pair that starts here, and the one that ends here
             index[place] = NONE
-            more = place < starts + sizes - 1
-            right = place[more]
+            right = place[place < starts + sizes - 1]
             index[right] = self.entries(symbols[right], symbols[right + 1])
             left = place[place > starts] - 1
             index[left] = self.entries(symbols[left], symbols[left + 1])
-        return out
+        if not done:
+            return np.zeros(0, np.uint32), counts
+        return np.concatenate(done)[np.argsort(np.concatenate(order), kind="stable")], counts
+
+
+def cut(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The ids of each word as little-endian 32-bit numbers."""
+    flat, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]

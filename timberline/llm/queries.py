@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, quality, substring, toxicity
+from . import bpe, minhash, packing, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +20,23 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.mark(_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and what they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of near duplicates of every document."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 4096 ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), path, end_id=2, capacity=4096)
+
+
 def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, posterior and verdict for every document."""
     found = quality.score(_table(spark, sf_dir, "documents"))
@@ -41,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_repeated_passages, op6_minhash, op9_quality_votes, op10_toxicity)}
+    return {f.__name__: f for f in (op3_repeated_passages, op5_merge_replay, op6_minhash, op8_bin_slack, op9_quality_votes, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
