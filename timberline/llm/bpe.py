@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import widened
 from .tokens import rank_vocabulary
 from .words import blocks
 
@@ -43,7 +44,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """``docs`` without its text, with ``ids`` (array of int)."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "ids")]
     rows = docs.select(*others, F.col(f"`{text}`"))
-    return rows.mapInArrow(_encoder(path, pattern), docs.select(*others).schema.add("ids", "array<int>"))
+    return rows.mapInArrow(_encoder(path, pattern), widened(docs.select(*others).schema, "ids array<int>"))
 
 
 def _decoder(path: str, pattern: str):
@@ -62,7 +63,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
     """``encoded`` without its ids, with ``decoded`` (the bytes)."""
     others = [F.col(f"`{c}`") for c in encoded.columns if c not in (ids, "decoded")]
     rows = encoded.select(*others, F.col(f"`{ids}`"))
-    return rows.mapInArrow(_decoder(path, pattern), encoded.select(*others).schema.add("decoded", "binary"))
+    return rows.mapInArrow(_decoder(path, pattern), widened(encoded.select(*others).schema, "decoded binary"))
 
 
 def _digester(path: str, pattern: str):

@@ -8,13 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, quality, substring, toxicity
+from . import bpe, chat, media, minhash, packing, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a picture in a tar shard, read back."""
+    found = media.stored(_table(spark, sf_dir, "documents"))
+    first = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return found.select(*first, F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length", "width", "height", "bits")
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, and one that consists of control strings."""
+    rows = chat.turns_by_row(_table(spark, sf_dir, "conversations"))
+    text = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema)
+    return chat.digests(chat.formatted(rows.unionByName(added)))
+
+
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are left of every document when its repeated 35-word windows go."""
     return substring.mark(_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -54,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_repeated_passages, op5_merge_replay, op6_minhash, op8_bin_slack, op9_quality_votes, op10_toxicity)}
+    return {f.__name__: f for f in (op1_media, op2_chat, op3_repeated_passages, op5_merge_replay, op6_minhash, op8_bin_slack, op9_quality_votes, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

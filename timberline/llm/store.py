@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,8 @@ def bucket_count(df: DataFrame, least: int = 2048, most: int = 65536) -> int:
     """How many groups to deal blocks to: grows with the input's partitions."""
     want = max(least, min(most, 16 * df.rdd.getNumPartitions()))
     return 1 << (want - 1).bit_length()
+
+
+def widened(schema: T.StructType, ddl: str) -> T.StructType:
+    """``schema`` with more fields; the one given stays as it is."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import widened
 from .words import _LOWER, _TABLE, blocks, mixed, spans
 
 #: Bounds of the training sample: rows of each label, and bytes in all.
@@ -366,8 +367,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with toxic_score; the other columns, but for the text, pass through as they are."""
     columns = [c for c in docs.columns if c not in ("toxic_score", "toxic_text", text)]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("binary").alias("toxic_text"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in columns]).schema.add("toxic_score", "double")
-    return rows.mapInArrow(_scorer(model), schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns]).schema
+    return rows.mapInArrow(_scorer(model), widened(kept, "toxic_score double"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
