@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, minhash, packing, quality, substring, toxicity
+from . import bpe, chat, hilbert, licences, media, minhash, packing, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,13 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.mark(_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 16 shards of equal counts along a Hilbert curve."""
+    found = hilbert.shards(_table(spark, sf_dir, "documents"), count=16)
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "curve")
+
+
 def op5_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and what they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,6 +53,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document, its paragraphs or its lines are under."""
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licence", F.round("dice", 6).alias("dice"), "n_lines", "licences")
+
+
 def op8_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 4096 ids."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -69,8 +82,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_chat, op3_repeated_passages, op5_merge_replay, op6_minhash, op8_bin_slack, op9_quality_votes, op10_toxicity)}
+    return {f.__name__: f for f in (op1_media, op2_chat, op3_repeated_passages, op4_hilbert, op5_merge_replay, op6_minhash, op7_licences, op8_bin_slack, op9_quality_votes, op10_toxicity)}
+
+
+def _licence_sql() -> str:
+    quoted = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licences.TEMPLATES))
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(u, '{capitals}', '{small}'), '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+')"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH templates AS (SELECT id, name, {grams} AS t FROM (SELECT id, name, {words} AS w FROM (VALUES {quoted}) v(id, name, u)) a),
+units AS (
+  SELECT doc_id, 0 AS level, i, l[i] AS u FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) a) b
+  UNION ALL SELECT doc_id, 1, 0, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) FROM documents
+  UNION ALL SELECT doc_id, 2, 0, coalesce(text, '') FROM documents),
+sets AS (SELECT doc_id, level, i, {grams} AS g FROM (SELECT doc_id, level, i, {words} AS w FROM units) a WHERE len(w) > 1),
+matches AS (
+  SELECT doc_id, level, i, name, 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice
+  FROM sets JOIN templates ON 2.0::DOUBLE * least(len(g), len(t)) >= {licences.THRESHOLD}::DOUBLE * (len(g) + len(t))
+  WHERE 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) >= {licences.THRESHOLD}::DOUBLE),
+best AS (
+  SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, count(DISTINCT i) FILTER (level = 0) AS n_lines,
+    string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM matches GROUP BY doc_id)
+SELECT d.doc_id, licence, round(coalesce(dice, 0), 6)::DOUBLE AS dice, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(licences, '') AS licences
+FROM documents d LEFT JOIN best USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_licences": _licence_sql()}
