@@ -5,15 +5,17 @@ A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased
 whole sequence is the one shingle. Two documents are linked when 100 * intersection >= percent * union.
 Documents with equal sets form a class and only its smallest id takes part in what follows.
 
-Banding finds a linked pair with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.9999999 at the
-threshold. No bucket is ever expanded into all its pairs:
-
-1. every document is compared with one leader, the one that shares most bands with it;
-2. components of the links found are labelled; buckets that hold one component only are done with;
-3. from the other buckets, documents of different components are compared. While those pairs would be
-   many times the documents, further rounds with other leaders join components first.
-
-So no link between two texts that share a band is lost, whatever the size of a bucket.
+1. Banding finds the documents that share a band with any other: with probability
+   1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.9999999, for a linked pair at the threshold. Band keys travel
+   alone, and a task sends one member of each of its buckets.
+2. For these documents signatures travel too. Each bucket is cut into canopies: a member whose
+   signature agrees with that of a canopy's first member in LEAST_AGREEING places joins it (and every
+   such canopy), else it starts one. Tasks cut their own buckets first and send the firsts on.
+3. Connected canopies are families. Within a family every pair is confirmed on full sets by matrix
+   products; large families are dealt out in tiles of two blocks of documents, so that memory is
+   bounded. A tile returns links that span its components, not all its links, so rows stay in
+   proportion to documents.
+4. Components of these links are labelled by large-star and small-star.
 
 Cases: null and empty texts, and texts without words, have empty sets and are linked with nothing; a
 document id that occurs on several rows is one node, and each of its rows is returned; very long texts
@@ -35,12 +37,12 @@ from .words import blocks, hashed_texts, mixed
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 
-#: Signatures that agree in fewer of the 128 places are not compared in full; at a similarity of 0.8
-#: that befalls one pair in 10**7.
-LEAST_AGREEING = 78
+#: Places (of 128) in which the signatures of a canopy's members agree with that of its first. Linked
+#: documents agree in some 102; families may be wider, as full sets decide.
+LEAST_AGREEING = 58
 
-#: Leader rounds before the exhaustive one, and how many pairs for each document call for another.
-LEADER_ROUNDS, PAIRS_PER_DOCUMENT = 4, 4
+#: Documents, and bytes of text, of a block; a tile holds two blocks.
+BLOCK_ROWS, BLOCK_BYTES = 1000, 16 << 20
 
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64)
 _FACTORS = _SEEDS[0] * np.uint64(2) + np.uint64(1)
@@ -103,7 +105,8 @@ def _signer(width: int):
     return sign
 
 
-_MEMBER = np.dtype([("band", "<u8"), ("doc", "<i8"), ("label", "<i8"), ("order", "<u8")])
+_MEMBER = np.dtype([("band", "<u8"), ("doc", "<i8")])
+_SIGNED = np.dtype([("band", "<u8"), ("doc", "<i8"), ("sign", "u1", (HASHES,))])
 
 
 def _first_of(keys: np.ndarray) -> np.ndarray:
@@ -113,154 +116,151 @@ def _first_of(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
 
-def _to_leaders(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The members in order, and for each the place of its band's leader (the first by ``order``)."""
-    members = members[np.lexsort((members["doc"], members["order"], members["band"]))]
-    return members, _first_of(members["band"])
-
-
-def _pairs_batch(member: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
-    keep = member["label"] != leader["label"]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(int(keep.sum()), -1, np.int32)), pa.nulls(int(keep.sum()), pa.binary()), pa.array(member["doc"][keep]), pa.array(leader["doc"][keep])],
-        ["bucket", "block", "member", "leader"],
-    )
-
-
-def _bander(buckets: int, salt: int):
-    """Members by band. A task keeps, for each band, its own leader only; the others are paired with that."""
+def _in_buckets(records: np.ndarray, buckets: int) -> pa.RecordBatch:
+    place = ((records["band"] >> np.uint64(20)) & np.uint64(buckets - 1)).astype(np.int32)
+    by = np.argsort(place, kind="stable")
+    records, place = records[by], place[by]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1]) if len(place) else np.zeros(0, int)
+    parts = [part.tobytes() for part in np.split(records, starts[1:])] if len(place) else []
+    none = pa.nulls(len(parts), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(place[starts]), pa.array(parts, pa.binary()), none, none], ["bucket", "block", "a", "b"])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    n = len(a)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["bucket", "block", "a", "b"])
+
+
+def _sharing(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first member of each bucket; and (member, first) for the others."""
+    members = members[np.lexsort((members["doc"], members["band"]))]
+    first = _first_of(members["band"])
+    alone = first == np.arange(len(first))
+    return members[alone], members["doc"][~alone], members["doc"][first[~alone]]
+
+
+def _canopies(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The firsts of the canopies of each bucket; and (member, first) for the members of canopies."""
+    members = members[np.lexsort((members["doc"], members["band"]))]
+    edges = np.flatnonzero(np.concatenate([[True], members["band"][1:] != members["band"][:-1], [True]]))
+    firsts, a, b = [members[edges[:-1][np.diff(edges) == 1]]], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in np.flatnonzero(np.diff(edges) > 1).tolist():
+        part = members[edges[at] : edges[at + 1]]
+        signs, docs = part["sign"], part["doc"]
+        heads, rest = [], np.arange(len(part))
+        joined = np.zeros(len(part), bool)
+        while len(rest):
+            head, rest = rest[0], rest[1:]
+            heads.append(head)
+            near = (signs[rest] == signs[head]).sum(axis=1) >= LEAST_AGREEING
+            a.append(docs[rest[near]])
+            b.append(np.full(int(near.sum()), docs[head]))
+            joined[rest[near]] = True
+            rest = rest[~near]
+        firsts.append(part[heads])
+    return np.concatenate(firsts), np.concatenate(a), np.concatenate(b)
+
+
+def _bander(buckets: int, signed: bool):
+    """Deals members by band; what a task finds within itself leaves as pairs."""
+    cut = _canopies if signed else _sharing
 
     def deal(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        members, first = _to_leaders(np.concatenate(held))
-        alone = first == np.arange(len(first))
-        yield _pairs_batch(members[~alone], members[first[~alone]])
-        sent = members[alone]
-        place = (sent["band"] >> np.uint64(20)) & np.uint64(buckets - 1)
-        by = np.argsort(place, kind="stable")
-        sent, place = sent[by], place[by].astype(np.int32)
-        cuts = np.flatnonzero(np.diff(place)) + 1
-        starts = np.concatenate([[0], cuts])
-        parts = [part.tobytes() for part in np.split(sent, cuts)]
-        none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(place[starts]), pa.array(parts, pa.binary()), none, none], ["bucket", "block", "member", "leader"])
+        firsts, a, b = cut(np.concatenate(held))
+        yield _pairs(a, b)
+        yield _in_buckets(firsts, buckets)
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            docs, labels = (np.asarray(batch.column(k)) for k in (0, 1))
-            signatures = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
-            members = np.empty((len(docs), BANDS), _MEMBER)
-            members["band"] = band_keys(signatures)
-            members["doc"], members["label"] = docs[:, None], labels[:, None]
-            members["order"] = (mixed(docs.view(np.uint64) + np.uint64(salt)) if salt else docs.view(np.uint64) ^ np.uint64(1 << 63))[:, None]
-            held.append(members.ravel())
-            rows += len(docs)
-            if rows >= 50_000:
-                yield from deal(held)
-                held, rows = [], 0
+            docs = np.asarray(batch.column(0))
+            signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
+            for at in range(0, len(docs), 5000):
+                part = signatures[at : at + 5000]
+                members = np.empty((len(part), BANDS), _SIGNED if signed else _MEMBER)
+                members["band"], members["doc"] = band_keys(part), docs[at : at + 5000, None]
+                if signed:
+                    members["sign"] = (part & np.uint32(255)).astype(np.uint8)[:, None, :]
+                held.append(members.ravel())
+                rows += len(part)
+                if rows >= (10_000 if signed else 100_000):
+                    yield from deal(held)
+                    held, rows = [], 0
         if held:
             yield from deal(held)
 
     return band
 
 
-def _lead(table: pa.Table) -> pa.Table:
-    """Pairs of the leaders that tasks sent with the leader of all."""
-    members = np.frombuffer(b"".join(table.column("block").to_pylist()), _MEMBER)
-    members, first = _to_leaders(members)
-    out = _pairs_batch(members, members[first])
-    return pa.Table.from_batches([out]).select(["member", "leader"])
+def _meeter(signed: bool):
+    def meet(table: pa.Table) -> pa.Table:
+        records = np.frombuffer(b"".join(table.column("block").to_pylist()), _SIGNED if signed else _MEMBER)
+        _, a, b = (_canopies if signed else _sharing)(records)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    return meet
 
-def leader_votes(labelled: DataFrame, salt: int = 0) -> DataFrame:
-    """(member, leader, n): how many bands a document shares with a leader of another component."""
-    buckets = bucket_count(labelled)
-    dealt = staged(
-        labelled.select("doc_id", "label", "signature").mapInArrow(_bander(buckets, salt), "bucket int, block binary, member bigint, leader bigint"), "bands"
-    )
-    near = dealt.where("member is not null").select("member", "leader")
-    far = dealt.where("member is null").groupBy("bucket").applyInArrow(_lead, "member bigint, leader bigint")
-    return staged(near.unionByName(far).groupBy("member", "leader").agg(F.count("*").alias("n")), "votes")
 
-
-def best_leaders(votes: DataFrame) -> DataFrame:
-    best = votes.groupBy("member").agg(F.max(F.struct("n", (-F.col("leader")).alias("least"))).alias("best"))
-    return best.select("member", (-F.col("best.least")).alias("leader"))
-
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, HASHES) for k in (2, 3))
-            keep = pa.array((a == b).sum(axis=1) >= LEAST_AGREEING)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["member", "leader"])
+def paired(classes: DataFrame, signed: bool) -> DataFrame:
+    """Distinct (a, b) of members of a bucket (or of its canopies, if ``signed``) with its first."""
+    buckets = bucket_count(classes, 512)
+    rows = classes.select("doc_id", "signature")
+    dealt = staged(rows.mapInArrow(_bander(buckets, signed), "bucket int, block binary, a bigint, b bigint"), "bands")
+    near = dealt.where("a is not null").select("a", "b")
+    far = dealt.where("block is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_meeter(signed), "a bigint, b bigint")
+    return staged(near.unionByName(far).where("a != b").distinct(), "pairs")
 
 
 def _confirmer(width: int, percent: int):
-    def sets(texts: list[bytes]) -> list[np.ndarray]:
-        found, at = hashed_texts(texts, lower=True)
-        return [shingles(found[at[i] : at[i + 1]], width) for i in range(len(texts))]
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members, leaders = batch.column(0), batch.column(1)
-            mine, theirs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
-            known: dict[bytes, np.ndarray] = {}  # a leader comes again and again
-            for a, b in zip(mine, theirs, strict=True):
-                left = sets([a])[0]
-                right = known.get(b)
-                if right is None:
-                    if len(known) >= 64:
-                        known.clear()
-                    right = known[b] = sets([b])[0]
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([members.filter(keep), leaders.filter(keep)], ["member", "leader"])
+    def confirm(table: pa.Table) -> pa.Table:
+        """Links (a, b) that span the components of one tile."""
+        docs = np.asarray(table.column("doc_id"))
+        found, at = hashed_texts(table.column("text").to_pylist(), lower=True)
+        sets = [shingles(found[at[i] : at[i + 1]], width) for i in range(len(docs))]
+        size = np.array([len(s) for s in sets])
+        kinds, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(docs)), size)
+        shared = count[column] > 1
+        # only shingles that two documents have count; their columns are taken some at a time
+        number = np.cumsum(count > 1) - 1
+        row, column = row[shared], number[column[shared]]
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        both = np.zeros((len(docs), len(docs)), np.float32)
+        step, top = max(64, (4 << 20) // len(docs)), int((count > 1).sum())
+        for first in range(0, top, step):
+            a, b = np.searchsorted(column, [first, first + step])
+            part = np.zeros((len(docs), min(step, top - first)), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            both += part @ part.T
+        linked = (100 + percent) * both.astype(np.int64) >= percent * (size[:, None] + size[None, :])
+        labels = np.arange(len(docs))
+        while True:
+            new = np.where(linked, labels[None, :], len(docs)).min(axis=1, initial=len(docs))
+            new = np.minimum(new, labels)
+            new = new[new]
+            if (new == labels).all():
+                break
+            labels = new
+        linked_to = docs[labels]
+        keep = labels != np.arange(len(docs))
+        return pa.table([pa.array(docs[keep]), pa.array(linked_to[keep])], ["a", "b"])
 
     return confirm
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that sizes and signatures allow and that full sets confirm."""
-    side = classes.select("doc_id", "n_shingles", "signature")
-    a = side.toDF("member", "n_a", "sign_a")
-    b = side.toDF("leader", "n_b", "sign_b")
-    likely = pairs.join(a, "member").join(b, "leader").where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-    likely = likely.select("member", "leader", "sign_a", "sign_b").mapInArrow(_agreeing, "member bigint, leader bigint")
-    whole = likely.join(texts.toDF("member", "text_a"), "member").join(texts.toDF("leader", "text_b"), "leader")
-    return whole.select("member", "leader", "text_a", "text_b").mapInArrow(_confirmer(width, percent), "member bigint, leader bigint")
-
-
-def open_bands(labelled: DataFrame) -> tuple[DataFrame, int]:
-    """The buckets that hold several components (band, main: the largest), and how many pairs cross in them."""
-    parts = _keyed(labelled).groupBy("band", "label").agg(F.count("*").alias("n"))
-    sums = (F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("n", "label")).alias("main"))
-    found = parts.groupBy("band").agg(*sums).where("labels > 1")
-    found = staged(found.select("band", F.col("main.label").alias("main"), F.expr("(n * n - own) div 2").alias("pairs")), "open")
-    return found, found.agg(F.sum("pairs")).first()[0] or 0
-
-
-def cross_pairs(labelled: DataFrame, bands: DataFrame) -> DataFrame:
-    """All pairs of different components within those buckets; members of a bucket's main component are only partners."""
-    members = _keyed(labelled).join(bands.select("band", "main"), "band")
-    left = members.where("label != main").select("band", F.col("doc_id").alias("a"), F.col("label").alias("a_label"))
-    right = members.select("band", F.col("doc_id").alias("b"), F.col("label").alias("b_label"), "main")
-    found = left.join(right, "band").where("a_label < b_label or b_label = main and a_label != main")
-    return found.select(F.greatest("a", "b").alias("member"), F.least("a", "b").alias("leader")).distinct()
-
-
-def _keyed(labelled: DataFrame) -> DataFrame:
-    return labelled.select("doc_id", "label", F.explode(_bands("signature")).alias("band"))
-
-
-def _bands(signature: str):
-    """The band keys of a packed signature, by built-in functions: exact byte slices with the band's number."""
-    size = 4 * ROWS
-    return F.expr(f"transform(sequence(0, {BANDS - 1}), k -> concat(cast(hex(k) as binary), substring({signature}, {size} * k + 1, {size})))")
+def confirmed(families: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that hold on full sets, from (doc_id, family)."""
+    held = texts.join(families, "doc_id")
+    sizes = families.join(texts.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id").groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks_of = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = staged(sizes.select("family", blocks_of.alias("blocks")), "sizes")
+    held = held.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    tiles = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("doc_id", "text", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return tiles.groupBy("family", "i", "j").applyInArrow(_confirmer(width, percent), "a bigint, b bigint")
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -302,34 +302,15 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     # one member of each class of equal sets
     first = F.min(F.struct("doc_id", "n_shingles", "signature"))
     classes = staged(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first.alias("f")).select("set_a", "set_b", "f.*"), "classes")
-    documents = classes.count()
-    votes = leader_votes(classes.withColumn("label", F.col("doc_id")))
-    # all documents that share a band with any other, and their texts
-    wanted = votes.select(F.col("member").alias("doc_id")).unionByName(votes.select(F.col("leader").alias("doc_id"))).distinct()
-    near = staged(classes.join(wanted, "doc_id", "left_semi"), "near")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
+    shared = paired(classes, signed=False)
+    near = shared.select(F.col("a").alias("doc_id")).unionByName(shared.select(F.col("b").alias("doc_id"))).distinct()
+    near = staged(classes.join(near, "doc_id", "left_semi"), "near")
+    families = staged(components(paired(near, signed=True)), "families")
+    families = families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct().toDF("doc_id", "family")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(families.select("doc_id"), "doc_id", "left_semi")
     texts = staged(texts.dropDuplicates(["doc_id"]), "texts")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return staged(confirmed(pairs, near, texts, width, percent).toDF("a", "b"), "links")
-
-    def label(links: DataFrame) -> DataFrame:
-        found = components(links).toDF("doc_id", "label")
-        return staged(near.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
-
-    links = confirm(best_leaders(votes))
-    labelled = label(links)
-    for turn in range(1, LEADER_ROUNDS + 1):
-        bands, crossing = open_bands(labelled)
-        if not crossing:
-            break
-        last = crossing <= PAIRS_PER_DOCUMENT * documents or turn == LEADER_ROUNDS
-        pairs = cross_pairs(labelled, bands) if last else best_leaders(leader_votes(labelled, turn * 0x5851F42D4C957F2D % (1 << 63)))
-        links = links.unionByName(confirm(pairs))
-        labelled = label(links)
-        if last:
-            break
-    labels = classes.join(labelled.select("doc_id", "label").distinct(), "doc_id", "left").select("set_a", "set_b", F.coalesce("label", "doc_id").alias("label"))
+    labelled = components(staged(confirmed(families, texts, width, percent), "links")).toDF("doc_id", "label")
+    labels = classes.join(labelled, "doc_id", "left").select("set_a", "set_b", F.coalesce("label", "doc_id").alias("label"))
     out = signed.join(labels, ["set_a", "set_b"], "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
