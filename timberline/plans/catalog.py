@@ -1,4 +1,4 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, gathered from the modules of this folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import accuracy, cleaning, construction, mining, spread
+
+_MODULES = (cleaning, accuracy, spread, mining, construction)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for module in _MODULES for name, (run, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}
