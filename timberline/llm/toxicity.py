@@ -28,7 +28,7 @@ from .store import widened
 from .words import _LOWER, _TABLE, blocks, mixed, spans
 
 #: Bounds of the training sample: rows of each label, and bytes in all.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 12 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 6 << 20
 
 WINDOW, STEP = 24, 18
 HIDDEN, WIDTH = 6, 4
