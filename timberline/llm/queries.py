@@ -108,5 +108,51 @@ SELECT d.doc_id, licence, round(coalesce(dice, 0), 6)::DOUBLE AS dice, coalesce(
 FROM documents d LEFT JOIN best USING (doc_id)"""
 
 
+_WORDS = r"regexp_extract_all(coalesce({t}, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _chat_sql() -> str:
+    added = "SELECT -1 AS conv_id, i AS turn, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END AS role, '</s>[INST] ok [/INST]' AS text FROM range(2) r(i)"
+
+    def escaped(t: str) -> str:
+        marks = [chr(92), *chat.CONTROLS]
+        return f"length({t})" + "".join(f" + (length({t}) - length(replace({t}, '{c}', ''))) // {len(c)}" for c in marks)
+
+    frame = len("<|im_start|>") + 1 + len("<|im_end|>") + 1
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL {added}) a)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({frame} + {escaped("role")} + (length(role) - length(replace(role, chr(10), ''))) + {escaped("text")})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+def _passages_sql(window: int = 35) -> str:
+    return f"""
+WITH words AS (SELECT doc_id, {_WORDS.replace("{t}", "text")} AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {window - 1}], ' ')) AS k FROM words, unnest(range(1, len(w) - {window - 2})) r(i)),
+many AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + j) AS places FROM windows JOIN many USING (k), range({window}) r(j) GROUP BY doc_id),
+kept AS (SELECT doc_id, len(w) AS n, CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END AS left_ FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, (n - len(left_))::BIGINT AS n_removed, sha256(array_to_string(left_, ' ')) AS kept_sha256 FROM kept"""
+
+
+def _near_sql(percent: int = 80) -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.replace("{t}", lower)} AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_ AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, least(s.doc_id, coalesce(m, s.doc_id)) = s.doc_id AS kept
+FROM sets s LEFT JOIN least_ USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licences": _licence_sql()}
+    """Of the others, SQL has no library's ids, compressed pictures, weights or fillings; they are tested by brute force."""
+    return {"op2_chat": _chat_sql(), "op3_repeated_passages": _passages_sql(), "op6_minhash": _near_sql(), "op7_licences": _licence_sql()}
