@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from timberline.operators import build, diversity, extract, miners, online, sampling
+from timberline.operators import build, cache, diversity, extract, miners, online, sampling
 from timberline.operators.clean import corrected, header_pattern
 from timberline.operators.tokens import message_split
 from timberline.settings import SETTINGS
@@ -175,3 +175,28 @@ def test_permutation(spark):
     b = a.orderBy(a.line_id.desc())
     assert sorted(map(tuple, miners.logram(a).collect())) == sorted(map(tuple, miners.logram(b).collect()))
     assert sorted(map(tuple, miners.logdep(a).collect())) == sorted(map(tuple, miners.logdep(b).collect()))
+
+
+def test_template_cache(spark):
+    c = cache.TemplateCache()
+    rules = cache.Rules()
+    assert c.number("user 7 logged in", rules) == 0 and c.templates[0] == "user <*> logged in"
+    assert c.number("user alpha beta logged in", rules) == 0  # a wildcard takes a run
+    assert c.number("user 7 logged out", rules) == 1
+    assert c.number("user", rules) != 0
+    assert c.find(cache.split("nothing like it")) == (None, [])
+    assert c.add("", []) == -1 and c.add("<*>", []) == -1
+    merged = cache.TemplateCache()
+    first = merged.add("a b c d e f", [])
+    assert merged.add("a b c d e g", [first]) == first and merged.templates[first] == "a b c d e <*>"
+    df = spark.createDataFrame([(i, f"job {i} ended after {i * 3} ms") for i in range(9)], "line_id bigint, content string")
+    assert {r.template for r in cache.cached(df).collect()} == {"job <*> ended after <*> ms"}
+
+
+def test_logdep_full(spark):
+    lines = [(i, f"block blk_{i} served to 10.0.0.{i}") for i in range(8)] + [(20 + i, f"session {'ab'[i % 2]}{'ab'[i % 2]}alpha closed") for i in range(4)]
+    df = spark.createDataFrame(lines, "line_id bigint, content string")
+    extra = spark.createDataFrame([(-100001, "block blk_99 served to 10.0.0.99")], "line_id bigint, content string")
+    got = {r.line_id: r.template for r in miners.logdep_full(df, threshold=0.6, variants=extra).collect()}
+    assert set(got) == {k for k, _ in lines}
+    assert got[0] == "block <*> served to <*>" and got[20] == "session <*> closed"

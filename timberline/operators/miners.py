@@ -187,3 +187,39 @@ def consensus(lines: DataFrame, key: str) -> DataFrame:
     rows = said.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda s: s["out"]).alias("parts"))
     once = F.filter("parts", lambda t, i: ~((t == WILDCARD) & (i > 0) & (F.get(F.col("parts"), i - 1) == WILDCARD)))
     return rows.select(key, F.array_join(once, " ").alias("template")).join(sizes, key)
+
+
+# ---- anchors over normalised contents ---------------------------------------------------------------
+
+
+def logdep_full(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4, variants: DataFrame | None = None) -> DataFrame:
+    """(line_id, template): anchor mining over normalised contents, then each group's template anew by
+    consensus of its own lines.
+
+    ``variants`` (line_id below 0, content) take part in the mining only.
+    """
+    rows = lines.select("line_id", "content")
+    rows = rows.unionByName(variants.select("line_id", "content")) if variants is not None else rows
+    found = logdep(rows.withColumn("content", normalised(F.col("content"))), masks, removed, literals, threshold)
+    own = lines.select("line_id", "content").join(found.where("line_id >= 0").withColumnRenamed("template", "group"), "line_id")
+    return own.select("line_id", "group").join(consensus(own, "group").select("group", "template"), "group").select("line_id", "template")
+
+
+def sweep(lines: DataFrame, standard: DataFrame, thresholds: Sequence[float], **settings) -> DataFrame:
+    """(threshold, pa, pta, rta, templates) of the anchor miner for a few thresholds."""
+    from .metrics import template_accuracy
+
+    rows = None
+    for t in thresholds:
+        made = template_counts(logdep(lines, threshold=t, **settings))
+        row = template_accuracy(made, standard).crossJoin(made.agg(F.count("*").alias("templates")))  # one row each
+        row = row.select(F.lit(float(t)).alias("threshold"), "pa", "pta", "rta", "templates")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def cleaning_trace(lines: DataFrame, masks: Sequence[str] = (), literals: Sequence[str] = ()) -> DataFrame:
+    """(step, n): distinct texts at first and after cleaning, before the first pass."""
+    steps = (("initial", F.col("content")), ("cleaned", logdep_text(F.col("content"), masks, (), literals)))
+    rows = [lines.select(F.lit(name).alias("step"), text.alias("text")) for name, text in steps]
+    return rows[0].unionByName(rows[1]).groupBy("step").agg(F.count_distinct("text").alias("n"))

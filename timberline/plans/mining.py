@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timberline.operators import miners, online
+from timberline.operators import cache, extract, miners, online
 
-from .shared import MASKS, events, items, masked_sql, normal_sql, orders, q, spaced_sql, split_sql, texts, with_log
+from .shared import MASKS, events, items, masked_sql, normal_sql, orders, q, rounded, spaced_sql, split_sql, texts, with_log
 
 
 def _counts(assigned):
@@ -98,6 +98,20 @@ QUERIES = {
         with_log("log_events", f"t AS (SELECT length(regexp_replace(content, '[^ ]', '', 'g')) AS key, {split_sql(normal_sql('content'))} AS w FROM log), s AS (SELECT key, count(*) AS n FROM t GROUP BY 1), p AS (SELECT key, i, count(*) AS k, min(w[i]) AS lo, max(w[i]) AS hi FROM t, unnest(range(1, len(w) + 1)) r(i) GROUP BY 1, 2), o AS (SELECT key, n, i, CASE WHEN k = n AND lo = hi AND lo NOT IN ('<*>', '*') THEN lo ELSE '<*>' END AS tok FROM p JOIN s USING (key)), c AS (SELECT *, lag(tok) OVER (PARTITION BY key ORDER BY i) AS before FROM o) SELECT key::BIGINT AS key, string_agg(tok, ' ' ORDER BY i) AS template, any_value(n) AS n FROM c WHERE NOT (tok = '<*>' AND before IS NOT DISTINCT FROM '<*>') GROUP BY key"),
     ),
     "m02_logdep": (lambda spark, sf_dir: _counts(miners.logdep(events(spark, sf_dir), (r"blk_\d+",), (), (":",), 0.4)), None),
+    "m03_logdep_full": (lambda spark, sf_dir: _counts(miners.logdep_full(events(spark, sf_dir), (), (), (":",), 0.4)), None),
+    "m08_template_cache": (lambda spark, sf_dir: _counts(cache.cached(events(spark, sf_dir))), None),
+    "e01_threshold_sweep": (
+        lambda spark, sf_dir: rounded(miners.sweep(events(spark, sf_dir), events(spark, sf_dir).select("template").distinct(), (0.2, 0.4, 0.6), masks=(r"blk_\d+",), literals=(":",))),
+        None,
+    ),
+    "e07_cleaning_trace": (
+        lambda spark, sf_dir: miners.cleaning_trace(orders(spark, sf_dir), (r"\b\d+\b",), (":",)),
+        with_log("log_orders", f"SELECT 'initial' AS step, count(DISTINCT content) AS n FROM log UNION ALL SELECT 'cleaned', count(DISTINCT array_to_string(list_transform(string_split(trim(regexp_replace({spaced_sql(masked_sql('content', MASKS[3:]), (':', '='))}, ' +', ' ', 'g')), ' '), lambda t: CASE WHEN contains(t, '<*>') THEN '<*>' ELSE t END), ' ')) FROM log"),
+    ),
+    "t22_parameters": (
+        lambda spark, sf_dir: extract.parameters(orders(spark, sf_dir), "content", "template").select("line_id", F.array_join("parameter_list", "|").alias("parameters")),
+        with_log("log_orders", r"SELECT line_id, CASE WHEN template LIKE '%opened%' THEN regexp_extract(content, '^order (.*?) opened', 1) || '|' || regexp_extract(content, 'customer (.*)$', 1) WHEN template LIKE '%fulfilled%' THEN regexp_extract(content, '^order (.*?) fulfilled', 1) || '|' || regexp_extract(content, 'customer: (.*?) priority', 1) || '|' || regexp_extract(content, 'priority (.*)$', 1) ELSE regexp_extract(content, '^order (.*?) pending', 1) END AS parameters FROM log"),
+    ),
     "m04_drain": (lambda spark, sf_dir: _counts(online.drain(events(spark, sf_dir), (r"blk_\d+", r"(\d+\.){3}\d+"))), None),
     "m05_spell": (lambda spark, sf_dir: _counts(online.spell(events(spark, sf_dir), (r"blk_\d+", r"(\d+\.){3}\d+", r"\b\d+\b"), 0.5)), None),
     "m09_masked_items": (lambda spark, sf_dir: _counts(miners.by_mask(items(spark, sf_dir), (r"\b\d+\b",))), with_log("log_items", f"SELECT regexp_replace(content, {q(chr(92) + 'b[0-9]+' + chr(92) + 'b')}, '<*>', 'g') AS template, count(*) AS n FROM log GROUP BY 1")),
