@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy, cleaning, construction, mining, spread
+from . import accuracy, cleaning, construction, mining, reporting, spread
 
-_MODULES = (cleaning, accuracy, spread, mining, construction)
+_MODULES = (cleaning, accuracy, spread, mining, construction, reporting)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
