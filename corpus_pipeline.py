@@ -37,7 +37,8 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; those of which nothing is left go."""
     keyed = docs.select("doc_id", "lang", "source", substring.version().alias("version"))
     cut = substring.mark(docs.select("doc_id", "text"), text=True).where("n_words > n_removed").dropDuplicates(["doc_id", "version"])
-    out = keyed.join(cut.select("doc_id", "version", F.col("kept").alias("text")), ["doc_id", "version"])
+    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("version").alias("cut_version"), F.col("kept").alias("text"))
+    out = keyed.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("version") == F.col("cut_version")))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 

@@ -393,3 +393,25 @@ def test_gradients():
         down = network.logits(network.tables(vectors), at).sum()
         network.p[name][place] += step
         assert abs((up - down) / (2 * step) - found[name][place]) < 2e-2, name
+
+
+def test_null_ids(spark):
+    line = " ".join(f"v{i}" for i in range(50))
+    rows = [(None, line, None, None, None), (None, None, "en", "s", 0), (3, line + " x", None, "s", 3), (4, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in minhash.near_duplicates(table).collect())
+    assert got == [(0, 0, 0, True), (0, 49, 3, False), (3, 50, 3, True), (4, 0, 4, True)]
+    none = toxicity.fit([], np.array([]))
+    byte, word = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+    for made in (
+        media.stored(table),
+        substring.mark(table),
+        hilbert.shards(table),
+        bpe.digests(table, byte, public_tokenizers.PATTERN),
+        licences.scan(table),
+        packing.pack(table, word),
+        quality.score(table),
+        toxicity.scored(table, none),
+    ):
+        assert made.count() == 4
+        assert made.where("doc_id is null").count() == 2

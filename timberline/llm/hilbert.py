@@ -35,7 +35,7 @@ def curve_index(dimensions: list[str], bits: int = BITS) -> Column:
     gives the index with its bits transposed, and these are interleaved at last. One-element arrays bind
     the coordinates of each step, so that the expression grows with the steps only.
     """
-    n, top = len(dimensions), 1 << (bits - 1)
+    n = len(dimensions)
 
     def changed(new: dict[int, str]) -> str:
         return "array(" + ", ".join(new.get(k, f"x[{k}]") for k in range(n)) + ")"

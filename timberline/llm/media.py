@@ -90,7 +90,7 @@ def feature_of(payload: bytes) -> str:
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 def _writer(folder: str):

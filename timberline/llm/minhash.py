@@ -18,7 +18,8 @@ Documents with equal sets form a class and only its smallest id takes part in wh
 4. Components of these links are labelled by large-star and small-star.
 
 Cases: null and empty texts, and texts without words, have empty sets and are linked with nothing; a
-document id that occurs on several rows is one node, and each of its rows is returned; very long texts
+document id that occurs on several rows is one node, and each of its rows is returned (null is such an
+id, and the last to name a component); very long texts
 are read whole; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import bucket_count, staged
@@ -41,6 +42,9 @@ HASHES = BANDS * ROWS
 #: documents agree in some 102; families may be wider, as full sets decide.
 LEAST_AGREEING = 58
 
+#: Stands for a null id: the largest, so that it names a component only of its own.
+NO_ID = (1 << 63) - 1
+
 #: Documents, and bytes of text, of a block; a tile holds two blocks.
 BLOCK_ROWS, BLOCK_BYTES = 1000, 16 << 20
 
@@ -293,6 +297,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     signed = staged(
         docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
             _signer(width), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary"
@@ -313,4 +318,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     labels = classes.join(labelled, "doc_id", "left").select("set_a", "set_b", F.coalesce("label", "doc_id").alias("label"))
     out = signed.join(labels, ["set_a", "set_b"], "left")
     component = F.coalesce("label", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+    def known(column: Column) -> Column:
+        return F.when(column != NO_ID, column)
+
+    return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(component).alias("component_id"), (component == F.col("doc_id")).alias("kept"))

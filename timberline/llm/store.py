@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set where none is (tests)."""
+    """The folder named by ``spark.checkpoint.dir``, with its file system; a temporary one is set where none is (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         context = spark.sparkContext
@@ -18,11 +19,26 @@ def shared_dir(spark: SparkSession) -> str:
         if not there:
             context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='timberline-')}")
             there = context.getCheckpointDir()
-    return there.rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(there)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
+
+
+#: Folders that this process has made.
+_MADE: list[str] = []
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables and shards of this process; results that read them can't be used any more."""
+    for path in _MADE:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.clear()
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
