@@ -50,7 +50,7 @@ def test_anchor_fixpoint(spark):
             mine = [(k, t) for x, k, t in rows if x == c]
             want = fixpoint([t for _, t in mine], threshold)
             lines = spark.createDataFrame(mine, "line_id bigint, content string")
-            got = miners.logdep(lines, threshold=threshold, clean=False).collect()
+            got = miners.by_anchors(lines, threshold=threshold, clean=False).collect()
             assert {r.line_id: r.template for r in got} == {k: want[t] for k, t in mine}
         rows = rows[: len(rows) // 2]
         case = rows[-1][0]
@@ -174,7 +174,7 @@ def test_permutation(spark):
     a = spark.createDataFrame(lines, "line_id bigint, content string")
     b = a.orderBy(a.line_id.desc())
     assert sorted(map(tuple, miners.logram(a).collect())) == sorted(map(tuple, miners.logram(b).collect()))
-    assert sorted(map(tuple, miners.logdep(a).collect())) == sorted(map(tuple, miners.logdep(b).collect()))
+    assert sorted(map(tuple, miners.by_anchors(a).collect())) == sorted(map(tuple, miners.by_anchors(b).collect()))
 
 
 def test_template_cache(spark):
@@ -193,10 +193,10 @@ def test_template_cache(spark):
     assert {r.template for r in cache.cached(df).collect()} == {"job <*> ended after <*> ms"}
 
 
-def test_logdep_full(spark):
+def test_normalised_anchors(spark):
     lines = [(i, f"block blk_{i} served to 10.0.0.{i}") for i in range(8)] + [(20 + i, f"session {'ab'[i % 2]}{'ab'[i % 2]}alpha closed") for i in range(4)]
     df = spark.createDataFrame(lines, "line_id bigint, content string")
     extra = spark.createDataFrame([(-100001, "block blk_99 served to 10.0.0.99")], "line_id bigint, content string")
-    got = {r.line_id: r.template for r in miners.logdep_full(df, threshold=0.6, variants=extra).collect()}
+    got = {r.line_id: r.template for r in miners.by_normalised_anchors(df, threshold=0.6, variants=extra).collect()}
     assert set(got) == {k for k, _ in lines}
     assert got[0] == "block <*> served to <*>" and got[20] == "session <*> closed"

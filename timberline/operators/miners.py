@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clean import WILDCARD, last_masked, logdep_text, masked, normalised, one_spaced, spaced, without
+from .clean import WILDCARD, last_masked, anchor_text, masked, normalised, one_spaced, spaced, without
 from .tokens import message_split, plain_tokens
 
 
@@ -126,14 +126,14 @@ def anchor_frequencies(texts: DataFrame) -> DataFrame:
     return spread.where(F.col("word") != WILDCARD).groupBy("width", "pos", "word").agg(F.count("*").alias("freq"))
 
 
-def logdep(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4, clean: bool = True) -> DataFrame:
+def by_anchors(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4, clean: bool = True) -> DataFrame:
     """Anchor mining to a fixpoint: in each pass the rarest anchors of all become wildcards, and a text whose
     share of wildcards exceeds ``threshold`` leaves with the text from before the pass.
 
     The first pass takes the minimum over all lengths; after it lengths don't meet, so each length runs to
     its own fixpoint in one group of distinct texts.
     """
-    text = logdep_text(F.col("content"), masks, removed, literals) if clean else F.col("content")
+    text = anchor_text(F.col("content"), masks, removed, literals) if clean else F.col("content")
     keyed = lines.select("line_id", text.alias("text"))
     texts = distinct_contents(keyed, F.col("text")).select("text")
     least = anchor_frequencies(texts).agg(F.coalesce(F.min("freq"), F.lit(0)).cast("int").alias("least"))
@@ -192,7 +192,7 @@ def consensus(lines: DataFrame, key: str) -> DataFrame:
 # ---- anchors over normalised contents ---------------------------------------------------------------
 
 
-def logdep_full(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4, variants: DataFrame | None = None) -> DataFrame:
+def by_normalised_anchors(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4, variants: DataFrame | None = None) -> DataFrame:
     """(line_id, template): anchor mining over normalised contents, then each group's template anew by
     consensus of its own lines.
 
@@ -200,7 +200,7 @@ def logdep_full(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[s
     """
     rows = lines.select("line_id", "content")
     rows = rows.unionByName(variants.select("line_id", "content")) if variants is not None else rows
-    found = logdep(rows.withColumn("content", normalised(F.col("content"))), masks, removed, literals, threshold)
+    found = by_anchors(rows.withColumn("content", normalised(F.col("content"))), masks, removed, literals, threshold)
     own = lines.select("line_id", "content").join(found.where("line_id >= 0").withColumnRenamed("template", "group"), "line_id")
     return own.select("line_id", "group").join(consensus(own, "group").select("group", "template"), "group").select("line_id", "template")
 
@@ -211,7 +211,7 @@ def sweep(lines: DataFrame, standard: DataFrame, thresholds: Sequence[float], **
 
     rows = None
     for t in thresholds:
-        made = template_counts(logdep(lines, threshold=t, **settings))
+        made = template_counts(by_anchors(lines, threshold=t, **settings))
         row = template_accuracy(made, standard).crossJoin(made.agg(F.count("*").alias("templates")))  # one row each
         row = row.select(F.lit(float(t)).alias("threshold"), "pa", "pta", "rta", "templates")
         rows = row if rows is None else rows.unionByName(row)
@@ -220,6 +220,6 @@ def sweep(lines: DataFrame, standard: DataFrame, thresholds: Sequence[float], **
 
 def cleaning_trace(lines: DataFrame, masks: Sequence[str] = (), literals: Sequence[str] = ()) -> DataFrame:
     """(step, n): distinct texts at first and after cleaning, before the first pass."""
-    steps = (("initial", F.col("content")), ("cleaned", logdep_text(F.col("content"), masks, (), literals)))
+    steps = (("initial", F.col("content")), ("cleaned", anchor_text(F.col("content"), masks, (), literals)))
     rows = [lines.select(F.lit(name).alias("step"), text.alias("text")) for name, text in steps]
     return rows[0].unionByName(rows[1]).groupBy("step").agg(F.count_distinct("text").alias("n"))

@@ -75,7 +75,7 @@ QUERIES = {
     ),
     "t09_spaced": (_over("t09", events, lambda: {"text": clean.spaced(F.col("line"), SPACED)}), with_log("log_events", f"SELECT line_id, {spaced_sql('line')} AS text FROM log")),
     "t11_anchor_text": (
-        _over("t11", events, lambda: {"text": clean.logdep_text(F.col("content"), (r"blk_\d+",), (), (":",))}),
+        _over("t11", events, lambda: {"text": clean.anchor_text(F.col("content"), (r"blk_\d+",), (), (":",))}),
         with_log(
             "log_events",
             f"spaced AS (SELECT line_id, trim(regexp_replace({spaced_sql(masked_sql('content', (r'blk_[0-9]+',)), (':', '='))}, ' +', ' ', 'g')) AS s FROM log) "

@@ -97,8 +97,8 @@ QUERIES = {
         _m07,
         with_log("log_events", f"t AS (SELECT length(regexp_replace(content, '[^ ]', '', 'g')) AS key, {split_sql(normal_sql('content'))} AS w FROM log), s AS (SELECT key, count(*) AS n FROM t GROUP BY 1), p AS (SELECT key, i, count(*) AS k, min(w[i]) AS lo, max(w[i]) AS hi FROM t, unnest(range(1, len(w) + 1)) r(i) GROUP BY 1, 2), o AS (SELECT key, n, i, CASE WHEN k = n AND lo = hi AND lo NOT IN ('<*>', '*') THEN lo ELSE '<*>' END AS tok FROM p JOIN s USING (key)), c AS (SELECT *, lag(tok) OVER (PARTITION BY key ORDER BY i) AS before FROM o) SELECT key::BIGINT AS key, string_agg(tok, ' ' ORDER BY i) AS template, any_value(n) AS n FROM c WHERE NOT (tok = '<*>' AND before IS NOT DISTINCT FROM '<*>') GROUP BY key"),
     ),
-    "m02_logdep": (lambda spark, sf_dir: _counts(miners.logdep(events(spark, sf_dir), (r"blk_\d+",), (), (":",), 0.4)), None),
-    "m03_logdep_full": (lambda spark, sf_dir: _counts(miners.logdep_full(events(spark, sf_dir), (), (), (":",), 0.4)), None),
+    "m02_anchor_fixpoint": (lambda spark, sf_dir: _counts(miners.by_anchors(events(spark, sf_dir), (r"blk_\d+",), (), (":",), 0.4)), None),
+    "m03_normalised_anchors": (lambda spark, sf_dir: _counts(miners.by_normalised_anchors(events(spark, sf_dir), (), (), (":",), 0.4)), None),
     "m08_template_cache": (lambda spark, sf_dir: _counts(cache.cached(events(spark, sf_dir))), None),
     "e01_threshold_sweep": (
         lambda spark, sf_dir: rounded(miners.sweep(events(spark, sf_dir), events(spark, sf_dir).select("template").distinct(), (0.2, 0.4, 0.6), masks=(r"blk_\d+",), literals=(":",))),

@@ -20,7 +20,7 @@ class Settings:
     spell_tau: float = 0.5
     bigram_threshold: int = 15
     trigram_threshold: int = 10
-    logdep_threshold: float = 0.4
+    anchor_threshold: float = 0.4
 
 
 _IP = r"(\d+\.){3}\d+"
