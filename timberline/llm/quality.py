@@ -185,9 +185,10 @@ def score(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    The counts are computed again in place, as that needs no exchange of texts.
+    Rows and counts are written to the shared folder once: a filter on an expression over the counts
+    would have them computed again for each of its parts.
     """
-    model = fit(docs.select(features().alias("f")).select("f.*"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    packed = docs.select(whole, features().alias("f"))
-    return verdicts(packed.select("row", "f.*"), model).where("kept").select("row.*")
+    counted = staged(docs.select(whole, features().alias("f")), "counted")
+    model = fit(counted.select("f.*"))
+    return verdicts(counted.select("row", "f.*"), model).where("kept").select("row.*")
