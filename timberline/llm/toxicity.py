@@ -357,7 +357,7 @@ def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            scores = [model.scores(texts[a:b]) for a, b in blocks(texts, 4 << 20)]
+            scores = [model.scores(texts[a:b]) for a, b in blocks(texts, 2 << 20)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0), *scores]))], [*batch.schema.names[:-1], "toxic_score"])
 
     return score
