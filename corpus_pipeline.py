@@ -27,9 +27,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each component of near duplicates."""
+    """One document (the smallest id) of each component of near duplicates, by shingles of five words."""
     docs = docs.select(*COLUMNS)
-    gone = staged(minhash.near_duplicates(docs).where("not kept").select("doc_id"), "gone")
+    gone = staged(minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id"), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
