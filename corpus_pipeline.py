@@ -27,10 +27,23 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each component of near duplicates, by shingles of five words."""
-    docs = docs.select(*COLUMNS)
-    gone = staged(minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row (that of the smallest id) of each component of near duplicates, by shingles of five words.
+
+    Rows are nodes, not ids: rows with one id and several texts are judged apart, and of rows that
+    repeat a document (same id and text) one stays. Null ids come last.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+    rows = keyed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    found = minhash.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
+    parts = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("part")).distinct()
+    rows = staged(rows.join(parts, "row"), "rows")
+    stays = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least"), F.count("*").alias("members"))
+    gone = rows.join(stays.where("members > 1"), "part").where("row != least.row").select("row")
+    again = staged(rows.where("n > 1").select("row").join(gone, "row", "left_anti"), "again")
+    gone = staged(gone, "gone")
+    alone = keyed.join(gone.unionByName(again), "row", "left_anti")
+    repeated = keyed.join(again, "row", "left_semi").dropDuplicates(["row"])
+    return alone.select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

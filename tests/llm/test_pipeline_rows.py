@@ -19,3 +19,26 @@ def test_near_duplicates_take_five_words(spark):
     apart = [w if i not in (12, 30, 48) else f"x{i}" for i, w in enumerate(base)]  # 53 of 65 pairs, but 41 of 71 fives
     rows = table(spark, [(1, " ".join(base)), (2, " ".join(linked)), (3, " ".join(apart))])
     assert sorted(r.doc_id for r in corpus_pipeline.single(spark, rows, "").collect()) == [1, 3]
+
+
+def test_repeated_rows_stay_once(spark):
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [
+        *[(5, words("a", 50))] * 3,  # a document on three rows
+        (7, words("b", 60)),
+        (2, words("b", 60) + " more"),  # near 7, and of a smaller id
+        (7, words("c", 70)),  # another text of an id that is not the smallest
+        *[(None, words("d", 40))] * 2,
+        (9, words("d", 40)),  # a known id goes before null
+        (11, ""),
+        (12, ""),
+        (13, None),
+    ]
+    found = corpus_pipeline.single(spark, table(spark, rows), "").persist()
+    got = sorted(((r.doc_id, r.text) for r in found.collect() if r.text), key=str)
+    assert got == sorted([(5, words("a", 50)), (2, words("b", 60) + " more"), (7, words("c", 70)), (9, words("d", 40))], key=str)
+    assert sorted(r.doc_id for r in found.collect() if not r.text) == [11, 12, 13]
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.unrepeated(spark, found, "").collect()}
+    assert left == set(got)
