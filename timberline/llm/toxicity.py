@@ -7,7 +7,8 @@ layer read each window of ``WINDOW`` words, attention pools their states, and a
 the window. Windows overlap by a quarter and cover the whole text; a document scores as its highest window.
 
 The network is fitted on the driver to a bounded sample: of the labelled rows that may be learned from,
-those with the smallest hashes, up to ``SAMPLE_ROWS`` of either label and ``SAMPLE_BYTES`` of text.
+those with the smallest hashes, up to ``SAMPLE_ROWS`` and ``SAMPLE_BYTES`` of text of either label. A
+text that doesn't fit is left out and the next one tried; a label of which no row fits is an error.
 Scoring reads every text. The model is some megabytes, whatever the input.
 
 Cases: null and empty texts, and texts without words, get the score of an empty window; repeated
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .store import widened
 from .words import _LOWER, _TABLE, blocks, mixed, spans
 
-#: Bounds of the training sample: rows of each label, and bytes in all.
+#: Bounds of the training sample: rows, and bytes of text, of each label.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 6 << 20
 
 WINDOW, STEP = 24, 18
@@ -49,6 +50,16 @@ def may_learn(doc_id: str = "doc_id"):
     return F.expr(f"crc32(cast(cast({doc_id} as string) as binary)) % 5 != 0")
 
 
+def _hashed(buf: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = 1 << 20) -> np.ndarray:
+    """Hashes of the words of ``buf``, some at a time, so that tables of powers stay small."""
+    cuts = np.searchsorted(start, np.arange(size, len(buf), size))
+    out = [np.zeros(0, np.uint64)]
+    for s, e in zip(np.split(start, cuts), np.split(end, cuts), strict=True):
+        if len(s):
+            out.append(spans(_TABLE[buf[s[0] : e[-1]]], s - s[0], e - s[0]))
+    return np.concatenate(out)
+
+
 class Words:
     """The words of a block of texts: ``number`` tells each word's kind, ``at`` where texts start; of the
     kinds, hashed words and the hashed n-grams at each of their (marked) bytes."""
@@ -59,7 +70,7 @@ class Words:
         np.logical_not(_CUTS[buf], out=inside[1:-1])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = edges[0::2], edges[1::2]
-        kinds, first, self.number = np.unique(spans(_TABLE[buf], start, end), return_index=True, return_inverse=True)
+        kinds, first, self.number = np.unique(_hashed(buf, start, end), return_index=True, return_inverse=True)
         ends = np.cumsum([len(t or b"") + 1 for t in texts])
         self.at = np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
         self.kinds = kinds
@@ -343,13 +354,20 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes | None], np.n
     chosen = [known.where(F.col("label") == y).orderBy("order").limit(SAMPLE_ROWS) for y in (1, 0)]
     chosen = chosen[0].unionByName(chosen[1])  # a bounded number of rows: they may be broadcast
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts, out, size = [], [], 0
-    for r in rows.orderBy("order", "doc_id", "text").limit(2 * SAMPLE_ROWS).toLocalIterator():
-        size += len(r["text"] or b"")
-        if size > SAMPLE_BYTES:
-            break
-        texts.append(bytes(r["text"]) if r["text"] is not None else None)
-        out.append(r["label"])
+    fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES  # others never reach the driver
+    rows = rows.select("doc_id", "label", "order", F.when(fits, F.col("text")).alias("text"), fits.alias("fits"))
+    texts, out, size, left_out = [], [], [0, 0], [0, 0]
+    for y in (0, 1):
+        for r in rows.where(F.col("label") == y).orderBy("order", "doc_id", "text").limit(SAMPLE_ROWS).toLocalIterator():
+            n = len(r["text"] or b"")
+            if not r["fits"] or size[y] + n > SAMPLE_BYTES:
+                left_out[y] += 1
+                continue
+            size[y] += n
+            texts.append(bytes(r["text"]) if r["text"] is not None else None)
+            out.append(y)
+        if left_out[y] and y not in out:
+            raise ValueError(f"none of the {left_out[y]} labelled texts with toxic = {y} is within {SAMPLE_BYTES} bytes")
     return texts, np.array(out, np.int64)
 
 
