@@ -1,16 +1,22 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-A text is compared as a whole, by paragraphs (cut at two line feeds) and by lines. Normalised words are
+A text is compared as a whole, by paragraphs (cut at two line feeds), by lines and by runs of consecutive
+lines, so that notices of several lines or paragraphs are found inside longer texts. Normalised words are
 runs of letters and digits with A-Z lower-cased; a unit's set holds its distinct word bigrams. As
 2 * |A and B| / (|A| + |B|) can't reach the threshold t unless the sizes lie within t / (2 - t) of each
 other, templates of other sizes are never compared; nor are units that share no bigram with any.
 
+Runs are sought where a text holds t / (2 - t) of a template's bigrams, and only those are compared whose
+first line has a bigram of the template that the rest of the run lacks: any other run scores no less
+without its first line.
+
 Cases: null and empty texts, and units of fewer than two words, match nothing; of equal scores the
 licence first in the alphabet is best; repeated rows each get a row; texts of any length are whole.
 """
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +50,15 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+#: Notices that are sought besides, and the licences whose texts are in ``licence_texts``.
+NOTICES = (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+)
+TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+
 #: Bytes outside words: ASCII but letters and digits.
 _CUTS = np.ones(256, bool)
 _CUTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -60,11 +75,80 @@ def _bigrams(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]), start[:-1], end[1:]
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    return tuple((name, pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()) for name in TEXTS)
+
+
 class Templates:
-    def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
+    def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float, more: tuple[tuple[str, str], ...] = ()):
         self.threshold = threshold
         self.sets = sorted((name, set(_bigrams(text.encode())[0].tolist())) for name, text in templates)
         self.known = np.array(sorted({b for _, s in self.sets for b in s}), np.uint64)
+        #: for runs: all templates, their bigrams, which of these each has, and how many a run needs
+        self.all = self.sets + sorted((name, set(_bigrams(text.encode())[0].tolist())) for name, text in more)
+        self.sought = np.array(sorted({b for _, s in self.all for b in s}), np.uint64)
+        self.has = np.array([[b in s for _, s in self.all] for b in self.sought.tolist()], bool).reshape(len(self.sought), len(self.all))
+        self.need = np.array([max(1, int(np.ceil(threshold / (2 - threshold) * len(s) - 1e-9))) for _, s in self.all])
+
+    def candidates(self, grams: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Texts, and templates of which they hold bigrams enough for a run."""
+        place = np.minimum(np.searchsorted(self.sought, grams), len(self.sought) - 1)
+        hit = np.flatnonzero(self.sought[place] == grams)
+        if not len(hit):
+            return
+        kinds = np.unique(text_of[hit] * np.int64(len(self.sought)) + place[hit])
+        owner, place = kinds // len(self.sought), kinds % len(self.sought)
+        texts, first = np.unique(owner, return_index=True)
+        for i, a, b in zip(texts.tolist(), first.tolist(), [*first[1:].tolist(), len(owner)], strict=True):
+            if b - a >= self.need.min():
+                for t in np.flatnonzero(self.has[place[a:b]].sum(axis=0) >= self.need).tolist():
+                    yield i, t
+
+    def runs(self, t: int, grams: list[int], line: list[int], to_line: list[int]) -> tuple[float, set[int]]:
+        """The best score of a run of lines by template ``t``, and the single lines that match, from a text's
+        bigrams with the lines where they start and end."""
+        template, need = self.all[t][1], self.need[t]
+        largest = (2 - self.threshold) / self.threshold * len(template) + 1e-9
+        hits = [p for p, g in enumerate(grams) if g in template]
+        # for each hit, the line where its next occurrence in a later line ends
+        later: dict[int, float] = {}
+        ends: dict[int, float] = {}  # by line: the last line that a run from here may need
+        k = len(hits)
+        while k:
+            first, at = k - 1, line[hits[k - 1]]
+            while first and line[hits[first - 1]] == at:
+                first -= 1
+            ends[at] = max(later.get(grams[p], float("inf")) for p in hits[first:k])
+            for p in reversed(hits[first:k]):
+                later[grams[p]] = to_line[p]
+            k = first
+        best, single = 0.0, set()
+        for k, p in enumerate(hits):
+            at = line[p]
+            if k and line[hits[k - 1]] == at:
+                continue
+            if len(hits) - k < need:
+                break
+            first = p
+            while first and line[first - 1] == at:
+                first -= 1
+            seen: set[int] = set()
+            shared = 0
+            for q in range(first, len(grams)):
+                if to_line[q] > at and to_line[q] >= ends[at]:
+                    break
+                if grams[q] not in seen:
+                    seen.add(grams[q])
+                    shared += grams[q] in template
+                    if len(seen) > largest:
+                        break
+                if shared >= need and (q + 1 == len(grams) or to_line[q + 1] > to_line[q]):
+                    score = 2 * shared / (len(seen) + len(template))
+                    if score >= self.threshold:
+                        best = max(best, score)
+                        if to_line[q] == at:
+                            single.add(at)
+        return best, single
 
     def of(self, unit: set[int]) -> list[tuple[float, str]]:
         out = []
@@ -77,9 +161,9 @@ class Templates:
         return out
 
 
-def _scanner(templates: tuple[tuple[str, str], ...], threshold: float):
+def _scanner(templates: tuple[tuple[str, str], ...], threshold: float, more: tuple[tuple[str, str], ...]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(templates, threshold)
+        known = Templates(templates, threshold, more)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             best, score, units, names = [], [], [], []
@@ -113,6 +197,13 @@ def _scanner(templates: tuple[tuple[str, str], ...], threshold: float):
                         a, b = np.searchsorted(key, [k, k + 1])
                         for value, name in known.of(set(grams[a:b][whole[a:b]].tolist())):
                             found.setdefault(k // (len(cuts) + 1), []).append((value, name, (level, k)))
+                for i, t in known.candidates(grams, text_of):
+                    a, b = np.searchsorted(text_of, [i, i + 1])
+                    lines = [np.searchsorted(feeds, x[a:b], side=s).tolist() for x, s in ((at, "right"), (to, "left"))]
+                    value, single = known.runs(t, grams[a:b].tolist(), *lines)
+                    if value:
+                        units_of = [(0, i * (len(feeds) + 1) + x) for x in single] or [(3, t)]
+                        found.setdefault(i, []).extend((value, known.all[t][0], u) for u in units_of)
                 for i in range(last - first):
                     matches = found.get(i, [])
                     top = min(((-v, n) for v, n, _ in matches), default=(0.0, None))
@@ -128,7 +219,10 @@ def _scanner(templates: tuple[tuple[str, str], ...], threshold: float):
     return scan
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, the best licence (null for none) and its score (0), the lines that match, and all licences found, for every row."""
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, more: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """doc_id, the best licence (null for none) and its score (0), the lines that match, and all licences found, for every row.
+
+    ``more``: templates sought besides, by default NOTICES and the texts of the common licences."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_scanner(templates, threshold), "doc_id bigint, licence string, dice double, n_lines bigint, licences string")
+    more = (*NOTICES, *full_texts()) if more is None else more
+    return rows.mapInArrow(_scanner(templates, threshold, more), "doc_id bigint, licence string, dice double, n_lines bigint, licences string")
