@@ -151,16 +151,16 @@ def _canopies(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for at in np.flatnonzero(np.diff(edges) > 1).tolist():
         part = members[edges[at] : edges[at + 1]]
         signs, docs = part["sign"], part["doc"]
-        heads, rest = [], np.arange(len(part))
-        joined = np.zeros(len(part), bool)
-        while len(rest):
-            head, rest = rest[0], rest[1:]
+        heads, joined = [], np.zeros(len(part), bool)
+        for head in range(len(part)):
+            if joined[head]:
+                continue
             heads.append(head)
-            near = (signs[rest] == signs[head]).sum(axis=1) >= LEAST_AGREEING
-            a.append(docs[rest[near]])
+            near = (signs == signs[head]).sum(axis=1) >= LEAST_AGREEING
+            near[head] = False
+            a.append(docs[near])
             b.append(np.full(int(near.sum()), docs[head]))
-            joined[rest[near]] = True
-            rest = rest[~near]
+            joined |= near
         firsts.append(part[heads])
     return np.concatenate(firsts), np.concatenate(a), np.concatenate(b)
 
