@@ -75,8 +75,8 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from four fifths of the labelled ones."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(*toxicity.sample(docs, _table(spark, sf_dir, "labels")))
-    found = toxicity.scored(docs.select("doc_id", "text"), model)
+    model = toxicity.trained(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, model)
     score = F.col("toxic_score")
     return found.select("doc_id", (~toxicity.may_learn()).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, with its file system; a temporary one is set where none is (tests)."""
+    """The folder named by ``spark.checkpoint.dir``, with its file system. Where none is named, a local session
+    (tests) gets a temporary one; a cluster, whose machines don't share such a folder, gets an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         context = spark.sparkContext
         there = context.getCheckpointDir()
         if not there:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='timberline-')}")
             there = context.getCheckpointDir()
     where = spark._jvm.org.apache.hadoop.fs.Path(there)
@@ -49,12 +55,33 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucket_count(df: DataFrame, least: int = 2048, most: int = 65536) -> int:
-    """How many groups to deal blocks to: grows with the input's partitions."""
-    want = max(least, min(most, 16 * df.rdd.getNumPartitions()))
+def bucket_count(df: DataFrame, least: int = 2048) -> int:
+    """How many groups to deal blocks to: in proportion to the input's partitions, so that a group's share of
+    the input stays the same at every size."""
+    want = min(1 << 30, max(least, 16 * df.rdd.getNumPartitions()))
     return 1 << (want - 1).bit_length()
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: Python workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for mapInArrow, with its memory given back at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def widened(schema: T.StructType, ddl: str) -> T.StructType:
     """``schema`` with more fields; the one given stays as it is."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

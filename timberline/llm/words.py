@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at once; longer texts are cut at white space.
 SEGMENT = 1 << 20
@@ -109,6 +111,17 @@ def blocks(texts: list[bytes | None], most: int = 2 << 20) -> Iterator[tuple[int
         yield first, len(texts)
 
 
+def text_blocks(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, list]]:
+    """The same runs of an Arrow column of texts, with their values: only one run is a Python list at a time."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) + 1)
+    first = 0
+    while first < len(ends):
+        start = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, start + most, side="right")))
+        yield first, last, column.slice(first, last - first).to_pylist()
+        first = last
+
+
 def hashed_texts(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of several texts, and where each text's words start (one entry more than texts)."""
     joined = np.frombuffer(b" ".join(t or b"" for t in texts), np.uint8)
