@@ -3,24 +3,28 @@ confirmation, and connected components by alternating large-star and small-star.
 
 A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased); with fewer words the
 whole sequence is the one shingle. Two documents are linked when 100 * intersection >= percent * union.
-Documents with equal sets form a class and only its smallest id takes part in what follows.
+Documents with equal sets form a class; classes, not ids, are the nodes of all that follows.
 
-1. Banding finds the documents that share a band with any other: with probability
+1. Banding finds the classes that share a band with any other: with probability
    1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.9999999, for a linked pair at the threshold. Band keys travel
    alone, and a task sends one member of each of its buckets.
-2. For these documents signatures travel too. Each bucket is cut into canopies: a member whose
-   signature agrees with that of a canopy's first member in LEAST_AGREEING places joins it (and every
-   such canopy), else it starts one. Tasks cut their own buckets first and send the firsts on.
-3. Connected canopies are families. Within a family every pair is confirmed on full sets by matrix
-   products; large families are dealt out in tiles of two blocks of documents, so that memory is
-   bounded. A tile returns links that span its components, not all its links, so rows stay in
-   proportion to documents.
-4. Components of these links are labelled by large-star and small-star.
-
-Cases: null and empty texts, and texts without words, have empty sets and are linked with nothing; a
-document id that occurs on several rows is one node, and each of its rows is returned (null is such an
-id, and the last to name a component); very long texts
-are read whole; extra columns are ignored; an empty table gives an empty result.
+2. For these classes signatures travel too. Each bucket is cut into canopies: a member whose signature
+   agrees with that of a canopy's head in TIGHT places or more makes no canopy of its own, and members
+   that agree with a head in LOOSE places or more belong to the head's family. Tasks cut their own buckets
+   first and send the heads on. A bucket yields, for each member, the head that it is most like and one edge
+   of its family: never all pairs.
+3. Each member is confirmed on full sets with the head it is most like of all its buckets, and the
+   components of the links so found are joined: copies of one text are done here, in one pair each.
+4. Families that are one component by now are left alone. In the others, pairs across components are
+   confirmed by matrix products over tiles of two blocks of texts, so that memory is bounded; the largest
+   component's blocks meet the others' blocks, not each other. A tile returns links that span its
+   components, not all its links, so rows stay in proportion to documents.
+5. Components of these links are labelled by large-star and small-star.
+
+Cases: null and empty texts, and texts without words, have empty sets and are linked with nothing; rows
+with one id and several texts are judged apart, and each gets the smallest id of its component; rows
+without an id never name a component (if it has no other rows, its id is null and all are kept); very long texts are read whole;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,18 +36,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bucket_count, staged
-from .words import blocks, hashed_texts, mixed
+from .store import bucket_count, released, staged
+from .words import hashed_texts, mixed, text_blocks
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 
-#: Places (of 128) in which the signatures of a canopy's members agree with that of its first. Linked
-#: documents agree in some 102; families may be wider, as full sets decide.
-LEAST_AGREEING = 58
-
-#: Stands for a null id: the largest, so that it names a component only of its own.
-NO_ID = (1 << 63) - 1
+#: Places (of 128) in which signatures agree. Linked documents agree in 102, with a deviation of 4.5. A member
+#: that is TIGHT to a head may stand behind it: what is linked with the member is LOOSE to the head at least,
+#: and so of its family. Pairs below LIKELY aren't worth confirming (six deviations).
+TIGHT, LOOSE, LIKELY = 100, 56, 75
 
 #: Documents, and bytes of text, of a block; a tile holds two blocks.
 BLOCK_ROWS, BLOCK_BYTES = 1000, 16 << 20
@@ -91,9 +93,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _signer(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for first, last in blocks(texts):
-                found, at = hashed_texts(texts[first:last], lower=True)
+            ids, versions = batch.column(0), batch.column(2)
+            for first, last, texts in text_blocks(batch.column(1)):
+                found, at = hashed_texts(texts, lower=True)
                 size, one, two, signs = [], [], [], []
                 for i in range(last - first):
                     items = shingles(found[at[i] : at[i + 1]], width)
@@ -102,11 +104,11 @@ def _signer(width: int):
                     two.append(np.add.reduce(mixed(items ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64))
                     signs.append(minima(items).tobytes() if len(items) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[first:last], pa.array(size, pa.int64()), pa.array(_signed(np.array(one))), pa.array(_signed(np.array(two))), pa.array(signs, pa.binary())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                    [ids[first:last], versions[first:last], pa.array(size, pa.int64()), pa.array(_signed(np.array(one))), pa.array(_signed(np.array(two))), pa.array(signs, pa.binary())],
+                    ["doc_id", "version", "n_shingles", "set_a", "set_b", "signature"],
                 )
 
-    return sign
+    return released(sign)
 
 
 _MEMBER = np.dtype([("band", "<u8"), ("doc", "<i8")])
@@ -127,42 +129,72 @@ def _in_buckets(records: np.ndarray, buckets: int) -> pa.RecordBatch:
     starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1]) if len(place) else np.zeros(0, int)
     parts = [part.tobytes() for part in np.split(records, starts[1:])] if len(place) else []
     none = pa.nulls(len(parts), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(place[starts]), pa.array(parts, pa.binary()), none, none], ["bucket", "block", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(place[starts]), pa.array(parts, pa.binary()), none, none, pa.nulls(len(parts), pa.int32())], ["bucket", "block", "a", "b", "agree"])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
     n = len(a)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["bucket", "block", "a", "b"])
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.int32())], ["bucket", "block", "a", "b", "agree"]
+    )
+
+
+_Cut = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _sharing(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first member of each bucket; and (member, first) for the others."""
+def _sharing(members: np.ndarray) -> _Cut:
+    """The first member of each bucket; and (member, first, 0) for the others."""
     members = members[np.lexsort((members["doc"], members["band"]))]
     first = _first_of(members["band"])
     alone = first == np.arange(len(first))
-    return members[alone], members["doc"][~alone], members["doc"][first[~alone]]
+    return members[alone], members["doc"][~alone], members["doc"][first[~alone]], np.zeros(int((~alone).sum()), np.int32)
 
 
-def _canopies(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The firsts of the canopies of each bucket; and (member, first) for the members of canopies."""
+def _canopies(members: np.ndarray) -> _Cut:
+    """The heads of the canopies of each bucket; and (member, head, places in which they agree): for each
+    member the head it is most like, and what else joins the heads of a family."""
     members = members[np.lexsort((members["doc"], members["band"]))]
     edges = np.flatnonzero(np.concatenate([[True], members["band"][1:] != members["band"][:-1], [True]]))
-    firsts, a, b = [members[edges[:-1][np.diff(edges) == 1]]], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    heads_of, a, b, agree = [members[edges[:-1][np.diff(edges) == 1]]], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for at in np.flatnonzero(np.diff(edges) > 1).tolist():
         part = members[edges[at] : edges[at + 1]]
-        signs, docs = part["sign"], part["doc"]
-        heads, joined = [], np.zeros(len(part), bool)
-        for head in range(len(part)):
-            if joined[head]:
+        signs, docs, n = part["sign"], part["doc"], edges[at + 1] - edges[at]
+        heads, behind = [], np.zeros(n, bool)
+        best, best_head = np.full(n, LOOSE - 1, np.int32), np.full(n, -1)
+        family = np.arange(n)  # of heads and of the members they were first loose to
+        joined = np.zeros(n, bool)
+        for head in range(n):
+            if behind[head]:
                 continue
             heads.append(head)
-            near = (signs == signs[head]).sum(axis=1) >= LEAST_AGREEING
-            near[head] = False
-            a.append(docs[near])
-            b.append(np.full(int(near.sum()), docs[head]))
+            like = (signs == signs[head]).sum(axis=1, dtype=np.int32)
+            like[head] = 0
+            near = like >= LOOSE
+            if not near.any():
+                continue
+            behind |= like >= TIGHT
+            better = near & (like > best)
+            best[better], best_head[better] = like[better], head
+            # families that meet in this head, by one member each
+            met = np.flatnonzero(near & joined)
+            which, first = np.unique(family[met], return_index=True)
+            own = family[head] if joined[head] else head
+            for f, k in zip(which.tolist(), met[first].tolist()):
+                if f != own:
+                    a.append(docs[[k]])
+                    b.append(docs[[head]])
+                    agree.append(like[[k]])
+                    family[family == f] = own
+            fresh = near & ~joined
+            family[fresh], family[head] = own, own
             joined |= near
-        firsts.append(part[heads])
-    return np.concatenate(firsts), np.concatenate(a), np.concatenate(b)
+            joined[head] = True
+        found = np.flatnonzero(best_head >= 0)
+        a.append(docs[found])
+        b.append(docs[best_head[found]])
+        agree.append(best[found])
+        heads_of.append(part[heads])
+    return np.concatenate(heads_of), np.concatenate(a), np.concatenate(b), np.concatenate(agree)
 
 
 def _bander(buckets: int, signed: bool):
@@ -170,9 +202,9 @@ def _bander(buckets: int, signed: bool):
     cut = _canopies if signed else _sharing
 
     def deal(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        firsts, a, b = cut(np.concatenate(held))
-        yield _pairs(a, b)
-        yield _in_buckets(firsts, buckets)
+        heads, a, b, agree = cut(np.concatenate(held))
+        yield _pairs(a, b, agree)
+        yield _in_buckets(heads, buckets)
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -189,38 +221,57 @@ def _bander(buckets: int, signed: bool):
                     members["sign"] = (part & np.uint32(255)).astype(np.uint8)[:, None, :]
                 held.append(members.ravel())
                 rows += len(part)
-                if rows >= (10_000 if signed else 100_000):
+                if rows >= (5_000 if signed else 50_000):
                     yield from deal(held)
                     held, rows = [], 0
         if held:
             yield from deal(held)
 
-    return band
+    return released(band)
 
 
 def _meeter(signed: bool):
     def meet(table: pa.Table) -> pa.Table:
         records = np.frombuffer(b"".join(table.column("block").to_pylist()), _SIGNED if signed else _MEMBER)
-        _, a, b = (_canopies if signed else _sharing)(records)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        _, a, b, agree = (_canopies if signed else _sharing)(records)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.int32())], ["a", "b", "agree"])
 
     return meet
 
 
 def paired(classes: DataFrame, signed: bool) -> DataFrame:
-    """Distinct (a, b) of members of a bucket (or of its canopies, if ``signed``) with its first."""
+    """Distinct (a, b, agree) of members of a bucket (or of its canopies, if ``signed``) with a head."""
     buckets = bucket_count(classes, 512)
-    rows = classes.select("doc_id", "signature")
-    dealt = staged(rows.mapInArrow(_bander(buckets, signed), "bucket int, block binary, a bigint, b bigint"), "bands")
-    near = dealt.where("a is not null").select("a", "b")
-    far = dealt.where("block is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_meeter(signed), "a bigint, b bigint")
+    rows = classes.select("node", "signature")
+    dealt = staged(rows.mapInArrow(_bander(buckets, signed), "bucket int, block binary, a bigint, b bigint, agree int"), "bands")
+    near = dealt.where("a is not null").select("a", "b", "agree")
+    far = dealt.where("block is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_meeter(signed), "a bigint, b bigint, agree int")
     return staged(near.unionByName(far).where("a != b").distinct(), "pairs")
 
 
-def _confirmer(width: int, percent: int):
+def _star_confirmer(width: int, percent: int):
+    """Of (node, head, text, head_text): the (node, head) that are linked."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.column(3)
+            for first, last, texts in text_blocks(batch.column(2)):
+                found, at = hashed_texts(texts, lower=True)
+                other, to = hashed_texts(heads.slice(first, last - first).to_pylist(), lower=True)
+                keep = []
+                for i in range(last - first):
+                    one, two = shingles(found[at[i] : at[i + 1]], width), shingles(other[to[i] : to[i + 1]], width)
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    keep.append((100 + percent) * both >= percent * (len(one) + len(two)))
+                yield batch.slice(first, last - first).select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return released(confirm)
+
+
+def _tile_confirmer(width: int, percent: int):
     def confirm(table: pa.Table) -> pa.Table:
-        """Links (a, b) that span the components of one tile."""
-        docs = np.asarray(table.column("doc_id"))
+        """Links (a, b) that span the components of one tile; a component's own pairs aren't looked at."""
+        docs, of = np.asarray(table.column("node")), np.asarray(table.column("part"))
         found, at = hashed_texts(table.column("text").to_pylist(), lower=True)
         sets = [shingles(found[at[i] : at[i + 1]], width) for i in range(len(docs))]
         size = np.array([len(s) for s in sets])
@@ -240,6 +291,7 @@ def _confirmer(width: int, percent: int):
             part[row[a:b], column[a:b] - first] = 1
             both += part @ part.T
         linked = (100 + percent) * both.astype(np.int64) >= percent * (size[:, None] + size[None, :])
+        linked |= of[:, None] == of[None, :]
         labels = np.arange(len(docs))
         while True:
             new = np.where(linked, labels[None, :], len(docs)).min(axis=1, initial=len(docs))
@@ -248,30 +300,48 @@ def _confirmer(width: int, percent: int):
             if (new == labels).all():
                 break
             labels = new
-        linked_to = docs[labels]
-        keep = labels != np.arange(len(docs))
-        return pa.table([pa.array(docs[keep]), pa.array(linked_to[keep])], ["a", "b"])
+        keep = of[labels] != of
+        links = np.unique(np.stack([of[keep], of[labels][keep]]), axis=1)
+        return pa.table([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], ["a", "b"])
 
     return confirm
 
 
-def confirmed(families: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that hold on full sets, from (doc_id, family)."""
-    held = texts.join(families, "doc_id")
-    sizes = families.join(texts.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id").groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+def stars(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (a, b) among each member's pair with the head it is most like, confirmed on full sets."""
+    most = F.max(F.struct("agree", (-F.col("b")).alias("head"))).alias("most")
+    best = pairs.where(F.col("agree") >= LIKELY).groupBy("a").agg(most).select(F.col("a").alias("node"), (-F.col("most.head")).alias("head"))
+    members = best.join(texts, "node")
+    heads = texts.select(F.col("node").alias("head"), F.col("text").alias("head_text"))
+    both = members.join(heads, "head").select("node", "head", "text", "head_text")
+    return both.mapInArrow(_star_confirmer(width, percent), "a bigint, b bigint")
+
+
+def across(families: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, from (node, family, part): parts are components found before."""
+    parts = families.groupBy("family", "part").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "part")).alias("most")
+    open_ = staged(parts.groupBy("family").agg(F.count("*").alias("parts"), most).where("parts > 1").select("family", F.col("most.part").alias("main")), "open")
+    held = staged(families.join(open_, "family").select("node", "family", "part", (F.col("part") == F.col("main")).alias("of_main")).join(texts, "node"), "held")
+    sizes = held.groupBy("family", "of_main").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks_of = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    sizes = staged(sizes.select("family", blocks_of.alias("blocks")), "sizes")
-    held = held.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    tiles = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("doc_id", "text", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return tiles.groupBy("family", "i", "j").applyInArrow(_confirmer(width, percent), "a bigint, b bigint")
+    counts = sizes.groupBy("family").agg(F.sum(F.when(~F.col("of_main"), blocks_of)).alias("others"), F.sum(F.when(F.col("of_main"), blocks_of)).alias("mains"))
+    rows = held.join(staged(counts, "sizes"), "family")
+    # blocks 0 .. others - 1 hold the smaller components, those from there on the largest one
+    own = F.when(F.col("of_main"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    rows = rows.withColumn("own", own.cast("int"))
+    every = F.when(F.col("of_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1).cast("int")
+    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), every)))
+    tiles = tiles.select("node", "text", "part", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return tiles.groupBy("family", "i", "j").applyInArrow(_tile_confirmer(width, percent), "a bigint, b bigint")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable, for all nodes with links (a, b).
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable, for all nodes with links (a, b) but the smallest ones.
 
     Alternates large-star (neighbours above a node move to its smallest neighbour) and small-star
-    (those below do), each followed by a checkpoint, until nothing changes.
+    (those below do), each followed by a checkpoint, until nothing changes. As the rounds needed grow with
+    the logarithm of the links, so many are never used up; if they were, it is an error.
     """
 
     def checked(edges: DataFrame) -> DataFrame:
@@ -290,36 +360,37 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         edges = checked(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if tuple(now) == before or now[0] == now[2] and not edges.join(edges.select(F.col("a").alias("x")), F.col("b") == F.col("x"), "left_semi").take(1):
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = tuple(now)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    raise RuntimeError(f"components are not complete after {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    signed = staged(
-        docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-            _signer(width), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary"
-        ),
-        "signatures",
-    )
-    # one member of each class of equal sets
-    first = F.min(F.struct("doc_id", "n_shingles", "signature"))
-    classes = staged(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first.alias("f")).select("set_a", "set_b", "f.*"), "classes")
+    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("version"))
+    signed = docs.mapInArrow(_signer(width), "doc_id bigint, version bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary")
+    signed = staged(signed, "signatures")
+    # one node for each class of equal sets, with one of its rows; numbers are fixed by writing them
+    first = [F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "version")).alias("row"), F.min("signature").alias("signature")]
+    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(*first)
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     shared = paired(classes, signed=False)
-    near = shared.select(F.col("a").alias("doc_id")).unionByName(shared.select(F.col("b").alias("doc_id"))).distinct()
-    near = staged(classes.join(near, "doc_id", "left_semi"), "near")
-    families = staged(components(paired(near, signed=True)), "families")
-    families = families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct().toDF("doc_id", "family")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(families.select("doc_id"), "doc_id", "left_semi")
-    texts = staged(texts.dropDuplicates(["doc_id"]), "texts")
-    labelled = components(staged(confirmed(families, texts, width, percent), "links")).toDF("doc_id", "label")
-    labels = classes.join(labelled, "doc_id", "left").select("set_a", "set_b", F.coalesce("label", "doc_id").alias("label"))
-    out = signed.join(labels, ["set_a", "set_b"], "left")
-    component = F.coalesce("label", "doc_id")
-
-    def known(column: Column) -> Column:
-        return F.when(column != NO_ID, column)
-
-    return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(component).alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    near = shared.select(F.col("a").alias("node")).unionByName(shared.select(F.col("b").alias("node"))).distinct()
+    near = staged(classes.join(near, "node", "left_semi"), "near")
+    pairs = paired(near, signed=True)
+    families = staged(components(pairs), "families")
+    families = families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct().toDF("node", "family")
+    rows = near.join(families, "node").select("node", F.col("row.doc_id").alias("row_id"), F.col("row.version").alias("row_version"))
+    texts = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version"))).select("node", "text")
+    texts = staged(texts.dropDuplicates(["node"]), "texts")
+    labelled = staged(components(stars(pairs, texts, width, percent)).toDF("node", "part"), "parts")
+    whole = families.join(labelled, "node", "left").select("node", "family", F.coalesce("part", "node").alias("part"))
+    more = staged(components(across(whole, texts, width, percent)).toDF("part", "label"), "joined")
+    labels = whole.join(more, "part", "left").select("node", F.coalesce("label", "part").alias("label"))
+    labels = classes.join(labels, "node", "left").select("set_a", "set_b", "least_id", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("in_family"))
+    labels = staged(labels, "labels")
+    least = labels.where("in_family").groupBy("label").agg(F.min("least_id").alias("family_least"))
+    ids = labels.join(least, "label", "left").select("set_a", "set_b", F.when(F.col("in_family"), F.col("family_least")).otherwise(F.col("least_id")).alias("component_id"))
+    out = signed.join(ids, ["set_a", "set_b"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
