@@ -4,8 +4,10 @@ A task takes its texts in blocks. The distinct parts of a block are split by the
 matches become rows of symbols, and the merges are replayed over all of them at once (:mod:`.merges`).
 Texts are then put together from the ids of their parts.
 
-Cases: a null text counts as empty and has no ids; texts of any length are whole; equal texts have
-equal ids; other columns pass through.
+Cases: a null text counts as empty and has no ids; texts of any length are whole, one word of a megabyte
+too; equal texts have equal ids; repeated rows each get a row; an empty table gives an empty result; other
+columns pass through, but columns named ``ids`` (in :func:`encode`) and ``decoded`` (in :func:`decode`)
+give way to the result.
 """
 
 from __future__ import annotations
@@ -18,24 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import widened
+from .store import released, widened
 from .tokens import rank_vocabulary
-from .words import blocks
+from .words import text_blocks
 
 
 def _encoder(path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = rank_vocabulary(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            at = 0
-            for first, last in blocks(texts, 4 << 20):
-                found = vocabulary.encode(texts[first:last])
+            for first, last, texts in text_blocks(batch.column(batch.num_columns - 1), 4 << 20):
+                found = vocabulary.encode([t or "" for t in texts])
                 offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in found])]).astype(np.int64)
                 ids = np.frombuffer(b"".join(found), "<i4")
                 lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids)).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, last - first) for c in batch.columns[:-1]), lists], [*batch.schema.names[:-1], "ids"])
-                at = last
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in batch.columns[:-1]), lists], [*batch.schema.names[:-1], "ids"])
 
     return encode
 
@@ -44,7 +43,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """``docs`` without its text, with ``ids`` (array of int)."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "ids")]
     rows = docs.select(*others, F.col(f"`{text}`"))
-    return rows.mapInArrow(_encoder(path, pattern), widened(docs.select(*others).schema, "ids array<int>"))
+    return rows.mapInArrow(released(_encoder(path, pattern)), widened(docs.select(*others).schema, "ids array<int>"))
 
 
 def _decoder(path: str, pattern: str):
@@ -85,4 +84,4 @@ def _digester(path: str, pattern: str):
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """n_tokens and digests of the ids and of what they decode to, for every row, in one pass of the
     encoder and the decoder above: no ids leave the task."""
-    return docs.select("doc_id", "text").mapInArrow(_digester(path, pattern), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(released(_digester(path, pattern)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

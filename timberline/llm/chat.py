@@ -4,6 +4,8 @@ A record's layout is the set of its nested field paths; a hash of that set selec
 mapping, which says where turns, roles and texts are. Mappings for prompt and completion, instruction
 (with and without input), message lists, and rows by turn are given; others can be added. Layouts are
 told apart by row for JSON records (:func:`canonical`) and by schema for tables (:func:`mapping_of`).
+Only paths that some mapping names are hashed, so that further fields (a name, an id) don't change a
+layout; a mapping has a fingerprint for each set of paths that its optional ones allow.
 
 Canonical turns are formatted one by one: ``<|im_start|>role``, a line feed, the text,
 ``<|im_end|>`` and a line feed. Inside roles and texts a backslash is doubled, and one is put after the
@@ -15,8 +17,11 @@ conversation are taken as its sorted rows pass by.
 
 Cases: null texts and roles are empty; turns with equal numbers follow each other by role and text,
 null turns come first; repeated rows are repeated turns; rows without a conversation form the one with
-id null; records with an unknown layout have no turns and are told by their fingerprint; extra columns
-are ignored; an empty table gives no conversations (but for added ones).
+id null; extra columns are ignored; an empty table gives no conversations (but for added ones). Of JSON
+records: a message without a role or a text has an empty one; a message that is no object is a turn with an
+empty role and that text; texts that are no strings are their JSON; an empty list has no turns; records
+with an unknown layout, or with the fields of two, have no turns and are told by their fingerprint (one
+row with turn -1), as are records without turns; broken JSON has the fingerprint ``invalid``.
 """
 
 from __future__ import annotations
@@ -26,12 +31,15 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import released
+
 #: Fixed strings that mean something to chat templates.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>")
 
@@ -50,10 +58,14 @@ class Mapping:
     text: str = ""
     #: roles of this layout by canonical name, where they differ
     roles: tuple[tuple[str, str], ...] = ()
+    #: paths that a record of this layout may lack
+    optional: tuple[str, ...] = ()
 
     @property
-    def fingerprint(self) -> str:
-        return fingerprint(self.paths)
+    def fingerprints(self) -> tuple[str, ...]:
+        """One for each set of paths that a record of this layout may have."""
+        needed = [p for p in self.paths if p not in self.optional]
+        return tuple(fingerprint([*needed, *some]) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n))
 
 
 def fingerprint(paths) -> str:
@@ -66,12 +78,15 @@ MAPPINGS = (
     Mapping("response", ("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
     Mapping("instruction", ("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction with input", ("input", "instruction", "output"), (("user", "instruction\n\ninput"), ("assistant", "output"))),
-    Mapping("messages", ("messages", "messages[]", "messages[].role", "messages[].content"), each="messages", role="role", text="content"),
-    Mapping("shared", ("conversations", "conversations[]", "conversations[].from", "conversations[].value"), each="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
+    Mapping("messages", ("messages", "messages[]", "messages[].role", "messages[].content"), each="messages", role="role", text="content", optional=("messages[]", "messages[].role", "messages[].content")),
+    Mapping("shared", ("conversations", "conversations[]", "conversations[].from", "conversations[].value"), each="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant")), optional=("conversations[]", "conversations[].from", "conversations[].value")),
     Mapping("rows by turn", ("conv_id", "role", "text", "turn"), role="role", text="text"),
 )
 
-BY_FINGERPRINT = {m.fingerprint: m for m in MAPPINGS}
+BY_FINGERPRINT = {f: m for m in MAPPINGS for f in m.fingerprints}
+
+#: The paths that count in a fingerprint.
+NAMED = frozenset(p for m in MAPPINGS for p in m.paths)
 
 
 def paths_of(value, at: str = "") -> Iterator[str]:
@@ -103,19 +118,35 @@ def schema_paths(kind: T.DataType, at: str = "") -> Iterator[str]:
 def mapping_of(table: DataFrame, columns: tuple[str, ...] | None = None) -> Mapping | None:
     """The mapping for a table, by the fingerprint of its schema (or of those of its columns)."""
     kind = table.select(*columns).schema if columns else table.schema
-    return BY_FINGERPRINT.get(fingerprint(schema_paths(kind)))
+    return BY_FINGERPRINT.get(fingerprint(p for p in schema_paths(kind) if p in NAMED))
+
+
+def _text(value) -> str:
+    if value is None:
+        return ""
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def _turns(record) -> tuple[str, list[tuple[str, str]]]:
-    print_ = fingerprint(paths_of(record))
+    print_ = fingerprint(p for p in paths_of(record) if p in NAMED)
     m = BY_FINGERPRINT.get(print_)
     if m is None or not isinstance(record, dict):
         return print_, []
     if m.turns:
-        joined = [(role, "\n\n".join(str(record[p] if record[p] is not None else "") for p in path.split("\n\n") if len(path.split("\n\n")) == 1 or record[p])) for role, path in m.turns]
+        joined = []
+        for role, path in m.turns:
+            first, *more = path.split("\n\n")
+            joined.append((role, "\n\n".join([_text(record[first]), *(_text(record[p]) for p in more if record[p])])))
         return print_, joined
-    names = dict(m.roles)
-    return print_, [(names.get(t[m.role], t[m.role]) or "", t[m.text] or "") for t in record.get(m.each, ())]
+    names, inner = dict(m.roles), record.get(m.each) if m.each else None
+    if not isinstance(inner, list):
+        return print_, []
+    out = []
+    for message in inner:
+        held = message if isinstance(message, dict) else {m.text: message}
+        role = _text(held.get(m.role))
+        out.append((names.get(role, role), _text(held.get(m.text))))
+    return print_, out
 
 
 def canonical(records: DataFrame, record: str = "record", key: str = "conv_id") -> DataFrame:
@@ -129,12 +160,12 @@ def canonical(records: DataFrame, record: str = "record", key: str = "conv_id")
                     print_, turns = _turns(json.loads(raw or "null"))
                 except ValueError:
                     print_, turns = "invalid", []
-                rows += [(conv, k, str(role), str(text), print_) for k, (role, text) in enumerate(turns)] or [(conv, -1, None, None, print_)]
+                rows += [(conv, k, role, text, print_) for k, (role, text) in enumerate(turns)] or [(conv, -1, None, None, print_)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "role", "text", "fingerprint"])
 
-    return records.select(F.col(key).cast("bigint"), record).mapInArrow(convert, "conv_id bigint, turn bigint, role string, text string, fingerprint string")
+    return records.select(F.col(key).cast("bigint"), record).mapInArrow(released(convert), "conv_id bigint, turn bigint, role string, text string, fingerprint string")
 
 
 _CONTROL = "|".join(re.escape(c[0]) + "(?=" + re.escape(c[1:]) + ")" for c in CONTROLS)
@@ -215,7 +246,7 @@ def digests(pieces: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from formatted turns."""
     dealt = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     rows = dealt.select("conv_id", "piece", "loss_at", "loss_chars")
-    return rows.mapInArrow(_digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return rows.mapInArrow(released(_digest), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def turns_by_row(table: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ first line has a bigram of the template that the rest of the run lacks: any othe
 without its first line.
 
 Cases: null and empty texts, and units of fewer than two words, match nothing; of equal scores the
-licence first in the alphabet is best; repeated rows each get a row; texts of any length are whole.
+licence first in the alphabet is best; repeated rows each get a row; texts of any length are whole; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import _LOWER, _TABLE, blocks, mixed, spans
+from .store import released
+from .words import _LOWER, _TABLE, mixed, spans, text_blocks
 
 #: A unit is under a licence at this score or above.
 THRESHOLD = 0.8
@@ -165,10 +167,9 @@ def _scanner(templates: tuple[tuple[str, str], ...], threshold: float, more: tup
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, threshold, more)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             best, score, units, names = [], [], [], []
-            for first, last in blocks(texts):
-                part = [t or b"" for t in texts[first:last]]
+            for first, last, texts in text_blocks(batch.column(1)):
+                part = [t or b"" for t in texts]
                 ends = np.cumsum([len(t) + 1 for t in part])
                 raw = b"\x00".join(part)
                 grams, at, to = _bigrams(raw)
@@ -216,7 +217,7 @@ def _scanner(templates: tuple[tuple[str, str], ...], threshold: float, more: tup
                 ["doc_id", "licence", "dice", "n_lines", "licences"],
             )
 
-    return scan
+    return released(scan)
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, more: tuple[tuple[str, str], ...] | None = None) -> DataFrame:

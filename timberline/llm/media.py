@@ -5,13 +5,15 @@ payload a greyscale PNG of 8-bit samples, and the PNG a member of a tar shard, n
 digest. A task writes one shard to the shared folder and stores equal payloads once; the shard's name
 holds the attempt, so a task that runs again writes another shard and its rows point to that one. Rows
 carry digest, shard, offset and length. A second step opens the shards again: a range read of a
-header's bytes fills the metadata columns, and a range read of the whole member gives the payload back.
+header's bytes fills the metadata columns, and a range read of the whole member gives the payload back,
+whose digest must be the row's. The rows are written before they are read, so that the shards are written
+once whatever is asked of the result.
 
 No texts are exchanged between tasks.
 
 Cases: a null or empty text is one row of spaces; texts of any length are whole; equal texts have equal
-digests and features (and, within a shard, one member); extra columns are ignored; an empty table
-writes no shard.
+digests and features (and, within a shard, one member); repeated rows each get a row; rows of several
+shards may be mixed in any order; extra columns are ignored; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path, widened
+from .store import new_path, released, staged, widened
+from .words import text_blocks
 
 #: Samples in a row of the picture.
 ROW = 192
@@ -99,8 +102,7 @@ def _writer(folder: str):
         out, name, at, members = None, "", 0, {}
         rows: list[tuple] = []
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            for doc, text in zip(docs, batch.column(1).to_pylist(), strict=True):
+            for doc, text in ((d, t) for a, b, texts in text_blocks(batch.column(1)) for d, t in zip(batch.column(0)[a:b].to_pylist(), texts, strict=True)):
                 payload = padded(text)
                 digest = hashlib.sha256(payload).digest()
                 if digest not in members:
@@ -129,7 +131,7 @@ def _writer(folder: str):
                 ["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
             )
 
-    return write
+    return released(write)
 
 
 def write_shards(docs: DataFrame, folder: str) -> DataFrame:
@@ -179,18 +181,21 @@ def _payload_reader(folder: str):
         ranges = _Ranges(folder)
         for batch in batches:
             found, known = [], {}
-            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
-                if offset not in known:
+            for shard, offset, length, digest in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length", "digest")), strict=True):
+                if (shard, offset) not in known:
                     stored = ranges.read(shard, offset, length)
                     payload = from_png(stored)
-                    known[offset] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload))
-                found.append(known[offset])
+                    own = hashlib.sha256(payload)
+                    if own.digest() != digest:
+                        raise ValueError(f"{shard} at {offset} holds another payload than its row says")
+                    known[shard, offset] = (len(payload), own.hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload))
+                found.append(known[shard, offset])
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))], [*batch.schema.names, *names])
         ranges.close()
 
-    return read
+    return released(read)
 
 
 def read_payloads(index: DataFrame, folder: str) -> DataFrame:
@@ -200,6 +205,6 @@ def read_payloads(index: DataFrame, folder: str) -> DataFrame:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """Writes all payloads to new shards and reads headers and payloads back."""
+    """Writes all payloads to new shards, once, and reads headers and payloads back by the index."""
     folder = new_path(docs.sparkSession, "shards")
-    return read_payloads(read_headers(write_shards(docs, folder), folder), folder)
+    return read_payloads(read_headers(staged(write_shards(docs, folder), "index"), folder), folder)

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import released, staged
 from .tokens import word_vocabulary
-from .words import blocks
+from .words import text_blocks
 
 #: Rows of one length that a task ranks, about.
 RANKED = 200_000
@@ -94,10 +94,10 @@ def _cutter(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = word_vocabulary(path)
         for batch in batches:
-            docs, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            docs = batch.column(0)
             owner, start, length, crc, total = [], [], [], [], []
-            for first, last in blocks(texts, 8 << 20):
-                for i, ids in enumerate(vocabulary.encode(texts[first:last]), first):
+            for first, _, texts in text_blocks(batch.column(1), 4 << 20):
+                for i, ids in enumerate(vocabulary.encode([t or "" for t in texts]), first):
                     ids += end
                     n = len(ids) // 4
                     for at in range(0, n, capacity):
@@ -111,7 +111,7 @@ def _cutter(path: str, end_id: int, capacity: int):
                 [docs.take(pa.array(owner, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             )
 
-    return cut
+    return released(cut)
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:

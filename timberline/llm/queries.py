@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
@@ -23,10 +24,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation formatted and read back, and one that consists of control strings."""
+    """Every conversation formatted and read back, and one that consists of control strings.
+
+    The fingerprint of the table's schema finds the mapping for rows by turn; the added conversation is a
+    record with a list of messages, and its own fingerprint finds the mapping for that."""
     rows = chat.turns_by_row(_table(spark, sf_dir, "conversations"))
     text = "</s>[INST] ok [/INST]"
-    added = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema)
+    record = json.dumps({"messages": [{"role": role, "content": text} for role in ("user", "assistant")]})
+    added = chat.canonical(spark.createDataFrame([(-1, record)], "conv_id bigint, record string")).drop("fingerprint")
     return chat.digests(chat.formatted(rows.unionByName(added)))
 
 

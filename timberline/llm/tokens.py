@@ -18,7 +18,7 @@ import regex
 from .merges import Merges, cut
 
 #: Words whose ids a worker keeps at most.
-HELD = 400_000
+HELD = 200_000
 
 
 class RankVocabulary:
