@@ -1,18 +1,23 @@
 """Long repeated passages by a compacted de Bruijn graph of words.
 
-The edges of the graph are the windows of ``window`` consecutive words. An edge belongs to the node
-named by its minimizer, the half-window k-mer with the smallest hash in it, and consecutive edges of a
-document with the same minimizer form one piece of a path. Equal windows have equal minimizers, so:
+The edges of the graph are the windows of ``window`` consecutive words (k-mers); an edge leads from its first
+``window`` - 1 words to its last ones. The graph is built in parts, as is usual for graphs that no machine
+holds: consecutive edges of a document that have the same minimizer (the smallest hash of ``GRAM`` words
+inside) form a piece, and pieces meet in the part of their minimizer. Equal windows have equal minimizers, so:
 
-* a node that occurs once in the corpus has no repeated edge;
-* a node whose pieces all have equal content does not branch: its edges are repeated as a whole, and
-  the piece stands for all of them (the compaction);
-* only where paths branch, pieces with the same node differ; their single edges are then compared, by
-  128-bit hashes, each with its source coordinates (document, place).
+* a minimizer that occurs once in the corpus has no repeated edge;
+* one whose pieces all have equal content doesn't branch inside: its edges are repeated as a whole;
+* only where pieces with one minimizer differ, their single edges are compared.
 
-A task tells the others about each of its nodes, and later of its single edges, once, however often
-it holds them, so no group holds more records than there are tasks. Joins on the document bring the
-verdicts back to the words.
+Repeated pieces are then compacted across parts through joins: a table of successors and predecessors tells
+which piece always follows which, and pointer doubling along these nonbranching links names each path by its
+first piece. What a path stands for is verified at its source coordinates (document, place): every
+occurrence reads its words again and digests them, and only spans whose words occur twice or more count.
+Single edges of branching pieces are verified in the same way.
+
+A task tells the others about each of its minimizers, and later of its spans, once, however often it holds
+them, so no group holds more records than there are tasks. Joins on the document bring the verdicts back to
+the words.
 
 Cases: null and empty texts have no words; texts shorter than a window lose nothing; rows that repeat
 a document (same id and text) share their verdicts and each get a row; rows with one id and several
@@ -29,17 +34,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bucket_count, staged
-from .words import blocks, bounds, hashed_texts, mixed, spans
+from .store import bucket_count, released, staged
+from .words import bounds, hashed_texts, mixed, spans, text_blocks
+
+#: Words of a minimizer, at most half a window.
+GRAM = 10
 
 #: Verdicts on a piece: all its edges are repeated; its edges must be compared one by one.
 SOLID, OPEN = 1, 2
 
 #: Records that a task holds before it deals them out.
-HELD = 1_000_000
+HELD = 400_000
 
 _PIECE = np.dtype([("node", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("version", "<i4"), ("start", "<i4"), ("edges", "u1"), ("n", "u1"), ("kind", "u1")])
-_EDGE = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("version", "<i4"), ("start", "<i4"), ("n", "u1")])
+_JUDGED = np.dtype([("content", "<i8"), ("start", "<i4"), ("edges", "u1"), ("kind", "u1")])
+#: A span of edges, by the digest of its words.
+_SPAN = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("version", "<i4"), ("start", "<i4"), ("edges", "<i4"), ("n", "u1")])
+_MARK = np.dtype([("start", "<i4"), ("edges", "<i4")])
 #: ``n`` of a record that only tells that something branches, or repeats, in its task.
 BEACON = 9
 
@@ -58,7 +69,7 @@ def _minimizers(hashed: np.ndarray, width: int) -> np.ndarray:
 
 def _pieces(found: np.ndarray, at: np.ndarray, docs: np.ndarray, versions: np.ndarray, window: int) -> np.ndarray:
     """The pieces of all documents of a block: ``found`` are word hashes, ``at`` where documents start."""
-    half = window // 2 + 1
+    half = min(GRAM, window // 2 + 1)
     if len(found) < window:
         return np.zeros(0, _PIECE)
     starts = np.arange(len(found) - half + 1)
@@ -136,9 +147,8 @@ def _piece_dealer(window: int, buckets: int):
 
         for batch in batches:
             docs, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            texts = batch.column(2).to_pylist()
-            for first, last in blocks(texts):
-                found, at = hashed_texts(texts[first:last])
+            for first, last, texts in text_blocks(batch.column(2)):
+                found, at = hashed_texts(texts)
                 pieces = _pieces(found, at, docs[first:last], versions[first:last], window)
                 if len(pieces):
                     held.append(pieces)
@@ -149,25 +159,22 @@ def _piece_dealer(window: int, buckets: int):
         if held:
             yield from flushed()
 
-    return deal
+    return released(deal)
 
 
-def _marks(records: np.ndarray) -> pa.Table:
+def _packed(records: np.ndarray, kind: np.dtype) -> pa.Table:
     """One row for each document of a block of verdicts, with its records packed."""
     records = records[np.lexsort((records["start"], records["version"], records["doc"]))]
     first, _ = _runs(records["doc"], records["version"]) if len(records) else (np.zeros(0, int), None)
-    packed = np.empty(len(records), _MARK)
-    for name in _MARK.names:
-        packed[name] = records[name]
+    packed = np.empty(len(records), kind)
+    for name in kind.names:
+        packed[name] = records[name].view(kind[name]) if records[name].dtype.itemsize == kind[name].itemsize else records[name]
     parts = [p.tobytes() for p in np.split(packed, first[1:])] if len(records) else []
     return pa.table([pa.array(records["doc"][first]), pa.array(records["version"][first]), pa.array(parts, pa.binary())], ["doc_id", "version", "marks"])
 
 
-_MARK = np.dtype([("start", "<i4"), ("edges", "u1"), ("kind", "u1")])
-
-
 def _judged(table: pa.Table) -> pa.Table:
-    """Verdicts on the pieces of a bucket of nodes."""
+    """Verdicts on the pieces of a bucket of minimizers."""
     records = np.frombuffer(b"".join(table.column("block").to_pylist()), _PIECE)
     given = records[(records["kind"] > 0)]
     open_ = records[records["kind"] == 0]
@@ -188,57 +195,138 @@ def _judged(table: pa.Table) -> pa.Table:
         open_ = open_.copy()
         open_["kind"] = kind
         given = np.concatenate([given, open_[kind > 0]])
-    return _marks(given)
+    return _packed(given, _JUDGED)
+
+
+_PIECES_SQL = "doc_id bigint, version int, start int, edges int, kind int, content bigint, before bigint, after bigint"
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, version, verdicts): one row for each piece, with the repeated pieces that stand right before and after it."""
+    for batch in batches:
+        lists = batch.column(2)
+        parts = lists.flatten().to_pylist()
+        owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        records = np.frombuffer(b"".join(parts), _JUDGED)
+        of = np.repeat(owner, [len(p) // _JUDGED.itemsize for p in parts])
+        by = np.lexsort((records["start"], of))
+        records, of = records[by], of[by]
+        first, _ = _runs(of, records["start"]) if len(of) else (np.zeros(0, int), None)  # repeated rows have equal pieces
+        kind = np.bitwise_or.reduceat(records["kind"], first) if len(of) else np.zeros(0, np.uint8)
+        records, of = records[first], of[first]
+        start, edges, content = records["start"], records["edges"].astype(np.int32), records["content"]
+        solid = kind & SOLID > 0
+        linked = solid[:-1] & solid[1:] & (of[1:] == of[:-1]) & (start[:-1] + edges[:-1] == start[1:]) if len(of) else np.zeros(0, bool)
+        alone = np.ones(1, bool)[: len(of)]
+        after = pa.array(np.concatenate([content[1:], content[:1]]), mask=np.concatenate([~linked, alone]))
+        before = pa.array(np.concatenate([content[-1:], content[:-1]]), mask=np.concatenate([alone, ~linked]))
+        where = pa.array(of)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(where), batch.column(1).take(where), pa.array(start), pa.array(edges), pa.array(kind.astype(np.int32)), pa.array(content), before, after],
+            ["doc_id", "version", "start", "edges", "kind", "content", "before", "after"],
+        )
+
+
+def links(pieces: DataFrame) -> DataFrame:
+    """(node, to) for repeated pieces ``node`` that always follow ``to``, which is always followed by them."""
+    solid = pieces.where(F.col("kind").bitwiseAND(SOLID) > 0)
+    # one row for each content, with its only successor and its only predecessor, if it has one
+    only = [F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c) for c in ("before", "after")]
+    table = staged(solid.groupBy("content").agg(*only), "successors")
+    ahead = table.where("after is not null").select(F.col("content").alias("to"), F.col("after").alias("node"))
+    back = table.where("before is not null").select(F.col("content").alias("node"), F.col("before").alias("to"))
+    return back.join(ahead, ["node", "to"])
+
+
+def compacted(link: DataFrame, rounds: int = 64) -> DataFrame:
+    """(node, path): the first piece of each nonbranching path, for all pieces of it but the first.
+
+    A path's links are halved in each round, by a join of the pointers with themselves. Links never close a
+    circle: every document has a first and a last piece, which ends a path."""
+    follows = link.select(F.col("node").alias("to"), F.lit(True).alias("more"))
+    held = staged(link.join(follows, "to", "left").select("node", "to", F.col("more").isNull().alias("done")), "pointers")
+    for _ in range(rounds):
+        waiting = held.where("not done")
+        if waiting.isEmpty():
+            return held.select("node", F.col("to").alias("path"))
+        onward = held.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("done").alias("end"))
+        jumped = waiting.join(onward, "to").select("node", F.col("next").alias("to"), F.col("end").alias("done"))
+        held = staged(held.where("done").unionByName(jumped), "pointers")
+    raise RuntimeError(f"paths are not compact after {rounds} rounds")
+
+
+def _spans(start: np.ndarray, edges: np.ndarray, kind: np.ndarray, path: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and edges of a document's occurrences of paths, and of its single edges that must be compared."""
+    by = np.argsort(start)
+    start, edges, kind, path, content = start[by], edges[by], kind[by], path[by], content[by]
+    open_ = kind & OPEN > 0
+    single = [np.arange(s, s + n) for s, n in zip(start[open_], edges[open_], strict=True)]
+    solid = kind & SOLID > 0
+    start, edges, path, content = start[solid], edges[solid], path[solid], content[solid]
+    if len(start):
+        new = content == path  # a path's first piece begins an occurrence
+        new[0] = True
+        new[1:] |= (path[1:] != path[:-1]) | (start[1:] != start[:-1] + edges[:-1])
+        first = np.flatnonzero(new)
+        start, edges = start[first], np.add.reduceat(edges, first)
+    single = np.concatenate([np.zeros(0, int), *single])
+    return np.concatenate([start, single]).astype(np.int64), np.concatenate([edges, np.ones(len(single), int)]).astype(np.int64)
+
+
+def _digests(words: list[bytes], start: np.ndarray, edges: np.ndarray, window: int) -> np.ndarray:
+    """Spans with the digests of their words."""
+    out = np.empty(len(start), _SPAN)
+    made = [hashlib.blake2b(b" ".join(words[s : s + n + window - 1]), digest_size=16).digest() for s, n in zip(start.tolist(), edges.tolist(), strict=True)]
+    both = np.frombuffer(b"".join(made), "<u8").reshape(-1, 2)
+    out["one"], out["two"], out["start"], out["edges"], out["n"] = both[:, 0], both[:, 1], start, edges, 1
+    return out
 
 
-def _edge_dealer(window: int, buckets: int, text: bool):
-    """Finishes the documents without open pieces; deals the edges of open pieces of the others."""
+def _reader(window: int, buckets: int, text: bool):
+    """Finishes the documents without repeated pieces; deals the spans of the others, digested."""
 
-    def here(edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = edges[np.lexsort((edges["start"], edges["doc"], edges["two"], edges["one"]))]
-        first, of = _runs(edges["one"], edges["two"])
-        size = np.diff(np.concatenate([first, [len(edges)]]))
-        sent = edges[first].copy()
+    def here(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held = held[np.lexsort((held["start"], held["doc"], held["two"], held["one"]))]
+        first, of = _runs(held["one"], held["two"])
+        size = np.diff(np.concatenate([first, [len(held)]]))
+        sent = held[first].copy()
         sent["n"] = np.where(size > 1, BEACON, 1)
         place, parts = _dealt(sent, ((sent["one"] >> np.uint64(13)) & np.uint64(buckets - 1)).astype(np.int32))
         yield _row(bucket=place, block=parts)
-        done = edges[size[of] > 1]
+        done = held[size[of] > 1]
         if len(done):
-            yield _row(**{k: v.to_pylist() for k, v in zip(("doc_id", "version", "marks"), _edge_marks(done).columns, strict=True)})
+            yield _row(**{k: v.to_pylist() for k, v in zip(("doc_id", "version", "marks"), _packed(done, _MARK).columns, strict=True)})
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            docs, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            texts, marks = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for first, last in blocks(texts):
+            docs, versions, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
+            fields = lists.flatten()
+            values = [np.asarray(fields.field(k)) for k in range(5)]
+            at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
+            for first, last, texts in text_blocks(batch.column(2)):
                 ready, waiting = [], []
-                for i in range(first, last):
-                    mark = np.frombuffer(b"".join(marks[i] or ()), _MARK)
-                    open_ = mark[mark["kind"] & OPEN > 0]
-                    if not len(open_):
-                        ready.append((i, mark))
+                for i, raw in enumerate(texts, first):
+                    if at[i] == at[i + 1]:
+                        ready.append(i)
                         continue
-                    waiting.append((i, mark))
-                    found, _ = hashed_texts([texts[i]])
-                    start = np.concatenate([np.arange(s, s + n) for s, n in zip(open_["start"], open_["edges"], strict=True)])
-                    edges = np.empty(len(start), _EDGE)
-                    edges["one"], edges["two"] = (spans(found, start, start + window, lane) for lane in (0, 1))
-                    edges["doc"], edges["version"], edges["start"], edges["n"] = docs[i], versions[i], start, 1
-                    held.append(edges)
-                    rows += len(edges)
+                    waiting.append(i)
+                    found = _digests((raw or b"").split(), *_spans(*(v[at[i] : at[i + 1]] for v in values)), window)
+                    found["doc"], found["version"] = docs[i], versions[i]
+                    held.append(found)
+                    rows += len(found)
                 if ready:
-                    made = [_cut(texts[i], mark, window, text) for i, mark in ready]
-                    yield _row(doc_id=docs[[i for i, _ in ready]], version=versions[[i for i, _ in ready]], **dict(zip(("n_words", "n_removed", "kept_sha256", "kept"), zip(*made, strict=True), strict=True)))
+                    made = [_cut(texts[i - first], None, window, text) for i in ready]
+                    yield _row(doc_id=docs[ready], version=versions[ready], **dict(zip(("n_words", "n_removed", "kept_sha256", "kept"), zip(*made, strict=True), strict=True)))
                 if waiting:
-                    yield _row(doc_id=docs[[i for i, _ in waiting]], version=versions[[i for i, _ in waiting]], text=[texts[i] or b"" for i, _ in waiting], marks=[m[m["kind"] & SOLID > 0].tobytes() for _, m in waiting])
+                    yield _row(doc_id=docs[waiting], version=versions[waiting], text=[texts[i - first] or b"" for i in waiting])
                 if rows >= HELD:
                     yield from here(np.concatenate(held))
                     held, rows = [], 0
         if held:
             yield from here(np.concatenate(held))
 
-    return deal
+    return released(read)
 
 
 _STAGE = pa.schema([("bucket", pa.int32()), ("block", pa.binary()), ("doc_id", pa.int64()), ("version", pa.int32()), ("text", pa.binary()), ("marks", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
@@ -250,53 +338,50 @@ def _row(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _STAGE], schema=_STAGE)
 
 
-def _edge_marks(edges: np.ndarray) -> pa.Table:
-    records = np.empty(len(edges), [("doc", "<i8"), ("version", "<i4"), ("start", "<i4"), ("edges", "u1"), ("kind", "u1")])
-    for name in ("doc", "version", "start"):
-        records[name] = edges[name]
-    records["edges"], records["kind"] = 1, SOLID
-    return _marks(records)
-
-
 def _compared(table: pa.Table) -> pa.Table:
-    """Marks for the edges of a bucket that occur in more than one place."""
-    edges = np.frombuffer(b"".join(table.column("block").to_pylist()), _EDGE)
-    edges = edges[np.lexsort((edges["start"], edges["doc"], edges["two"], edges["one"]))]
-    first, of = _runs(edges["one"], edges["two"])
-    many = np.add.reduceat(edges["n"].astype(np.int64), first)[of] > 1
-    return _edge_marks(edges[many & (edges["n"] == 1)])
-
-
-def _cut(text: bytes | None, marks: np.ndarray, window: int, with_text: bool) -> tuple[int, int, str, str | None]:
-    """n_words, n_removed, digest of the kept words joined by one space, and those, if asked for."""
-    if not len(marks):
-        words = (text or b"").split()
-        n, removed, kept = len(words), 0, b" ".join(words)
-    else:
-        buf = np.frombuffer(text, np.uint8)
-        starts, ends = bounds(buf)
-        n = len(starts)
-        change = np.zeros(n + 1, np.int64)
-        np.add.at(change, marks["start"], 1)
-        np.add.at(change, marks["start"].astype(np.int64) + marks["edges"] + window - 1, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        removed = int(gone.sum())
-        kept = b" ".join([text[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)])
-    return n, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None
+    """Marks for the spans of a bucket whose words occur in more than one place."""
+    held = np.frombuffer(b"".join(table.column("block").to_pylist()), _SPAN)
+    held = held[np.lexsort((held["start"], held["doc"], held["two"], held["one"]))]
+    first, of = _runs(held["one"], held["two"])
+    many = np.add.reduceat(held["n"].astype(np.int64), first)[of] > 1
+    return _packed(held[many & (held["n"] == 1)], _MARK)
+
+
+def _cut(text: bytes | None, marks: np.ndarray | None, window: int, with_text: bool) -> tuple[int, int, str, str | None]:
+    """n_words, n_removed, digest of the kept words joined by one space; and, if asked for, the text: as it was
+    where nothing goes, else the runs of kept words as they stand, joined by one space."""
+    text = text or b""
+    if marks is None or not len(marks):
+        words = text.split()
+        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), text.decode() if with_text else None
+    starts, ends = bounds(np.frombuffer(text, np.uint8))
+    n = len(starts)
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, marks["start"], 1)
+    np.add.at(change, marks["start"].astype(np.int64) + marks["edges"] + window - 1, -1)
+    stays = np.cumsum(change[:-1]) <= 0
+    kept = b" ".join([text[s:e] for s, e in zip(starts[stays].tolist(), ends[stays].tolist(), strict=True)])
+    left = None
+    if with_text:
+        edge = np.diff(np.concatenate([[0], stays.view(np.int8), [0]]))
+        runs = zip(starts[np.flatnonzero(edge[:-1] == 1)].tolist(), ends[np.flatnonzero(edge[1:] == -1)].tolist(), strict=True)
+        left = b" ".join([text[s:e] for s, e in runs]).decode()
+    return n, int(n - stays.sum()), hashlib.sha256(kept).hexdigest(), left
 
 
 def _finisher(window: int, text: bool):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, solid, more = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            made = [_cut(t, np.frombuffer((s or b"") + b"".join(m or ()), _MARK), window, text) for t, s, m in zip(texts, solid, more, strict=True)]
-            n, removed, digest, kept = zip(*made, strict=True) if made else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
-                ["doc_id", "version", "n_words", "n_removed", "kept_sha256", "kept"],
-            )
+            for first, last, texts in text_blocks(batch.column(2)):
+                more = batch.column(3).slice(first, last - first).to_pylist()
+                made = [_cut(t, np.frombuffer(b"".join(m or ()), _MARK), window, text) for t, m in zip(texts, more, strict=True)]
+                n, removed, digest, kept = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:last], batch.column(1)[first:last], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
+                    ["doc_id", "version", "n_words", "n_removed", "kept_sha256", "kept"],
+                )
 
-    return finish
+    return released(finish)
 
 
 def version(text: str = "text") -> Column:
@@ -306,17 +391,21 @@ def version(text: str = "text") -> Column:
 
 def mark(docs: DataFrame, window: int = 35, text: bool = False) -> DataFrame:
     """doc_id, version, n_words, n_removed, kept_sha256 and, if asked for, the kept text, for every row."""
+    key, verdicts = ["doc_id", "version"], "doc_id bigint, version int, marks binary"
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id"), version().alias("version"), F.col("text").cast("binary").alias("text"))
     buckets = bucket_count(docs)
     dealt = rows.mapInArrow(_piece_dealer(window, buckets), "bucket int, block binary")
-    marks = dealt.groupBy("bucket").applyInArrow(_judged, "doc_id bigint, version int, marks binary")
-    by_doc = marks.groupBy("doc_id", "version").agg(F.collect_set("marks").alias("marks"))
-    stage = staged(rows.join(by_doc, ["doc_id", "version"], "left").mapInArrow(_edge_dealer(window, buckets, text), _STAGE_SQL), "pieces")
-    compared = stage.where("block is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_compared, "doc_id bigint, version int, marks binary")
-    here = stage.where("block is null and text is null and n_words is null").select("doc_id", "version", "marks")
-    more = compared.unionByName(here).groupBy("doc_id", "version").agg(F.collect_set("marks").alias("more"))
-    waiting = stage.where("text is not null").select("doc_id", "version", "text", "marks").join(more, ["doc_id", "version"], "left")
+    judged = dealt.groupBy("bucket").applyInArrow(_judged, verdicts).groupBy(*key).agg(F.collect_list("marks").alias("marks"))
+    pieces = staged(judged.mapInArrow(released(_in_order), _PIECES_SQL), "pieces")
+    paths = compacted(staged(links(pieces), "links"))
+    named = pieces.join(paths, F.col("content") == F.col("node"), "left").withColumn("path", F.coalesce("path", "content"))
+    by_doc = named.groupBy(*key).agg(F.collect_list(F.struct("start", "edges", "kind", "path", "content")).alias("pieces"))
+    stage = staged(rows.join(by_doc, key, "left").select(*key, "text", "pieces").mapInArrow(_reader(window, buckets, text), _STAGE_SQL), "spans")
+    compared = stage.where("block is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_compared, verdicts)
+    here = stage.where("marks is not null").select(*key, "marks")
+    more = compared.unionByName(here).groupBy(*key).agg(F.collect_list("marks").alias("more"))
+    waiting = stage.where("text is not null").select(*key, "text").join(more, key, "left")
     finished = waiting.mapInArrow(_finisher(window, text), "doc_id bigint, version int, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
-    ready = stage.where("n_words is not null").select("doc_id", "version", "n_words", "n_removed", "kept_sha256", "kept")
+    ready = stage.where("n_words is not null").select(*key, "n_words", "n_removed", "kept_sha256", "kept")
     out = ready.unionByName(finished)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 62), F.col("doc_id")))
