@@ -20,24 +20,24 @@ def pieces(spark, docs):
 def test_paths_end_where_documents_part(spark):
     # 1 2 3 4 always stand together; 5 follows 4 in one document and 6 in the other; 7 repeats itself
     table = pieces(spark, [[1, 2, 3, 4, 5], [9, 1, 2, 3, 4, 6], [7, 7, 7, 8]])
-    got = {r.node: r.path for r in substring.compacted(substring.links(table)).collect()}
+    got = {r.node: r.path for r in substring.compacted(substring.links(substring.successors(table))).collect()}
     assert got == {2: 1, 3: 1, 4: 1}
+    spans = sorted((r.doc_id, r.start, r.edges) for r in substring.occurrences(table).collect())
+    assert spans == [(0, 0, 4), (0, 4, 1), (1, 0, 1), (1, 1, 4), (1, 5, 1), (2, 0, 1), (2, 1, 1), (2, 2, 1), (2, 3, 1)]
 
 
 def test_long_paths(spark):
     chain = list(range(100, 400))
-    got = {r.node: r.path for r in substring.compacted(substring.links(pieces(spark, [chain, chain]))).collect()}
+    got = {r.node: r.path for r in substring.compacted(substring.links(substring.successors(pieces(spark, [chain, chain])))).collect()}
     assert got == {c: 100 for c in chain[1:]}
     with pytest.raises(RuntimeError, match="not compact"):
-        substring.compacted(substring.links(pieces(spark, [chain])), rounds=2)
+        substring.compacted(substring.links(substring.successors(pieces(spark, [chain]))), rounds=2)
 
 
-def test_occurrences_of_a_path(spark):
-    # the path 1 2, twice in a row, a gap, and a branching piece of two edges
-    start, edges = np.array([0, 3, 5, 8, 20, 22]), np.array([3, 2, 3, 2, 2, 2])
-    content, path, kind = np.array([1, 2, 1, 2, 1, 4]), np.array([1, 1, 1, 1, 1, 4]), np.array([1, 1, 1, 1, 1, 2])
-    s, n = substring._spans(start, edges, kind, path, content)
-    assert list(zip(s.tolist(), n.tolist())) == [(0, 5), (5, 5), (20, 2), (22, 1), (23, 1)]
+def test_spans_of_a_document():
+    # a path of five edges, and a branching piece of two
+    s, n = substring._spans(np.array([0, 22]), np.array([5, 2]), np.array([False, True]))
+    assert list(zip(s.tolist(), n.tolist())) == [(0, 5), (22, 1), (23, 1)]
 
 
 def test_equal_hashes_of_other_words_do_not_count():

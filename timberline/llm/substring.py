@@ -11,7 +11,8 @@ inside) form a piece, and pieces meet in the part of their minimizer. Equal wind
 
 Repeated pieces are then compacted across parts through joins: a table of successors and predecessors tells
 which piece always follows which, and pointer doubling along these nonbranching links names each path by its
-first piece. What a path stands for is verified at its source coordinates (document, place): every
+first piece and adds up its edges. Wherever the first piece occurs the whole path does, so that one row for
+each occurrence (document, place, edges) is left. These are verified at their source coordinates: every
 occurrence reads its words again and digests them, and only spans whose words occur twice or more count.
 Single edges of branching pieces are verified in the same way.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ GRAM = 10
 SOLID, OPEN = 1, 2
 
 #: Records that a task holds before it deals them out.
-HELD = 400_000
+HELD = 300_000
 
 _PIECE = np.dtype([("node", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("version", "<i4"), ("start", "<i4"), ("edges", "u1"), ("n", "u1"), ("kind", "u1")])
 _JUDGED = np.dtype([("content", "<i8"), ("start", "<i4"), ("edges", "u1"), ("kind", "u1")])
@@ -227,12 +229,15 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def links(pieces: DataFrame) -> DataFrame:
-    """(node, to) for repeated pieces ``node`` that always follow ``to``, which is always followed by them."""
+def successors(pieces: DataFrame) -> DataFrame:
+    """One row for each content of repeated pieces: its edges, and its only predecessor and successor if it has one."""
     solid = pieces.where(F.col("kind").bitwiseAND(SOLID) > 0)
-    # one row for each content, with its only successor and its only predecessor, if it has one
     only = [F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c) for c in ("before", "after")]
-    table = staged(solid.groupBy("content").agg(*only), "successors")
+    return solid.groupBy("content").agg(F.min("edges").alias("edges"), *only)
+
+
+def links(table: DataFrame) -> DataFrame:
+    """(node, to) of :func:`successors`: ``node`` always follows ``to``, which is always followed by it."""
     ahead = table.where("after is not null").select(F.col("content").alias("to"), F.col("after").alias("node"))
     back = table.where("before is not null").select(F.col("content").alias("node"), F.col("before").alias("to"))
     return back.join(ahead, ["node", "to"])
@@ -245,32 +250,30 @@ def compacted(link: DataFrame, rounds: int = 64) -> DataFrame:
     circle: every document has a first and a last piece, which ends a path."""
     follows = link.select(F.col("node").alias("to"), F.lit(True).alias("more"))
     held = staged(link.join(follows, "to", "left").select("node", "to", F.col("more").isNull().alias("done")), "pointers")
+    found = []
     for _ in range(rounds):
-        waiting = held.where("not done")
+        found.append(held.where("done").select("node", "to", "done"))
+        waiting = held.where("not done").select("node", "to", "done")
         if waiting.isEmpty():
-            return held.select("node", F.col("to").alias("path"))
-        onward = held.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("done").alias("end"))
-        jumped = waiting.join(onward, "to").select("node", F.col("next").alias("to"), F.col("end").alias("done"))
-        held = staged(held.where("done").unionByName(jumped), "pointers")
+            return reduce(DataFrame.unionByName, found).select("node", F.col("to").alias("path"))
+        onward = reduce(DataFrame.unionByName, [*found, waiting]).toDF("to", "next", "end")
+        held = staged(waiting.join(onward, "to").select("node", F.col("next").alias("to"), F.col("end").alias("done")), "pointers")
     raise RuntimeError(f"paths are not compact after {rounds} rounds")
 
 
-def _spans(start: np.ndarray, edges: np.ndarray, kind: np.ndarray, path: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and edges of a document's occurrences of paths, and of its single edges that must be compared."""
-    by = np.argsort(start)
-    start, edges, kind, path, content = start[by], edges[by], kind[by], path[by], content[by]
-    open_ = kind & OPEN > 0
-    single = [np.arange(s, s + n) for s, n in zip(start[open_], edges[open_], strict=True)]
-    solid = kind & SOLID > 0
-    start, edges, path, content = start[solid], edges[solid], path[solid], content[solid]
-    if len(start):
-        new = content == path  # a path's first piece begins an occurrence
-        new[0] = True
-        new[1:] |= (path[1:] != path[:-1]) | (start[1:] != start[:-1] + edges[:-1])
-        first = np.flatnonzero(new)
-        start, edges = start[first], np.add.reduceat(edges, first)
-    single = np.concatenate([np.zeros(0, int), *single])
-    return np.concatenate([start, single]).astype(np.int64), np.concatenate([edges, np.ones(len(single), int)]).astype(np.int64)
+def occurrences(pieces: DataFrame) -> DataFrame:
+    """(doc_id, version, start, edges) of all paths."""
+    table = staged(successors(pieces), "successors")
+    paths = compacted(staged(links(table), "links"))
+    whole = table.join(paths, F.col("content") == F.col("node"), "left").groupBy(F.coalesce("path", "content").alias("content")).agg(F.sum("edges").cast("int").alias("total"))
+    solid = pieces.where(F.col("kind").bitwiseAND(SOLID) > 0).select("doc_id", "version", "start", "content")
+    return solid.join(whole, "content").select("doc_id", "version", "start", F.col("total").alias("edges"))
+
+
+def _spans(start: np.ndarray, edges: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and edges of a document's paths, and of the single edges of its branching pieces."""
+    ones = np.concatenate([np.zeros(0, int), *(np.arange(s, s + n) for s, n in zip(start[single], edges[single], strict=True))])
+    return np.concatenate([start[~single], ones]).astype(np.int64), np.concatenate([edges[~single], np.ones(len(ones), int)]).astype(np.int64)
 
 
 def _digests(words: list[bytes], start: np.ndarray, edges: np.ndarray, window: int) -> np.ndarray:
@@ -302,7 +305,7 @@ def _reader(window: int, buckets: int, text: bool):
         for batch in batches:
             docs, versions, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
             fields = lists.flatten()
-            values = [np.asarray(fields.field(k)) for k in range(5)]
+            start, edges, single = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
             for first, last, texts in text_blocks(batch.column(2)):
                 ready, waiting = [], []
@@ -311,7 +314,8 @@ def _reader(window: int, buckets: int, text: bool):
                         ready.append(i)
                         continue
                     waiting.append(i)
-                    found = _digests((raw or b"").split(), *_spans(*(v[at[i] : at[i + 1]] for v in values)), window)
+                    own = slice(at[i], at[i + 1])
+                    found = _digests((raw or b"").split(), *_spans(start[own], edges[own], single[own]), window)
                     found["doc"], found["version"] = docs[i], versions[i]
                     held.append(found)
                     rows += len(found)
@@ -397,10 +401,10 @@ def mark(docs: DataFrame, window: int = 35, text: bool = False) -> DataFrame:
     dealt = rows.mapInArrow(_piece_dealer(window, buckets), "bucket int, block binary")
     judged = dealt.groupBy("bucket").applyInArrow(_judged, verdicts).groupBy(*key).agg(F.collect_list("marks").alias("marks"))
     pieces = staged(judged.mapInArrow(released(_in_order), _PIECES_SQL), "pieces")
-    paths = compacted(staged(links(pieces), "links"))
-    named = pieces.join(paths, F.col("content") == F.col("node"), "left").withColumn("path", F.coalesce("path", "content"))
-    by_doc = named.groupBy(*key).agg(F.collect_list(F.struct("start", "edges", "kind", "path", "content")).alias("pieces"))
-    stage = staged(rows.join(by_doc, key, "left").select(*key, "text", "pieces").mapInArrow(_reader(window, buckets, text), _STAGE_SQL), "spans")
+    open_ = pieces.where(F.col("kind").bitwiseAND(OPEN) > 0).select(*key, "start", "edges", F.lit(True).alias("single"))
+    spans_of = occurrences(pieces).withColumn("single", F.lit(False)).unionByName(open_)
+    by_doc = spans_of.groupBy(*key).agg(F.collect_list(F.struct("start", "edges", "single")).alias("spans"))
+    stage = staged(rows.join(by_doc, key, "left").select(*key, "text", "spans").mapInArrow(_reader(window, buckets, text), _STAGE_SQL), "spans")
     compared = stage.where("block is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_compared, verdicts)
     here = stage.where("marks is not null").select(*key, "marks")
     more = compared.unionByName(here).groupBy(*key).agg(F.collect_list("marks").alias("more"))
