@@ -267,7 +267,8 @@ def occurrences(pieces: DataFrame) -> DataFrame:
     paths = compacted(staged(links(table), "links"))
     whole = table.join(paths, F.col("content") == F.col("node"), "left").groupBy(F.coalesce("path", "content").alias("content")).agg(F.sum("edges").cast("int").alias("total"))
     solid = pieces.where(F.col("kind").bitwiseAND(SOLID) > 0).select("doc_id", "version", "start", "content")
-    return solid.join(whole, "content").select("doc_id", "version", "start", F.col("total").alias("edges"))
+    # both sides are dealt out anew, so that a very common passage can be split
+    return solid.join(staged(whole, "paths"), "content").select("doc_id", "version", "start", F.col("total").alias("edges"))
 
 
 def _spans(start: np.ndarray, edges: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
