@@ -69,6 +69,14 @@ def test_media(docs, empty):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), sha(full), zlib.crc32(full[-16:]))
         assert (r.width, r.height, r.bits) == (192, len(full) // 192, 8)
         assert r.digest.hex() == r.payload_sha256
+        stored = media.to_png(full)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), sha(stored))
+        values = list(full)
+        mean = sum(values) / len(values)
+        sd = (sum(v * v for v in values) / len(values) - mean * mean) ** 0.5
+        common = max(sorted(set(values)), key=values.count) if len(values) < 10_000 else None
+        if common is not None:
+            assert r.feature == f"h={len(full) // 192};mean={mean:.4f};sd={sd:.4f};mode={common}"
     assert media.stored(empty).count() == 0
     assert media.from_png(media.to_png(bytes(range(192)) * 3)) == bytes(range(192)) * 3
 
@@ -173,11 +181,74 @@ def test_hilbert(spark, docs, empty):
     assert all(sum(abs(i - j) for i, j in zip(a, b, strict=True)) == 1 for a, b in zip(walk, walk[1:], strict=False))
 
 
-def test_hilbert_files(spark, docs, tmp_path):
-    hilbert.write(docs, str(tmp_path / "out"), count=4)
+def curve_place(x: list[int], bits: int) -> int:
+    """The place on the curve, found by descending through the cubes: each level turns the next one's axes."""
+    x, n = list(x), len(x)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                swap = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= swap
+                x[i] ^= swap
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    flip, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            flip ^= q - 1
+        q >>= 1
+    x = [v ^ flip for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_hilbert_places(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["", None, *(f"text {k} " * (k % 9 + 1) for k in range(60))]), rng.choice(["de", "en", "fr", None]), f"s{min(rng.randrange(40), rng.randrange(40))}") for i in range(300)]
+    got = hilbert.shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(4), count=7, bits=3).collect()
+    groups = {}
+    for _, text, lang, source in rows:
+        key = text or ""
+        old = groups.get(key, ("~", "~"))
+        groups[key] = (min(old[0], lang or ""), min(old[1], source))
+    dims = {k: (v[0], v[1], len(k.encode()) + 1) for k, v in groups.items()}
+
+    def cells(values):
+        at, out = 0, {}
+        for value, n in sorted(Counter(values).items()):
+            out[value] = at * 8 // len(values)
+            at += n
+        return out
+
+    by = [cells([d[k] for d in dims.values()]) for k in range(3)]
+    place = {zlib.crc32(k.encode()): curve_place([by[j][d[j]] for j in range(3)], 3) for k, d in dims.items()}
+    assert all(r.curve == place[r.text_crc32] for r in got)
+    order = sorted(got, key=lambda r: r["rank"])
+    assert [r["rank"] for r in order] == list(range(300))
+    assert [(r.curve, r.text_hash) for r in order] == sorted((r.curve, r.text_hash) for r in got)
+    assert all(r.shard == r["rank"] * 7 // 300 for r in got)
+    shards_of = defaultdict(set)
+    for r in got:
+        shards_of[r.text_hash].add(r.shard)
+    assert sum(len(s) > 1 for s in shards_of.values()) <= 6
+
+
+def test_hilbert_files(spark, docs, empty, tmp_path):
+    assert hilbert.write(docs, str(tmp_path / "out"), count=4, file_bytes=2000) == "shard"
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count()
     assert back.select("shard").distinct().count() == 4
+    files = list((tmp_path / "out").glob("shard=*/*.parquet"))
+    assert len(files) > 8
+    clash = docs.selectExpr("*", "doc_id as shard", "7 as slot", "'mine' as text_hash", "1 as at")
+    assert hilbert.write(clash, str(tmp_path / "clash"), count=3) == "shard_1"
+    again = spark.read.parquet(str(tmp_path / "clash"))
+    assert set(again.columns) == {*clash.columns, "shard_1"}
+    assert sorted((r.doc_id, r.text or "", r.shard, r.slot, r.text_hash) for r in again.collect()) == sorted((r.doc_id, r.text or "", r.shard, 7, "mine") for r in clash.collect())
+    hilbert.write(empty, str(tmp_path / "empty"), count=3)
 
 
 ODD = ["", " ", "  a  b", "a \n b\n\nc ", "It's we'll I'M 'S", "İstanbul ẞtraße ΑΣ ſ", "12½ ² 3a", "<|endoftext|> x<|startoftext|>y", "é e ́", "　日本語 x", "😀😀 a😀b", "a\x1cb\x85c", "x" * 300]

@@ -42,3 +42,36 @@ def test_repeated_rows_stay_once(spark):
     assert sorted(r.doc_id for r in found.collect() if not r.text) == [11, 12, 13]
     left = {(r.doc_id, r.text) for r in corpus_pipeline.unrepeated(spark, found, "").collect()}
     assert left == set(got)
+
+
+def test_stages_decide_as_their_operators(spark):
+    """Each stage keeps the rows that its operator keeps, on hard rows: nulls, repeated rows and ids, extra columns."""
+    from timberline.llm import quality, toxicity
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    long = " ".join(f"long{i}" for i in range(30_000))
+    hard = [(None, None), (None, "ten words are in this text, and some more, of course"), (-5, ""), (-6, long), (-6, "another text of ten words, or perhaps of some more words"), (-7, " \n ")]
+    rows = docs.unionByName(docs.limit(5)).unionByName(table(spark, hard))
+    rows = rows.selectExpr("*", "'x' as kept", "1 as row", "2 as toxic_score", "'y' as others")
+
+    def plain(found):
+        return sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+
+    good = corpus_pipeline.good(spark, rows, "")
+    assert good.columns == list(corpus_pipeline.COLUMNS)
+    scored = quality.score(rows.selectExpr("monotonically_increasing_id() as doc_id", "text"))
+    assert good.count() == scored.where("kept").count()
+    assert (-6, long) in plain(good) and not any(not (t or "").strip() for _, t in plain(good))
+    where = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{where}/labels.parquet")
+    model = toxicity.trained(rows, labels)
+    want = plain(toxicity.scored(rows.selectExpr("doc_id", "text", "text as t"), model, "t").where("toxic_score < 0.5"))
+    assert plain(corpus_pipeline.clean(spark, rows, where)) == want
+    single = corpus_pipeline.single(spark, rows, "")
+    assert len(set(plain(single))) == single.count() and (-6, long) in plain(single)
+    cut = plain(corpus_pipeline.unrepeated(spark, single, ""))
+    assert (-6, long) in cut and (-5, "") not in cut
+    before = dict.fromkeys(plain(single))
+    assert sum(x in before for x in cut) > len(cut) // 2  # texts without repeated passages are as they were
+    packed = corpus_pipeline.packed(spark, single, "")
+    assert packed.where("start = 0").count() == single.count()

@@ -6,15 +6,21 @@ apart). Rows that are near in the dimensions land in one file, so that a file's
 values let readers skip it by any dimension.
 
 The dimensions are those of the *group* of equal texts (its smallest language and source, and the
-text's size), so that equal texts stand next to each other and a run keeps them together unless it ends
-among them.
+text's size), so that equal texts stand next to each other. A run keeps a group together unless it ends
+among its rows, which equal counts demand: at most ``count`` - 1 groups lie in more than one shard.
+
+Quantising keeps order: a dimension is cut at values that leave about equally many groups in each cell, so
+that a cell is a range of values and near values have near cells. The cuts (2 ** bits - 1 at most for each
+dimension) are all that reaches the driver.
 
 Only narrow rows are sorted; places come from counts by partition, of which there is one for each
 partition. Documents are exchanged only by :func:`write`, once, to their files.
 
-Cases: null and empty texts are one group of size 1; null dimensions count as a value of their own;
-repeated rows each get a slot, in an arbitrary order among each other; extra columns pass through
-:func:`write`; an empty table has no slots.
+Cases: null and empty texts are one group of size 1; null dimensions count as the smallest value;
+repeated rows each get a slot, in an arbitrary order among each other (:func:`write` puts them into the
+first of their shards); an empty table has no slots, and no files; extra columns pass through
+:func:`write`, whose folders are named by ``shard``, or by the first of ``shard_1``, ``shard_2`` ... that no
+column has.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import discard, staged
 
 #: Bits of each dimension.
 BITS = 4
@@ -73,17 +79,46 @@ def narrow(docs: DataFrame) -> DataFrame:
     )
 
 
+def _cuts(groups: DataFrame, column: str, cells: int) -> list[tuple[int, object]]:
+    """(cell, smallest value in it), in order, where cells hold about equally many groups; a value that many groups
+    share may leave cells after it empty.
+
+    Values are counted first, and their counts summed up in order, by partition and then over partitions."""
+    counts = groups.groupBy(column).agg(F.count("*").alias("n")).repartitionByRange(column).sortWithinPartitions(column)
+    counts = staged(counts.withColumn("place", F.monotonically_increasing_id()), "values")
+    part = F.shiftright("place", 33)
+    sums = counts.groupBy(part.alias("part")).agg(F.sum("n").alias("all"))
+    before = sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))  # a row for each partition
+    within = counts.withColumn("part", part).withColumn("at", F.sum("n").over(Window.partitionBy("part").orderBy("place")) - F.col("n"))
+    total = max(1, groups.count())
+    cell = F.expr(f"cast((before + at) * {cells} div {total} as int)")
+    found = within.join(F.broadcast(before), "part").groupBy(cell.alias("cell")).agg(F.min(column).alias("least"))
+    out = sorted((r["cell"], r["least"]) for r in found.collect())  # a row for each cell
+    discard(counts)
+    return out
+
+
+def cells_of(groups: DataFrame, column: str, cells: int) -> str:
+    """SQL for the cell of ``column``, from 0 to ``cells`` - 1."""
+
+    def literal(value) -> str:
+        return str(value) if isinstance(value, int) else f"decode(unhex('{value.encode().hex()}'), 'utf-8')"
+
+    cuts = _cuts(groups, column, cells)
+    return " + ".join(["0", *(f"if({column} >= {literal(v)}, {b - a}, 0)" for (a, _), (b, v) in zip(cuts, cuts[1:]))])
+
+
 def shards(docs: DataFrame, count: int = 16, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, text_hash, curve, rank, shard and slot for every row."""
     rows = staged(narrow(docs), "narrow")
     group = ["text_hash", "text_crc32", "size"]
     of_group = staged(rows.groupBy(*group).agg(F.min("lang").alias("lang"), F.min("source").alias("source")), "groups")
-    whole = rows.drop("lang", "source").join(of_group, group)
-    cells = 1 << bits
-    dimensions = [f"pmod(xxhash64(lang), {cells})", f"pmod(xxhash64(source), {cells})", f"least(greatest(floor(log2(size)) - 4, 0), {cells - 1})"]
+    dimensions = [cells_of(of_group, c, 1 << bits) for c in ("lang", "source", "size")]
+    curve = of_group.select(*group, curve_index(dimensions, bits).alias("curve"))
     keys = ["curve", "text_hash", "text_crc32", "size", "doc_id"]
-    ordered = whole.withColumn("curve", curve_index(dimensions, bits)).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = rows.drop("lang", "source").join(curve, group).repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered = staged(ordered.withColumn("place", F.monotonically_increasing_id()), "ordered")
+    discard(rows, of_group)
     part = F.shiftright("place", 33)
     counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
@@ -95,10 +130,19 @@ def shards(docs: DataFrame, count: int = 16, bits: int = BITS) -> DataFrame:
     return ranked.drop("place", "part", "before", "total")
 
 
-def write(docs: DataFrame, path: str, count: int = 16) -> None:
-    """Whole rows to one folder for each shard, in slot order, under ``path``."""
-    places = shards(docs, count).groupBy("doc_id", "text_hash").agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumnRenamed("doc_id", "row_id")
-    both = keyed.join(places.withColumnRenamed("text_hash", "place_hash"), F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("place_hash")))
-    out = both.select(*[F.col("row_id").alias("doc_id") if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
-    out.repartition(count, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+def write(docs: DataFrame, path: str, count: int = 16, file_bytes: int = 128 << 20) -> str:
+    """Whole rows to one folder for each shard, in slot order, under ``path``, in files of about ``file_bytes`` of
+    text. Returns the name of the column that the folders stand for."""
+    found = staged(shards(docs, count), "places")
+    places = found.groupBy("doc_id", "text_hash").agg(F.min(F.struct("shard", "slot")).alias("at"))
+    total = found.agg(F.sum("size")).first()[0] or 0
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in ("shard", *(f"shard_{k}" for k in range(1, len(taken) + 2))) if n not in taken)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    keyed = docs.select(F.col("doc_id").alias("row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), whole)
+    both = keyed.join(places, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")))
+    files = max(count, -(-total // file_bytes))
+    dealt = both.select("whole", "at").repartitionByRange(int(files), "at").sortWithinPartitions("at")
+    out = dealt.select(*[F.col(f"whole.`{c}`") for c in docs.columns], F.col("at.shard").alias(name))
+    out.write.partitionBy(name).parquet(path)
+    return name

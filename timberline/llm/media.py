@@ -185,10 +185,9 @@ def _payload_reader(folder: str):
                 if (shard, offset) not in known:
                     stored = ranges.read(shard, offset, length)
                     payload = from_png(stored)
-                    own = hashlib.sha256(payload)
-                    if own.digest() != digest:
-                        raise ValueError(f"{shard} at {offset} holds another payload than its row says")
-                    known[shard, offset] = (len(payload), own.hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload))
+                    known[shard, offset] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload))
+                if known[shard, offset][1] != digest.hex():
+                    raise ValueError(f"{shard} at {offset} holds another payload than its row says")
                 found.append(known[shard, offset])
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

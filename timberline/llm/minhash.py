@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bucket_count, released, staged
+from .store import bucket_count, discard, released, staged
 from .words import hashed_texts, mixed, text_blocks
 
 BANDS, ROWS = 32, 4
@@ -246,7 +246,9 @@ def paired(classes: DataFrame, signed: bool) -> DataFrame:
     dealt = staged(rows.mapInArrow(_bander(buckets, signed), "bucket int, block binary, a bigint, b bigint, agree int"), "bands")
     near = dealt.where("a is not null").select("a", "b", "agree")
     far = dealt.where("block is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_meeter(signed), "a bigint, b bigint, agree int")
-    return staged(near.unionByName(far).where("a != b").distinct(), "pairs")
+    out = staged(near.unionByName(far).where("a != b").distinct(), "pairs")
+    discard(dealt)
+    return out
 
 
 def _star_confirmer(width: int, percent: int):
@@ -318,7 +320,7 @@ def stars(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
 
 
 def across(families: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components, from (node, family, part): parts are components found before."""
+    """Links (a, b) between components, from (node, family, part), written: parts are components found before."""
     parts = families.groupBy("family", "part").agg(F.count("*").alias("n"))
     most = F.max(F.struct("n", "part")).alias("most")
     open_ = staged(parts.groupBy("family").agg(F.count("*").alias("parts"), most).where("parts > 1").select("family", F.col("most.part").alias("main")), "open")
@@ -326,14 +328,17 @@ def across(families: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     sizes = held.groupBy("family", "of_main").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks_of = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     counts = sizes.groupBy("family").agg(F.sum(F.when(~F.col("of_main"), blocks_of)).alias("others"), F.sum(F.when(F.col("of_main"), blocks_of)).alias("mains"))
-    rows = held.join(staged(counts, "sizes"), "family")
+    counts = staged(counts, "sizes")
+    rows = held.join(counts, "family")
     # blocks 0 .. others - 1 hold the smaller components, those from there on the largest one
     own = F.when(F.col("of_main"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
     rows = rows.withColumn("own", own.cast("int"))
     every = F.when(F.col("of_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1).cast("int")
     tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), every)))
     tiles = tiles.select("node", "text", "part", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return tiles.groupBy("family", "i", "j").applyInArrow(_tile_confirmer(width, percent), "a bigint, b bigint")
+    out = staged(tiles.groupBy("family", "i", "j").applyInArrow(_tile_confirmer(width, percent), "a bigint, b bigint"), "across")
+    discard(open_, held, counts)
+    return out
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -377,20 +382,24 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     shared = paired(classes, signed=False)
     near = shared.select(F.col("a").alias("node")).unionByName(shared.select(F.col("b").alias("node"))).distinct()
     near = staged(classes.join(near, "node", "left_semi"), "near")
+    discard(shared)
     pairs = paired(near, signed=True)
-    families = staged(components(pairs), "families")
-    families = families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct().toDF("node", "family")
+    families = components(pairs)
+    families = staged(families.unionByName(families.select(F.col("component").alias("node"), "component")).distinct().toDF("node", "family"), "families")
     rows = near.join(families, "node").select("node", F.col("row.doc_id").alias("row_id"), F.col("row.version").alias("row_version"))
     texts = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version"))).select("node", "text")
     texts = staged(texts.dropDuplicates(["node"]), "texts")
     labelled = staged(components(stars(pairs, texts, width, percent)).toDF("node", "part"), "parts")
-    whole = families.join(labelled, "node", "left").select("node", "family", F.coalesce("part", "node").alias("part"))
-    more = staged(components(across(whole, texts, width, percent)).toDF("part", "label"), "joined")
+    whole = staged(families.join(labelled, "node", "left").select("node", "family", F.coalesce("part", "node").alias("part")), "whole")
+    crossed = across(whole, texts, width, percent)
+    more = staged(components(crossed).toDF("part", "label"), "joined")
+    discard(pairs, near, texts, families, labelled, crossed)
     labels = whole.join(more, "part", "left").select("node", F.coalesce("label", "part").alias("label"))
     labels = classes.join(labels, "node", "left").select("set_a", "set_b", "least_id", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("in_family"))
     labels = staged(labels, "labels")
+    discard(classes, whole, more)
     least = labels.where("in_family").groupBy("label").agg(F.min("least_id").alias("family_least"))
-    ids = labels.join(least, "label", "left").select("set_a", "set_b", F.when(F.col("in_family"), F.col("family_least")).otherwise(F.col("least_id")).alias("component_id"))
+    ids = labels.join(staged(least, "least"), "label", "left").select("set_a", "set_b", F.when(F.col("in_family"), F.col("family_least")).otherwise(F.col("least_id")).alias("component_id"))
     out = signed.join(ids, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -52,7 +52,18 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of :func:`staged` that only later staged tables have been made from: nothing reads them again."""
+    for table in tables:
+        path, spark = table.staged_at, table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _MADE.remove(path)
 
 
 def bucket_count(df: DataFrame, least: int = 2048) -> int:

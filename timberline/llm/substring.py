@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bucket_count, released, staged
+from .store import bucket_count, discard, released, staged
 from .words import bounds, hashed_texts, mixed, spans, text_blocks
 
 #: Words of a minimizer, at most half a window.
@@ -250,25 +250,31 @@ def compacted(link: DataFrame, rounds: int = 64) -> DataFrame:
     circle: every document has a first and a last piece, which ends a path."""
     follows = link.select(F.col("node").alias("to"), F.lit(True).alias("more"))
     held = staged(link.join(follows, "to", "left").select("node", "to", F.col("more").isNull().alias("done")), "pointers")
-    found = []
+    found, tables = [], [held]
     for _ in range(rounds):
         found.append(held.where("done").select("node", "to", "done"))
         waiting = held.where("not done").select("node", "to", "done")
         if waiting.isEmpty():
-            return reduce(DataFrame.unionByName, found).select("node", F.col("to").alias("path"))
+            out = staged(reduce(DataFrame.unionByName, found).select("node", F.col("to").alias("path")), "paths")
+            discard(*tables)
+            return out
         onward = reduce(DataFrame.unionByName, [*found, waiting]).toDF("to", "next", "end")
         held = staged(waiting.join(onward, "to").select("node", F.col("next").alias("to"), F.col("end").alias("done")), "pointers")
+        tables.append(held)
     raise RuntimeError(f"paths are not compact after {rounds} rounds")
 
 
 def occurrences(pieces: DataFrame) -> DataFrame:
     """(doc_id, version, start, edges) of all paths."""
     table = staged(successors(pieces), "successors")
-    paths = compacted(staged(links(table), "links"))
+    link = staged(links(table), "links")
+    paths = compacted(link)
     whole = table.join(paths, F.col("content") == F.col("node"), "left").groupBy(F.coalesce("path", "content").alias("content")).agg(F.sum("edges").cast("int").alias("total"))
     solid = pieces.where(F.col("kind").bitwiseAND(SOLID) > 0).select("doc_id", "version", "start", "content")
     # both sides are dealt out anew, so that a very common passage can be split
-    return solid.join(staged(whole, "paths"), "content").select("doc_id", "version", "start", F.col("total").alias("edges"))
+    out = staged(solid.join(staged(whole, "wholes"), "content").select("doc_id", "version", "start", F.col("total").alias("edges")), "occurrences")
+    discard(table, link, paths)
+    return out
 
 
 def _spans(start: np.ndarray, edges: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -403,9 +409,11 @@ def mark(docs: DataFrame, window: int = 35, text: bool = False) -> DataFrame:
     judged = dealt.groupBy("bucket").applyInArrow(_judged, verdicts).groupBy(*key).agg(F.collect_list("marks").alias("marks"))
     pieces = staged(judged.mapInArrow(released(_in_order), _PIECES_SQL), "pieces")
     open_ = pieces.where(F.col("kind").bitwiseAND(OPEN) > 0).select(*key, "start", "edges", F.lit(True).alias("single"))
-    spans_of = occurrences(pieces).withColumn("single", F.lit(False)).unionByName(open_)
+    found = occurrences(pieces)
+    spans_of = found.withColumn("single", F.lit(False)).unionByName(open_)
     by_doc = spans_of.groupBy(*key).agg(F.collect_list(F.struct("start", "edges", "single")).alias("spans"))
     stage = staged(rows.join(by_doc, key, "left").select(*key, "text", "spans").mapInArrow(_reader(window, buckets, text), _STAGE_SQL), "spans")
+    discard(pieces, found)
     compared = stage.where("block is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_compared, verdicts)
     here = stage.where("marks is not null").select(*key, "marks")
     more = compared.unionByName(here).groupBy(*key).agg(F.collect_list("marks").alias("more"))
