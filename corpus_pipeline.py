@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of ``documents``.
+return the columns of ``documents`` (further columns are left out).
+
+Cases: null and empty texts fail the quality rules; in the other stages they are clean, near nothing, and
+without passages, so that the fourth stage leaves them out, as it does texts of which nothing is left; null ids
+and null columns stay as they are; rows that repeat a document (same id and text) stay once after the third
+stage, rows with one id and several texts are judged apart; texts of any length are whole; an empty table
+gives empty results.
 """
 
 from __future__ import annotations
@@ -38,7 +44,8 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     parts = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("part")).distinct()
     rows = staged(rows.join(parts, "row"), "rows")
     stays = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least"), F.count("*").alias("members"))
-    gone = rows.join(stays.where("members > 1"), "part").where("row != least.row").select("row")
+    stays = staged(stays.where("members > 1"), "stays")  # a large group can be split in the join
+    gone = rows.join(stays, "part").where("row != least.row").select("row")
     again = staged(rows.where("n > 1").select("row").join(gone, "row", "left_anti"), "again")
     gone = staged(gone, "gone")
     alone = keyed.join(gone.unionByName(again), "row", "left_anti")
@@ -47,7 +54,7 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages; those of which nothing is left go."""
+    """Documents without their repeated passages, otherwise as they are; those of which nothing is left go."""
     keyed = docs.select("doc_id", "lang", "source", substring.version().alias("version"))
     cut = substring.mark(docs.select("doc_id", "text"), text=True).where("n_words > n_removed").dropDuplicates(["doc_id", "version"])
     cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("version").alias("cut_version"), F.col("kept").alias("text"))
