@@ -83,6 +83,7 @@ def edited(rng, words, n):
 def test_recall_at_the_threshold(spark, monkeypatch):
     """Families whose copies are near 0.8: some are linked with the first, others with one another only."""
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(minhash, "SIGN_ROWS", (20, 2000))
     rng = random.Random(11)
     rows = []
     for k in range(6):

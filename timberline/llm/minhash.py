@@ -13,12 +13,14 @@ Documents with equal sets form a class; classes, not ids, are the nodes of all t
    that agree with a head in LOOSE places or more belong to the head's family. Tasks cut their own buckets
    first and send the heads on. A bucket yields, for each member, the head that it is most like and one edge
    of its family: never all pairs.
-3. Each member is confirmed on full sets with the head it is most like of all its buckets, and the
-   components of the links so found are joined: copies of one text are done here, in one pair each.
-4. Families that are one component by now are left alone. In the others, pairs across components are
-   confirmed by matrix products over tiles of two blocks of texts, so that memory is bounded; the largest
-   component's blocks meet the others' blocks, not each other. A tile returns links that span its
-   components, not all its links, so rows stay in proportion to documents.
+3. Each member is confirmed on full sets with the head it is most like of all its buckets, then with the
+   next ones if they are still apart, and the components of the links so found are joined: copies of one text
+   are done here, in a pair or two each.
+4. Families that are one component by now are left alone. In the others, signatures are compared in tiles of
+   two blocks, so that memory is bounded; the largest component's blocks meet the others' blocks, not each
+   other. Members that agree with none of another component in LIKELY places or more are done. What is left
+   falls into smaller families, whose pairs across components are confirmed on full sets by matrix products
+   over tiles of texts. A tile returns what spans its components, never all its pairs.
 5. Components of these links are labelled by large-star and small-star.
 
 Cases: null and empty texts, and texts without words, have empty sets and are linked with nothing; rows
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import bucket_count, discard, released, staged
@@ -47,8 +49,13 @@ HASHES = BANDS * ROWS
 #: and so of its family. Pairs below LIKELY aren't worth confirming (six deviations).
 TIGHT, LOOSE, LIKELY = 100, 56, 75
 
+#: Heads that a member is confirmed with, one after another, as long as it is apart from them.
+STARS = 3
+
 #: Documents, and bytes of text, of a block; a tile holds two blocks.
-BLOCK_ROWS, BLOCK_BYTES = 1000, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 500, 16 << 20
+#: Signatures of a block, at least and at most.
+SIGN_ROWS = (128, 2000)
 
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64)
 _FACTORS = _SEEDS[0] * np.uint64(2) + np.uint64(1)
@@ -252,7 +259,7 @@ def paired(classes: DataFrame, signed: bool) -> DataFrame:
 
 
 def _star_confirmer(width: int, percent: int):
-    """Of (node, head, text, head_text): the (node, head) that are linked."""
+    """Of (a, b, text, head_text): the (a, b) whose texts are linked."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +272,7 @@ def _star_confirmer(width: int, percent: int):
                     one, two = shingles(found[at[i] : at[i + 1]], width), shingles(other[to[i] : to[i + 1]], width)
                     both = len(np.intersect1d(one, two, assume_unique=True))
                     keep.append((100 + percent) * both >= percent * (len(one) + len(two)))
-                yield batch.slice(first, last - first).select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([c.slice(first, last - first).filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return released(confirm)
 
@@ -274,7 +281,7 @@ def _tile_confirmer(width: int, percent: int):
     def confirm(table: pa.Table) -> pa.Table:
         """Links (a, b) that span the components of one tile; a component's own pairs aren't looked at."""
         docs, of = np.asarray(table.column("node")), np.asarray(table.column("part"))
-        found, at = hashed_texts(table.column("text").to_pylist(), lower=True)
+        found, at = hashed_texts(table.column("load").to_pylist(), lower=True)
         sets = [shingles(found[at[i] : at[i + 1]], width) for i in range(len(docs))]
         size = np.array([len(s) for s in sets])
         kinds, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -309,35 +316,80 @@ def _tile_confirmer(width: int, percent: int):
     return confirm
 
 
-def stars(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links (a, b) among each member's pair with the head it is most like, confirmed on full sets."""
-    most = F.max(F.struct("agree", (-F.col("b")).alias("head"))).alias("most")
-    best = pairs.where(F.col("agree") >= LIKELY).groupBy("a").agg(most).select(F.col("a").alias("node"), (-F.col("most.head")).alias("head"))
-    members = best.join(texts, "node")
-    heads = texts.select(F.col("node").alias("head"), F.col("text").alias("head_text"))
-    both = members.join(heads, "head").select("node", "head", "text", "head_text")
-    return both.mapInArrow(_star_confirmer(width, percent), "a bigint, b bigint")
-
-
-def across(families: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components, from (node, family, part), written: parts are components found before."""
-    parts = families.groupBy("family", "part").agg(F.count("*").alias("n"))
+def stars(pairs: DataFrame, families: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, family, part), written: parts are the components of the links among each member's pairs with the
+    STARS heads it is most like, confirmed on full sets one after another; once two are one part, their
+    pair isn't looked at."""
+    likely = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b")).alias("turn")
+    ranked = staged(pairs.where(F.col("agree") >= LIKELY).select("a", "b", likely).where(F.col("turn") <= STARS), "ranked")
+    parts = staged(families.select("node", "family", F.col("node").alias("part")), "parts")
+    for turn in range(1, STARS + 1):
+        own, other = parts.select(F.col("node").alias("a"), F.col("part").alias("pa")), parts.select(F.col("node").alias("b"), F.col("part").alias("pb"))
+        apart = ranked.where(F.col("turn") == turn).join(own, "a").join(other, "b").where("pa != pb")
+        members = apart.join(texts.select(F.col("node").alias("a"), "text"), "a")
+        both = members.join(texts.select(F.col("node").alias("b"), F.col("text").alias("head_text")), "b").select("pa", "pb", "text", "head_text")
+        linked = staged(both.mapInArrow(_star_confirmer(width, percent), "a bigint, b bigint"), "linked")
+        label = components(linked).toDF("part", "label")
+        new = staged(parts.join(label, "part", "left").select("node", "family", F.coalesce("label", "part").alias("part")), "parts")
+        discard(parts, linked)
+        parts = new
+    discard(ranked)
+    return parts
+
+
+def _likely(table: pa.Table) -> pa.Table:
+    """(a, b): what joins the nodes of one tile whose signatures are LIKELY across parts."""
+    nodes, of = np.asarray(table.column("node")), np.asarray(table.column("part"))
+    signs = np.frombuffer(b"".join(table.column("load").to_pylist()), np.uint8).reshape(-1, HASHES)
+    label, near = np.arange(len(nodes)), np.zeros(len(nodes), bool)
+    for k in range(1, len(nodes)):
+        like = np.flatnonzero(((signs[:k] == signs[k]).sum(axis=1) >= LIKELY) & (of[:k] != of[k]))
+        if len(like):
+            near[like], near[k] = True, True
+            met = np.unique(label[like])
+            label[np.isin(label, met)] = met[0]
+            label[k] = met[0]
+    return pa.table([pa.array(nodes[near]), pa.array(nodes[label[near]])], ["a", "b"])
+
+
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, HASHES)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in signs], pa.binary())], ["node", "load"])
+
+
+def _tiles(held: DataFrame, rows_of: Column, most_bytes: int) -> DataFrame:
+    """node, part, load, family, i and j: rows of (node, family, part, load) in every tile (i, j) of two blocks
+    that they are part of. The largest part's blocks meet those of the others, which also meet each other."""
+    parts = held.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum(F.octet_length("load")).alias("bytes"))
     most = F.max(F.struct("n", "part")).alias("most")
-    open_ = staged(parts.groupBy("family").agg(F.count("*").alias("parts"), most).where("parts > 1").select("family", F.col("most.part").alias("main")), "open")
-    held = staged(families.join(open_, "family").select("node", "family", "part", (F.col("part") == F.col("main")).alias("of_main")).join(texts, "node"), "held")
-    sizes = held.groupBy("family", "of_main").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks_of = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    counts = sizes.groupBy("family").agg(F.sum(F.when(~F.col("of_main"), blocks_of)).alias("others"), F.sum(F.when(F.col("of_main"), blocks_of)).alias("mains"))
-    counts = staged(counts, "sizes")
-    rows = held.join(counts, "family")
-    # blocks 0 .. others - 1 hold the smaller components, those from there on the largest one
-    own = F.when(F.col("of_main"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
-    rows = rows.withColumn("own", own.cast("int"))
-    every = F.when(F.col("of_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1).cast("int")
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), every)))
-    tiles = tiles.select("node", "text", "part", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    out = staged(tiles.groupBy("family", "i", "j").applyInArrow(_tile_confirmer(width, percent), "a bigint, b bigint"), "across")
-    discard(open_, held, counts)
+    mains = parts.groupBy("family").agg(most, F.sum("n").alias("all")).select("family", F.col("most.part").alias("main"), "all")
+    of_main = F.col("part") == F.col("main")
+    sizes = parts.join(mains, "family").groupBy("family", "main", "all", of_main.alias("of_main")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks_of = F.greatest(F.ceil(F.col("n") / rows_of), F.ceil(F.col("bytes") / most_bytes)).cast("int")
+    counts = sizes.groupBy("family", "main").agg(F.coalesce(F.sum(F.when(~F.col("of_main"), blocks_of)), F.lit(0)).alias("others"), F.sum(F.when(F.col("of_main"), blocks_of)).alias("mains"))
+    rows = held.join(staged(counts.where("others > 0"), "sizes"), "family")
+    # blocks 0 .. others - 1 hold the smaller parts, those from there on the largest one
+    own = F.when(of_main, F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    every = F.when(of_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1).cast("int")
+    tiles = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), every)))
+    return tiles.select("node", "part", "load", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def across(families: DataFrame, near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between parts, written; ``families``: (node, family, part), ``near``: (node, signature)."""
+    open_ = families.groupBy("family").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("family")
+    apart = staged(families.join(open_, "family"), "apart")
+    signs = near.select("node", "signature").mapInArrow(released(_low_bytes), "node bigint, load binary")
+    signs = staged(apart.join(signs, "node"), "signs")
+    rows_of = F.least(F.lit(SIGN_ROWS[1]), F.greatest(F.lit(SIGN_ROWS[0]), F.col("all") / 16))
+    likely = staged(_tiles(signs, rows_of, BLOCK_BYTES).groupBy("family", "i", "j").applyInArrow(_likely, "a bigint, b bigint"), "likely")
+    label = components(likely)
+    label = label.unionByName(label.select(F.col("component").alias("node"), "component")).distinct()
+    held = staged(apart.select("node", "part").join(label.toDF("node", "family"), "node").join(texts.withColumnRenamed("text", "load"), "node"), "held")
+    out = _tiles(held, F.lit(BLOCK_ROWS), BLOCK_BYTES).groupBy("family", "i", "j").applyInArrow(_tile_confirmer(width, percent), "a bigint, b bigint")
+    out = staged(out, "across")
+    discard(apart, signs, likely, held)
     return out
 
 
@@ -389,11 +441,10 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     rows = near.join(families, "node").select("node", F.col("row.doc_id").alias("row_id"), F.col("row.version").alias("row_version"))
     texts = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version"))).select("node", "text")
     texts = staged(texts.dropDuplicates(["node"]), "texts")
-    labelled = staged(components(stars(pairs, texts, width, percent)).toDF("node", "part"), "parts")
-    whole = staged(families.join(labelled, "node", "left").select("node", "family", F.coalesce("part", "node").alias("part")), "whole")
-    crossed = across(whole, texts, width, percent)
+    whole = stars(pairs, families, texts, width, percent)
+    crossed = across(whole, near, texts, width, percent)
     more = staged(components(crossed).toDF("part", "label"), "joined")
-    discard(pairs, near, texts, families, labelled, crossed)
+    discard(pairs, near, texts, families, crossed)
     labels = whole.join(more, "part", "left").select("node", F.coalesce("label", "part").alias("label"))
     labels = classes.join(labels, "node", "left").select("set_a", "set_b", "least_id", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("in_family"))
     labels = staged(labels, "labels")
