@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import is_variable, skeleton, variable_type
+from .clean import MAC_COMPONENT, MAC_LINE, content_skeleton, skeleton, variable_type
 from .sampling import hamming
 
 
@@ -29,6 +29,64 @@ class NumberVariants:
         return each.select(F.col("line_id").alias("origin"), "content", changed.alias("variant")).where("variant != content")
 
 
+def mutated(line: Column, turn: Column) -> Column:
+    """The line with other numbers of the same widths, by a hash of line, turn and place.
+
+    Runs of two digits become 01 to 12, which any part of a date or time may be; runs of three 100 to 199, which
+    any part of an address may be; years stay; longer runs get new digits."""
+
+    def new(run: Column, at: Column) -> Column:
+        draw = F.xxhash64(line, turn, at)
+        width = F.length(run)
+        digits = F.substring(F.rpad(F.lpad(F.pmod(draw, F.lit(10**15)).cast("string"), 15, "4"), 64, "7"), F.lit(1), width)
+        return (
+            F.when(~run.rlike(r"^\d+$") | run.rlike(r"^(?:19|20)\d\d$"), run)
+            .when(width == 2, F.lpad((F.pmod(draw, F.lit(12)) + 1).cast("string"), 2, "0"))
+            .when(width == 3, (F.pmod(draw, F.lit(100)) + 100).cast("string"))
+            .otherwise(digits)
+        )
+
+    return F.array_join(F.transform(F.split(line, r"(?<=\D)(?=\d)|(?<=\d)(?=\D)"), new), "")
+
+
+class StructuralVariants:
+    """Variants by :func:`mutated` that keep their origin's template, ``tries`` for each that is wanted."""
+
+    def __init__(self, dataset: str = "", tries: int = 4):
+        self.dataset, self.tries = dataset, tries
+
+    def variants(self, seeds: DataFrame, count: int) -> DataFrame:
+        each = seeds.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(count * self.tries))))
+        made = each.select(F.col("line_id").alias("origin"), "content", "k", mutated(F.col("content"), F.col("k")).alias("variant"))
+        made = made.where(same_template(F.col("content"), F.col("variant"), self.dataset))
+        once = made.groupBy("origin", "content", "variant").agg(F.min("k").alias("k"))
+        rank = F.row_number().over(Window.partitionBy("origin").orderBy("k"))
+        return once.withColumn("_rank", rank).where(F.col("_rank") <= count).select("origin", "content", "variant")
+
+
+class CachedVariants:
+    """Another source's variants, kept as a table under ``path`` by a digest of seed and count; seeds that are
+    there are never asked for again."""
+
+    def __init__(self, source: VariantSource, path: str):
+        self.source, self.path = source, path
+
+    def variants(self, seeds: DataFrame, count: int) -> DataFrame:
+        spark = seeds.sparkSession
+        keyed = seeds.withColumn("_key", F.sha2(F.concat_ws("\n", F.lit(str(count)), "content"), 256))
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        kinds = "_key string, variant string"
+        missing = keyed.dropDuplicates(["_key"])
+        missing = missing.join(spark.read.schema(kinds).parquet(self.path).select("_key").distinct(), "_key", "left_anti") if there else missing
+        made = self.source.variants(missing.drop("_key"), count).select(F.col("origin").alias("line_id"), "variant")
+        # a seed without variants is noted too
+        rows = missing.select("_key", "line_id").join(made, "line_id", "left").select("_key", "variant")
+        rows.write.mode("append").parquet(self.path)
+        known = spark.read.schema(kinds).parquet(self.path).where("variant is not null")
+        return keyed.join(known, "_key").select(F.col("line_id").alias("origin"), "content", "variant")
+
+
 def answer_lines(answers: DataFrame) -> DataFrame:
     """(id, line): the lines of answers without fences, bullets, numbering, quotes and introductions."""
     rows = answers.select("id", F.explode(F.split("answer", "\n")).alias("line"))
@@ -38,56 +96,168 @@ def answer_lines(answers: DataFrame) -> DataFrame:
 
 
 def garbage(line: Column) -> Column:
-    """Blank lines, headings, fences, rules, bold and quotes."""
+    """Blank lines, headings, fences, rules, bold and quotes, and lines that are Chinese to 30 % or more."""
     t = F.trim(line)
-    return (t == "") | t.rlike(r"^(#|```|---|\*\*|>)")
+    chinese = F.regexp_count(t, F.lit("[一-鿿]"))
+    return (t == "") | t.rlike(r"^(#|```|---|\*\*|>)") | ((chinese > 0) & (chinese >= F.length(t) * 0.3))
+
+
+def explained(line: Column) -> Column:
+    """Markup, Chinese characters, or words that answers explain themselves with."""
+    return (line == "") | line.rlike(r"^(```|#|\*\*|>|\|)") | line.rlike("[一-鿿]") | F.lower(line).rlike("markdown|here are|example|output")
 
 
 # Fixed values: (dataset, pattern) that a line of the data set has.
 FORMATS = (
+    ("Android", r"^\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+\s+\d+\s+\d+\s+[A-Z]\s+[^:]+:\s+.+"),
+    ("Apache", r"^\[[A-Z][a-z]{2}\s+[A-Z][a-z]{2}\s+\d{2}\s+\d{2}:\d{2}:\d{2}\s+\d{4}\]\s+\[[a-z]+\]\s+.+"),
+    ("BGL", r"^\S+\s+\d+\s+\d{4}\.\d{2}\.\d{2}\s+\S+\s+\d{4}-\d{2}-\d{2}-\d{2}\.\d{2}\.\d{2}\.\d+\s+\S+\s+\S+\s+\S+\s+\S+\s+.+"),
     ("HDFS", r"^\d{6}\s+\d{6}\s+\d+\s+[A-Z]+\s+[^:]+:\s+.+"),
     ("Hadoop", r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2},\d+\s+[A-Z]+\s+\[[^\]]+\]\s+[^:]+:\s+.+"),
-    ("Spark", r"^\d{2}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2}\s+[A-Z]+\s+[^:]+:\s+.+"),
-    ("OpenSSH", r"^[A-Z][a-z]{2}\s+\d+\s+\d{2}:\d{2}:\d{2}\s+\S+\s+sshd\[\d+\]:\s+.+"),
     ("HealthApp", r"^\d{8}-\d{1,2}:\d{1,2}:\d{1,2}:\d+\|[^|]+\|\d+\|.+"),
+    ("Mac", r"^[A-Z][a-z]{2}\s+\d+\s+\d{2}:\d{2}:\d{2}\s+\S+\s+[\w. ]+\[\d+\](?:\s+\([^)]+\))?:\s+.+"),
+    ("OpenSSH", r"^[A-Z][a-z]{2}\s+\d+\s+\d{2}:\d{2}:\d{2}\s+\S+\s+sshd\[\d+\]:\s+.+"),
+    ("OpenStack", r"^\S+\s+\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+\s+\d+\s+[A-Z]+\s+\S+\s+\[[^\]]+\]\s+.+"),
     ("Proxifier", r"^\[\d{2}\.\d{2}\s+\d{2}:\d{2}:\d{2}\]\s+.+\s+-\s+.+"),
+    ("Spark", r"^\d{2}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2}\s+[A-Z]+\s+[^:]+:\s+.+"),
+    ("Zookeeper", r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2},\d+\s+-\s+[A-Z]+\s+\s+\[[^\]]+\]\s+-\s+.+"),
 )
 
 
 def format_ok(dataset: str, line: Column) -> Column:
-    """Whether a line has its data set's form; data sets without one take all."""
+    """Whether a line has its data set's form; data sets without one take all that isn't :func:`explained`."""
     pattern = dict(FORMATS).get(dataset)
-    return ~garbage(line) & (F.lit(True) if pattern is None else line.rlike(pattern))
-
+    return ~explained(line) & (F.lit(True) if pattern is None else line.rlike(pattern))
 
-def same_template(origin: Column, candidate: Column) -> Column:
-    return (origin != candidate) & ~garbage(candidate) & (skeleton(origin) == skeleton(candidate))
 
+def same_template(origin: Column, candidate: Column, dataset: str = "") -> Column:
+    return (origin != candidate) & format_ok(dataset, candidate) & (skeleton(origin) == skeleton(candidate))
 
-def reject_reason(line: Column) -> Column:
-    """Why a generated line is refused; null if it isn't. The first reason counts."""
-    return (
-        F.when(garbage(line), "garbage")
-        .when(line.rlike(r"https?://"), "url")
-        .when(line.rlike(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"), "uuid")
-        .when(line.rlike(r"(?:/[\w.-]+){6,}"), "long path")
-        .when(line.rlike(r"^\s*[{\[].*[}\]]\s*$"), "json")
-        .when(F.length(line) > 400, "long")
-    )
 
+_UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
+_URL, _LONG_PATH, _BRACES = r"https?://", r"/[A-Za-z0-9_./-]{40,}", r"[\{\}]"
+_RECTANGLE = r"\{\{\d+,\s*\d+\},\s*\{\d+,\s*\d+\}\}"
 
-def risk(origin: Column, candidate: Column) -> Column:
-    """A sum of penalties: other length, lost fixed tokens, other variable types, other skeleton."""
-    a, b = F.split(origin, " "), F.split(candidate, " ")
-    fixed = F.filter(a, lambda t: ~is_variable(t))
-    lost = F.size(F.array_except(fixed, b)) > 0
-    ratio = F.length(candidate) / F.greatest(F.length(origin), F.lit(1))
-    return (
-        F.when(ratio.between(0.7, 1.3), 0).otherwise(1)
-        + F.when(lost, 2).otherwise(0)
-        + F.when(types_match(a, b), 0).otherwise(1)
-        + F.when(skeleton(origin) == skeleton(candidate), 0).otherwise(2)
-    )
+# Lines of one collection (Mac) that are safe, words that refuse a line, and (reason, test) over line and template.
+MAC_SAFE = (
+    r"\[HID\] \[MT\] MTActuatorManagement::getActuatorRef Calling MTActuatorOpen\(\) outside of MTTrackpadHIDManager\.",
+    r"Internal name did not resolve to internal address!",
+    r"hciControllerOnline; HID devices\?",
+    r"extension com\.apple\.ncplugin\.WorldClock -> \(null\)",
+    r"Checking iCDP status for DSID",
+)
+MAC_WORDS = (
+    "ksfetch GoogleSoftwareUpdateAgent KSUpdateEngine KSPersistentTicketStore KSOutOfProcessFetcher NSLayoutConstraint CalendarAgent "
+    "CalDAV CardDAV ChromeExistion NSMutableURLRequest IMMacNotificationCenterManager hibernate_teardown"
+).split()
+MAC_TESTS = (
+    ("WindowServer+authw", lambda s, t: s.contains("WindowServer") & s.contains("authw")),
+    ("xpc.launchd+WebKit", lambda s, t: s.contains("com.apple.xpc.launchd") & s.contains("WebKit.Networking")),
+    ("pkd+plug-in/path", lambda s, t: s.contains("pkd") & (s.contains("plug-in") | s.contains("/System/Library"))),
+    ("contains URL", lambda s, t: s.rlike(_URL)),
+    ("contains UUID", lambda s, t: s.rlike(_UUID)),
+    ("0x count >=2", lambda s, t: F.regexp_count(s, F.lit("0x")) >= 2),
+    ("length >180", lambda s, t: F.length(s) > 180),
+    ("template <*> >6", lambda s, t: _stars(t) > 6),
+    ("system path", lambda s, t: s.contains("/System/Library") | s.contains("/Applications/")),
+    ("mDNS+IPv6", lambda s, t: s.contains("mDNS_RegisterInterface") & s.rlike(r"(?:[0-9A-Fa-f]{1,4}:){2,}[0-9A-Fa-f]{0,4}")),
+    ("payload Data", lambda s, t: s.contains("payload Data")),
+    ("WeChat+view frame", lambda s, t: s.contains("WeChat") & s.contains("Arranged view frame")),
+)
+#: Brackets, and how many of each a line may have.
+BRACKETS = (("(", 4), (")", 4), ("[", 4), ("]", 4), ("{", 2), ("}", 2), ("<", 2), (">", 2))
+
+
+def _stars(template: Column) -> Column:
+    return F.regexp_count(template, F.lit(r"<\*>"))
+
+
+def _mac_refusals(line: Column, template: Column, word: str = "keyword: ", test: str = "") -> Column:
+    """Why a line of the collection is refused, in order."""
+    rules = [F.when(line.contains(w), word + w) for w in MAC_WORDS] + [F.when(f(line, template), test + name) for name, f in MAC_TESTS]
+    return F.array_compact(F.array(*rules))
+
+
+def _mac_safe(line: Column) -> Column:
+    return line.rlike("|".join(MAC_SAFE))
+
+
+def reject_reason(line: Column, origin: Column | None = None, dataset: str = "") -> Column:
+    """Why a generated line is refused; null if it isn't. The first reason counts. Lines of Mac logs are also held
+    against their origin: form, component, refused words, and the skeleton of the content."""
+    rules = [
+        (garbage(line), F.lit("garbage/markdown line")),
+        (line.rlike(_URL), F.lit("generated log contains URL")),
+        (line.rlike(_UUID), F.lit("generated log contains UUID")),
+        (line.rlike(_LONG_PATH), F.lit("generated log contains very long path")),
+        (line.rlike(_BRACES) & line.contains(":") & ~line.rlike(_RECTANGLE), F.lit("generated log contains JSON")),
+        (F.length(line) > 400, F.lit("generated log too long (>400 chars)")),
+    ]
+    if dataset == "Mac":
+        own, other = (F.nullif(F.regexp_extract(c, MAC_COMPONENT, 1), F.lit("")) for c in (origin, line))
+        refusals = _mac_refusals(line, F.lit(""), "Mac reject keyword in generated: ", "Mac reject: ")
+        mine, theirs = content_skeleton(origin, mac=True), content_skeleton(line, mac=True)
+        differ = F.concat(F.lit("skeleton mismatch:\n  ORI: "), F.substring(mine, 1, 120), F.lit("\n  GEN: "), F.substring(theirs, 1, 120))
+        rules += [
+            (~line.rlike(MAC_LINE), F.lit("not a complete Mac log line")),
+            (F.coalesce(own != other, F.lit(False)), F.concat(F.lit("Component mismatch: "), own, F.lit(" vs "), other)),
+            (F.size(refusals) > 0, F.get(refusals, F.lit(0))),
+            (mine != theirs, differ),
+        ]
+    return F.coalesce(*[F.when(test, reason) for test, reason in rules])
+
+
+def risk(origin: Column, template: Column, dataset: str = "") -> Column:
+    """score and reasons of a line that variants shall be made of: the points of all that makes it risky."""
+    excess = sum((F.greatest(F.length(origin) - F.length(F.replace(origin, F.lit(c), F.lit(""))) - most, F.lit(0)) for c, most in BRACKETS), F.lit(0))
+    rules = [
+        (2, origin.rlike(_URL), F.lit("contains URL")),
+        (2, origin.rlike(_UUID), F.lit("contains UUID")),
+        (2, origin.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit("contains email")),
+        (1, origin.rlike(_BRACES) & origin.contains(":"), F.lit("contains JSON-like braces")),
+        (1, origin.rlike(_LONG_PATH), F.lit("contains very long path")),
+        (2, origin.rlike(r"0x[0-9a-fA-F]{6,}"), F.lit("contains hex object address")),
+        (1, F.length(origin) > 220, F.concat(F.lit("origin length > 220 ("), F.length(origin).cast("string"), F.lit(")"))),
+        (1, _stars(template) > 6, F.concat(F.lit("template <*> count > 6 ("), _stars(template).cast("string"), F.lit(")"))),
+        (1, excess > 4, F.concat(F.lit("excessive brackets ("), excess.cast("string"), F.lit(")"))),
+    ]
+    score = sum((F.when(test, points).otherwise(0) for points, test, _ in rules), F.lit(0))
+    reasons = F.array_compact(F.array(*[F.when(test, reason) for _, test, reason in rules]))
+    if dataset == "Mac":
+        refusals, safe = _mac_refusals(origin, F.lit("")), _mac_safe(origin)
+        score = score + F.when(F.size(refusals) > 0, 3).otherwise(0)
+        score = F.when(safe, F.greatest(score - 2, F.lit(0))).otherwise(score)
+        reasons = F.concat(reasons, refusals, F.when(safe, F.array(F.lit("Mac whitelist: risk lowered"))).otherwise(F.array().cast("array<string>")))
+    return F.struct(score.alias("score"), reasons.alias("reasons"))
+
+
+def auto_pass(origin: Column, template: Column, score: Column, dataset: str = "") -> Column:
+    """Whether a line passes without a look at it, and why."""
+    if dataset != "Mac":
+        return F.struct((score <= 2).alias("ok"), F.lit("generic").alias("reason"))
+    refusals = _mac_refusals(origin, template, "strong_reject_keyword: ", "strong_reject: ")
+    refused = F.size(refusals) > 0
+    good = (score <= 1) & (F.length(origin) <= 220) & (_stars(template) <= 8)
+    failed = F.concat(F.lit("quality_fail: risk="), score.cast("string"), F.lit(" len="), F.length(origin).cast("string"), F.lit(" stars="), _stars(template).cast("string"))
+    reason = F.when(_mac_safe(origin), "mac_whitelist").when(refused, F.concat(F.lit("strong_reject: "), F.array_join(refusals, "; "))).when(good, "quality_pass").otherwise(failed)
+    return F.struct((_mac_safe(origin) | (~refused & good)).alias("ok"), reason.alias("reason"))
+
+
+# Time stamps that lines without a header may get, and words of lines that are notices.
+APACHE_TIMES = ("[Sun Dec 04 04:47:44 2005]", "[Sun Dec 04 04:51:08 2005]", "[Sun Dec 04 04:52:12 2005]", "[Sun Dec 04 05:15:09 2005]")
+APACHE_LEVELS = "notice|error|warn|debug|info|crit|alert|emerg"
+APACHE_NOTICES = r"workerEnv\.init\(\) ok|jk2_init\(\) Found child"
+
+
+def with_apache_header(line: Column) -> Column:
+    """A line whose time stamp and level are there; a time stamp is chosen by the line's hash."""
+    whole = line.rlike(rf"^\[[A-Z][a-z]{{2}}\s+[A-Z][a-z]{{2}}\s+\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}\s+\d{{4}}\]\s+\[({APACHE_LEVELS})\]")
+    leveled = rf"^\[({APACHE_LEVELS})\]\s*(.*)"
+    bare = line.rlike(leveled)
+    content = F.when(bare, F.regexp_extract(line, leveled, 2)).otherwise(line)
+    level = F.when(bare, F.regexp_extract(line, leveled, 1)).when(content.rlike(APACHE_NOTICES), "notice").otherwise("error")
+    time = F.get(F.array(*[F.lit(t) for t in APACHE_TIMES]), F.pmod(F.xxhash64(line), F.lit(len(APACHE_TIMES))).cast("int"))
+    return F.when(whole, line).otherwise(F.concat(time, F.lit(" ["), level, F.lit("] "), F.trim(content)))
 
 
 def types_match(a: Column, b: Column) -> Column:
@@ -113,9 +283,7 @@ def pooled(sources: Sequence[DataFrame], most: int) -> DataFrame:
     return once.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
-def budgeted(selected: DataFrame, most: int, order: Sequence[Column]) -> DataFrame:
-    """The first ``most`` rows of a selection."""
-    return selected.orderBy(*order).limit(most)
-
-
-Picker = Callable[[DataFrame], DataFrame]
+def budgeted(selected: DataFrame, most: int | None, order: Sequence[Column], high_only: bool = False) -> DataFrame:
+    """The first ``most`` rows of a selection; ``high_only``: of those whose ``priority`` is high."""
+    rows = selected.where("priority = 'high'") if high_only else selected
+    return rows if most is None else rows.orderBy(*order).limit(most)

@@ -35,17 +35,17 @@ def entropy_level(groups: DataFrame, threshold: float = 0.35) -> Column:
 
 def is_abstract(general: str, special: str) -> bool:
     """Whether a template, its wildcards standing for runs without white space, fits another."""
-    pattern = r"(\S+?)".join(re.escape(p) for p in general.split(WILDCARD))
+    pattern = r"(\S+?)".join(re.sub(r"(?:\\\s)+", r"\\s+", re.escape(p)) for p in general.split(WILDCARD))
     return re.fullmatch(pattern, special) is not None
 
 
-def abstracts(pairs: DataFrame, general: str, special: str) -> DataFrame:
-    """Adds abstract to distinct pairs of templates."""
+def abstracts(pairs: DataFrame, general: str, special: str, name: str = "abstract") -> DataFrame:
+    """Adds a boolean to distinct pairs of templates."""
     @F.pandas_udf("boolean")
     def test(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([is_abstract(x, y) for x, y in zip(a, b, strict=True)])
 
-    return pairs.withColumn("abstract", test(F.col(general), F.col(special)))
+    return pairs.withColumn(name, test(F.col(general), F.col(special)))
 
 
 def round_robin(lines: DataFrame, key: str, kinds: int, copies: int) -> DataFrame:

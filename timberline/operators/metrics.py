@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.ordering import numbered
+
+from .classify import abstracts
 from .tokens import message_split
 
 
@@ -83,10 +86,15 @@ def set_grouping_accuracy(truth: DataFrame, parsed: DataFrame) -> DataFrame:
     return hit.agg(_share(F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)), F.sum("n")).alias("ga"))
 
 
-def line_accuracy(truth: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Share of lines whose two templates are the same string."""
+def line_accuracy(truth: DataFrame, parsed: DataFrame, lenient: bool = False) -> DataFrame:
+    """Share of lines whose two templates are the same string; ``lenient``: after each of the truth's tokens that
+    holds a wildcard counts as one."""
     both = truth.select("line_id", F.col("template").alias("truth")).join(parsed.select("line_id", F.col("template").alias("parsed")), "line_id")
-    return both.where("truth is not null").agg(F.avg((F.col("truth") == F.col("parsed")).cast("double")).alias("pa"))
+    same = F.col("truth") == F.col("parsed")
+    if lenient:
+        tokens = F.transform(F.split("truth", " "), lambda t: F.when(t.contains("<*>"), "<*>").otherwise(t))
+        same = tokens == F.split("parsed", " ")
+    return both.where("truth is not null").agg(F.avg(same.cast("double")).alias("pa"))
 
 
 def template_level(cells: DataFrame) -> DataFrame:
@@ -98,19 +106,29 @@ def template_level(cells: DataFrame) -> DataFrame:
 
 
 def outcome(cells: DataFrame) -> DataFrame:
-    """(parsed, outcome): SM same, OG one truth is special to it, UG it is special to one truth, MX otherwise.
-
-    A template is more general than another when its tokens match the other's, wildcards any one; that is
-    decided by lengths and by the tokens that both hold.
-    """
-    one = cells.groupBy("parsed").agg(F.count("*").alias("cells"), F.min("truth").alias("truth"))
-    a, b = F.split("parsed", " "), F.split("truth", " ")
-
-    def general(x: Column, y: Column) -> Column:
-        return (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, lambda s, t: (s == t) | s.contains("<*>")), lambda ok: ok)
-
-    kind = F.when((F.col("cells") == 1) & (F.col("truth") == F.col("parsed")), "SM").when(F.col("cells") > 1, F.when(general(a, b), "UG").otherwise("MX"))
-    return one.select("parsed", kind.when(general(a, b), "UG").when(general(b, a), "OG").otherwise("MX").alias("outcome"))
+    """(parsed, outcome): SM when a parsed template's lines all have that same truth. Else every truth of its lines
+    tells OG (the parsed one is more general), UG (the truth is) or MX; if they don't agree, MX."""
+    pairs = abstracts(abstracts(cells.select("parsed", "truth").distinct(), "parsed", "truth", "_over"), "truth", "parsed", "_under")
+    kind = F.when(F.col("_over"), "OG").when(F.col("_under"), "UG").otherwise("MX")
+    by = pairs.groupBy("parsed").agg(F.bool_and(F.col("parsed") == F.col("truth")).alias("_same"), F.min(kind).alias("_low"), F.max(kind).alias("_high"))
+    return by.select("parsed", F.when(F.col("_same"), "SM").when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("MX").alias("outcome"))
+
+
+def outcome_rates(outcomes: DataFrame, truths: int) -> DataFrame:
+    """One row with f1, pta, rta, og, ug and mx of (parsed, outcome), given how many templates the truth has."""
+    of = {k: F.sum((F.col("outcome") == k).cast("bigint")) for k in ("SM", "OG", "UG", "MX")}
+    sums = outcomes.agg(F.count("*").alias("all"), *[v.alias(k) for k, v in of.items()])
+    p, r = _share(F.col("SM"), F.col("all")), _share(F.col("SM"), F.lit(truths))
+    f = F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))
+    return sums.select(f.alias("f1"), p.alias("pta"), r.alias("rta"), *[_share(F.col(k), F.col("all")).alias(k.lower()) for k in ("OG", "UG", "MX")])
+
+
+def by_frequency(templates: DataFrame, percent: float) -> DataFrame:
+    """Of (template, n) the rarest ``percent`` of a hundred, or the most frequent ones where it is below 0."""
+    total = templates.count()
+    share = int(total / 100.0 * abs(percent))
+    rows = numbered(templates, ("n", "template"), "_rank")
+    return rows.where(F.col("_rank") <= share if percent > 0 else F.col("_rank") > total - share).drop("_rank")
 
 
 def complexity(template: Column) -> Column:

@@ -107,7 +107,6 @@ QUERIES = {
         lambda spark, sf_dir: rounded(metrics.template_level(_cells(spark, sf_dir))),
         with_log("log_events", f"{_ERR}, good AS (SELECT parsed FROM wrong GROUP BY parsed HAVING count(DISTINCT truth) = 1 AND min(truth) = parsed), s AS (SELECT (SELECT count(*)::DOUBLE FROM good) AS ok, (SELECT count(DISTINCT parsed)::DOUBLE FROM wrong) AS made, (SELECT count(DISTINCT truth)::DOUBLE FROM wrong) AS truths) SELECT round(ok / made, 6)::DOUBLE AS pta, round(ok / truths, 6)::DOUBLE AS rta, round(CASE WHEN ok = 0 THEN 0 ELSE 2 * (ok / made) * (ok / truths) / (ok / made + ok / truths) END, 6)::DOUBLE AS fta FROM s"),
     ),
-    "a20_outcomes": (lambda spark, sf_dir: metrics.outcome(_cells(spark, sf_dir)), None),
     "j01_matched_templates": (
         lambda spark, sf_dir: (lambda made, true: metrics._keyed(made).join(metrics._keyed(true).select("_key"), "_key", "left_semi").select("template", "n"))(*_lists(spark, sf_dir)),
         with_log("log_events", f"{_LISTS} SELECT template, n FROM made WHERE k IN (SELECT k FROM true_)"),

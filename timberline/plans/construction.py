@@ -66,26 +66,11 @@ def _b12(spark, sf_dir):
     return augment.ranked(_variants(spark, sf_dir), 2).select("origin", "variant", F.col("distance").cast("bigint").alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def _p10(spark, sf_dir):
-    lines = texts(spark, sf_dir).select(F.coalesce(augment.reject_reason(F.col("content")), F.lit("kept")).alias("reason"))
-    return lines.groupBy("reason").agg(F.count("*").alias("n"))
-
-
 def _p12(spark, sf_dir):
     rows = _variants(spark, sf_dir).select(augment.types_match(F.split("content", " "), F.split("variant", " ")).alias("types"), (F.size(F.array_except(F.filter(F.split("content", " "), lambda t: ~clean.is_variable(t)), F.split("variant", " "))) > 0).alias("lost"))
     return rows.groupBy("types", "lost").agg(F.count("*").alias("n"))
 
 
-def _p11(spark, sf_dir):
-    rows = _variants(spark, sf_dir).select(augment.risk(F.col("content"), F.col("variant")).cast("bigint").alias("risk"))
-    return rows.groupBy("risk").agg(F.count("*").alias("n"))
-
-
-def _p09(spark, sf_dir):
-    rows = _variants(spark, sf_dir)
-    return rows.groupBy(augment.same_template(F.col("content"), F.col("variant")).alias("same")).agg(F.count("*").alias("n"))
-
-
 def _e14(spark, sf_dir):
     v = _variants(spark, sf_dir)
     first = v.where("variant like '%twice%'")
@@ -188,15 +173,6 @@ QUERIES = {
         _b12,
         with_log("log_orders", f"{_VAR}, {_AB}, d AS (SELECT origin, variant, {_DIST} AS distance FROM w) SELECT * FROM (SELECT origin, variant, distance::BIGINT AS distance, row_number() OVER (PARTITION BY origin ORDER BY distance, variant) AS rank FROM d) x WHERE rank <= 2"),
     ),
-    "p09_same_template": (_p09, with_log("log_orders", f"{_VAR} SELECT content <> variant AND {_SKEL.replace('{t}', 'content')} = {_SKEL.replace('{t}', 'variant')} AS same, count(*) AS n FROM v GROUP BY 1")),
-    "p10_reject_reasons": (
-        _p10,
-        with_log("log_text", r"SELECT CASE WHEN trim(content) = '' OR regexp_matches(trim(content), '^(#|```|---|\*\*|>)') THEN 'garbage' WHEN regexp_matches(content, 'https?://') THEN 'url' WHEN regexp_matches(content, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}') THEN 'uuid' WHEN regexp_matches(content, '(?:/[\w.-]+){6,}') THEN 'long path' WHEN regexp_matches(content, '^\s*[{\[].*[}\]]\s*$') THEN 'json' WHEN length(content) > 400 THEN 'long' ELSE 'kept' END AS reason, count(*) AS n FROM log GROUP BY 1"),
-    ),
-    "p11_risk_scores": (
-        _p11,
-        with_log("log_orders", f"{_VAR}, {_AB} SELECT ((CASE WHEN length(variant)::DOUBLE / length(content) BETWEEN 0.7::DOUBLE AND 1.3::DOUBLE THEN 0 ELSE 1 END) + (CASE WHEN {_LOST} THEN 2 ELSE 0 END) + (CASE WHEN {_TYPES} THEN 0 ELSE 1 END) + (CASE WHEN {_SKEL.replace('{t}', 'content')} = {_SKEL.replace('{t}', 'variant')} THEN 0 ELSE 2 END))::BIGINT AS risk, count(*) AS n FROM w GROUP BY 1"),
-    ),
     "p12_fixed_and_types": (_p12, with_log("log_orders", f"{_VAR}, {_AB} SELECT {_TYPES} AS types, {_LOST} AS lost, count(*) AS n FROM w GROUP BY 1, 2")),
     "e12_answer_lines": (_e12, with_log("log_orders", "SELECT line_id AS id, 2::BIGINT AS n, content AS low, content AS high FROM log WHERE line_id % 3 = 0")),
     "e14_pooled": (

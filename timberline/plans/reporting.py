@@ -73,12 +73,6 @@ def _t34(spark, sf_dir):
     return events(spark, sf_dir).select("line_id", classify.joined_again(spaced(F.col("content"), ("=", "("))).alias("text"))
 
 
-def _p05(spark, sf_dir):
-    made = miners.template_counts(miners.by_mask(events(spark, sf_dir), MASKS)).select("template")
-    pairs = made.select(F.col("template").alias("general"), F.size(F.split("template", " ")).alias("w")).join(made.select(F.col("template").alias("special"), F.size(F.split("template", " ")).alias("w")), "w")
-    return classify.abstracts(pairs, "general", "special").select("general", "special", "abstract")
-
-
 def _p06b(spark, sf_dir):
     made = miners.template_counts(miners.by_mask(texts(spark, sf_dir), (r"\b\d+\b",)))
     return made.groupBy(metrics.complexity(F.col("template")).cast("bigint").alias("complexity")).agg(F.sum("n").alias("n"), F.count("*").alias("templates"))
@@ -102,7 +96,6 @@ QUERIES = {
     "j05_diversity_of_runs": (_j05, with_log("log_orders", f"{_RUNS} SELECT r.dataset, round(pa, 6)::DOUBLE AS pa, round(ld, 6)::DOUBLE AS ld FROM runs r LEFT JOIN (SELECT 'd' || i AS dataset, i / 10.0::DOUBLE AS ld FROM range(0, 12, 2) t(i)) l ON r.dataset = l.dataset")),
     "j07_deltas": (_j07, with_log("log_orders", f"{_RUNS} SELECT dataset, round(pa, 6)::DOUBLE AS pa_before, round(pa * 1.5::DOUBLE, 6)::DOUBLE AS pa_after, round(pa * 1.5::DOUBLE - pa, 6)::DOUBLE AS pa_delta FROM runs WHERE dataset <> 'd3'")),
     "k06_merged_levels": (_k06, with_log("log_orders", f"{_RUNS} SELECT dataset, round(CASE WHEN dataset IN ('d1', 'd2') THEN 0.5 ELSE pa END, 6)::DOUBLE AS pa FROM runs")),
-    "p05_abstract_pairs": (_p05, None),
     "p06_by_complexity": (_p06b, with_log("log_text", f"m AS (SELECT regexp_replace(content, {q(chr(92) + 'b[0-9]+' + chr(92) + 'b')}, '<*>', 'g') AS t, count(*) AS n FROM log GROUP BY 1), c AS (SELECT n, len(regexp_extract_all(t, '<[*]>')) AS k FROM m) SELECT (CASE WHEN k = 0 THEN 1 WHEN k <= 4 THEN 2 ELSE 3 END)::BIGINT AS complexity, sum(n)::BIGINT AS n, count(*) AS templates FROM c GROUP BY 1")),
     "p13_entropy_levels": (
         _p13,
