@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Sets a folder for checkpoints where the session has none."""
+    """Sets a folder for checkpoints where a local session has none; a cluster must name one that its machines share."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="timberline-"))
 
 

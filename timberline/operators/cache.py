@@ -137,6 +137,11 @@ class TemplateCache:
         self._store(len(self.templates) - 1)
         return len(self.templates) - 1
 
+    def restore(self, template: str) -> None:
+        """A template that was known before, under the next number."""
+        self.templates.append(template)
+        self._store(len(self.templates) - 1)
+
     def number(self, content: str, source: TemplateOracle) -> int:
         found, similar = self.find(split(content))
         if found is not None:
@@ -144,20 +149,29 @@ class TemplateCache:
         return self.add(source.template(content, [self.templates[k] for k in similar]), similar)
 
 
-def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | None = None) -> DataFrame:
+def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """(line_id, template), one cache for each ``key`` (or for the whole log), lines in order; a line whose
-    template is empty or bare has ``<*>``."""
+    template is empty or bare has ``<*>``.
+
+    ``known``: (cache, number, template) that caches start with, such as :func:`templates_of` gave before and a table
+    has kept; so a log can be read on from where it was left."""
     source = source or Rules()
 
-    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
+    def mine(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         pdf, cache = pdf.sort_values("line_id"), TemplateCache()
-        known: dict[str, int] = {}
-        numbers = []
-        for content in pdf["content"]:
-            k = cache.number(content, source)
-            known[content] = k
-            numbers.append(k)
-        return pd.DataFrame({"line_id": pdf["line_id"], "template": [cache.templates[k] if k >= 0 else WILDCARD for k in numbers]})
-
-    rows = lines.select("line_id", "content", (F.col(key) if key else F.lit(0)).alias("cache"))
-    return rows.groupBy("cache").applyInPandas(mine, "line_id bigint, template string")
+        for template in start.sort_values("number")["template"]:
+            cache.restore(template)
+        numbers = [cache.number(content, source) for content in pdf["content"]]
+        return pd.DataFrame({"line_id": pdf["line_id"], "number": numbers, "template": [cache.templates[k] if k >= 0 else WILDCARD for k in numbers], "cache": pdf["cache"]})
+
+    rows = lines.select("line_id", "content", (F.col(key).cast("string") if key else F.lit("")).alias("cache"))
+    held = known.select("cache", "number", "template") if known is not None else lines.sparkSession.createDataFrame([], "cache string, number bigint, template string")
+    found = rows.groupBy("cache").cogroup(held.groupBy("cache")).applyInPandas(mine, "line_id bigint, number bigint, template string, cache string")
+    return found.select("line_id", "template", "number", "cache") if known is not None else found.select("line_id", "template")
+
+
+def templates_of(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(cache, number, template): what a cache holds after :func:`cached` with ``known``: of each number its latest
+    template, which is that of its last lines, or the one known before."""
+    new = found.where("number >= 0").groupBy("cache", "number").agg(F.max("template").alias("new"))
+    return known.select("cache", "number", "template").join(new, ["cache", "number"], "full").select("cache", "number", F.coalesce("new", "template").alias("template"))

@@ -26,16 +26,19 @@ def entropy_of_counts(counts: Column) -> Column:
     return F.when(total <= 1, F.lit(0.0)).otherwise(F.coalesce(terms / F.nullif(F.log(total.cast("double")), F.lit(0.0)), F.lit(0.0)))
 
 
-def values_at_variables(assigned: DataFrame, literals: Sequence[str] = (), template: str = "template") -> DataFrame:
-    """(template, group_size, position, value): the value tokens of each line at its template's variables.
+def values_at_variables(assigned: DataFrame, literals: Sequence[str] = (), template: str = "template", times: str | None = None) -> DataFrame:
+    """(template, group_size, position, value): the value tokens of each line at its template's variables; ``times``:
+    how many lines a row stands for.
 
     Positions past a line's tokens are left out. Group sizes come from a count by template, not a window.
     """
-    sizes = assigned.groupBy(template).agg(F.count("*").alias("group_size"))
+    n = F.col(times) if times else F.lit(1)
+    assigned = assigned.select(template, "content", n.cast("bigint").alias("_n"))
+    sizes = assigned.groupBy(template).agg(F.sum("_n").alias("group_size"))
     positions = variable_positions(F.split(F.col(template), " "))
-    spread = assigned.select(template, value_tokens(F.col("content"), literals).alias("tokens"), F.explode(positions).alias("position"))
-    values = spread.where(F.col("position") < F.size("tokens")).select(template, "position", F.get("tokens", F.col("position")).alias("value"))
-    counts = values.groupBy(template, "position", "value").agg(F.count("*").alias("n"))
+    spread = assigned.select(template, "_n", value_tokens(F.col("content"), literals).alias("tokens"), F.explode(positions).alias("position"))
+    values = spread.where(F.col("position") < F.size("tokens")).select(template, "_n", "position", F.get("tokens", F.col("position")).alias("value"))
+    counts = values.groupBy(template, "position", "value").agg(F.sum("_n").alias("n"))
     return counts.join(sizes, template)
 
 
@@ -102,12 +105,23 @@ def calibration(levels: DataFrame) -> DataFrame:
 
 def estimated_groups(lines: DataFrame, literals: Sequence[str] = ()) -> DataFrame:
     """(key, group_size, diversity) of the coarse groups of contents; the mean entropy over variable positions."""
-    keyed = lines.select("content", coarse_key(F.col("content"), literals).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("group_size"))
-    scores = position_scores(values_at_variables(keyed, literals, "key"), "key").groupBy("key").agg(F.avg("entropy").alias("diversity"))
+    once = lines.groupBy("content").agg(F.count("*").alias("n"))
+    keyed = once.select("content", "n", coarse_key(F.col("content"), literals).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.sum("n").alias("group_size"))
+    scores = position_scores(values_at_variables(keyed, literals, "key", "n"), "key").groupBy("key").agg(F.avg("entropy").alias("diversity"))
     return sizes.join(scores, "key", "left").select("key", "group_size", F.coalesce("diversity", F.lit(0.0)).alias("diversity"))
 
 
+def low_groups(groups: DataFrame, below: float = LOW) -> DataFrame:
+    """The groups that are of low diversity; a group at the bound is none."""
+    return groups.where(F.col("diversity") < below)
+
+
+def triggers(ld: Column, trigger: float = LOW) -> Column:
+    """Whether a log of this diversity shall be augmented; at the bound it shall."""
+    return ld <= trigger
+
+
 def estimated_diversity(groups: DataFrame) -> DataFrame:
     """One row: global_ld, low_groups (below LOW), groups."""
     return groups.agg(

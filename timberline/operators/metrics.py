@@ -6,12 +6,15 @@ so that no list is ever paired with the whole of the other.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.ordering import numbered
 
 from .classify import abstracts
+from .clean import fully_corrected, template_id
 from .tokens import message_split
 
 
@@ -135,3 +138,35 @@ def complexity(template: Column) -> Column:
     """1 without variables, 2 with up to four, 3 with more."""
     n = F.regexp_count(template, F.lit(r"<\*>"))
     return F.when(n == 0, 1).when(n <= 4, 2).otherwise(3)
+
+
+def first_of_event(lines: DataFrame) -> DataFrame:
+    """(event_id, template, first_content, n) of (line_id, content, template): each event's first line."""
+    first = lines.groupBy("template").agg(F.min(F.struct("line_id", "content")).alias("_first"), F.count("*").alias("n"))
+    return first.select(template_id(F.col("template")).alias("event_id"), "template", F.col("_first.content").alias("first_content"), "n")
+
+
+def corrected_events(events: DataFrame, words: Sequence[str] = ()) -> DataFrame:
+    """(event_id, first_id, corrected) of (event_id, template): templates that are equal after full correction get
+    the first of their ids, as strings."""
+    fixed = events.select("event_id", fully_corrected(F.col("template"), words).alias("corrected"))
+    return fixed.join(fixed.groupBy("corrected").agg(F.min("event_id").alias("first_id")), "corrected").select("event_id", "first_id", "corrected")
+
+
+def corrected_lines(lines: DataFrame, words: Sequence[str] = ()) -> DataFrame:
+    """(line_id, event_id, template) with corrected ids and templates of (line_id, event_id, template); each event is
+    corrected once. Lines without a template are left out."""
+    events = lines.where("template is not null").groupBy("event_id").agg(F.min("template").alias("template"))
+    return lines.select("line_id", "event_id").join(corrected_events(events, words), "event_id").select("line_id", F.col("first_id").alias("event_id"), F.col("corrected").alias("template"))
+
+
+def unmatched(standard: DataFrame, made: DataFrame) -> DataFrame:
+    """The standard templates that no made one equals by tokens."""
+    return _keyed(standard).join(_keyed(made).select("_key").distinct(), "_key", "left_anti").drop("_key")
+
+
+def back_projected(lines: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Lines with event_id (E1, E2 ... in the order of their templates' first lines) and template."""
+    events = numbered(assigned.groupBy("template").agg(F.min("line_id").alias("_first")), ("_first",), "_k")
+    ids = events.select("template", F.concat(F.lit("E"), F.col("_k").cast("string")).alias("event_id"))
+    return lines.join(assigned.select("line_id", "template").join(ids, "template"), "line_id")

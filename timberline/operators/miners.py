@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import WILDCARD, last_masked, anchor_text, masked, normalised, one_spaced, spaced, without
+from timberline.functions.ordering import with_checkpoints
+
+from .clean import WILDCARD, anchor_text, coarse_key, last_masked, masked, normalised, one_spaced, spaced, without
 from .tokens import message_split, plain_tokens
 
 
@@ -21,9 +23,10 @@ def template_counts(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("template").agg(F.count("*").alias("n"))
 
 
-def distinct_contents(lines: DataFrame, text: Column) -> DataFrame:
-    """(text, n, first_line) of equal texts: what miners work on, so that repeated lines cost nothing."""
-    return lines.groupBy(text.alias("text")).agg(F.count("*").alias("n"), F.min("line_id").alias("first_line"))
+def distinct_contents(lines: DataFrame, text: Column, key: Sequence[str] = ()) -> DataFrame:
+    """(text, n, first_line) of equal texts (of equal ``key``, such as a data set): what miners work on, so that
+    repeated lines cost nothing."""
+    return lines.groupBy(*key, text.alias("text")).agg(F.count("*").alias("n"), F.min("line_id").alias("first_line"))
 
 
 # ---- positional frequencies -------------------------------------------------------------------------
@@ -38,38 +41,54 @@ def positional_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select("n", F.posexplode(F.split("text", " ")).alias("pos", "tok")).groupBy("pos", "tok").agg(F.sum("n").alias("freq"))
 
 
-def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: int = 4, digits_vary: bool = False) -> DataFrame:
-    """Positional-frequency mining over masked, de-duplicated contents.
+def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: int = 4, digits_vary: bool = False, key: Sequence[str] = ()) -> DataFrame:
+    """Positional-frequency mining over masked, de-duplicated contents, for each log that ``key`` tells apart.
 
     Each content's root is the frequency that most of its tokens have (of equals, the one that comes
     first); contents with equal length, root and root count are a group. Where the group's first content
     has another frequency than the root, a position with ``threshold`` distinct tokens or more makes all
     of them variable, anywhere in the group. Tokens with a slash or a mask, and numbers, are variable too.
 
-    Masking comes before de-duplication, so that frequencies are sums of counts. Tokens are numbered by
-    (pos, tok) joins, which are shuffled, as their table may be as large as the data.
+    Masking comes before de-duplication, so that frequencies are sums of counts. Contents travel by the number of
+    their first line: one join by (pos, tok) finds frequencies, one regrouping puts the tokens of a content into
+    one row, and the rest works on rows and on small tables by group.
     """
-    keyed = lines.select("line_id", brain_text(F.col("content"), masks, removed, literals).alias("text"))
-    texts = distinct_contents(keyed, F.col("text"))
-    freq = positional_frequencies(texts)
-    spread = texts.select("text", "first_line", F.size(F.split("text", " ")).alias("width"), F.posexplode(F.split("text", " ")).alias("pos", "tok"))
-    placed = spread.join(freq, ["pos", "tok"])
-    by_freq = placed.groupBy("text", "first_line", "width", "freq").agg(F.count("*").alias("times"), F.min("pos").alias("at"))
-    root = by_freq.groupBy("text", "first_line", "width").agg(F.max(F.struct("times", (-F.col("at")).alias("early"), "freq")).alias("root"))
-    rooted = root.select("text", "first_line", "width", F.col("root.freq").alias("root"), F.col("root.times").alias("root_times"))
-    group = ["width", "root", "root_times"]
-    # the first content of each group, and where it leaves the root
-    first = rooted.groupBy(*group).agg(F.min("first_line").alias("lead"))
-    tokens = placed.join(rooted.select("text", "root", "root_times"), "text")
-    open_ = tokens.join(first, group).where("first_line = lead and freq != root").select(*group, "pos")
-    at_open = tokens.join(open_, [*group, "pos"]).select(*group, "pos", "tok").distinct()
-    many = at_open.groupBy(*group, "pos").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= threshold)
-    variable = at_open.join(many, [*group, "pos"]).select(*group, "tok").distinct().withColumn("varies", F.lit(True))
-    own = F.col("tok").contains("/") | F.col("tok").contains(WILDCARD) | F.col("tok").rlike(r"^-?\d+$")
-    own = own | F.col("tok").rlike(r"\d") if digits_vary else own
-    said = tokens.join(variable, [*group, "tok"], "left").select("text", "pos", F.when(own | F.coalesce("varies", F.lit(False)), WILDCARD).otherwise(F.col("tok")).alias("out"))
-    templates = said.groupBy("text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda s: s["out"]), " ").alias("template"))
-    return keyed.join(templates, "text").select("line_id", "template")
+    key = list(key)
+    keyed = lines.select(*key, "line_id", brain_text(F.col("content"), masks, removed, literals).alias("text"))
+    texts = distinct_contents(keyed, F.col("text"), key)
+    spread = texts.select(*key, "n", F.col("first_line").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "tok"))
+    freq = spread.groupBy(*key, "pos", "tok").agg(F.sum("n").alias("freq"))
+    placed = spread.drop("n").join(freq, [*key, "pos", "tok"])
+    rows = placed.groupBy(*key, "id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "freq"))).alias("t"))
+    rows = rows.withColumn("freqs", F.transform("t", lambda x: x["freq"])).withColumn("kinds", F.array_distinct("freqs"))
+    rows = rows.withColumn("times", F.transform("kinds", lambda f: F.size(F.filter("freqs", lambda x: x == f))))
+    rows = rows.withColumn("root_times", F.array_max("times")).withColumn("root", F.expr("kinds[array_position(times, root_times) - 1]"))
+    with_checkpoints(lines.sparkSession)
+    rows = rows.select(*key, "id", "t", F.size("t").alias("width"), "root", "root_times").checkpoint()
+    group = [*key, "width", "root", "root_times"]
+    # where the first content of each group leaves the root
+    leaves = F.filter(F.transform("t", lambda x: F.when(x["freq"] != F.col("root"), x["pos"])), lambda p: p.isNotNull())
+    leads = rows.groupBy(*group).agg(F.min(F.struct("id", leaves.alias("open"))).alias("lead")).select(*group, F.explode("lead.open").alias("pos"))
+    spots = leads.groupBy(*group).agg(F.collect_list("pos").alias("open"))
+    held = rows.join(spots, group).select(*group, F.explode(F.filter("t", lambda x: F.array_contains("open", x["pos"]))).alias("x")).select(*group, "x.pos", "x.tok").distinct()
+    many = held.groupBy(*group, "pos").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= threshold).select(*group, "pos").checkpoint()
+    varying = held.join(many, [*group, "pos"]).select(*group, "tok").distinct()
+    spots = many.groupBy(*group).agg(F.collect_list("pos").alias("many"))
+    own = lambda tok: tok.contains("/") | tok.contains(WILDCARD) | tok.rlike(r"^-?\d+$") | (tok.rlike(r"\d") if digits_vary else F.lit(False))
+    rows = rows.join(spots, group, "left").withColumn("many", F.coalesce("many", F.array().cast("array<int>")))
+    # tokens that vary at one place of their group and stand at another one too
+    others = rows.select(*group, F.explode(F.filter("t", lambda x: ~F.array_contains("many", x["pos"]) & ~own(x["tok"]))).alias("x")).select(*group, "x.tok")
+    both = others.distinct().join(varying, [*group, "tok"], "left_semi").checkpoint()
+    out = lambda x: F.when(F.array_contains("many", x["pos"]) | own(x["tok"]), WILDCARD).otherwise(x["tok"])
+    plain = rows.withColumn("out", F.transform("t", out))
+    if not both.isEmpty():
+        seen = plain.select(*key, "id", *group[len(key) :], F.posexplode("out").alias("pos", "tok")).join(both, [*group, "tok"], "left_semi")
+        seen = seen.groupBy(*key, "id").agg(F.collect_list("pos").alias("more"))
+        plain = plain.join(seen, [*key, "id"], "left")
+        plain = plain.withColumn("out", F.when(F.col("more").isNull(), F.col("out")).otherwise(F.transform("out", lambda x, i: F.when(F.array_contains("more", i), WILDCARD).otherwise(x))))
+    text = F.array_join(F.transform("t", lambda x: x["tok"]), " ")
+    templates = plain.select(*key, text.alias("text"), F.array_join("out", " ").alias("template"))
+    return keyed.join(templates, [*key, "text"]).select(*key, "line_id", "template")
 
 
 # ---- n-grams ----------------------------------------------------------------------------------------
@@ -118,39 +137,57 @@ def logram(lines: DataFrame, masks: Sequence[str] = (), bigram_threshold: int =
 # ---- word anchors -----------------------------------------------------------------------------------
 
 
-def anchor_frequencies(texts: DataFrame) -> DataFrame:
+def anchor_frequencies(texts: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """(width, pos, word, freq) of distinct texts: how many hold a word at a place; wildcards are none."""
     from .tokens import anchors
 
-    spread = texts.select(F.size(anchors(F.col("text"))).alias("width"), F.posexplode(anchors(F.col("text"))).alias("pos", "word"))
-    return spread.where(F.col("word") != WILDCARD).groupBy("width", "pos", "word").agg(F.count("*").alias("freq"))
+    spread = texts.select(*key, F.size(anchors(F.col("text"))).alias("width"), F.posexplode(anchors(F.col("text"))).alias("pos", "word"))
+    return spread.where(F.col("word") != WILDCARD).groupBy(*key, "width", "pos", "word").agg(F.count("*").alias("freq"))
+
 
+def _anchor_groups(lines: DataFrame, masks, removed, literals, clean: bool, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines with their cleaned texts; distinct texts with their width and the first pass's minimum of their log."""
+    text = anchor_text(F.col("content"), masks, removed, literals) if clean else F.col("content")
+    keyed = lines.select(*key, "line_id", text.alias("text"))
+    texts = distinct_contents(keyed, F.col("text"), key).select(*key, "text")
+    least = anchor_frequencies(texts, key).groupBy(*key).agg(F.min("freq").cast("int").alias("least"))
+    sized = texts.withColumn("width", F.size(F.split("text", " ")))
+    if key:
+        sized = sized.join(least, key, "left")
+    else:
+        sized = sized.crossJoin(F.broadcast(least))  # one row
+    return keyed, sized.withColumn("least", F.coalesce("least", F.lit(0)))
 
-def by_anchors(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4, clean: bool = True) -> DataFrame:
-    """Anchor mining to a fixpoint: in each pass the rarest anchors of all become wildcards, and a text whose
-    share of wildcards exceeds ``threshold`` leaves with the text from before the pass.
+
+def by_anchors(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4, clean: bool = True, key: Sequence[str] = ()) -> DataFrame:
+    """Anchor mining to a fixpoint, for each log that ``key`` tells apart: in each pass the rarest anchors of all
+    become wildcards, and a text whose share of wildcards exceeds ``threshold`` leaves with the text from before the pass.
 
     The first pass takes the minimum over all lengths; after it lengths don't meet, so each length runs to
     its own fixpoint in one group of distinct texts.
     """
-    text = anchor_text(F.col("content"), masks, removed, literals) if clean else F.col("content")
-    keyed = lines.select("line_id", text.alias("text"))
-    texts = distinct_contents(keyed, F.col("text")).select("text")
-    least = anchor_frequencies(texts).agg(F.coalesce(F.min("freq"), F.lit(0)).cast("int").alias("least"))
-    sized = texts.withColumn("width", F.size(F.split("text", " "))).crossJoin(F.broadcast(least))  # one row
-    found = sized.groupBy("width").applyInPandas(lambda pdf: _fixpoint(pdf, threshold), "text string, template string")
-    return keyed.join(found, "text").select("line_id", "template")
+    key = list(key)
+    keyed, sized = _anchor_groups(lines, masks, removed, literals, clean, key)
 
+    def mine(pdf):
+        import pandas as pd
 
-def _fixpoint(pdf, threshold: float):
-    """(text, template) of one length's distinct texts; the column ``least`` is the first pass's minimum."""
-    import re
+        done = [(o, t) for _, _, left in _passes(pdf["text"], int(pdf["least"].iloc[0]), threshold) for t, origins in left for o in origins]
+        out = pd.DataFrame(done, columns=["text", "template"])
+        return out.assign(**{c: pdf[c].iloc[0] for c in key})[[*key, "text", "template"]]
+
+    kinds = ", ".join(f"{c} {dict(lines.dtypes)[c]}" for c in key)
+    found = sized.groupBy(*key, "width").applyInPandas(mine, f"{kinds + ', ' if kinds else ''}text string, template string")
+    return keyed.join(found, [*key, "text"]).select(*key, "line_id", "template")
 
-    import pandas as pd
+
+def _passes(texts, least: int, threshold: float):
+    """Of one length's distinct texts, for each pass: its minimum, how many texts go on, and (template, origins) of those that leave."""
+    import re
 
     word = re.compile(r"\S+=|\S+")
-    held = {t: [t] for t in pdf["text"]}
-    least, done = int(pdf["least"].iloc[0]), []
+    held = {t: [t] for t in texts}
+    first = True
     while held:
         split = {t: word.findall(t) for t in held}
         counts: dict[tuple[int, int, str], int] = {}
@@ -159,11 +196,11 @@ def _fixpoint(pdf, threshold: float):
                 if w != WILDCARD:
                     counts[len(words), k, w] = counts.get((len(words), k, w), 0) + 1
         if not counts:
-            done += held.items()
-            break
-        low = min(counts.values()) if least is None else least
-        least = None
-        after: dict[str, list[str]] = {}
+            yield 0, 0, list(held.items())
+            return
+        low = least if first else min(counts.values())
+        first = False
+        done, after = [], {}
         for t, origins in held.items():
             words = split[t]
             new = [WILDCARD if w == WILDCARD or counts[len(words), k, w] == low else w for k, w in enumerate(words)]
@@ -171,8 +208,8 @@ def _fixpoint(pdf, threshold: float):
                 done.append((t, origins))  # as it was before this pass
             else:
                 after.setdefault(" ".join(new), []).extend(origins)
+        yield low, len(after), done
         held = after
-    return pd.DataFrame([(o, t) for t, origins in done for o in origins], columns=["text", "template"])
 
 
 # ---- column consensus -------------------------------------------------------------------------------
@@ -180,9 +217,10 @@ def _fixpoint(pdf, threshold: float):
 
 def consensus(lines: DataFrame, key: str) -> DataFrame:
     """(key, template, n): a token that all lines of a group have at a place stays, all else is a wildcard."""
-    split = lines.select(key, message_split(normalised(F.col("content"))).alias("tokens"))
-    sizes = split.groupBy(key).agg(F.count("*").alias("n"))
-    at = split.select(key, F.posexplode("tokens").alias("pos", "tok")).groupBy(key, "pos").agg(F.count("*").alias("there"), F.min("tok").alias("low"), F.max("tok").alias("high"))
+    once = lines.groupBy(key, "content").agg(F.count("*").alias("c"))
+    split = once.select(key, "c", message_split(normalised(F.col("content"))).alias("tokens"))
+    sizes = split.groupBy(key).agg(F.sum("c").alias("n"))
+    at = split.select(key, "c", F.posexplode("tokens").alias("pos", "tok")).groupBy(key, "pos").agg(F.sum("c").alias("there"), F.min("tok").alias("low"), F.max("tok").alias("high"))
     said = at.join(sizes, key).select(key, "pos", F.when((F.col("there") == F.col("n")) & (F.col("low") == F.col("high")) & ~F.col("low").isin(WILDCARD, "*"), F.col("low")).otherwise(WILDCARD).alias("out"))
     rows = said.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda s: s["out"]).alias("parts"))
     once = F.filter("parts", lambda t, i: ~((t == WILDCARD) & (i > 0) & (F.get(F.col("parts"), i - 1) == WILDCARD)))
@@ -205,6 +243,45 @@ def by_normalised_anchors(lines: DataFrame, masks: Sequence[str] = (), removed:
     return own.select("line_id", "group").join(consensus(own, "group").select("group", "template"), "group").select("line_id", "template")
 
 
+def chosen_groups(lines: DataFrame, literals: Sequence[str] = (), below: float = 0.35, most: int = 8) -> DataFrame:
+    """(rank, key, group_size, diversity, line_id, content) of the groups that variants shall be made for: those of
+    the lowest diversity, then the smallest, with their first line as a seed."""
+    from . import diversity
+
+    groups = diversity.low_groups(diversity.estimated_groups(lines, literals), below)
+    keyed = lines.select("line_id", "content", coarse_key(F.col("content"), literals).alias("key"))
+    seeds = keyed.groupBy("key").agg(F.min(F.struct("line_id", "content")).alias("seed"))
+    best = groups.join(seeds, "key").orderBy("diversity", "group_size", "seed.line_id").limit(most)
+    rank = F.row_number().over(Window.orderBy("diversity", "group_size", "seed.line_id"))  # ``most`` rows
+    return best.select(rank.alias("rank"), "key", "group_size", "diversity", "seed.line_id", "seed.content")
+
+
+def adaptive(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4, source=None, trigger: float = 0.35, most: int = 8, variants: int = 10, known_ld: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Anchor mining that first estimates the log's diversity: (line_id, template), and one row about the run.
+
+    Where ``source`` (a VariantSource) is given and the diversity (``known_ld``, or the estimate) is at ``trigger``
+    or below, variants of the seeds of the lowest groups take part in the mining, under ids below 0: the first
+    variant of the first group is -100001. They are in no result.
+    """
+    from . import diversity
+
+    spark = lines.sparkSession
+    estimate = diversity.estimated_diversity(diversity.estimated_groups(lines, literals)).first()  # one row
+    ld = estimate["global_ld"] if known_ld is None else known_ld
+    enabled, made = source is not None and ld <= trigger, None
+    if enabled:
+        seeds = chosen_groups(lines, literals, most=most).select(F.col("rank").alias("line_id"), "content")
+        each = source.variants(seeds, variants).where(F.trim("variant") != "")
+        number = F.row_number().over(Window.partitionBy("origin").orderBy("variant"))
+        made = each.select((-(F.col("origin") * 100_000 + number)).cast("bigint").alias("line_id"), F.col("variant").alias("content"))
+        with_checkpoints(spark)
+        made = made.checkpoint()
+    found = by_normalised_anchors(lines, masks, removed, literals, threshold, made)
+    row = (lines.count(), float(ld), float(estimate["global_ld"]), estimate["low_groups"], estimate["groups"], made.count() if enabled else 0, enabled, float(trigger))
+    names = "input_lines bigint, global_ld double, estimated_ld double, low_groups bigint, coarse_groups bigint, generated_lines bigint, enabled boolean, trigger double"
+    return found, spark.createDataFrame([row], names)
+
+
 def sweep(lines: DataFrame, standard: DataFrame, thresholds: Sequence[float], **settings) -> DataFrame:
     """(threshold, pa, pta, rta, templates) of the anchor miner for a few thresholds."""
     from .metrics import template_accuracy
@@ -218,6 +295,36 @@ def sweep(lines: DataFrame, standard: DataFrame, thresholds: Sequence[float], **
     return rows
 
 
+def trace(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4) -> DataFrame:
+    """(step, n): distinct texts at first, after cleaning, and after each pass of the anchor miner (pass 1, 2 ...).
+
+    A pass of the whole log is one of those lengths whose minimum is the smallest then; lengths tell their own
+    passes, of which there are few, and the driver puts them in order."""
+    spark = lines.sparkSession
+    keyed, sized = _anchor_groups(lines, masks, removed, literals, True, [])
+
+    def told(pdf):
+        import pandas as pd
+
+        steps = [(int(pdf["width"].iloc[0]), k, low, left) for k, (low, left, _) in enumerate(_passes(pdf["text"], int(pdf["least"].iloc[0]), threshold))]
+        return pd.DataFrame(steps, columns=["width", "step", "low", "left"])
+
+    by: dict[int, list] = {}
+    for r in sized.groupBy("width").applyInPandas(told, "width int, step int, low int, left bigint").collect():
+        by.setdefault(r["width"], []).append((r["step"], r["low"], r["left"]))
+    waiting = {w: sorted(steps) for w, steps in by.items()}
+    left, passes, first = {w: 0 for w in by}, [], True
+    while any(waiting.values()):
+        low = min(steps[0][1] for steps in waiting.values() if steps)
+        for w, steps in waiting.items():
+            if steps and (first or steps[0][1] == low):
+                left[w] = steps.pop(0)[2]
+        first = False
+        passes.append(sum(left.values()))
+    rows = [("initial", lines.select("content").distinct().count()), ("cleaned", keyed.select("text").distinct().count())]
+    return spark.createDataFrame(rows + [(f"pass {k}", n) for k, n in enumerate(passes, 1)], "step string, n bigint")
+
+
 def cleaning_trace(lines: DataFrame, masks: Sequence[str] = (), literals: Sequence[str] = ()) -> DataFrame:
     """(step, n): distinct texts at first and after cleaning, before the first pass."""
     steps = (("initial", F.col("content")), ("cleaned", anchor_text(F.col("content"), masks, (), literals)))

@@ -68,16 +68,24 @@ class ParseTree:
         return len(self.templates) - 1
 
 
-def drain(lines: DataFrame, masks: Sequence[str] = (), depth: int = 4, similarity: float = 0.5) -> DataFrame:
-    """(line_id, template) by parse trees, one for each token count."""
-    rows = lines.select("line_id", plain_tokens(masked(F.col("content"), masks)).alias("tokens")).withColumn("width", F.size("tokens"))
+def _mined(rows: DataFrame, group: Sequence[str], key: Sequence[str], start, kinds: dict[str, str]) -> DataFrame:
+    """(key, line_id, template) by one state for each group, which reads its lines in order."""
+    key = list(key)
 
     def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, tree = pdf.sort_values("line_id"), ParseTree(depth, similarity)
-        cluster = [tree.add(list(t)) for t in pdf["tokens"]]
-        return pd.DataFrame({"line_id": pdf["line_id"], "template": [" ".join(tree.templates[k]) for k in cluster]})
+        pdf, state = pdf.sort_values("line_id"), start()
+        cluster = [state.add(list(t)) for t in pdf["tokens"]]
+        made = [" ".join(t) for t in state.templates]
+        return pd.DataFrame({**{c: pdf[c] for c in key}, "line_id": pdf["line_id"], "template": [made[k] for k in cluster]})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), "line_id bigint", "template string"])
+    return rows.groupBy(*group).applyInPandas(mine, schema)
 
-    return rows.groupBy("width").applyInPandas(mine, "line_id bigint, template string")
+
+def drain(lines: DataFrame, masks: Sequence[str] = (), depth: int = 4, similarity: float = 0.5, key: Sequence[str] = ()) -> DataFrame:
+    """(line_id, template) by parse trees, one for each token count of each log that ``key`` tells apart."""
+    rows = lines.select(*key, "line_id", plain_tokens(masked(F.col("content"), masks)).alias("tokens")).withColumn("width", F.size("tokens"))
+    return _mined(rows, [*key, "width"], key, lambda: ParseTree(depth, similarity), dict(lines.dtypes))
 
 
 def common(a: Sequence[str], b: Sequence[str]) -> list[str]:
@@ -191,13 +199,7 @@ def refined(shared: Iterable[str], template: Sequence[str]) -> list[str]:
     return out
 
 
-def spell(lines: DataFrame, masks: Sequence[str] = (), tau: float = 0.5) -> DataFrame:
-    """(line_id, template); equal token lists are looked up once in a row of equal ones only, as order counts."""
-    rows = lines.select("line_id", spell_tokens(masked(F.col("content"), masks)).alias("tokens"), F.lit(0).alias("log"))
-
-    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values("line_id"), Subsequences(tau)
-        cluster = [state.add(list(t)) for t in pdf["tokens"]]
-        return pd.DataFrame({"line_id": pdf["line_id"], "template": [" ".join(state.templates[k]) for k in cluster]})
-
-    return rows.groupBy("log").applyInPandas(mine, "line_id bigint, template string")
+def spell(lines: DataFrame, masks: Sequence[str] = (), tau: float = 0.5, key: Sequence[str] = ()) -> DataFrame:
+    """(line_id, template), one state for each log that ``key`` tells apart (or for all lines)."""
+    rows = lines.select(*key, "line_id", spell_tokens(masked(F.col("content"), masks)).alias("tokens"), F.lit(0).alias("log"))
+    return _mined(rows, [*key, "log"], key, lambda: Subsequences(tau), dict(lines.dtypes))

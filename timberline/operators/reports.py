@@ -48,11 +48,35 @@ def with_diversity(rows: DataFrame, diversity: DataFrame, keys: Sequence[str], s
     return rows.join(diversity, list(keys), "left")
 
 
+def parser_averages(runs: DataFrame, level: str, numbers: Sequence[str], levels: int | None = None) -> DataFrame:
+    """Means of successful runs by level, and an AVERAGE row over all runs; ``levels``: as many there must be."""
+    sums = runs.rollup(level).agg(*[F.avg(c).alias(c) for c in numbers], F.count(numbers[0]).alias("runs"), F.grouping(level).alias("_all"))
+    out = sums.select(F.when(F.col("_all") == 1, "AVERAGE").otherwise(F.col(level).cast("string")).alias(level), *numbers, "runs")
+    if levels is not None and (found := runs.select(level).distinct().count()) != levels:
+        raise ValueError(f"{found} levels, not {levels}")
+    return out
+
+
+def estimate_errors(rows: DataFrame, level: str, truth: str, guess: str, trigger: float = 0.35) -> DataFrame:
+    """By level: how many, means of truth and estimate, the mean absolute error, and how often both are on one side of the trigger."""
+    agree = ((F.col(truth) <= trigger) == (F.col(guess) <= trigger)).cast("double")
+    return rows.groupBy(level).agg(
+        F.count("*").alias("datasets"), F.avg(truth).alias("mean_truth"), F.avg(guess).alias("mean_estimate"), F.avg(F.abs(F.col(truth) - F.col(guess))).alias("mae"), F.avg(agree).alias("agreement")
+    )
+
+
+def means_transposed(rows: DataFrame, numbers: Sequence[str], digits: int = 3) -> DataFrame:
+    """(measure, mean): one row for each numeric column."""
+    means = rows.agg(*[F.round(F.avg(c), digits).cast("double").alias(c) for c in numbers])
+    return means.unpivot([], list(numbers), "measure", "mean")
+
+
 def write_lines(lines: DataFrame, path: str, order: str = "line_id", line: str = "line") -> None:
     """Text files in the order of a column: one file for each range of it, named in order."""
     lines.repartitionByRange(order).sortWithinPartitions(order).select(line).write.text(path)
 
 
 def write_table(rows: DataFrame, path: str) -> None:
-    """CSV with a header."""
-    rows.write.option("header", True).option("escape", '"').csv(path)
+    """CSV with a header, in UTF-8 with a byte-order mark (it stands before the name of the first column)."""
+    named = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    named.write.option("header", True).option("escape", '"').option("quoteAll", False).csv(path)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import signature
+from .clean import shape, signature
 
 # Words that never stand for a line.
 STOP_WORDS = (
@@ -65,6 +67,64 @@ def hamming(a: Column, b: Column) -> Column:
     return differ + F.abs(F.size(a) - F.size(b))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Shared tokens (with repeats) over the geometric mean of the numbers of tokens."""
+    shared = F.aggregate(_tally(a), F.lit(0), lambda s, x: s + F.least(x["n"], F.size(F.filter(b, lambda y: y == x["t"]))))
+    return F.coalesce(shared / F.nullif(F.sqrt(F.size(a) * F.size(b).cast("double")), F.lit(0.0)), F.lit(0.0))
+
+
+def matching_blocks_ratio(pairs: DataFrame, a: str, b: str, name: str = "similarity") -> DataFrame:
+    """Adds twice the letters in matching blocks over all letters: the longest common block, and so on to its left
+    and right. For distinct pairs, as it runs in Python."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, s, t, autojunk=False).ratio() for s, t in zip(x, y, strict=True)], dtype=float)
+
+    return pairs.withColumn(name, ratio(F.col(a), F.col(b)))
+
+
+def similar_examples(asked: DataFrame, examples: DataFrame, k: int) -> DataFrame:
+    """(template, line_id, rank, similarity): for each template the ``k`` examples (line_id, content) that are most like
+    it by tokens shared with repeats; equal contents count once, by their first line. Only pairs that share a token meet."""
+    once = examples.groupBy("content").agg(F.min("line_id").alias("line_id"))
+
+    def spread(rows: DataFrame, id_: str, text: str, n: str, size: str) -> DataFrame:
+        words = rows.select(id_, F.split(text, " ").alias("w")).select(id_, F.size("w").alias(size), F.explode("w").alias("token"))
+        return words.groupBy(id_, size, "token").agg(F.count("*").alias(n))
+
+    pairs = spread(asked.select("template").distinct(), "template", "template", "na", "sa").join(spread(once, "line_id", "content", "nb", "sb"), "token")
+    shared = pairs.groupBy("template", "line_id", "sa", "sb").agg(F.sum(F.least("na", "nb")).alias("both"))
+    like = shared.withColumn("similarity", F.round(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both")), 6))
+    rank = F.row_number().over(Window.partitionBy("template").orderBy(F.desc("similarity"), "line_id"))
+    return like.withColumn("rank", rank).where(F.col("rank") <= k).select("template", "line_id", "rank", "similarity")
+
+
+def shape_clusters(lines: DataFrame, event: str, most: int) -> DataFrame:
+    """(event, line_id) of the first ``most`` distinct contents in each event's largest cluster of equal coarse shapes
+    (of equals, the one that comes first)."""
+    shaped = lines.select(event, "line_id", "content", shape(F.col("content")).alias("shape"))
+    sizes = shaped.groupBy(event, "shape").agg(F.count("*").alias("n"), F.min("line_id").alias("first"))
+    best = sizes.groupBy(event).agg(F.max(F.struct("n", (-F.col("first")).alias("early"), "shape")).alias("b")).select(event, F.col("b.shape").alias("shape"))
+    once = shaped.join(best, [event, "shape"]).groupBy(event, "content").agg(F.min("line_id").alias("line_id"))
+    rank = F.row_number().over(Window.partitionBy(event).orderBy("line_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= most).select(event, "line_id")
+
+
+def unknown_groups(assigned: DataFrame) -> DataFrame:
+    """(template, n) of groups of (template, content) with one line, or with equal lines only."""
+    groups = assigned.groupBy("template").agg(F.count("*").alias("n"), F.min("content").alias("_low"), F.max("content").alias("_high"))
+    return groups.where("n = 1 or _low = _high").select("template", "n")
+
+
+def farthest_lines(lines: DataFrame, sample: int, k: int) -> DataFrame:
+    """(rank, line_id) of ``k`` lines as far apart as can be, from the ``sample`` distinct contents with the smallest hashes."""
+    once = lines.groupBy("content").agg(F.min("line_id").alias("line_id"))
+    rows = once.orderBy(F.xxhash64("content"), "content").limit(sample).collect()  # ``sample`` rows
+    chosen = farthest([r["content"] for r in rows], k)
+    return lines.sparkSession.createDataFrame([(n, rows[i]["line_id"]) for n, i in enumerate(chosen, 1)], "rank bigint, line_id bigint")
+
+
 def farthest(texts: Sequence[str], k: int) -> list[int]:
     """Numbers of ``k`` texts, each as far as can be from those before by the share of common words; starts with 0.
 

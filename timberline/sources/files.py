@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
@@ -50,6 +49,82 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="utf-8")
 
 
+def read_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Columns of CSV files as strings, each file in the first encoding that fits; absent columns are null."""
+    names = list(columns)
+
+    def split(batches):
+        import csv
+        import io
+
+        for pdf in batches:
+            rows = [[r.get(c) for c in names] for raw in pdf["content"] for r in csv.DictReader(io.StringIO(decoded(bytes(raw)), newline=""))]
+            yield type(pdf)(rows, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(split, ", ".join(f"`{c}` string" for c in names))
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """(event_id, template) of a table of standard templates; rows without a template are left out."""
+    rows = read_rows(spark, path, ("EventId", "EventTemplate"))
+    return rows.select(F.col("EventId").alias("event_id"), F.col("EventTemplate").alias("template")).where("template is not null and template != ''")
+
+
+# The names of a group table's columns, also as they come out of a wrong encoding.
+GROUP_COLUMNS = (("模板", "妯℃澘"), ("句子标号", "鍙ュ瓙鏍囧彿"))
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(template, line_ids) of group tables in GBK or UTF-8; columns with other names count by their place."""
+
+    def split(batches):
+        import csv
+        import io
+
+        for pdf in batches:
+            out = []
+            for raw in pdf["content"]:
+                text = next((t for t in (_tried(bytes(raw), e) for e in ("gbk", "utf-8-sig", "utf-8")) if t is not None), None)
+                if text is None:
+                    raise ValueError("neither GBK nor UTF-8")
+                for r in csv.DictReader(io.StringIO(text, newline="")):
+                    keys = list(r)
+                    found = [next((r[n] for n in names if r.get(n)), r[keys[k]] if k < len(keys) else "") for k, names in enumerate(GROUP_COLUMNS)]
+                    out.append([x or "" for x in found])
+            yield type(pdf)(out, columns=["template", "ids"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(split, "template string, ids string")
+    return rows.select("template", parsed_ids(F.col("ids")).alias("line_ids"))
+
+
+def _tried(raw: bytes, encoding: str) -> str | None:
+    try:
+        return raw.decode(encoding)
+    except UnicodeDecodeError:
+        return None
+
+
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines of text files, -1 where there are none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return spark.read.text(path).count() if there else -1
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(line_id, line) of non-blank lines, without white space and backticks around them."""
+    lines = read_lines(spark, path)
+    return lines.select("line_id", F.expr("trim(BOTH '`' FROM trim(line))").alias("line"))
+
+
+def load_log(spark: SparkSession, path: str, log_format: str) -> DataFrame:
+    """Structured lines of a log: what isn't ASCII has a name, lines that don't fit the format are left out and the rest numbered."""
+    from timberline.operators.clean import ascii_only, split_header
+
+    lines = read_lines(spark, path).select("line_id", ascii_only(F.col("line"), "<N/ASCII>").alias("line"))
+    return split_header(lines, log_format, keep_failures=False)
+
+
 def find_log(names: Sequence[str], dataset: str, suffix: str = "") -> str | None:
     """The log of a data set among paths: with the suffix, then ``_2k``, then bare; the least nested first."""
     wanted = [f"{dataset}_{suffix}.log", f"{dataset}_{suffix}.logs"] if suffix else []
@@ -87,5 +162,6 @@ def structured(lines: DataFrame, assigned: DataFrame) -> DataFrame:
     return parameters(both.withColumn("event_id", template_id(F.col("event_template"))), "content", "event_template")
 
 
-def slug(score: float) -> str:
-    return re.sub(r"\.", "_", f"{score:g}")
+def templates_table(found: DataFrame) -> DataFrame:
+    """(event_id, event_template, occurrences) of structured lines, the table beside them."""
+    return found.groupBy("event_id", "event_template").agg(F.count("*").alias("occurrences"))
