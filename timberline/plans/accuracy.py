@@ -36,32 +36,6 @@ def _cells(spark, sf_dir, run=events):
     return metrics.contingency(truth, parsed)
 
 
-def _j04(spark, sf_dir):
-    lines = events(spark, sf_dir)
-    ids = lines.select("template").distinct().select("template", F.substring(F.md5(F.col("template").cast("binary")), 1, 8).alias("event_id"))
-    first = lines.groupBy("template").agg(F.min_by("content", "line_id").alias("first_content"), F.count("*").alias("n"))
-    return ids.join(first, "template").select("event_id", "first_content", "n")
-
-
-def _j08(spark, sf_dir):
-    made = miners.template_counts(miners.by_mask(items(spark, sf_dir), (r"\b\d+\b",)))
-    ids = made.select(F.substring(F.md5(F.col("template").cast("binary")), 1, 8).alias("event_id"), F.regexp_replace("template", "(order|supplier) <", "thing <").alias("fixed"))
-    first = ids.groupBy("fixed").agg(F.min("event_id").alias("first_id"))
-    return ids.join(first, "fixed").select("event_id", "first_id")
-
-
-def _j10(spark, sf_dir):
-    made, true = _lists(spark, sf_dir)
-    return true.join(made.select("template"), "template", "left_anti")
-
-
-def _e08(spark, sf_dir):
-    lines = orders(spark, sf_dir)
-    groups = miners.by_mask(lines, MASKS).groupBy("template").agg(F.array_sort(F.collect_list("line_id")).alias("line_ids"))
-    spread = groups.select("template", F.explode("line_ids").alias("line_id"))
-    return lines.select("line_id", "content").join(spread, "line_id")
-
-
 def _p06(spark, sf_dir):
     made = miners.template_counts(miners.by_mask(events(spark, sf_dir), MASKS))
     return made.select("template", "n", metrics.complexity(F.col("template")).cast("bigint").alias("complexity"))
@@ -84,13 +58,7 @@ def _pa_sql(table, pairs=False):
 
 
 QUERIES = {
-    "a13_pa_pta_rta": (_pa("entries"), _pa_sql("log_events")),
-    "a14b_pta_pairs": (_pa("pairs", items), _pa_sql("log_items", True)),
     "a15_rta_orders": (_pa("entries", orders), _pa_sql("log_orders")),
-    "a16_set_grouping": (
-        lambda spark, sf_dir: rounded(metrics.set_grouping_accuracy(*_pair(spark, sf_dir))),
-        with_log("log_events", f"{_PARSED}, g AS (SELECT list(line_id ORDER BY line_id) AS ids FROM parsed GROUP BY template), t AS (SELECT list(line_id ORDER BY line_id) AS ids FROM log GROUP BY template) SELECT round(sum(CASE WHEN ids IN (SELECT ids FROM t) THEN len(ids) ELSE 0 END)::DOUBLE / sum(len(ids)), 6)::DOUBLE AS ga FROM g"),
-    ),
     "a17_grouping_f1": (
         lambda spark, sf_dir: rounded(metrics.grouping_accuracy(_cells(spark, sf_dir))),
         with_log("log_events", f"{_ERR}, s AS (SELECT {_COUNTS}) SELECT round((SELECT sum(n) FROM right_)::DOUBLE / (SELECT sum(n) FROM cells), 6)::DOUBLE AS ga, round(ok / made, 6)::DOUBLE AS pga, round(ok / truths, 6)::DOUBLE AS rga, round(2 * (ok / made) * (ok / truths) / (ok / made + ok / truths), 6)::DOUBLE AS fga FROM s"),
@@ -115,13 +83,6 @@ QUERIES = {
         lambda spark, sf_dir: _cells(spark, sf_dir).select("truth", "parsed", "n"),
         with_log("log_events", f"{_ERR} SELECT truth, parsed, n FROM cells"),
     ),
-    "j04_first_of_event": (_j04, with_log("log_events", "SELECT substr(md5(template), 1, 8) AS event_id, arg_min(content, line_id) AS first_content, count(*) AS n FROM log GROUP BY template")),
-    "j08_first_event_ids": (
-        _j08,
-        with_log("log_items", r"made AS (SELECT DISTINCT regexp_replace(content, '\b\d+\b', '<*>', 'g') AS template FROM log), ids AS (SELECT substr(md5(template), 1, 8) AS event_id, regexp_replace(template, '(order|supplier) <', 'thing <', 'g') AS fixed FROM made) SELECT event_id, min(event_id) OVER (PARTITION BY fixed) AS first_id FROM ids"),
-    ),
-    "j10_unmatched_templates": (_j10, with_log("log_events", f"{_LISTS} SELECT template FROM true_ WHERE template NOT IN (SELECT template FROM made)")),
-    "e08_back_projection": (_e08, with_log("log_orders", f"SELECT line_id, content, {masked_sql('content')} AS template FROM log")),
     "p06_complexity": (
         _p06,
         with_log("log_events", f"{_PARSED} SELECT template, count(*) AS n, (CASE WHEN len(regexp_extract_all(template, {q('<[*]>')})) = 0 THEN 1 WHEN len(regexp_extract_all(template, {q('<[*]>')})) <= 4 THEN 2 ELSE 3 END)::BIGINT AS complexity FROM parsed GROUP BY template"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy, checks, cleaning, construction, mining, reporting, spread
+from . import accuracy, checks, cleaning, construction, mining, reporting, spread, tables
 
-_MODULES = (cleaning, accuracy, checks, spread, mining, construction, reporting)
+_MODULES = (cleaning, accuracy, checks, spread, mining, construction, reporting, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,12 +23,6 @@ def _b03(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "target double, active int, ratio double, slot_target double"))
 
 
-def _b04(spark, sf_dir):
-    rows = [(t, build.entropy(build.target_counts(64, t))) for t in _TARGETS]
-    found = spark.createDataFrame(rows, "target double, entropy double")
-    return found.select("target", (F.abs(F.col("entropy") - F.col("target")) < 0.02).alias("close"))
-
-
 def _ranked_templates(spark, sf_dir):
     names = events(spark, sf_dir).select("template").distinct()
     return names.select("template", (F.length("template") % 97).cast("int").alias("rank"), F.when(F.col("template").contains("="), 0).otherwise(1).alias("active"))
@@ -81,16 +75,6 @@ def _e15(spark, sf_dir):
     return augment.budgeted(events(spark, sf_dir).select("line_id", F.length("content").cast("bigint").alias("size")), 100, [F.desc("size"), F.col("line_id")])
 
 
-def _e16(spark, sf_dir):
-    groups = miners.by_mask(events(spark, sf_dir), (r"\b\d\b",)).join(events(spark, sf_dir).select("line_id", "content"), "line_id")
-    return groups.groupBy("template").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n = 1 or low = high").select("template", "n")
-
-
-def _e12(spark, sf_dir):
-    answers = orders(spark, sf_dir).where("line_id % 3 = 0").select(F.col("line_id").alias("id"), F.concat(F.lit('Here are lines:\n1. "'), "content", F.lit('"\n- '), "content", F.lit("\n```\n\n")).alias("answer"))
-    return augment.answer_lines(answers).groupBy("id").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
-
-
 def _l02(spark, sf_dir):
     v = _variants(spark, sf_dir)
     return rounded(v.select("origin", "variant", sampling.levenshtein_ratio(F.col("content"), F.col("variant")).alias("distance")))
@@ -114,16 +98,6 @@ def _l08(spark, sf_dir):
     return sampling.quotas(groups, 32, [F.desc("n"), F.col("template")]).select("template", "n", F.col("quota").cast("bigint").alias("quota"))
 
 
-def _a28(spark, sf_dir):
-    shaped = texts(spark, sf_dir).select("line_id", "content", F.pmod(F.length("content"), F.lit(20)).cast("bigint").alias("event"), F.regexp_count("content", F.lit(" ")).cast("bigint").alias("shape"))
-    sizes = shaped.groupBy("event", "shape").agg(F.count("*").alias("n"))
-    best = sizes.groupBy("event").agg(F.max(F.struct("n", (-F.col("shape")).alias("least"))).alias("b")).select("event", (-F.col("b.least")).alias("shape"))
-    firsts = shaped.join(best, ["event", "shape"]).groupBy("event", "content").agg(F.min("line_id").alias("line_id"))
-    from timberline.operators.diversity import rank_within
-
-    return rank_within(firsts, "event", [F.col("line_id")], 3).select("event", "line_id")
-
-
 def _s07(spark, sf_dir):
     listed = miners.template_counts(miners.by_mask(events(spark, sf_dir), MASKS)).select(F.concat_ws(" ", "template", F.col("n").cast("string")).alias("value"))
     from timberline.sources.files import parsed_counts
@@ -150,7 +124,6 @@ QUERIES = {
         _b03,
         with_log("log_events", "g AS (SELECT count(DISTINCT template)::DOUBLE AS n FROM log), t AS (SELECT i / 10.0::DOUBLE AS target, n, least(n, greatest(1, round_even(n * sqrt(i / 10.0::DOUBLE), 0))) AS active FROM g, range(1, 10) r(i)) SELECT round(target, 6)::DOUBLE AS target, active::INT AS active, round(active / n, 6)::DOUBLE AS ratio, round(least(1, target / (active / n)), 6)::DOUBLE AS slot_target FROM t"),
     ),
-    "b04_target_counts": (_b04, "SELECT (i / 10.0)::DOUBLE AS target, true AS close FROM range(1, 10) r(i)"),
     "b06_replaced_last": (_b06, with_log("log_events", "SELECT line_id, left(line, length(line) - length(content)) || '<new>' AS line FROM log")),
     "b07_built_lines": (
         _b07,
@@ -174,13 +147,11 @@ QUERIES = {
         with_log("log_orders", f"{_VAR}, {_AB}, d AS (SELECT origin, variant, {_DIST} AS distance FROM w) SELECT * FROM (SELECT origin, variant, distance::BIGINT AS distance, row_number() OVER (PARTITION BY origin ORDER BY distance, variant) AS rank FROM d) x WHERE rank <= 2"),
     ),
     "p12_fixed_and_types": (_p12, with_log("log_orders", f"{_VAR}, {_AB} SELECT {_TYPES} AS types, {_LOST} AS lost, count(*) AS n FROM w GROUP BY 1, 2")),
-    "e12_answer_lines": (_e12, with_log("log_orders", "SELECT line_id AS id, 2::BIGINT AS n, content AS low, content AS high FROM log WHERE line_id % 3 = 0")),
     "e14_pooled": (
         _e14,
         with_log("log_orders", f"{_VAR}, u AS (SELECT DISTINCT origin, variant, CASE WHEN variant LIKE '%twice%' THEN 0 ELSE 1 END AS source FROM v) SELECT origin, variant, source::BIGINT AS source FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY source, variant) AS rn FROM u) x WHERE rn <= 2"),
     ),
     "e15_budget": (_e15, with_log("log_events", "SELECT line_id, length(content)::BIGINT AS size FROM log ORDER BY size DESC, line_id LIMIT 100")),
-    "e16_unknown_groups": (_e16, with_log("log_events", r"SELECT regexp_replace(content, '\b\d\b', '<*>', 'g') AS template, count(*) AS n FROM log GROUP BY 1 HAVING count(*) = 1 OR min(content) = max(content)")),
     "l02_levenshtein": (_l02, with_log("log_orders", f"{_VAR} SELECT origin, variant, round(levenshtein(content, variant)::DOUBLE / greatest(length(content), length(variant)), 6)::DOUBLE AS distance FROM v")),
     "l04_multiset_jaccard": (
         _l04,
@@ -201,9 +172,5 @@ QUERIES = {
         _a27,
         with_log("log_text", f"t AS (SELECT line_id, unnest(string_split(lower(content), ' ')) AS tok FROM log), f AS (SELECT * FROM t WHERE length(tok) > 2 AND tok NOT IN ({', '.join(q(s) for s in sampling.STOP_WORDS)})), k AS (SELECT tok, count(*) AS n FROM f GROUP BY 1) SELECT line_id, rn AS rank, tok AS token FROM (SELECT line_id, tok, row_number() OVER (PARTITION BY line_id ORDER BY n DESC, tok) AS rn FROM (SELECT DISTINCT line_id, tok FROM f) d JOIN k USING (tok)) r WHERE rn <= 3"),
     ),
-    "a28_shape_clusters": (
-        _a28,
-        with_log("log_text", "s AS (SELECT line_id, content, length(content) % 20 AS event, len(regexp_extract_all(content, ' ')) AS shape FROM log), z AS (SELECT event, shape, row_number() OVER (PARTITION BY event ORDER BY count(*) DESC, shape) AS rn FROM s GROUP BY 1, 2), f AS (SELECT event, content, min(line_id) AS line_id FROM s JOIN z USING (event, shape) WHERE rn = 1 GROUP BY 1, 2) SELECT event::BIGINT AS event, line_id FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY line_id) AS k FROM f) x WHERE k <= 3"),
-    ),
     "s07_parsed_counts": (_s07, with_log("log_events", f"SELECT {masked_sql('content')} AS template, count(*) AS n FROM log GROUP BY 1")),
 }

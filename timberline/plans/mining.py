@@ -104,10 +104,6 @@ QUERIES = {
         lambda spark, sf_dir: rounded(miners.sweep(events(spark, sf_dir), events(spark, sf_dir).select("template").distinct(), (0.2, 0.4, 0.6), masks=(r"blk_\d+",), literals=(":",))),
         None,
     ),
-    "e07_cleaning_trace": (
-        lambda spark, sf_dir: miners.cleaning_trace(orders(spark, sf_dir), (r"\b\d+\b",), (":",)),
-        with_log("log_orders", f"SELECT 'initial' AS step, count(DISTINCT content) AS n FROM log UNION ALL SELECT 'cleaned', count(DISTINCT array_to_string(list_transform(string_split(trim(regexp_replace({spaced_sql(masked_sql('content', MASKS[3:]), (':', '='))}, ' +', ' ', 'g')), ' '), lambda t: CASE WHEN contains(t, '<*>') THEN '<*>' ELSE t END), ' ')) FROM log"),
-    ),
     "t22_parameters": (
         lambda spark, sf_dir: extract.parameters(orders(spark, sf_dir), "content", "template").select("line_id", F.array_join("parameter_list", "|").alias("parameters")),
         with_log("log_orders", r"SELECT line_id, CASE WHEN template LIKE '%opened%' THEN regexp_extract(content, '^order (.*?) opened', 1) || '|' || regexp_extract(content, 'customer (.*)$', 1) WHEN template LIKE '%fulfilled%' THEN regexp_extract(content, '^order (.*?) fulfilled', 1) || '|' || regexp_extract(content, 'customer: (.*?) priority', 1) || '|' || regexp_extract(content, 'priority (.*)$', 1) ELSE regexp_extract(content, '^order (.*?) pending', 1) END AS parameters FROM log"),

@@ -78,15 +78,6 @@ def _p06b(spark, sf_dir):
     return made.groupBy(metrics.complexity(F.col("template")).cast("bigint").alias("complexity")).agg(F.sum("n").alias("n"), F.count("*").alias("templates"))
 
 
-def _l05(spark, sf_dir):
-    """For each template the two lines of the first hundred that are most like it, by shared tokens."""
-    lines = events(spark, sf_dir)
-    examples = lines.where("line_id < 100").select("line_id", F.split("content", " ").alias("words"))  # a fixed set of examples
-    asked = lines.select("template").distinct().withColumn("asked", F.split("template", " "))
-    near = asked.crossJoin(F.broadcast(examples)).withColumn("similarity", F.round(sampling.multiset_jaccard(F.col("asked"), F.col("words")), 6))
-    return diversity.rank_within(near, "template", [F.desc("similarity"), F.col("line_id")], 2).select("template", "line_id", F.col("rank").cast("bigint").alias("rank"), "similarity")
-
-
 _RUNS = "runs AS (SELECT 'd' || line_id % 12 AS dataset, CASE WHEN line_id % 12 % 5 <> 4 THEN avg(length(content)) / 50 END AS pa, CASE WHEN line_id % 12 % 5 <> 4 THEN max(length(content))::DOUBLE END AS pta, CASE WHEN line_id % 12 % 5 = 4 THEN 'failed' END AS error FROM log GROUP BY line_id % 12)"
 
 QUERIES = {
@@ -113,10 +104,4 @@ SELECT s.template, gs AS n, CASE WHEN gs = 1 THEN 'high' WHEN NOT contains(s.tem
         _b09,
         with_log("log_events", "f AS (SELECT template, content, min(line_id) AS first_line FROM log GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY first_line) - 1 AS k FROM f), t AS MATERIALIZED (SELECT * FROM g WHERE g.k < 3), s AS (SELECT template, count(*) AS kinds FROM t GROUP BY 1), n AS (SELECT template, kinds, unnest(range(8)) AS place FROM s) SELECT n.template, n.place::BIGINT AS slot, t.content FROM n JOIN t ON t.template = n.template AND t.k = n.place % n.kinds"),
     ),
-    "l05_similar_examples": (
-        _l05,
-        with_log("log_events", "e AS (SELECT line_id, string_split(content, ' ') AS b FROM log WHERE line_id < 100), a AS (SELECT DISTINCT template, string_split(template, ' ') AS a FROM log), s AS (SELECT template, line_id, len(a) + len(b) AS total, list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))) AS k FROM a, e), r AS (SELECT template, line_id, round(k::DOUBLE / (total - k), 6)::DOUBLE AS similarity FROM s) SELECT * FROM (SELECT template, line_id, row_number() OVER (PARTITION BY template ORDER BY similarity DESC, line_id) AS rank, similarity FROM r) x WHERE rank <= 2"),
-    ),
 }
-
-_ = masked_sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timberline.operators import clean, diversity
+from timberline.operators import diversity
 
 from .shared import SPACED, events, normal_sql, orders, positions_sql, rounded, tokens_sql, with_log
 
@@ -30,40 +30,11 @@ def _a12(spark, sf_dir):
     return rounded(diversity.estimated_diversity(diversity.estimated_groups(events(spark, sf_dir), SPACED)))
 
 
-def _p02(spark, sf_dir):
-    groups = diversity.estimated_groups(events(spark, sf_dir), SPACED)
-    low = groups.withColumn("score", F.round("diversity", 6)).where(F.col("score") < 0.8)
-    return rounded(low.select("key", "group_size", "diversity"))
-
-
 def _a07(spark, sf_dir):
     rows = diversity.varied_share(events(spark, sf_dir).select("template", "content"), "template", F.split("content", " "))
     return rounded(rows)
 
 
-def _a24(spark, sf_dir):
-    """Means by level and over all of successful runs; runs of a failed data set have no score."""
-    runs = orders(spark, sf_dir).select((F.col("line_id") % 9).alias("level"), F.when(F.col("line_id") % 11 != 0, F.length("content").cast("double")).alias("pa"))
-    return rounded(runs.rollup("level").agg(F.avg("pa").alias("pa"), F.count("pa").alias("runs")).select(F.coalesce(F.col("level").cast("string"), F.lit("AVERAGE")).alias("level"), "pa", "runs"))
-
-
-def _a25(spark, sf_dir):
-    rows = events(spark, sf_dir).select((F.col("line_id") % 9).alias("level"), (F.col("line_id") % 97 / 97.0).alias("truth"), (F.length("content") / 100.0).alias("guess"))
-    agree = ((F.col("truth") <= diversity.LOW) == (F.col("guess") <= diversity.LOW)).cast("double")
-    return rounded(rows.groupBy("level").agg(F.avg(F.abs(F.col("truth") - F.col("guess"))).alias("mae"), F.avg(agree).alias("agreement")))
-
-
-def _a26(spark, sf_dir):
-    rows = events(spark, sf_dir).agg(F.round(F.avg(F.length("content")), 3).alias("content"), F.round(F.avg(F.length("line")), 3).alias("line"), F.round(F.avg("line_id"), 3).alias("line_id"))
-    return rows.unpivot([], ["content", "line", "line_id"], "measure", "mean").select("measure", F.col("mean").cast("double").alias("mean"))
-
-
-def _windows(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    windowed = table.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return windowed.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
-
-
 _VALUES = f"""sizes AS (SELECT template, count(*) AS gs FROM log GROUP BY template),
 spread AS (SELECT template, {tokens_sql('content')} AS toks, unnest({positions_sql("string_split(template, ' ')")}) AS pos FROM log),
 counts AS (SELECT template, pos, toks[pos + 1] AS v, count(*) AS n FROM spread WHERE pos < len(toks) GROUP BY 1, 2, 3),
@@ -119,20 +90,4 @@ QUERIES = {
         with_log("log_events", f"{_REPORT}, t AS (SELECT *, (substr(dataset, 4, 3)::INT % 3 + 6) / 10.0::DOUBLE AS target FROM ld) SELECT round(target, 6)::DOUBLE AS target_score, round(avg(ld), 6)::DOUBLE AS actual, round(avg(ld) - target, 6)::DOUBLE AS target_error, round(avg(abs(ld - target)), 6)::DOUBLE AS mean_absolute_error, round(min(ld), 6)::DOUBLE AS least, round(max(ld), 6)::DOUBLE AS most, count(*) AS datasets FROM t GROUP BY target"),
     ),
     "a12_estimated_diversity": (_a12, with_log("log_events", f"{_GROUPS} SELECT round(sum(sqrt(group_size) * diversity) / sum(sqrt(group_size)), 6)::DOUBLE AS global_ld, (count(*) FILTER (diversity < 0.35))::BIGINT AS low_groups, count(*) AS groups FROM groups")),
-    "a24_rollup_averages": (
-        _a24,
-        with_log("log_orders", "r AS (SELECT line_id % 9 AS level, CASE WHEN line_id % 11 <> 0 THEN length(content) END AS pa FROM log) SELECT coalesce(level::VARCHAR, 'AVERAGE') AS level, round(avg(pa), 6)::DOUBLE AS pa, count(pa) AS runs FROM r GROUP BY ROLLUP (level)"),
-    ),
-    "a25_estimate_errors": (
-        _a25,
-        with_log("log_events", "r AS (SELECT line_id % 9 AS level, (line_id % 97)::DOUBLE / 97 AS truth, length(content)::DOUBLE / 100 AS guess FROM log) SELECT level, round(avg(abs(truth - guess)), 6)::DOUBLE AS mae, round(avg(((truth <= 0.35::DOUBLE) = (guess <= 0.35::DOUBLE))::INT), 6)::DOUBLE AS agreement FROM r GROUP BY level"),
-    ),
-    "a26_means_transposed": (
-        _a26,
-        with_log("log_events", "SELECT 'content' AS measure, round(avg(length(content)), 3)::DOUBLE AS mean FROM log UNION ALL SELECT 'line', round(avg(length(line)), 3)::DOUBLE FROM log UNION ALL SELECT 'line_id', round(avg(line_id), 3)::DOUBLE FROM log"),
-    ),
-    "p02_low_groups": (_p02, with_log("log_events", f"{_GROUPS} SELECT key, group_size, round(diversity, 6)::DOUBLE AS diversity FROM groups WHERE round(diversity, 6) < 0.8")),
-    "s_windowed_counts": (_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
 }
-
-_ = clean
