@@ -407,14 +407,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = checked(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     before = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = checked(large)
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(below, "a")
-        small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(below.select("a", F.col("m").alias("b")))
-        edges = checked(small)
+        # minima are written, so that joins deal out both sides anew and can split a node with very many links
+        least = staged(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = checked(edges.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b")))
+        below = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(below, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = checked(small.unionByName(below.select("a", F.col("m").alias("b"))))
+        discard(least, below)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if tuple(now) == before or now[0] == now[2] and not edges.join(edges.select(F.col("a").alias("x")), F.col("b") == F.col("x"), "left_semi").take(1):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
