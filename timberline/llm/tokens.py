@@ -18,7 +18,9 @@ import regex
 from .merges import Merges, cut
 
 #: Words whose ids a worker keeps at most.
-HELD = 200_000
+HELD = 300_000
+#: Pieces of words whose ids a worker keeps at most: they cost more to find anew.
+HELD_PIECES = 400_000
 
 
 class RankVocabulary:
@@ -122,15 +124,29 @@ class WordVocabulary:
         return self.split(word.lower())
 
     def _learn(self, words: set[str]) -> None:
-        simple = dict(zip(words, map(self._parts, words), strict=True))
-        pieces = self.pieces
-        new = list({p for found in simple.values() if found for p in found if p not in pieces})
+        pieces, single, marked, simple = self.pieces, {}, [], {}
+        for word in words:  # most are ASCII letters, or these and a full stop or comma
+            if word.isascii():
+                if word.isalpha():
+                    single[word] = word.lower()
+                    continue
+                if word[-1] in ".," and word[:-1].isalpha():
+                    marked.append(word)
+                    continue
+            simple[word] = self._parts(word)
+        needed = {*single.values(), *(w[:-1].lower() for w in marked), *(w[-1] for w in marked)}
+        for found in simple.values():
+            needed.update(found or ())
+        new = [p for p in needed if p not in pieces]
         raw = [p.encode() for p in new]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
         symbols, last = self.inner[flat], np.cumsum(sizes) - 1
         symbols[last] = self.final[flat[last]]
         pieces.update(zip(new, cut(*self.merges.replay(symbols, sizes)), strict=True))
+        self.seen.update(zip(single, map(pieces.__getitem__, single.values()), strict=True))
+        for word in marked:
+            self.seen[word] = pieces[word[:-1].lower()] + pieces[word[-1]]
         rest = []
         for word, found in simple.items():
             if found is None:
@@ -146,7 +162,7 @@ class WordVocabulary:
         """Ids of each text, as little-endian 32-bit numbers."""
         if len(self.seen) > HELD:
             self.seen = {}
-        if len(self.pieces) > HELD:
+        if len(self.pieces) > HELD_PIECES:
             self.pieces = {}
         split = [ascii_words(t) for t in texts]
         new: set[str] = set()
