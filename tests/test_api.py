@@ -24,3 +24,15 @@ def test_contents_and_evaluate(spark):
     standard = spark.createDataFrame([("deleting block <*>",), ("other",)], "template string")
     row = api.evaluate(lines, standard, "mask", "HDFS").first()
     assert (round(row.pa, 4), row.pta, row.rta) == (round(6 / 7, 4), 0.5, 0.5)
+
+
+def test_several_collections(spark):
+    rows = [(d, i, f"deleting block blk_{i}") for d in ("HDFS", "Hadoop", "Mac") for i in range(4)]
+    lines = spark.createDataFrame(rows, "dataset string, line_id bigint, content string")
+    got = api.mine_all(lines, "mask", ("HDFS", "Hadoop")).collect()
+    one = {d: sorted(map(tuple, api.mine(lines.where(lines.dataset == d), "mask", d).collect())) for d in ("HDFS", "Hadoop")}
+    assert {d: sorted((r.line_id, r.template) for r in got if r.dataset == d) for d in one} == one and len(got) == 8
+    standard = spark.createDataFrame([(d, "deleting block <*>") for d in ("HDFS", "Hadoop")], "dataset string, template string")
+    table = api.evaluate_all(lines, standard, ("mask", "ngram"), ("HDFS", "Hadoop")).collect()
+    assert {(r.miner, r.dataset) for r in table} == {(m, d) for m in ("mask", "ngram") for d in ("HDFS", "Hadoop")}
+    assert next(r.pta for r in table if (r.miner, r.dataset) == ("mask", "HDFS")) == 1.0

@@ -8,6 +8,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from timberline.operators import build, cache, diversity, extract, miners, online, sampling
 from timberline.operators.clean import corrected, header_pattern
@@ -177,6 +178,12 @@ def test_permutation(spark):
     assert sorted(map(tuple, miners.by_anchors(a).collect())) == sorted(map(tuple, miners.by_anchors(b).collect()))
 
 
+def test_merged_numbers(spark):
+    rows = spark.createDataFrame([(1, "A", [7, 3]), (2, "b", [1]), (3, "a", [5]), (4, None, [2])], "line_id bigint, content string, line_ids array<bigint>")
+    got = miners.merged_numbers(rows, F.lower("content")).orderBy("line_id").collect()
+    assert [(r.text, r.place, r.line_ids) for r in got] == [("a", 1, [7, 3]), ("b", 2, [1]), ("a", 1, [5]), (None, 4, [2])]
+
+
 def test_template_cache(spark):
     c = cache.TemplateCache()
     rules = cache.Rules()

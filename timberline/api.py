@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,3 +50,19 @@ def evaluate(lines: DataFrame, standard: DataFrame, miner: str, dataset: str) ->
     """One row: miner, dataset, pa, pta, rta against standard templates (template)."""
     found = metrics.template_accuracy(miners.template_counts(mine(lines, miner, dataset)), standard)
     return found.select(F.lit(miner).alias("miner"), F.lit(dataset).alias("dataset"), "pa", "pta", "rta")
+
+
+def mine_all(lines: DataFrame, miner: str, datasets: Sequence[str]) -> DataFrame:
+    """(dataset, line_id, template) of lines (dataset, line_id, content) of several collections, each with its own
+    settings; lines of other collections are left out."""
+    each = [mine(lines.where(F.col("dataset") == d).drop("dataset"), miner, d).select(F.lit(d).alias("dataset"), "line_id", "template") for d in datasets]
+    return reduce(DataFrame.unionByName, each)
+
+
+def evaluate_all(lines: DataFrame, standard: DataFrame, names: Sequence[str], datasets: Sequence[str]) -> DataFrame:
+    """A row for each miner and collection, of lines (dataset, line_id, content) and standard templates (dataset, template)."""
+    rows = []
+    for d in datasets:
+        own, truth = (table.where(F.col("dataset") == d).drop("dataset") for table in (lines, standard))
+        rows += [evaluate(own, truth, name, d) for name in names]
+    return reduce(DataFrame.unionByName, rows)

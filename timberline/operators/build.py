@@ -8,7 +8,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clean import WILDCARD, selected_template
+from .clean import selected_template
 
 #: Lines of each template.
 LINES = 64
@@ -115,6 +115,3 @@ def replaced_last(line: Column, content: Column, new: Column) -> Column:
     at = F.length(line) - F.instr(F.reverse(line), F.reverse(content)) - F.length(content) + 2
     done = F.concat(F.substring(line, F.lit(1), at - 1), new, F.substring(line, at + F.length(content), F.length(line)))
     return F.when(F.instr(line, content) > 0, done)
-
-
-WILD = WILDCARD

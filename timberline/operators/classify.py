@@ -62,3 +62,24 @@ def joined_again(text: Column) -> Column:
     t = F.regexp_replace(text, r"([(\[=_]) ", "$1")
     t = F.regexp_replace(t, r" ([,)\]])", "$1")
     return F.regexp_replace(t, r": (?=\d)", ":")
+
+
+# Fixed values: (collections, pattern, replacement) that put spaced tokens of a collection together again, in order.
+JOINED = (
+    (("HealthApp",), r"\s*\|\s*", "|"),
+    (("HealthApp",), r"(\d{2}):\s+(\d{2}):\s+(\d{2})", "$1:$2:$3"),
+    (("Hadoop",), "_ ", "_"),
+    (("Android", "BGL", "Proxifier"), r"\( ", "("),
+    (("Android", "BGL", "Proxifier"), r" \)", ")"),
+    (("BGL",), r"\.\. ", ".."),
+    (("HealthApp", "Android", "HPC", "BGL", "Hadoop", "Linux", "Thunderbird", "Windows", "Zookeeper"), "= ", "="),
+    (("Windows",), r"\[ ", "["),
+    (("Windows",), r" \]", "]"),
+)
+
+
+def detokenized(text: Column, dataset: str) -> Column:
+    """Undoes the spacing of a collection's tokens; of other collections nothing changes."""
+    for names, pattern, by in JOINED:
+        text = F.regexp_replace(text, pattern, by) if dataset in names else text
+    return text

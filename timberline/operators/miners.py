@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,17 @@ def distinct_contents(lines: DataFrame, text: Column, key: Sequence[str] = ()) -
     return lines.groupBy(*key, text.alias("text")).agg(F.count("*").alias("n"), F.min("line_id").alias("first_line"))
 
 
+def merged_numbers(lines: DataFrame, text: Column, key: Sequence[str] = ()) -> DataFrame:
+    """(text, place, line_ids) of rows with an array ``line_ids``: equal texts merged, ``place`` their first row by
+    line_id, and one row for each array that was merged, so that a text of very many lines is in no single row.
+    Rows of one text by line_id hold its numbers as they were first seen; a null text is a text of its own."""
+    keyed = lines.select(*key, "line_id", "line_ids", text.alias("text"))
+    first = keyed.groupBy(*key, "text").agg(F.min("line_id").alias("place"))
+    a, b = keyed.alias("a"), first.alias("b")
+    same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "text")])
+    return a.join(b, same).select(*[f"a.{c}" for c in key], "a.text", "place", "line_id", "line_ids")
+
+
 # ---- positional frequencies -------------------------------------------------------------------------
 
 
@@ -103,35 +115,38 @@ def _trigrams(tokens: Column) -> Column:
     return F.transform(F.filter(F.transform(tokens, lambda t, i: i), lambda i: i + 2 < F.size(tokens)), lambda i: F.struct(F.get(tokens, i).alias("a"), F.get(tokens, i + 1).alias("b"), F.get(tokens, i + 2).alias("c")))
 
 
-def gram_counts(texts: DataFrame, width: int) -> DataFrame:
-    """(a, b[, c], freq) over (tokens, n)."""
+def gram_counts(texts: DataFrame, width: int, key: Sequence[str] = ()) -> DataFrame:
+    """(a, b[, c], freq) over (tokens, n), for each ``key``."""
     grams = _bigrams(F.col("tokens")) if width == 2 else _trigrams(F.col("tokens"))
     names = ["a", "b", "c"][:width]
-    return texts.select("n", F.explode(grams).alias("g")).groupBy(*[F.col(f"g.{c}").alias(c) for c in names]).agg(F.sum("n").alias("freq"))
-
-
-def logram(lines: DataFrame, masks: Sequence[str] = (), bigram_threshold: int = 15, trigram_threshold: int = 10) -> DataFrame:
-    """N-gram mining in two passes: a rare trigram makes its tokens candidates, and a candidate is variable
-    unless a bigram with a neighbour is frequent (for the first token, above the threshold and to the
-    right only; the last one's right neighbour is the first). Only the last mask counts."""
-    keyed = lines.select("line_id", F.array_join(plain_tokens(last_masked(F.col("content"), masks)), " ").alias("text"))
-    texts = distinct_contents(keyed, F.col("text")).withColumn("tokens", F.split("text", " "))
-    two, three = gram_counts(texts, 2), gram_counts(texts, 3)
-    rows = texts.select("text", "tokens")
-    spread3 = rows.select("text", F.posexplode(_trigrams(F.col("tokens"))).alias("pos", "g")).select("text", "pos", "g.*")
-    rare = spread3.join(three, ["a", "b", "c"]).where(F.col("freq") < trigram_threshold).select("text", F.explode(F.array(F.col("pos"), F.col("pos") + 1, F.col("pos") + 2)).alias("pos")).distinct()
-    spread2 = rows.select("text", F.posexplode(_bigrams(F.col("tokens"))).alias("pos", "g")).select("text", "pos", "g.*")
-    frequent = spread2.join(two, ["a", "b"]).select("text", "pos", "freq")
+    return texts.select(*key, "n", F.explode(grams).alias("g")).groupBy(*key, *[F.col(f"g.{c}").alias(c) for c in names]).agg(F.sum("n").alias("freq"))
+
+
+def logram(lines: DataFrame, masks: Sequence[str] = (), bigram_threshold: int = 15, trigram_threshold: int = 10, key: Sequence[str] = ()) -> DataFrame:
+    """N-gram mining in two passes, for each log that ``key`` tells apart: a rare trigram makes its tokens candidates,
+    and a candidate is variable unless a bigram with a neighbour is frequent (for the first token, above the threshold
+    and to the right only; the last one's right neighbour is the first). Only the last mask counts.
+
+    Contents travel by the number of their first line."""
+    key = list(key)
+    own = [*key, "id"]
+    keyed = lines.select(*key, "line_id", F.array_join(plain_tokens(last_masked(F.col("content"), masks)), " ").alias("text"))
+    texts = distinct_contents(keyed, F.col("text"), key).select(*key, "text", "n", F.col("first_line").alias("id"), F.split("text", " ").alias("tokens"))
+    two, three = gram_counts(texts, 2, key), gram_counts(texts, 3, key)
+    spread3 = texts.select(*own, F.posexplode(_trigrams(F.col("tokens"))).alias("pos", "g")).select(*own, "pos", "g.*")
+    rare = spread3.join(three, [*key, "a", "b", "c"]).where(F.col("freq") < trigram_threshold).select(*own, F.explode(F.array(F.col("pos"), F.col("pos") + 1, F.col("pos") + 2)).alias("pos")).distinct()
+    spread2 = texts.select(*own, F.posexplode(_bigrams(F.col("tokens"))).alias("pos", "g")).select(*own, "pos", "g.*")
+    frequent = spread2.join(two, [*key, "a", "b"]).select(*own, "pos", "freq")
     right = frequent.withColumnRenamed("freq", "right")
-    left = frequent.select("text", (F.col("pos") + 1).alias("pos"), F.col("freq").alias("left"))
-    judged = rare.join(right, ["text", "pos"], "left").join(left, ["text", "pos"], "left")
+    left = frequent.select(*own, (F.col("pos") + 1).alias("pos"), F.col("freq").alias("left"))
+    judged = rare.join(right, [*own, "pos"], "left").join(left, [*own, "pos"], "left")
     t = bigram_threshold
     kept = F.when(F.col("pos") == 0, F.col("right") > t).otherwise((F.col("left") >= t) | (F.col("right") >= t))
-    variable = judged.where(~kept).groupBy("text").agg(F.collect_set("pos").alias("places"))
+    variable = judged.where(~kept).groupBy(*own).agg(F.collect_set("pos").alias("places"))
     put = F.array_join(F.transform(F.col("tokens"), lambda x, i: F.when(F.array_contains("places", i), WILDCARD).otherwise(x)), " ")
-    templates = texts.select("text", "tokens").join(variable, "text", "left")
+    templates = texts.join(variable, own, "left")
     plain = F.regexp_replace(F.when(F.col("places").isNull(), F.array_join("tokens", " ")).otherwise(put), ",", "")
-    return keyed.join(templates.select("text", plain.alias("template")), "text").select("line_id", "template")
+    return keyed.join(templates.select(*key, "text", plain.alias("template")), [*key, "text"]).select(*key, "line_id", "template")
 
 
 # ---- word anchors -----------------------------------------------------------------------------------

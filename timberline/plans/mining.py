@@ -21,6 +21,11 @@ def _logram(spark, sf_dir, run=orders):
     return miners.logram(run(spark, sf_dir), (r"\b\d+\b",), 15, 10)
 
 
+def _a01n(spark, sf_dir):
+    rows = texts(spark, sf_dir).selectExpr("line_id", "content", "array(line_id, line_id + 1000000) AS line_ids")
+    return miners.merged_numbers(rows, F.lower("content")).select("text", "place", "line_id", F.explode("line_ids").alias("number"))
+
+
 def _a21(spark, sf_dir):
     lines = orders(spark, sf_dir)
     grouped = miners.distinct_contents(lines, miners.brain_text(F.col("content"), MASKS[3:], (), (":",)))
@@ -73,6 +78,10 @@ QUERIES = {
         lambda spark, sf_dir: miners.distinct_contents(texts(spark, sf_dir), F.lower("content")),
         with_log("log_text", "SELECT lower(content) AS text, count(*) AS n, min(line_id) AS first_line FROM log GROUP BY 1"),
     ),
+    "a01_merged_numbers": (
+        _a01n,
+        with_log("log_text", "SELECT lower(content) AS text, min(line_id) OVER (PARTITION BY lower(content)) AS place, line_id, unnest([line_id, line_id + 1000000]) AS number FROM log"),
+    ),
     "a21_positional_frequencies": (
         _a21,
         with_log("log_orders", f"t AS (SELECT string_split(regexp_replace({spaced_sql(masked_sql('content', MASKS[3:]), (':',))}, ' +', ' ', 'g'), ' ') AS w FROM log) SELECT (i - 1)::BIGINT AS pos, w[i] AS tok, count(*)::BIGINT AS freq FROM t, unnest(range(1, len(w) + 1)) r(i) GROUP BY 1, 2"),

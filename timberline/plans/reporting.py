@@ -73,6 +73,24 @@ def _t34(spark, sf_dir):
     return events(spark, sf_dir).select("line_id", classify.joined_again(spaced(F.col("content"), ("=", "("))).alias("text"))
 
 
+#: Collections by line, and spaced lines with something for each of their rules.
+_SETS = ("HealthApp", "Hadoop", "Android", "BGL", "Proxifier", "HPC", "Windows", "Zookeeper", "Spark")
+_SET = "CASE line_id % 9 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SETS)) + " END"
+_SPREAD = "content || ' | 12: 03: 44 part_ 1 f( a ) to.. b= c [ d ] |e'"
+
+
+def _t34d(spark, sf_dir):
+    rows = events(spark, sf_dir).selectExpr("line_id", f"{_SET} AS dataset", f"{_SPREAD} AS t")
+    return rows.select("line_id", "dataset", F.coalesce(*[F.when(F.col("dataset") == d, classify.detokenized(F.col("t"), d)) for d in _SETS]).alias("text"))
+
+
+_SPREAD_T = f"spread AS (SELECT line_id, {_SET} AS dataset, {_SPREAD} AS t FROM log)"
+_ROUND, _EQUALS = "replace(replace({}, '( ', '('), ' )', ')')", "replace({}, '= ', '=')"
+_DETOKENIZED = f"""CASE dataset WHEN 'HealthApp' THEN {_EQUALS.format(r"regexp_replace(regexp_replace(t, '\s*[|]\s*', '|', 'g'), '(\d{2}):\s+(\d{2}):\s+(\d{2})', '\1:\2:\3', 'g')")}
+ WHEN 'Hadoop' THEN {_EQUALS.format("replace(t, '_ ', '_')")} WHEN 'Android' THEN {_EQUALS.format(_ROUND.format('t'))} WHEN 'BGL' THEN {_EQUALS.format(f"replace({_ROUND.format('t')}, '.. ', '..')")}
+ WHEN 'Proxifier' THEN {_ROUND.format('t')} WHEN 'Windows' THEN replace(replace({_EQUALS.format('t')}, '[ ', '['), ' ]', ']') WHEN 'Spark' THEN t ELSE {_EQUALS.format('t')} END"""
+
+
 def _p06b(spark, sf_dir):
     made = miners.template_counts(miners.by_mask(texts(spark, sf_dir), (r"\b\d+\b",)))
     return made.groupBy(metrics.complexity(F.col("template")).cast("bigint").alias("complexity")).agg(F.sum("n").alias("n"), F.count("*").alias("templates"))
@@ -96,6 +114,7 @@ ent AS (SELECT c.template, pos, -sum(n::DOUBLE / t * ln(n::DOUBLE / t)) / ln(any
 SELECT s.template, gs AS n, CASE WHEN gs = 1 THEN 'high' WHEN NOT contains(s.template, '<*>') THEN 'none' WHEN round(coalesce(avg(e), 0), 6) <= 0.8 THEN 'medium' ELSE 'high' END AS level FROM sizes s LEFT JOIN ent USING (template) GROUP BY s.template, gs"""),
     ),
     "t34_joined_again": (_t34, with_log("log_events", r"SELECT line_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(=|\(|,)', '\1 ', 'g'), '([(\[=_]) ', '\1', 'g'), ' ([,)\]])', '\1', 'g'), ': ([0-9])', ':\1', 'g') AS text FROM log")),
+    "t34_detokenized": (_t34d, with_log("log_events", f"{_SPREAD_T} SELECT line_id, dataset, {_DETOKENIZED} AS text FROM spread")),
     "t37_meaningful_lines": (
         _t37,
         with_log("log_text", r"SELECT line_id, regexp_matches(content, '^[A-Za-z\s]+$') AS english FROM log WHERE len(list_intersect(regexp_split_to_array(lower(content || ' ' || regexp_replace(content, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z]+'), ['the', 'of', 'license'])) > 0"),

@@ -8,7 +8,7 @@ from timberline.operators import augment, build, clean, diversity, metrics, mine
 from timberline.streaming import templates as streams
 
 from .checks import _ERRING, _ROUGH, _t25_sql
-from .mining import _BRAIN
+from .mining import _BRAIN, _LOGRAM
 from .shared import MASKS, SPACED, events, masked_sql, orders, q, rounded, spaced_sql, split_sql, texts, with_log
 from .spread import _GROUPS
 
@@ -188,11 +188,11 @@ def _pa_sql(pairs=False, doubled=False):
 _ROUGH_T = f"r AS (SELECT line_id, {_ROUGH} AS t FROM log), e AS (SELECT DISTINCT substr(md5(t), 1, 8) AS event_id, {_t25_sql()} AS corrected FROM r)"
 
 
-def _brain_two():
-    """The positional miner over each of two logs, put together."""
+def _two_sql(found):
+    """A miner's SQL over each of two logs, put together."""
     parts = []
     for name, table in (("events", "log_events"), ("orders", "log_orders")):
-        parts.append(f"SELECT '{name}' AS dataset, template, count(*) AS n FROM ({with_log(table, f'{_BRAIN} SELECT template FROM found')}) x GROUP BY template")
+        parts.append(f"SELECT '{name}' AS dataset, template, count(*) AS n FROM ({with_log(table, f'{found} SELECT template FROM found')}) x GROUP BY template")
     return " UNION ALL ".join(parts)
 
 
@@ -233,10 +233,11 @@ QUERIES = {
         _m03e,
         with_log("log_events", f"{_GROUPS}, s AS ({_ESTIMATE}) SELECT input_lines, global_ld, global_ld AS estimated_ld, low_groups, coarse_groups, 0::BIGINT AS generated_lines, false AS enabled, 0.5::DOUBLE AS trigger, global_ld <= 0.99::DOUBLE AS triggers FROM s"),
     ),
-    "m01_brain_two_logs": (_m01k, _brain_two()),
+    "m01_brain_two_logs": (_m01k, _two_sql(_BRAIN)),
     "m02_anchors_two_logs": (_keyed(lambda rows: miners.by_anchors(rows, (r"blk_\d+",), (), (":",), 0.4, key=["dataset"])), None),
     "m04_drain_two_logs": (_keyed(lambda rows: online.drain(rows, (r"blk_\d+", r"(\d+\.){3}\d+"), key=["dataset"])), None),
     "m05_spell_two_logs": (_keyed(lambda rows: online.spell(rows, (r"blk_\d+", r"(\d+\.){3}\d+", r"\b\d+\b"), 0.5, key=["dataset"])), None),
+    "m06_logram_two_logs": (_keyed(lambda rows: miners.logram(rows, (r"\b\d+\b",), 15, 10, key=["dataset"])), _two_sql(_LOGRAM)),
     "e07_trace": (_e07, None),
     "e12_answer_lines": (_e12, with_log("log_orders", "SELECT line_id AS id, 2::BIGINT AS n, content AS low, content AS high FROM log")),
     "e16_unknown_groups": (_e16, with_log("log_events", r"SELECT regexp_replace(content, '\b\d\b', '<*>', 'g') AS template, count(*) AS n FROM log GROUP BY 1 HAVING count(*) = 1 OR min(content) = max(content)")),
