@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hilbert, licences, media, minhash, packing, quality, substring, toxicity
+from . import bpe, centroids, chat, hilbert, licences, manifest, media, minhash, packing, quality, substring, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +86,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~toxicity.may_learn()).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that are left of every document when its repeated 200-byte strings go."""
+    found = suffixes.mark(_table(spark, sf_dir, "documents"), window=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and what its tampered text folds to, in a Merkle tree by language."""
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of 40 centroids of every vector, after five rounds."""
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"), size=64, k=40, rounds=5)
+
+
+_QUERIES = (op1_media, op2_chat, op3_repeated_passages, op4_hilbert, op5_merge_replay, op6_minhash, op7_licences, op8_bin_slack, op9_quality_votes, op10_toxicity, op11_suffix_arrays, op12_manifest, op13_centroids)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_chat, op3_repeated_passages, op4_hilbert, op5_merge_replay, op6_minhash, op7_licences, op8_bin_slack, op9_quality_votes, op10_toxicity)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def _licence_sql() -> str:
@@ -158,6 +177,93 @@ SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc
 FROM sets s LEFT JOIN least_ USING (doc_id)"""
 
 
+def _bytes_sql(window: int = 200, step: int = 1024) -> str:
+    """Texts as hex, two digits a byte; windows are cut from overlapping parts of ``step`` bytes."""
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+parts AS (SELECT r, k * {step} AS base, substring(x, 2 * k * {step} + 1, 2 * {step + window - 1}) AS p FROM texts, unnest(range((len(x) // 2 - {window - step}) // {step})) u(k) WHERE len(x) >= {2 * window}),
+windows AS (SELECT r, base + j AS i, md5_number(substring(p, 2 * j + 1, {2 * window})) AS h FROM parts, unnest(range(len(p) // 2 - {window - 1})) u(j)),
+many AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i FROM windows SEMI JOIN many USING (h)),
+runs AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {window} THEN 0 ELSE 1 END AS new FROM hit) a),
+spans AS (SELECT r, min(i) AS s, max(i) + {window} AS e FROM runs GROUP BY r, g),
+ordered AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM spans),
+kept AS (SELECT r, count(*) AS n, sum(e - s) AS gone, max(e) AS last, string_agg(substring(x, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS k FROM ordered JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k || substring(x, 2 * last + 1), x))) AS kept_sha256 FROM texts LEFT JOIN kept USING (r)"""
+
+
+def _manifest_sql(depth: int = 11) -> str:
+    """The levels are written out, ``depth`` of them: 8 ** 11 leaves a language."""
+
+    def field(value: str, size: str) -> str:
+        return f"coalesce({size} || ':' || {value}, '-')"
+
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join([field(f"{c}::VARCHAR", f"strlen({c}::VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars")])
+    bit = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: {bit})), 4294967295)"
+    ctes = [
+        f"leaves AS (SELECT doc_id, lang, sha256({head} || {field('text', 'strlen(text)')}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({head} || {field(small, f'strlen({small})')}) END AS changed FROM documents)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos FROM leaves)",
+        "t0 AS (SELECT coalesce('=' || lang, '') AS g, pos, leaf AS h FROM placed)",
+        "f0 AS (SELECT coalesce('=' || lang, '') AS g, doc_id, pos AS own, pos, leaf, coalesce(changed, leaf) AS f, '' AS proof FROM placed)",
+    ]
+
+    def grown(t: str, f: str, k: int) -> list[str]:
+        runs = f"(SELECT g, pos // 8 AS run, list(h ORDER BY pos) AS l, any_value(m) AS m FROM (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM {t}{k - 1}) a GROUP BY g, pos // 8)"
+        others = "list_filter(l, lambda x, i: i <> pos % 8 + 1)"
+        put = "list_transform(l, lambda x, i: CASE WHEN i = pos % 8 + 1 THEN f ELSE x END)"
+        return [
+            f"r{t}{k} AS MATERIALIZED {runs}",
+            f"{t}{k} AS MATERIALIZED (SELECT g, run AS pos, CASE WHEN m = 1 THEN l[1] ELSE sha256(array_to_string(l, '')) END AS h FROM r{t}{k})",
+            f"{f}{k} AS MATERIALIZED (SELECT r.g, doc_id, own, run AS pos, leaf, CASE WHEN m = 1 THEN f ELSE sha256(array_to_string({put}, '')) END AS f, CASE WHEN m = 1 THEN proof ELSE proof || array_to_string({others}, '') END AS proof"
+            f"{', subroot' if f == 'q' else ''} FROM {f}{k - 1} d JOIN r{t}{k} r ON d.g = r.g AND d.pos // 8 = r.run)",
+        ]
+
+    for k in range(1, depth + 1):
+        ctes += grown("t", "f", k)
+    ctes += [
+        f"langs AS (SELECT g AS lang, h, row_number() OVER (ORDER BY g) - 1 AS pos FROM t{depth})",
+        "u0 AS (SELECT '' AS g, pos, h FROM langs)",
+        f"q0 AS (SELECT '' AS g, doc_id, own, l.pos, leaf, f, proof, h AS subroot FROM f{depth} d JOIN langs l ON d.g = l.lang)",
+    ]
+    for k in range(1, depth + 1):
+        ctes += grown("u", "q", k)
+    return f"""
+WITH {", ".join(ctes)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM q{depth} JOIN u{depth} USING (g)"""
+
+
+def _centroids_sql(size: int = 64, k: int = 40, rounds: int = 5) -> str:
+    """Rounds are written out; a centroid's components are joined again in their order."""
+    good = f"len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}"
+    ctes = [
+        f"vectors AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {good})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS w FROM vectors ORDER BY sha256('2:' || vec_id), v LIMIT {k})",
+    ]
+    apart = f"list_sum(list_transform(range(1, {size + 1}), lambda i: (v[i] - w[i]) * (v[i] - w[i])))"
+    for n in range(rounds + 1):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (SELECT r, c, {apart} AS d FROM vectors, c{n}) x GROUP BY r)")
+        if n < rounds:
+            ctes.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(x, w) AS w FROM c{n} LEFT JOIN (SELECT c, list(m ORDER BY i) AS x FROM (SELECT best.c AS c, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS m "
+                f"FROM a{n} JOIN vectors USING (r), unnest(range(1, {size + 1})) u(i) GROUP BY best.c, i) y GROUP BY c) z USING (c))"
+            )
+    return f"""
+WITH {", ".join(ctes)}
+SELECT vec_id, best.c::INTEGER AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM vectors JOIN a{rounds} USING (r) JOIN c{rounds} f ON f.c = best.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the others, SQL has no library's ids, compressed pictures, weights or fillings; they are tested by brute force."""
-    return {"op2_chat": _chat_sql(), "op3_repeated_passages": _passages_sql(), "op6_minhash": _near_sql(), "op7_licences": _licence_sql()}
+    return {
+        "op2_chat": _chat_sql(),
+        "op3_repeated_passages": _passages_sql(),
+        "op6_minhash": _near_sql(),
+        "op7_licences": _licence_sql(),
+        "op11_suffix_arrays": _bytes_sql(),
+        "op12_manifest": _manifest_sql(),
+        "op13_centroids": _centroids_sql(),
+    }
