@@ -5,7 +5,7 @@ A row's leaf is the digest of its columns. Leaves of a group (language) in the o
 table's root. All digests are lowercase hex text, and what is hashed is such text put together.
 
 Leaves are numbered within their group (a range partitioning and one count for each partition and group), then
-gathered in aligned blocks of ``FANOUT ** DEPTH`` leaves: one row of the staged table holds a block's leaves as a
+gathered in aligned blocks of ``FANOUT ** depth`` leaves: one row of the staged table holds a block's leaves as a
 contiguous matrix of 64 bytes a leaf. Within a block numpy reshapes the matrix by the fanout and hashes its rows, level by level;
 node ``i``'s parent is ``i // FANOUT``, its siblings are the rest of the parent's row. Roots of blocks are leaves of
 the next, much smaller table (one row for 4,096), up to one root for each group. Paths then go down by joins: a
@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 
 from .store import discard, released, staged
 
-#: Nodes of a run, and levels that are hashed within one block.
+#: Nodes of a run, and levels that are hashed within one block of ``FANOUT ** DEPTH`` leaves.
 FANOUT, DEPTH = 8, 4
-BLOCK = FANOUT**DEPTH
 
 #: The columns of a leaf, in order.
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -104,61 +103,67 @@ def _numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return joined.withColumn("pos", F.col("_before") + F.col("_place") - F.col("_first")).drop("_place", "_group", "_part", "_first", "_before")
 
 
-def _gathered(nodes: DataFrame, *more: str) -> DataFrame:
+def _gathered(nodes: DataFrame, depth: int, *more: str) -> DataFrame:
     """(key, block, n, digests, ...): the nodes of each aligned block in order; ``more`` columns as arrays beside the digests."""
     kept = F.array_sort(F.collect_list(F.struct("pos", "digest", *more)))
-    rows = nodes.groupBy("key", F.expr(f"pos div {BLOCK}").alias("block")).agg(F.first("n").alias("n"), kept.alias("nodes"))
+    rows = nodes.groupBy("key", F.expr(f"pos div {FANOUT**depth}").alias("block")).agg(F.first("n").alias("n"), kept.alias("nodes"))
     return rows.select("key", "block", "n", *(F.col(f"nodes.{c}").alias(c) for c in ("digest", *more)))
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _roots(depth: int):
     """(key, block, n, digests) to (key, pos, n, digest): a block's root is node ``block`` of the next table."""
-    for batch in batches:
-        keys, blocks, ns, digests = (c.to_pylist() for c in batch.columns)
-        made = []
-        for n, own in zip(ns, digests, strict=True):
-            matrix = np.frombuffer(b"".join(own), np.uint8).reshape(-1, 64)
-            made.append(_grown(matrix, min(DEPTH, levels(n)))[-1].tobytes())
-        above = [-(-n // BLOCK) for n in ns]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blocks, pa.int64()), pa.array(above, pa.int64()), pa.array(made, pa.binary())], ["key", "pos", "n", "digest"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, blocks, ns, digests = (c.to_pylist() for c in batch.columns)
+            made = []
+            for n, own in zip(ns, digests, strict=True):
+                matrix = np.frombuffer(b"".join(own), np.uint8).reshape(-1, 64)
+                made.append(_grown(matrix, min(depth, levels(n)))[-1].tobytes())
+            above = [-(-n // FANOUT**depth) for n in ns]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blocks, pa.int64()), pa.array(above, pa.int64()), pa.array(made, pa.binary())], ["key", "pos", "n", "digest"])
+
+    return released(hashed)
 
 
 _PATH = pa.list_(pa.struct([("left", pa.binary()), ("right", pa.binary())]))
 _PATH_SQL = "array<struct<left: binary, right: binary>>"
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, block, n, digests, path of the block) to the path of each of its nodes: (key, pos, path, root)."""
-    for batch in batches:
-        for key, block, n, own, path, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            grown = _grown(np.frombuffer(b"".join(own), np.uint8).reshape(-1, 64), min(DEPTH, levels(n)))
-            made = []
-            for i in range(len(own)):
-                pairs = [_siblings(m, i // FANOUT**k) for k, m in enumerate(grown[:-1])]
-                made.append([{"left": a, "right": b} for a, b in pairs] + path)
-            pos = np.arange(len(own)) + block * BLOCK
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.binary()), pa.array(pos, pa.int64()), pa.array(made, _PATH), pa.array([root] * len(own), pa.binary())], ["key", "pos", "path", "root"])
+def _paths(depth: int):
+    """(key, block, n, digests, path of the block, root) to the path of each of its nodes: (key, pos, path, root)."""
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, block, n, own, path, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grown = _grown(np.frombuffer(b"".join(own), np.uint8).reshape(-1, 64), min(depth, levels(n)))
+                made = []
+                for i in range(len(own)):
+                    pairs = [_siblings(m, i // FANOUT**k) for k, m in enumerate(grown[:-1])]
+                    made.append([{"left": a, "right": b} for a, b in pairs] + path)
+                pos = np.arange(len(own)) + block * FANOUT**depth
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.binary()), pa.array(pos, pa.int64()), pa.array(made, _PATH), pa.array([root] * len(own), pa.binary())], ["key", "pos", "path", "root"])
 
+    return released(down)
 
-def tree(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, digest) of each key's root, and the tables of blocks from the leaves up, for :func:`descend`.
 
-    ``nodes``: (key, pos, n, digest). Each round has 4,096 times fewer nodes; the driver asks only whether any key has several."""
+def tree(nodes: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, digest) of each key's root, and the tables of blocks from the lowest up, for :func:`descend`.
+
+    ``nodes``: (key, pos, n, digest). Each round has ``FANOUT ** depth`` times fewer nodes; the driver asks only whether any key has several."""
     tables = []
     while True:
-        blocks = staged(_gathered(nodes), "blocks")
-        tables.append(blocks)
-        nodes = staged(blocks.mapInArrow(released(_roots), "key binary, pos bigint, n bigint, digest binary"), "roots")
+        tables.append(staged(_gathered(nodes, depth), "blocks"))
+        nodes = staged(tables[-1].mapInArrow(_roots(depth), "key binary, pos bigint, n bigint, digest binary"), "roots")
         if nodes.where("n > 1").isEmpty():
             return nodes.select("key", "digest"), tables
-        tables.append(nodes)
 
 
-def descend(tables: list[DataFrame], tops: DataFrame) -> DataFrame:
-    """(key, pos, path, root) of the lowest table's blocks or nodes: ``tops`` is (key, path, root) of each key's root."""
+def descend(tables: list[DataFrame], tops: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, pos, path, root) of the lowest table's nodes: ``tops`` is (key, path, root) of each key's root."""
     paths = tops.withColumn("pos", F.lit(0).cast("bigint"))
     for blocks in reversed(tables):
-        paths = _under(blocks, paths).mapInArrow(released(_paths), f"key binary, pos bigint, path {_PATH_SQL}, root binary")
+        paths = _under(blocks, paths).mapInArrow(_paths(depth), f"key binary, pos bigint, path {_PATH_SQL}, root binary")
     return paths
 
 
@@ -168,58 +173,60 @@ def _under(blocks: DataFrame, paths: DataFrame, *more: str) -> DataFrame:
     return joined.select("key", "block", "n", "digest", "path", "root", *more)
 
 
-def _prover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prover(depth: int):
     """Leaves with their proofs, and what the tampered ones fold to, from a block and its path."""
-    for batch in batches:
-        for n, own, path, root, docs, changed, subroot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            inside = min(DEPTH, levels(n))
-            grown = _grown(np.frombuffer(b"".join(own), np.uint8).reshape(-1, 64), inside)
-            above = [(p["left"], p["right"]) for p in path]
-            rest = b"".join(a + b for a, b in above)
-            # what follows the proof of a node, from the top level down: 8 nodes share their parent's
-            after = [[rest] * len(m) for m in grown]
-            pairs = [[_siblings(m, i) for i in range(len(m))] for m in grown[:-1]]
-            for k in range(inside - 1, 0, -1):
-                after[k] = [a + b + after[k + 1][i // FANOUT] for i, (a, b) in enumerate(pairs[k])]
-            proofs, folded = [], []
-            for i, leaf in enumerate(own):
-                first = (b"".join(pairs[0][i]) + after[1][i // FANOUT]) if inside else rest
-                proofs.append(hashlib.sha256(first).hexdigest())
-                now = changed[i] or leaf
-                for k in range(inside):
-                    a, b = pairs[k][i // FANOUT**k]
-                    now = hashlib.sha256(a + now + b).hexdigest().encode()
-                for a, b in above:
-                    now = hashlib.sha256(a + now + b).hexdigest().encode()
-                folded.append(now)
-            size, verified = len(own), [f == root for f in folded]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), *(pa.array([x.decode() for x in v], pa.string()) for v in (own, [subroot] * size, [root] * size)), pa.array(proofs, pa.string()), pa.array([x.decode() for x in folded], pa.string()), pa.array(verified)],
-                ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
-            )
-
-
-def manifest(docs: DataFrame) -> DataFrame:
+
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, own, path, root, docs, changed, subroot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                inside = min(depth, levels(n))
+                grown = _grown(np.frombuffer(b"".join(own), np.uint8).reshape(-1, 64), inside)
+                above = [(p["left"], p["right"]) for p in path]
+                rest = b"".join(a + b for a, b in above)
+                # what follows the proof of a node, from the top level down: 8 nodes share their parent's
+                after = [[rest] * len(m) for m in grown]
+                pairs = [[_siblings(m, i) for i in range(len(m))] for m in grown[:-1]]
+                for k in range(inside - 1, 0, -1):
+                    after[k] = [a + b + after[k + 1][i // FANOUT] for i, (a, b) in enumerate(pairs[k])]
+                proofs, folded = [], []
+                for i, leaf in enumerate(own):
+                    first = (b"".join(pairs[0][i]) + after[1][i // FANOUT]) if inside else rest
+                    proofs.append(hashlib.sha256(first).hexdigest())
+                    now = changed[i] or leaf
+                    for k in range(inside):
+                        a, b = pairs[k][i // FANOUT**k]
+                        now = hashlib.sha256(a + now + b).hexdigest().encode()
+                    for a, b in above:
+                        now = hashlib.sha256(a + now + b).hexdigest().encode()
+                    folded.append(now)
+                size, verified = len(own), [f == root for f in folded]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs, pa.int64()), *(pa.array([x.decode() for x in v], pa.string()) for v in (own, [subroot] * size, [root] * size)), pa.array(proofs, pa.string()), pa.array([x.decode() for x in folded], pa.string()), pa.array(verified)],
+                    ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+                )
+
+    return released(prove)
+
+
+def manifest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row."""
     text = {"source", "lang", "text"}
     rows = docs.select(*(F.col(c).cast("string").cast("binary").alias(c) if c in text else F.col(c).cast("bigint").alias(c) for c in COLUMNS))
     made = staged(rows.mapInArrow(released(_leaves), "doc_id bigint, lang binary, leaf binary, changed binary"), "leaves")
     # a null language comes before all others, which begin with a byte
     keyed = made.select(F.when(F.col("lang").isNull(), F.lit(b"")).otherwise(F.concat(F.lit(b"="), "lang")).alias("key"), "doc_id", F.col("leaf").alias("digest"), F.col("changed"))
-    leaves = _numbered(keyed, "key", ["doc_id", "digest"])
-    blocks = staged(_gathered(leaves, "doc_id", "changed"), "blocks")
-    roots = staged(blocks.select("key", "block", "n", "digest").mapInArrow(released(_roots), "key binary, pos bigint, n bigint, digest binary"), "roots")
-    subroots, tables = (roots.select("key", "digest"), []) if roots.where("n > 1").isEmpty() else tree(roots)
-    subroots = staged(subroots.withColumnRenamed("key", "lang"), "subroots")
-    tops = _numbered(subroots.select(F.lit(b"").alias("key"), "lang", "digest"), "key", ["lang"])
-    tops = staged(tops, "tops")
-    top, above = tree(tops.select("key", "pos", "n", "digest"))
+    blocks = staged(_gathered(_numbered(keyed, "key", ["doc_id", "digest"]), depth, "doc_id", "changed"), "blocks")
+    discard(made)
+    roots = staged(blocks.select("key", "block", "n", "digest").mapInArrow(_roots(depth), "key binary, pos bigint, n bigint, digest binary"), "roots")
+    found, tables = (roots.select("key", "digest"), []) if roots.where("n > 1").isEmpty() else tree(roots, depth)
+    subroots = staged(found.select(F.col("key").alias("lang"), F.col("digest")), "subroots")
+    tops = staged(_numbered(subroots.select(F.lit(b"").alias("key"), "lang", "digest"), "key", ["lang"]), "tops")
+    top, above = tree(tops.select("key", "pos", "n", "digest"), depth)
     to_root = top.select("key", F.expr(f"cast(array() as {_PATH_SQL})").alias("path"), F.col("digest").alias("root"))
-    of_langs = descend([t for t in above if "block" in t.columns], to_root).withColumnRenamed("pos", "_pos").drop("key")
+    of_langs = descend(above, to_root, depth).select(F.col("pos").alias("_pos"), "path", "root")
     of_langs = tops.join(of_langs, F.col("pos") == F.col("_pos")).select(F.col("lang").alias("key"), "path", "root")
-    of_blocks = descend([t for t in tables if "block" in t.columns], of_langs)
-    under = _under(blocks, of_blocks, "doc_id", "changed").join(subroots.select(F.col("lang").alias("_lang"), F.col("digest").alias("subroot")), F.col("key") == F.col("_lang"))
+    of_blocks = descend(tables, of_langs, depth)
+    named = subroots.select(F.col("lang").alias("_lang"), F.col("digest").alias("subroot"))
+    under = _under(blocks, of_blocks, "doc_id", "changed").join(named, F.col("key") == F.col("_lang"))
     proved = under.select("n", "digest", "path", "root", "doc_id", "changed", "subroot")
-    out = proved.mapInArrow(released(_prover), "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
-    discard(made)
-    return out
+    return proved.mapInArrow(_prover(depth), "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
