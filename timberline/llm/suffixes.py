@@ -6,7 +6,8 @@
 2. The texts of all other pieces are sorted by gram and cut into shards of ``SHARD`` bytes between two grams, so that equal strings
    meet in one shard. Each shard's suffix array is made by induced sorting (:mod:`.induced`); a string is repeated if
    its suffix shares a prefix of ``window`` or more bytes with a neighbour in the array (permuted common
-   prefixes). Equal pieces stand in the array once with their number: a piece that there is twice shares all of itself.
+   prefixes). Equal pieces stand in the array once with their number: a piece that there is twice shares all of itself;
+   where a gram has no other piece, there is nothing to sort.
 3. The repeated spans of a piece go back to all its occurrences by joins.
 
 Skew: a task tells about each gram once and sends each piece once, however often it holds them. A gram in
@@ -270,28 +271,43 @@ def repeated_spans(found: list[bytes], counts: list[int], window: int) -> tuple[
 
 
 def _sorted_shards(window: int):
-    """Rows (key, digest, piece, n), in the order of key and digest, to the repeated spans of the pieces: (digest, start, end)."""
+    """Rows (key, digest, piece, n), in the order of key and digest, to the repeated spans of the pieces: (digest, start, end).
 
-    def judged(held: list[list]) -> pa.RecordBatch:
-        own, start, end = repeated_spans([p for _, p, _ in held], [n for _, _, n in held], window)
-        return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in own.tolist()], pa.binary()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["digest", "start", "end"])
+    A gram all of whose pieces are equal has nothing to sort: its text is there twice as a whole."""
+
+    def judged(held: list[list], whole: list[list]) -> pa.RecordBatch:
+        own, start, end = repeated_spans([p for _, p, _ in held], [n for _, _, n in held], window) if held else ([], [], [])
+        digests = [held[i][0] for i in own] + [d for d, _, _ in whole]
+        start, end = [*start, *[0] * len(whole)], [*end, *(len(p) for _, p, _ in whole)]
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["digest", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, now = [], 0, None
+        held, whole, group, size, now = [], [], [], 0, None
+
+        def closed() -> int:
+            """Puts the pieces of a gram to those that are sorted, and tells their bytes."""
+            alike = len(group) == 1 and group[0][2] > 1
+            (whole if alike else held).extend(group)
+            added = 0 if alike else sum(len(p) for _, p, _ in group)
+            group.clear()
+            return added
+
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 for key, digest, piece, n in zip(*(c.slice(at, 1024).to_pylist() for c in batch.columns), strict=True):
-                    if key != now and size >= SHARD:
-                        yield judged(held)
-                        held, size = [], 0
-                    if held and key == now and held[-1][0] == digest:
-                        held[-1][2] += n
+                    if key != now:
+                        size += closed()
+                        if size >= SHARD or len(whole) >= HELD // 10:
+                            yield judged(held, whole)
+                            held, whole, size = [], [], 0
+                    if group and group[-1][0] == digest:
+                        group[-1][2] += n
                     else:
-                        held.append([digest, piece, n])
-                        size += len(piece)
+                        group.append([digest, piece, n])
                     now = key
-        if held:
-            yield judged(held)
+        closed()
+        if held or whole:
+            yield judged(held, whole)
 
     return released(run)
 
