@@ -149,12 +149,12 @@ class TemplateCache:
         return self.add(source.template(content, [self.templates[k] for k in similar]), similar)
 
 
-def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | None = None, known: DataFrame | None = None) -> DataFrame:
+def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | None = None, known: DataFrame | None = None, keep_key: bool = False) -> DataFrame:
     """(line_id, template), one cache for each ``key`` (or for the whole log), lines in order; a line whose
     template is empty or bare has ``<*>``.
 
     ``known``: (cache, number, template) that caches start with, such as :func:`templates_of` gave before and a table
-    has kept; so a log can be read on from where it was left."""
+    has kept; so a log can be read on from where it was left. ``keep_key``: the key is in the result, as ``cache``."""
     source = source or Rules()
 
     def mine(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
@@ -167,7 +167,9 @@ def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | No
     rows = lines.select("line_id", "content", (F.col(key).cast("string") if key else F.lit("")).alias("cache"))
     held = known.select("cache", "number", "template") if known is not None else lines.sparkSession.createDataFrame([], "cache string, number bigint, template string")
     found = rows.groupBy("cache").cogroup(held.groupBy("cache")).applyInPandas(mine, "line_id bigint, number bigint, template string, cache string")
-    return found.select("line_id", "template", "number", "cache") if known is not None else found.select("line_id", "template")
+    if known is not None:
+        return found.select("line_id", "template", "number", "cache")
+    return found.select("line_id", "template", *(["cache"] if keep_key else []))
 
 
 def templates_of(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -26,25 +26,28 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0)).cast("double")
 
 
-def template_accuracy(generated: DataFrame, standard: DataFrame, mode: str = "entries", star_rule: bool = True) -> DataFrame:
-    """One row with pa, pta and rta of generated (template, n) against standard (template).
+def template_accuracy(generated: DataFrame, standard: DataFrame, mode: str = "entries", star_rule: bool = True, key: Sequence[str] = ()) -> DataFrame:
+    """One row (for each ``key`` that either list has) with pa, pta and rta of generated (template, n) against standard (template).
 
     pa: share of lines whose template equals a standard one by tokens; pta: the same of generated
     entries, repeated ones counting each; rta: share of standard entries that are found. Empty lists
     give 0. ``mode="pairs"`` counts every standard entry that a generated one equals, so that pta may
     exceed 1.
     """
+    key = list(key)
     made, true = _keyed(generated, star_rule), _keyed(standard, star_rule)
-    known = true.groupBy("_key").agg(F.count("*").alias("_of"))
-    hits = made.join(known, "_key", "left")
+    known = true.groupBy(*key, "_key").agg(F.count("*").alias("_of"))
+    hits = made.join(known, [*key, "_key"], "left")
     found = F.col("_of").isNotNull()
     matched = F.sum("_of") if mode == "pairs" else F.sum(found.cast("bigint"))
-    ours = hits.agg(
+    ours = hits.groupBy(*key).agg(
         _share(F.sum(F.when(found, F.col("n")).otherwise(0)), F.sum("n")).alias("pa"), _share(F.coalesce(matched, F.lit(0)), F.count("*")).alias("pta")
     )
-    back = true.join(made.select("_key").distinct().withColumn("_hit", F.lit(1)), "_key", "left")
-    theirs = back.agg(_share(F.sum(F.coalesce("_hit", F.lit(0))), F.count("*")).alias("rta"))
-    return ours.crossJoin(theirs)  # one row each
+    back = true.join(made.select(*key, "_key").distinct().withColumn("_hit", F.lit(1)), [*key, "_key"], "left")
+    theirs = back.groupBy(*key).agg(_share(F.sum(F.coalesce("_hit", F.lit(0))), F.count("*")).alias("rta"))
+    if not key:
+        return ours.crossJoin(theirs)  # one row each
+    return ours.join(theirs, key, "full").select(*key, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("pa", "pta", "rta")))
 
 
 def contingency(truth: DataFrame, parsed: DataFrame) -> DataFrame:

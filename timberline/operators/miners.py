@@ -53,7 +53,7 @@ def positional_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select("n", F.posexplode(F.split("text", " ")).alias("pos", "tok")).groupBy("pos", "tok").agg(F.sum("n").alias("freq"))
 
 
-def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: int = 4, digits_vary: bool = False, key: Sequence[str] = ()) -> DataFrame:
+def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: int | Column = 4, digits_vary: bool | Column = False, key: Sequence[str] = (), text: Column | None = None) -> DataFrame:
     """Positional-frequency mining over masked, de-duplicated contents, for each log that ``key`` tells apart.
 
     Each content's root is the frequency that most of its tokens have (of equals, the one that comes
@@ -64,9 +64,11 @@ def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
     Masking comes before de-duplication, so that frequencies are sums of counts. Contents travel by the number of
     their first line: one join by (pos, tok) finds frequencies, one regrouping puts the tokens of a content into
     one row, and the rest works on rows and on small tables by group.
+
+    ``text``: the masked content, where its rules come from a table; thresholds may be columns of the key then.
     """
     key = list(key)
-    keyed = lines.select(*key, "line_id", brain_text(F.col("content"), masks, removed, literals).alias("text"))
+    keyed = lines.select(*key, "line_id", (brain_text(F.col("content"), masks, removed, literals) if text is None else text).alias("text"))
     texts = distinct_contents(keyed, F.col("text"), key)
     spread = texts.select(*key, "n", F.col("first_line").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "tok"))
     freq = spread.groupBy(*key, "pos", "tok").agg(F.sum("n").alias("freq"))
@@ -86,7 +88,8 @@ def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
     many = held.groupBy(*group, "pos").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= threshold).select(*group, "pos").checkpoint()
     varying = held.join(many, [*group, "pos"]).select(*group, "tok").distinct()
     spots = many.groupBy(*group).agg(F.collect_list("pos").alias("many"))
-    own = lambda tok: tok.contains("/") | tok.contains(WILDCARD) | tok.rlike(r"^-?\d+$") | (tok.rlike(r"\d") if digits_vary else F.lit(False))
+    digits = F.lit(digits_vary) if isinstance(digits_vary, bool) else digits_vary
+    own = lambda tok: tok.contains("/") | tok.contains(WILDCARD) | tok.rlike(r"^-?\d+$") | (digits & tok.rlike(r"\d"))
     rows = rows.join(spots, group, "left").withColumn("many", F.coalesce("many", F.array().cast("array<int>")))
     # tokens that vary at one place of their group and stand at another one too
     others = rows.select(*group, F.explode(F.filter("t", lambda x: ~F.array_contains("many", x["pos"]) & ~own(x["tok"]))).alias("x")).select(*group, "x.tok")
@@ -98,8 +101,8 @@ def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
         seen = seen.groupBy(*key, "id").agg(F.collect_list("pos").alias("more"))
         plain = plain.join(seen, [*key, "id"], "left")
         plain = plain.withColumn("out", F.when(F.col("more").isNull(), F.col("out")).otherwise(F.transform("out", lambda x, i: F.when(F.array_contains("more", i), WILDCARD).otherwise(x))))
-    text = F.array_join(F.transform("t", lambda x: x["tok"]), " ")
-    templates = plain.select(*key, text.alias("text"), F.array_join("out", " ").alias("template"))
+    whole = F.array_join(F.transform("t", lambda x: x["tok"]), " ")
+    templates = plain.select(*key, whole.alias("text"), F.array_join("out", " ").alias("template"))
     return keyed.join(templates, [*key, "text"]).select(*key, "line_id", "template")
 
 
@@ -122,15 +125,16 @@ def gram_counts(texts: DataFrame, width: int, key: Sequence[str] = ()) -> DataFr
     return texts.select(*key, "n", F.explode(grams).alias("g")).groupBy(*key, *[F.col(f"g.{c}").alias(c) for c in names]).agg(F.sum("n").alias("freq"))
 
 
-def logram(lines: DataFrame, masks: Sequence[str] = (), bigram_threshold: int = 15, trigram_threshold: int = 10, key: Sequence[str] = ()) -> DataFrame:
+def logram(lines: DataFrame, masks: Sequence[str] = (), bigram_threshold: int | Column = 15, trigram_threshold: int | Column = 10, key: Sequence[str] = (), text: Column | None = None) -> DataFrame:
     """N-gram mining in two passes, for each log that ``key`` tells apart: a rare trigram makes its tokens candidates,
     and a candidate is variable unless a bigram with a neighbour is frequent (for the first token, above the threshold
     and to the right only; the last one's right neighbour is the first). Only the last mask counts.
 
-    Contents travel by the number of their first line."""
+    Contents travel by the number of their first line. ``text``: the masked content, where its rules come from a
+    table; thresholds may be columns of the key then."""
     key = list(key)
     own = [*key, "id"]
-    keyed = lines.select(*key, "line_id", F.array_join(plain_tokens(last_masked(F.col("content"), masks)), " ").alias("text"))
+    keyed = lines.select(*key, "line_id", F.array_join(plain_tokens(last_masked(F.col("content"), masks) if text is None else text), " ").alias("text"))
     texts = distinct_contents(keyed, F.col("text"), key).select(*key, "text", "n", F.col("first_line").alias("id"), F.split("text", " ").alias("tokens"))
     two, three = gram_counts(texts, 2, key), gram_counts(texts, 3, key)
     spread3 = texts.select(*own, F.posexplode(_trigrams(F.col("tokens"))).alias("pos", "g")).select(*own, "pos", "g.*")
@@ -160,71 +164,69 @@ def anchor_frequencies(texts: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     return spread.where(F.col("word") != WILDCARD).groupBy(*key, "width", "pos", "word").agg(F.count("*").alias("freq"))
 
 
-def _anchor_groups(lines: DataFrame, masks, removed, literals, clean: bool, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Lines with their cleaned texts; distinct texts with their width and the first pass's minimum of their log."""
-    text = anchor_text(F.col("content"), masks, removed, literals) if clean else F.col("content")
+def _anchor_texts(lines: DataFrame, masks, removed, literals, clean: bool, key: list[str], text: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines with their cleaned texts; (key, text, n) of distinct texts."""
+    if text is None:
+        text = anchor_text(F.col("content"), masks, removed, literals) if clean else F.col("content")
     keyed = lines.select(*key, "line_id", text.alias("text"))
-    texts = distinct_contents(keyed, F.col("text"), key).select(*key, "text")
-    least = anchor_frequencies(texts, key).groupBy(*key).agg(F.min("freq").cast("int").alias("least"))
-    sized = texts.withColumn("width", F.size(F.split("text", " ")))
-    if key:
-        sized = sized.join(least, key, "left")
-    else:
-        sized = sized.crossJoin(F.broadcast(least))  # one row
-    return keyed, sized.withColumn("least", F.coalesce("least", F.lit(0)))
-
-
-def by_anchors(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4, clean: bool = True, key: Sequence[str] = ()) -> DataFrame:
-    """Anchor mining to a fixpoint, for each log that ``key`` tells apart: in each pass the rarest anchors of all
-    become wildcards, and a text whose share of wildcards exceeds ``threshold`` leaves with the text from before the pass.
-
-    The first pass takes the minimum over all lengths; after it lengths don't meet, so each length runs to
-    its own fixpoint in one group of distinct texts.
-    """
-    key = list(key)
-    keyed, sized = _anchor_groups(lines, masks, removed, literals, clean, key)
+    return keyed, distinct_contents(keyed, F.col("text"), key).select(*key, "text", "n")
 
-    def mine(pdf):
-        import pandas as pd
 
-        done = [(o, t) for _, _, left in _passes(pdf["text"], int(pdf["least"].iloc[0]), threshold) for t, origins in left for o in origins]
-        out = pd.DataFrame(done, columns=["text", "template"])
-        return out.assign(**{c: pdf[c].iloc[0] for c in key})[[*key, "text", "template"]]
+def anchor_fixpoint(texts: DataFrame, threshold: float | Column = 0.4, key: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(key, text, template) of distinct texts (key, text), and (key, width, step, low, left) of the passes.
 
-    kinds = ", ".join(f"{c} {dict(lines.dtypes)[c]}" for c in key)
-    found = sized.groupBy(*key, "width").applyInPandas(mine, f"{kinds + ', ' if kinds else ''}text string, template string")
-    return keyed.join(found, [*key, "text"]).select(*key, "line_id", "template")
+    In a pass the rarest anchors (words at their place, among texts of one width) become wildcards; a text whose share of
+    wildcards exceeds ``threshold`` leaves as it was before the pass, and the others, some of which are equal now, go on.
+    The first pass takes the least frequency over all widths; then widths don't meet any more, so that all of
+    them take their own passes at the same time. A width without anchors ends.
 
+    Each pass is a few joins over the distinct texts that are left, and a checkpoint; the driver only asks whether any are.
+    ``threshold`` may be a column of the key, so that a sweep of thresholds is one run.
+    """
+    from .tokens import anchors
 
-def _passes(texts, least: int, threshold: float):
-    """Of one length's distinct texts, for each pass: its minimum, how many texts go on, and (template, origins) of those that leave."""
-    import re
-
-    word = re.compile(r"\S+=|\S+")
-    held = {t: [t] for t in texts}
-    first = True
-    while held:
-        split = {t: word.findall(t) for t in held}
-        counts: dict[tuple[int, int, str], int] = {}
-        for words in split.values():
-            for k, w in enumerate(words):
-                if w != WILDCARD:
-                    counts[len(words), k, w] = counts.get((len(words), k, w), 0) + 1
-        if not counts:
-            yield 0, 0, list(held.items())
-            return
-        low = least if first else min(counts.values())
-        first = False
-        done, after = [], {}
-        for t, origins in held.items():
-            words = split[t]
-            new = [WILDCARD if w == WILDCARD or counts[len(words), k, w] == low else w for k, w in enumerate(words)]
-            if new.count(WILDCARD) / len(new) > threshold:
-                done.append((t, origins))  # as it was before this pass
-            else:
-                after.setdefault(" ".join(new), []).extend(origins)
-        yield low, len(after), done
-        held = after
+    key = list(key)
+    own = [*key, "width", "words"]
+    with_checkpoints(texts.sparkSession)
+    words = anchors(F.col("text"))
+    held = texts.select(*key, "text", F.col("text").alias("now"), words.alias("words")).withColumn("width", F.size("words")).checkpoint()
+    least = anchor_frequencies(texts, key).groupBy(*key).agg(F.min("freq").alias("low"))
+    done, told, step = [], [], 0
+    while not held.isEmpty():
+        distinct = held.select(*own).distinct()
+        at = distinct.select(*own, F.posexplode("words").alias("pos", "word")).where(F.col("word") != WILDCARD)
+        counts = at.groupBy(*key, "width", "pos", "word").agg(F.count("*").alias("freq"))
+        if step == 0:
+            known = counts.select(*key, "width").distinct()
+            low = known.join(least, key) if key else known.crossJoin(F.broadcast(least))  # one row
+        else:
+            low = counts.groupBy(*key, "width").agg(F.min("freq").alias("low"))
+        rare = counts.join(low, [*key, "width"]).where(F.col("freq") == F.col("low")).select(*key, "width", "pos", "word")
+        hits = at.join(rare, [*key, "width", "pos", "word"]).groupBy(*own).agg(F.collect_set("pos").alias("places"))
+        moved = distinct.join(hits, own, "left").join(low, [*key, "width"], "left")
+        new = F.when(F.col("places").isNull(), F.col("words")).otherwise(F.transform("words", lambda w, i: F.when(F.array_contains("places", i), WILDCARD).otherwise(w)))
+        moved = moved.withColumn("new", new)
+        share = F.size(F.filter("new", lambda w: w == WILDCARD)) / F.size("new")
+        moved = moved.withColumn("leaves", F.col("low").isNull() | (share > threshold)).select(*own, "low", "new", "leaves")
+        after = held.join(moved, own).checkpoint()
+        done.append(after.where("leaves").select(*key, "text", F.col("now").alias("template")))
+        going = after.where("not leaves").select(*key, "width", "low", "new").distinct().groupBy(*key, "width").agg(F.count("*").alias("left"))
+        lows = after.groupBy(*key, "width").agg(F.max(F.coalesce("low", F.lit(0))).alias("low"))
+        told.append(lows.join(going, [*key, "width"], "left").select(*key, "width", F.lit(step).alias("step"), "low", F.coalesce("left", F.lit(0)).cast("bigint").alias("left")))
+        held = after.where("not leaves").select(*key, "text", F.array_join("new", " ").alias("now"), F.col("new").alias("words"), "width")
+        step += 1
+    if not done:
+        return texts.select(*key, "text", F.col("text").alias("template")), texts.select(*key, F.lit(0).alias("width"), F.lit(0).alias("step"), F.lit(0).cast("bigint").alias("low"), F.lit(0).cast("bigint").alias("left")).limit(0)
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, told)
+
+
+def by_anchors(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float | Column = 0.4, clean: bool = True, key: Sequence[str] = (), text: Column | None = None) -> DataFrame:
+    """(key, line_id, template) by :func:`anchor_fixpoint`, for each log that ``key`` tells apart. ``text``: the cleaned
+    content, where its rules come from a table; ``threshold`` may be a column of the key then."""
+    key = list(key)
+    keyed, texts = _anchor_texts(lines, masks, removed, literals, clean, key, text)
+    found, _ = anchor_fixpoint(texts, threshold, key)
+    return keyed.join(found, [*key, "text"]).select(*key, "line_id", "template")
 
 
 # ---- column consensus -------------------------------------------------------------------------------
@@ -297,17 +299,17 @@ def adaptive(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str]
     return found, spark.createDataFrame([row], names)
 
 
-def sweep(lines: DataFrame, standard: DataFrame, thresholds: Sequence[float], **settings) -> DataFrame:
-    """(threshold, pa, pta, rta, templates) of the anchor miner for a few thresholds."""
+def sweep(lines: DataFrame, standard: DataFrame, thresholds: Sequence[float], masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = ()) -> DataFrame:
+    """(threshold, pa, pta, rta, templates) of the anchor miner: one run, in which the threshold tells logs apart."""
     from .metrics import template_accuracy
 
-    rows = None
-    for t in thresholds:
-        made = template_counts(by_anchors(lines, threshold=t, **settings))
-        row = template_accuracy(made, standard).crossJoin(made.agg(F.count("*").alias("templates")))  # one row each
-        row = row.select(F.lit(float(t)).alias("threshold"), "pa", "pta", "rta", "templates")
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    _, texts = _anchor_texts(lines, masks, removed, literals, True, [])
+    texts = texts.select(each, "text", "n")
+    found, _ = anchor_fixpoint(texts, F.col("threshold"), ["threshold"])
+    made = texts.join(found, ["threshold", "text"]).groupBy("threshold", "template").agg(F.sum("n").alias("n"))
+    sizes = made.groupBy("threshold").agg(F.count("*").alias("templates"))
+    return template_accuracy(made, standard.select(each, "template"), key=["threshold"]).join(sizes, "threshold").select("threshold", "pa", "pta", "rta", "templates")
 
 
 def trace(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: float = 0.4) -> DataFrame:
@@ -316,16 +318,9 @@ def trace(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
     A pass of the whole log is one of those lengths whose minimum is the smallest then; lengths tell their own
     passes, of which there are few, and the driver puts them in order."""
     spark = lines.sparkSession
-    keyed, sized = _anchor_groups(lines, masks, removed, literals, True, [])
-
-    def told(pdf):
-        import pandas as pd
-
-        steps = [(int(pdf["width"].iloc[0]), k, low, left) for k, (low, left, _) in enumerate(_passes(pdf["text"], int(pdf["least"].iloc[0]), threshold))]
-        return pd.DataFrame(steps, columns=["width", "step", "low", "left"])
-
+    keyed, texts = _anchor_texts(lines, masks, removed, literals, True, [])
     by: dict[int, list] = {}
-    for r in sized.groupBy("width").applyInPandas(told, "width int, step int, low int, left bigint").collect():
+    for r in anchor_fixpoint(texts, threshold)[1].collect():  # a row for each length and pass
         by.setdefault(r["width"], []).append((r["step"], r["low"], r["left"]))
     waiting = {w: sorted(steps) for w, steps in by.items()}
     left, passes, first = {w: 0 for w in by}, [], True

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clean import WILDCARD, masked
@@ -69,11 +69,12 @@ class ParseTree:
 
 
 def _mined(rows: DataFrame, group: Sequence[str], key: Sequence[str], start, kinds: dict[str, str]) -> DataFrame:
-    """(key, line_id, template) by one state for each group, which reads its lines in order."""
+    """(key, line_id, template) by one state for each group, which reads its lines in order; ``start`` makes it from
+    the group's first row, whose key may hold thresholds."""
     key = list(key)
 
     def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values("line_id"), start()
+        pdf, state = pdf.sort_values("line_id"), start(pdf.iloc[0])
         cluster = [state.add(list(t)) for t in pdf["tokens"]]
         made = [" ".join(t) for t in state.templates]
         return pd.DataFrame({**{c: pdf[c] for c in key}, "line_id": pdf["line_id"], "template": [made[k] for k in cluster]})
@@ -82,10 +83,17 @@ def _mined(rows: DataFrame, group: Sequence[str], key: Sequence[str], start, kin
     return rows.groupBy(*group).applyInPandas(mine, schema)
 
 
-def drain(lines: DataFrame, masks: Sequence[str] = (), depth: int = 4, similarity: float = 0.5, key: Sequence[str] = ()) -> DataFrame:
-    """(line_id, template) by parse trees, one for each token count of each log that ``key`` tells apart."""
-    rows = lines.select(*key, "line_id", plain_tokens(masked(F.col("content"), masks)).alias("tokens")).withColumn("width", F.size("tokens"))
-    return _mined(rows, [*key, "width"], key, lambda: ParseTree(depth, similarity), dict(lines.dtypes))
+def _set(value: float | str, row: pd.Series) -> float:
+    """A threshold, or that of the key's column of this name."""
+    return row[value] if isinstance(value, str) else value
+
+
+def drain(lines: DataFrame, masks: Sequence[str] = (), depth: int | str = 4, similarity: float | str = 0.5, key: Sequence[str] = (), text: Column | None = None) -> DataFrame:
+    """(line_id, template) by parse trees, one for each token count of each log that ``key`` tells apart.
+
+    ``text``: the masked content, where its rules come from a table; thresholds may be names of the key's columns then."""
+    rows = lines.select(*key, "line_id", plain_tokens(masked(F.col("content"), masks) if text is None else text).alias("tokens")).withColumn("width", F.size("tokens"))
+    return _mined(rows, [*key, "width"], key, lambda row: ParseTree(int(_set(depth, row)), float(_set(similarity, row))), dict(lines.dtypes))
 
 
 def common(a: Sequence[str], b: Sequence[str]) -> list[str]:
@@ -199,7 +207,7 @@ def refined(shared: Iterable[str], template: Sequence[str]) -> list[str]:
     return out
 
 
-def spell(lines: DataFrame, masks: Sequence[str] = (), tau: float = 0.5, key: Sequence[str] = ()) -> DataFrame:
-    """(line_id, template), one state for each log that ``key`` tells apart (or for all lines)."""
-    rows = lines.select(*key, "line_id", spell_tokens(masked(F.col("content"), masks)).alias("tokens"), F.lit(0).alias("log"))
-    return _mined(rows, [*key, "log"], key, lambda: Subsequences(tau), dict(lines.dtypes))
+def spell(lines: DataFrame, masks: Sequence[str] = (), tau: float | str = 0.5, key: Sequence[str] = (), text: Column | None = None) -> DataFrame:
+    """(line_id, template), one state for each log that ``key`` tells apart (or for all lines); ``text`` and ``tau`` as in :func:`drain`."""
+    rows = lines.select(*key, "line_id", spell_tokens(masked(F.col("content"), masks) if text is None else text).alias("tokens"), F.lit(0).alias("log"))
+    return _mined(rows, [*key, "log"], key, lambda row: Subsequences(float(_set(tau, row))), dict(lines.dtypes))

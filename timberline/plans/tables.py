@@ -117,10 +117,6 @@ def _keyed(run):
     return query
 
 
-def _e07(spark, sf_dir):
-    return miners.trace(events(spark, sf_dir), (r"blk_\d+",), (), (":",), 0.4)
-
-
 def _e12(spark, sf_dir):
     answers = orders(spark, sf_dir).select(F.col("line_id").alias("id"), F.concat(F.lit('Here are lines:\n1. "'), "content", F.lit('"\n- '), "content", F.lit("\n```\n\n")).alias("answer"))
     return augment.answer_lines(answers).groupBy("id").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
@@ -238,7 +234,6 @@ QUERIES = {
     "m04_drain_two_logs": (_keyed(lambda rows: online.drain(rows, (r"blk_\d+", r"(\d+\.){3}\d+"), key=["dataset"])), None),
     "m05_spell_two_logs": (_keyed(lambda rows: online.spell(rows, (r"blk_\d+", r"(\d+\.){3}\d+", r"\b\d+\b"), 0.5, key=["dataset"])), None),
     "m06_logram_two_logs": (_keyed(lambda rows: miners.logram(rows, (r"\b\d+\b",), 15, 10, key=["dataset"])), _two_sql(_LOGRAM)),
-    "e07_trace": (_e07, None),
     "e12_answer_lines": (_e12, with_log("log_orders", "SELECT line_id AS id, 2::BIGINT AS n, content AS low, content AS high FROM log")),
     "e16_unknown_groups": (_e16, with_log("log_events", r"SELECT regexp_replace(content, '\b\d\b', '<*>', 'g') AS template, count(*) AS n FROM log GROUP BY 1 HAVING count(*) = 1 OR min(content) = max(content)")),
     "l05_similar_examples": (

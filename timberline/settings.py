@@ -45,3 +45,55 @@ SETTINGS = {
     "Mac": Settings(r"<Month>  <Date> <Time> <User> <Component>\[<PID>\]( \(<Address>\))?: <Content>", (_NAME,), (), (), False, 5, 0.7, 6, 0.6, 2, 2, 0.01),
     "Proxifier": Settings(r"\[<Time>\] <Program> - <Content>", (r"<\d+\ssec", r"([\w-]+\.)+[\w-]+(:\d+)?", r"\d{2}:\d{2}(:\d{2})*", r"[KGTM]B"), (r"\(.*?\)",), (), False, 3, 0.6, 3, 0.85, 500, 470, 0.4),
 }
+
+# Masks of four collections as older scripts have them, in order.
+LEGACY_MASKS = {
+    "Apache": (
+        r"\[[A-Z][a-z]{2}\s+[A-Z][a-z]{2}\s+\d{2}\s+\d{2}:\d{2}:\d{2}\s+\d{4}\]",
+        r"\[(notice|error|warn|debug|info|crit|alert|emerg)\]",
+        r"\[client\s+\d{1,3}(?:\.\d{1,3}){3}\]",
+        r"\d{1,3}(?:\.\d{1,3}){3}",
+        r"(?<=child )\d+",
+        r"(?<=slot )\d+",
+        r"(?<=state )\d+",
+        r"(?<=init )\d+\s+-?\d+",
+        r"/[A-Za-z0-9_./-]+",
+        r"workers2\.properties",
+        r"Directory index forbidden by rule",
+        r"jk2_init\(\) Found child",
+        r"jk2_init\(\) Can't find child",
+        r"workerEnv\.init\(\) ok",
+        r"mod_jk child workerEnv in error state",
+        r"mod_jk child init",
+        r"mod_proxy child init",
+        r"mod_rewrite child init",
+        r"mod_headers child init",
+    ),
+    "OpenSSH": (
+        r"(\d+\.){3}\d+",
+        r"([\w-]+\.){2,}[\w-]+",
+        r"\d{2}:\d{2}:\d{2}",
+        r"(?<=sshd\[)\d+(?=\])",
+        r"(?<=port )\d+",
+        r"(?<=password for invalid user )\S+(?= from)",
+        r"(?<=password for )\S+(?= from)",
+        r"(?<=[Ii]nvalid user )\S+(?= from)",
+        r"(?<=[Ii]nvalid user )\S+(?= \[)",
+        r"(?<=for user )\S+",
+        r"(?<=failures for )\S+(?= \[)",
+        r"(?<=user=)\S+",
+    ),
+    "OpenStack": (r"((\d+\.){3}\d+,?)+", r"/.+?\s ", r"\d+"),
+    "Zookeeper": (
+        r"(/|)(\d+\.){3}\d+(:\d+)?",
+        r"\d{4}-\d{2}-\d{2}",
+        r"\d{2}:\d{2}:\d{2},\d{3}",
+        r"(?<=@)[0-9a-fA-F]+",
+        r"0x[0-9a-fA-F]+",
+        r"(?<=Thread-)\d+",
+        r"(?<=myid=)\d+",
+        r"(?<=sid:)\d+",
+        r"(?<=cport:)-?\d+",
+        r"(?<=snapshot\.b)[0-9a-fA-F]+",
+    ),
+}
