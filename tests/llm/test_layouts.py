@@ -56,3 +56,38 @@ def test_layouts_to_text_and_back(spark):
 def test_mappings_have_their_own_fingerprints():
     prints = [f for m in chat.MAPPINGS for f in m.fingerprints]
     assert len(prints) == len(set(prints))
+
+
+def test_records_that_are_no_text_are_invalid(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    records = ['{"prompt": "\\ud800", "completion": "c"}', '{"\\udc00": 1}', '{"messages": [{"role": "\\ud800", "content": "x"}]}', deep, '{"messages": ' + "[" * 5000 + "]" * 5000 + "}", '{"prompt": "a", "completion": "b"}']
+    got = chat.canonical(spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string")).collect()
+    assert {r.conv_id: r.fingerprint for r in got if r.conv_id < 4} == dict.fromkeys(range(4), "invalid")
+    assert [(r.role, r.text) for r in got if r.conv_id == 5] == [("user", "a"), ("assistant", "b")]
+
+
+def test_system_prompts_and_what_is_left_out(spark):
+    records = [
+        {"system": "be kind", "conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]},
+        {"system": "be brief", "instruction": "do", "input": "", "output": "done"},
+        {"system": None, "prompt": "p", "completion": "c", "context": {"notes": ["n", ""], "id": 4}},
+        {"messages": [{"role": "user", "content": "hi", "name": "Ann"}], "system": ""},
+        {"unknown": "text", "n": 1},
+    ]
+    rows = chat.canonical(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id bigint, record string")).orderBy("conv_id", "turn").collect()
+    turns, left = defaultdict(list), {}
+    for r in rows:
+        turns[r.conv_id].append((r.role, r.text))
+        left[r.conv_id] = r.left_out
+    assert turns[0] == [("system", "be kind"), ("user", "hi"), ("assistant", "yo")]
+    assert turns[1] == [("system", "be brief"), ("user", "do"), ("assistant", "done")]
+    assert turns[2] == [("user", "p"), ("assistant", "c")] and turns[3] == [("user", "hi")] and turns[4] == [(None, None)]
+    assert left == {0: [], 1: [], 2: ["context.notes[]"], 3: ["messages[].name"], 4: ["unknown"]}
+
+
+def test_tables_are_told_by_their_own_schema(spark):
+    table = spark.createDataFrame([(1, 0, "user", "hi", "x", "y")], "conv_id bigint, turn bigint, role string, text string, prompt string, system string")
+    assert chat.mapping_of(table).name == "rows by turn" and chat.turns_by_row(table).count() == 1
+    assert chat.mapping_of(table.select("prompt", "system")) is None
+    with pytest.raises(ValueError, match="rows by turn"):
+        chat.turns_by_row(table.select("conv_id", "prompt"))

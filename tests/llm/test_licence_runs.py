@@ -52,8 +52,36 @@ def test_runs_against_all_runs():
         for i in range(len(lines)):
             for j in range(i, len(lines)):
                 found = templates.of(set(licences._bigrams("\n".join(lines[i : j + 1]).encode())[0].tolist()))
-                best = max([best, *(s for s, _ in found)])
+                best = max([best, *(f[0] for f in found)])
                 single |= {i} if i == j and found else set()
         grams, at, to = licences._bigrams(text.encode())
         number = [[text[:x].count("\n") for x in places.tolist()] for places in (at, to - 1)]
-        assert templates.runs(0, grams.tolist(), *number) == (best, single), (turn, text)
+        found_best, found_single = templates.runs(0, grams.tolist(), *number)
+        assert (found_best[0], found_single) == (best, single), (turn, text)
+
+
+def scanned(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: (r.licence, r.licences) for r in licences.scan(rows).collect()}
+
+
+def test_each_full_text_names_itself_alone(spark):
+    texts = dict(licences.full_texts())
+    got = scanned(spark, [texts[n] for n in licences.TEXTS])
+    assert [got[i] for i in range(len(texts))] == [(n, n) for n in licences.TEXTS]
+
+
+def test_notices_that_differ_in_a_word(spark):
+    notices = [(n, t) for n, t in (*licences.NOTICES, *licences.TEMPLATES) if n.startswith(("GPL", "LGPL", "AGPL"))]
+    got = scanned(spark, [f"{PROSE}\n{t}\n{PROSE}" for _, t in notices])
+    assert [got[i] for i in range(len(notices))] == [(n, n) for n, _ in notices]
+
+
+def test_files_of_a_foundation_and_bare_rights(spark):
+    bsd = dict(licences.full_texts())["BSD-3-Clause"]
+    own = "Copyright (c) 2009, The Example Foundation\nAll rights reserved.\n\n" + bsd.replace("the copyright holder nor the names of its", "the Example Foundation nor the names of its")
+    two = "Licensed under CC BY 4.0.\nsome words between\nReleased under the MIT License."
+    got = scanned(spark, [own, "All rights reserved.", "All rights reserved.\nReleased under the MIT License.", two, "All rights reserved.\n" * 3])
+    assert got[0] == ("BSD-3-Clause", "BSD-3-Clause")
+    assert got[1] == got[4] == ("Proprietary", "Proprietary") and got[2] == ("MIT", "MIT")
+    assert got[3] == ("CC-BY-4.0", "CC-BY-4.0,MIT")

@@ -5,7 +5,8 @@ mapping, which says where turns, roles and texts are. Mappings for prompt and co
 (with and without input), message lists, and rows by turn are given; others can be added. Layouts are
 told apart by row for JSON records (:func:`canonical`) and by schema for tables (:func:`mapping_of`).
 Only paths that some mapping names are hashed, so that further fields (a name, an id) don't change a
-layout; a mapping has a fingerprint for each set of paths that its optional ones allow.
+layout; a mapping has a fingerprint for each set of paths that its optional ones allow. Any layout may have a
+system prompt, which is its first turn. Texts in fields that the mapping doesn't name are told by their paths (``left_out``).
 
 Canonical turns are formatted one by one: ``<|im_start|>role``, a line feed, the text,
 ``<|im_end|>`` and a line feed. Inside roles and texts a backslash is doubled, and one is put after the
@@ -21,7 +22,8 @@ id null; extra columns are ignored; an empty table gives no conversations (but f
 records: a message without a role or a text has an empty one; a message that is no object is a turn with an
 empty role and that text; texts that are no strings are their JSON; an empty list has no turns; records
 with an unknown layout, or with the fields of two, have no turns and are told by their fingerprint (one
-row with turn -1), as are records without turns; broken JSON has the fingerprint ``invalid``.
+row with turn -1), as are records without turns; JSON that is broken, nested too deep to be read, or with
+halves of surrogate pairs has the fingerprint ``invalid``.
 """
 
 from __future__ import annotations
@@ -58,14 +60,17 @@ class Mapping:
     text: str = ""
     #: roles of this layout by canonical name, where they differ
     roles: tuple[tuple[str, str], ...] = ()
-    #: paths that a record of this layout may lack
+    #: paths that a record of this layout may lack, besides a system prompt
     optional: tuple[str, ...] = ()
+    #: the path of a system prompt
+    system: str = "system"
 
     @property
     def fingerprints(self) -> tuple[str, ...]:
         """One for each set of paths that a record of this layout may have."""
         needed = [p for p in self.paths if p not in self.optional]
-        return tuple(fingerprint([*needed, *some]) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n))
+        free = (*self.optional, *([self.system] if self.system else []))
+        return tuple(fingerprint([*needed, *some]) for n in range(len(free) + 1) for some in combinations(free, n))
 
 
 def fingerprint(paths) -> str:
@@ -80,13 +85,13 @@ MAPPINGS = (
     Mapping("instruction with input", ("input", "instruction", "output"), (("user", "instruction\n\ninput"), ("assistant", "output"))),
     Mapping("messages", ("messages", "messages[]", "messages[].role", "messages[].content"), each="messages", role="role", text="content", optional=("messages[]", "messages[].role", "messages[].content")),
     Mapping("shared", ("conversations", "conversations[]", "conversations[].from", "conversations[].value"), each="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant")), optional=("conversations[]", "conversations[].from", "conversations[].value")),
-    Mapping("rows by turn", ("conv_id", "role", "text", "turn"), role="role", text="text"),
+    Mapping("rows by turn", ("conv_id", "role", "text", "turn"), role="role", text="text", system=""),
 )
 
 BY_FINGERPRINT = {f: m for m in MAPPINGS for f in m.fingerprints}
 
 #: The paths that count in a fingerprint.
-NAMED = frozenset(p for m in MAPPINGS for p in m.paths)
+NAMED = frozenset(p for m in MAPPINGS for p in (*m.paths, *([m.system] if m.system else [])))
 
 
 def paths_of(value, at: str = "") -> Iterator[str]:
@@ -115,10 +120,25 @@ def schema_paths(kind: T.DataType, at: str = "") -> Iterator[str]:
         yield from schema_paths(kind.elementType, f"{at}[]")
 
 
-def mapping_of(table: DataFrame, columns: tuple[str, ...] | None = None) -> Mapping | None:
-    """The mapping for a table, by the fingerprint of its schema (or of those of its columns)."""
-    kind = table.select(*columns).schema if columns else table.schema
-    return BY_FINGERPRINT.get(fingerprint(p for p in schema_paths(kind) if p in NAMED))
+def mapping_of(table: DataFrame) -> Mapping | None:
+    """The mapping for a table, by the fingerprint of its schema; where that has fields of other layouts besides, the
+    one with the most paths all of which are there."""
+    there = [p for p in schema_paths(table.schema) if p in NAMED]
+    found = BY_FINGERPRINT.get(fingerprint(there))
+    by_size = sorted(MAPPINGS, key=lambda m: -len(m.paths))
+    return found or next((m for m in by_size if fingerprint(p for p in there if p in m.paths) in m.fingerprints), None)
+
+
+def texts_of(value, at: str = "") -> Iterator[str]:
+    """The paths of a JSON value that hold a text which isn't empty."""
+    if isinstance(value, dict):
+        for key, inner in value.items():
+            yield from texts_of(inner, f"{at}.{key}" if at else key)
+    elif isinstance(value, list):
+        for inner in value:
+            yield from texts_of(inner, f"{at}[]")
+    elif isinstance(value, str) and value:
+        yield at
 
 
 def _text(value) -> str:
@@ -127,45 +147,52 @@ def _text(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def _turns(record) -> tuple[str, list[tuple[str, str]]]:
+def _turns(record) -> tuple[str, list[tuple[str, str]], list[str]]:
+    """The fingerprint, the turns, and the paths of texts that are in none of them."""
     print_ = fingerprint(p for p in paths_of(record) if p in NAMED)
     m = BY_FINGERPRINT.get(print_)
     if m is None or not isinstance(record, dict):
-        return print_, []
+        return print_, [], sorted(set(texts_of(record)))
+    out = [("system", _text(record[m.system]))] if m.system and record.get(m.system) else []
+    named = {*m.paths, m.system}
+    left = sorted({p for p in texts_of(record) if p not in named})
     if m.turns:
-        joined = []
         for role, path in m.turns:
             first, *more = path.split("\n\n")
-            joined.append((role, "\n\n".join([_text(record[first]), *(_text(record[p]) for p in more if record[p])])))
-        return print_, joined
+            out.append((role, "\n\n".join([_text(record[first]), *(_text(record[p]) for p in more if record[p])])))
+        return print_, out, left
     names, inner = dict(m.roles), record.get(m.each) if m.each else None
-    if not isinstance(inner, list):
-        return print_, []
-    out = []
-    for message in inner:
+    for message in inner if isinstance(inner, list) else ():
         held = message if isinstance(message, dict) else {m.text: message}
         role = _text(held.get(m.role))
         out.append((names.get(role, role), _text(held.get(m.text))))
-    return print_, out
+    return print_, out, left
+
+
+_RECORD_SQL = "conv_id bigint, turn bigint, role string, text string, fingerprint string, left_out array<string>"
 
 
 def canonical(records: DataFrame, record: str = "record", key: str = "conv_id") -> DataFrame:
-    """conv_id, turn, role, text and fingerprint from JSON records of mixed layouts; turn -1 where there are none."""
+    """conv_id, turn, role, text, fingerprint and left_out (the paths of texts that no turn has) from JSON records of
+    mixed layouts; turn -1 where there are none."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for conv, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    print_, turns = _turns(json.loads(raw or "null"))
-                except ValueError:
-                    print_, turns = "invalid", []
-                rows += [(conv, k, role, text, print_) for k, (role, text) in enumerate(turns)] or [(conv, -1, None, None, print_)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "role", "text", "fingerprint"])
+                    value = json.loads(raw or "null")
+                    if raw and "\\ud" in raw.lower():  # halves of surrogate pairs are no text
+                        json.dumps(value, ensure_ascii=False).encode()
+                    print_, turns, left = _turns(value)
+                except (ValueError, RecursionError):
+                    print_, turns, left = "invalid", [], []
+                rows += [(conv, k, role, text, print_, left) for k, (role, text) in enumerate(turns)] or [(conv, -1, None, None, print_, left)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "role", "text", "fingerprint", "left_out"])
 
-    return records.select(F.col(key).cast("bigint"), record).mapInArrow(released(convert), "conv_id bigint, turn bigint, role string, text string, fingerprint string")
+    return records.select(F.col(key).cast("bigint"), record).mapInArrow(released(convert), _RECORD_SQL)
 
 
 _CONTROL = "|".join(re.escape(c[0]) + "(?=" + re.escape(c[1:]) + ")" for c in CONTROLS)
@@ -250,9 +277,8 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 
 def turns_by_row(table: DataFrame) -> DataFrame:
-    """Canonical turns of a table with one row for each turn; the mapping comes from its fingerprint."""
-    columns = ("conv_id", "turn", "role", "text")
-    found = mapping_of(table, columns)
+    """Canonical turns of a table with one row for each turn; the mapping comes from the fingerprint of its schema."""
+    found = mapping_of(table)
     if found is None or found.name != "rows by turn":
         raise ValueError("not a table with rows by turn")
     return table.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col(found.role).alias("role"), F.col(found.text).alias("text"))

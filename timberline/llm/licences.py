@@ -10,8 +10,11 @@ Runs are sought where a text holds t / (2 - t) of a template's bigrams, and only
 first line has a bigram of the template that the rest of the run lacks: any other run scores no less
 without its first line.
 
-Cases: null and empty texts, and units of fewer than two words, match nothing; of equal scores the
-licence first in the alphabet is best; repeated rows each get a row; texts of any length are whole; extra
+Of matches that overlap, the one that shares the most bigrams stands, so that of notices that differ in a word the right
+one is told, and a licence's text doesn't name what it quotes; a bare reservation of rights counts where nothing else is found.
+
+Cases: null and empty texts, and units of fewer than two words, match nothing; of equal scores the licence
+that shares more, then the one first in the alphabet is best; repeated rows each get a row; texts of any length are whole; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,6 +34,9 @@ from .words import _LOWER, _TABLE, mixed, spans, text_blocks
 #: A unit is under a licence at this score or above.
 THRESHOLD = 0.8
 
+#: The licence of a bare reservation of rights, which other licences' texts hold too.
+BARE = "Proprietary"
+
 # Notices and texts of licences, as published.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -59,7 +65,7 @@ NOTICES = (
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 )
-TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
 
 #: Bytes outside words: ASCII but letters and digits.
 _CUTS = np.ones(256, bool)
@@ -106,9 +112,9 @@ class Templates:
                 for t in np.flatnonzero(self.has[place[a:b]].sum(axis=0) >= self.need).tolist():
                     yield i, t
 
-    def runs(self, t: int, grams: list[int], line: list[int], to_line: list[int]) -> tuple[float, set[int]]:
-        """The best score of a run of lines by template ``t``, and the single lines that match, from a text's
-        bigrams with the lines where they start and end."""
+    def runs(self, t: int, grams: list[int], line: list[int], to_line: list[int]) -> tuple[tuple[float, int, int, int], set[int]]:
+        """The best run of lines by template ``t`` (its score, the bigrams that it shares, its first line below 0 and its
+        last), and the single lines that match, from a text's bigrams with the lines where they start and end."""
         template, need = self.all[t][1], self.need[t]
         largest = (2 - self.threshold) / self.threshold * len(template) + 1e-9
         hits = [p for p, g in enumerate(grams) if g in template]
@@ -124,7 +130,7 @@ class Templates:
             for p in reversed(hits[first:k]):
                 later[grams[p]] = to_line[p]
             k = first
-        best, single = 0.0, set()
+        best, single = (0.0, 0, 0, 0), set()
         for k, p in enumerate(hits):
             at = line[p]
             if k and line[hits[k - 1]] == at:
@@ -147,22 +153,35 @@ class Templates:
                 if shared >= need and (q + 1 == len(grams) or to_line[q + 1] > to_line[q]):
                     score = 2 * shared / (len(seen) + len(template))
                     if score >= self.threshold:
-                        best = max(best, score)
+                        best = max(best, (score, shared, -at, to_line[q]))
                         if to_line[q] == at:
                             single.add(at)
         return best, single
 
-    def of(self, unit: set[int]) -> list[tuple[float, str]]:
+    def of(self, unit: set[int]) -> list[tuple[float, str, int]]:
+        """(score, licence, shared bigrams) of the templates that a unit matches."""
         out = []
         for name, template in self.sets:
             small, large = sorted((len(unit), len(template)))
             if 2 * small >= self.threshold * (small + large):
-                score = 2 * len(unit & template) / (small + large)
+                shared = len(unit & template)
+                score = 2 * shared / (small + large)
                 if score >= self.threshold:
-                    out.append((score, name))
+                    out.append((score, name, shared))
         return out
 
 
+def told(matches: list[tuple[float, str, int, int, int]]) -> list[tuple[float, str, int, int, int]]:
+    """Of matches (score, licence, shared bigrams, first line, last line) those that stand: of matches that overlap, the one
+    that shares the most (then the better score, then the name); a bare reservation of rights only where nothing else is found."""
+    taken: list[tuple[float, str, int, int, int]] = []
+    for m in sorted(matches, key=lambda m: (-m[2], -m[0], m[1], m[3], m[4])):
+        if all(m[4] < t[3] or t[4] < m[3] for t in taken):
+            taken.append(m)
+    others = [m for m in taken if m[1] != BARE]
+    return others or taken
+
+
 def _scanner(templates: tuple[tuple[str, str], ...], threshold: float, more: tuple[tuple[str, str], ...]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, threshold, more)
@@ -186,7 +205,8 @@ def _scanner(templates: tuple[tuple[str, str], ...], threshold: float, more: tup
                             taken.append(p)
                             end = p + 2
                     pairs = np.array(taken)
-                found: dict[int, list[tuple[float, str, tuple[int, int]]]] = {}
+                found: dict[int, list[tuple[float, str, int, int, int]]] = {}
+                single_lines: dict[int, set[int]] = {}
                 hit = np.flatnonzero(known.known[np.minimum(np.searchsorted(known.known, grams), len(known.known) - 1)] == grams)
                 for level, cuts in enumerate((feeds, pairs, feeds[:0])):
                     if not len(hit):
@@ -196,22 +216,27 @@ def _scanner(templates: tuple[tuple[str, str], ...], threshold: float, more: tup
                     key = text_of * np.int64(len(cuts) + 1) + unit
                     for k in np.unique(key[hit[whole[hit]]]).tolist():
                         a, b = np.searchsorted(key, [k, k + 1])
-                        for value, name in known.of(set(grams[a:b][whole[a:b]].tolist())):
-                            found.setdefault(k // (len(cuts) + 1), []).append((value, name, (level, k)))
+                        held = np.flatnonzero(whole[a:b]) + a
+                        for value, name, shared in known.of(set(grams[held].tolist())):
+                            i = k // (len(cuts) + 1)
+                            lines = int(np.searchsorted(feeds, at[held[0]], side="right")), int(np.searchsorted(feeds, to[held[-1]], side="left"))
+                            found.setdefault(i, []).append((value, name, shared, *lines))
+                            if level == 0:
+                                single_lines.setdefault(i, set()).add(lines[0])
                 for i, t in known.candidates(grams, text_of):
                     a, b = np.searchsorted(text_of, [i, i + 1])
                     lines = [np.searchsorted(feeds, x[a:b], side=s).tolist() for x, s in ((at, "right"), (to, "left"))]
-                    value, single = known.runs(t, grams[a:b].tolist(), *lines)
+                    (value, shared, start, end), single = known.runs(t, grams[a:b].tolist(), *lines)
                     if value:
-                        units_of = [(0, i * (len(feeds) + 1) + x) for x in single] or [(3, t)]
-                        found.setdefault(i, []).extend((value, known.all[t][0], u) for u in units_of)
+                        found.setdefault(i, []).append((value, known.all[t][0], shared, -start, end))
+                        single_lines.setdefault(i, set()).update(single)
                 for i in range(last - first):
-                    matches = found.get(i, [])
-                    top = min(((-v, n) for v, n, _ in matches), default=(0.0, None))
-                    best.append(top[1])
+                    matches = told(found.get(i, []))
+                    top = min(((-v, -n_shared, n) for v, n, n_shared, _, _ in matches), default=(0.0, 0, None))
+                    best.append(top[2])
                     score.append(-top[0] + 0.0)
-                    units.append(len({u for _, _, u in matches if u[0] == 0}))
-                    names.append(",".join(sorted({n for _, n, _ in matches})))
+                    units.append(len(single_lines.get(i, ())))
+                    names.append(",".join(sorted({m[1] for m in matches})))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(units, pa.int64()), pa.array(names, pa.string())],
                 ["doc_id", "licence", "dice", "n_lines", "licences"],

@@ -31,7 +31,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.turns_by_row(_table(spark, sf_dir, "conversations"))
     text = "</s>[INST] ok [/INST]"
     record = json.dumps({"messages": [{"role": role, "content": text} for role in ("user", "assistant")]})
-    added = chat.canonical(spark.createDataFrame([(-1, record)], "conv_id bigint, record string")).drop("fingerprint")
+    added = chat.canonical(spark.createDataFrame([(-1, record)], "conv_id bigint, record string")).drop("fingerprint", "left_out")
     return chat.digests(chat.formatted(rows.unionByName(added)))
 
 
@@ -120,14 +120,16 @@ units AS (
   SELECT doc_id, 0 AS level, i, l[i] AS u FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) a) b
   UNION ALL SELECT doc_id, 1, 0, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) FROM documents
   UNION ALL SELECT doc_id, 2, 0, coalesce(text, '') FROM documents),
-sets AS (SELECT doc_id, level, i, {grams} AS g FROM (SELECT doc_id, level, i, {words} AS w FROM units) a WHERE len(w) > 1),
+sets AS (SELECT doc_id, level, i, u, {grams} AS g FROM (SELECT doc_id, level, i, u, {words} AS w FROM units) a WHERE len(w) > 1),
 matches AS (
-  SELECT doc_id, level, i, name, 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice
+  SELECT doc_id, level, i, u, name, len(list_intersect(g, t)) AS shared, 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice
   FROM sets JOIN templates ON 2.0::DOUBLE * least(len(g), len(t)) >= {licences.THRESHOLD}::DOUBLE * (len(g) + len(t))
   WHERE 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) >= {licences.THRESHOLD}::DOUBLE),
+named AS (SELECT doc_id, level, i, arg_min(name, (-shared, -dice, name)) AS name, max(shared) AS shared, arg_min(dice, (-shared, -dice, name)) AS dice FROM matches GROUP BY doc_id, level, u, i),
+counted AS (SELECT doc_id, count(DISTINCT i) FILTER (level = 0) AS n_lines, bool_and(name = 'Proprietary') AS bare FROM matches GROUP BY doc_id),
 best AS (
-  SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, count(DISTINCT i) FILTER (level = 0) AS n_lines,
-    string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM matches GROUP BY doc_id)
+  SELECT doc_id, arg_min(name, (-dice, -shared, name)) AS licence, max(dice) AS dice, any_value(n_lines) AS n_lines,
+    string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM named JOIN counted USING (doc_id) WHERE name <> 'Proprietary' OR bare GROUP BY doc_id)
 SELECT d.doc_id, licence, round(coalesce(dice, 0), 6)::DOUBLE AS dice, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(licences, '') AS licences
 FROM documents d LEFT JOIN best USING (doc_id)"""
 
