@@ -5,11 +5,14 @@ the counts of vote patterns of *all* documents that pass the base test estimates
 on good and on bad documents (its accuracies), and the share of good documents. A document's verdict
 is its posterior probability of being good, not the conjunction of all rules.
 
+A vote against doesn't refuse a document by itself, nor does its absence keep it: rules that are no better on good
+documents than on bad ones come out with no weight, and several weak votes can outweigh one that is lacking.
+
 At most 3 ** len(RULES) vote patterns exist, whatever the number of documents; their counts are all
 that reaches the driver.
 
 Cases: null and empty texts have no words, fail the base test and are not kept; repeated rows each get
-their own result; extra columns pass through ``keep_good``; an empty table gives an empty result (the
+their own result; a posterior of exactly the threshold keeps; extra columns pass through ``keep_good``; an empty table gives an empty result (the
 starting accuracies hold then).
 """
 
@@ -25,25 +28,30 @@ from .store import staged
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
+#: Characters that end a sentence.
+ENDS = '.!?"'
+
 _BLANKS = "\t\n\x0b\x0c\r"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÉÈÊËÍÎÏÑÓÔÖÚÛÜ"
 
-#: (name, against when, for when): SQL over the columns of :func:`features`.
+#: (name, against when, for when): SQL over the columns of :func:`features`. One rule for a signal: what symbols,
+#: word lengths, ends of lines, capitals, digits, repeated lines, size and longest word tell.
 RULES = (
-    ("symbols", "10 * n_symbols > 2 * n_words", "50 * n_symbols <= n_words"),
-    ("capitals", "4 * n_capitals > word_chars", "6 * n_capitals <= word_chars"),
-    ("exclaims", "5 * n_exclaims > n_words", "50 * n_exclaims <= n_words"),
-    ("marks", "100 * n_symbols > 3 * word_chars", "200 * n_symbols <= word_chars"),
-    ("lines", "n_dup_lines > 1 and 2 * n_dup_lines >= n_lines", "n_lines >= 4 and n_dup_lines = 0"),
-    ("lengths", "word_chars < 2 * n_words or word_chars > 20 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    ("variety", "n_words >= 20 and 5 * n_distinct_words < n_words", "n_words >= 20 and 10 * n_distinct_words >= 4 * n_words"),
+    ("symbols", "5 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    ("lengths", "10 * word_chars < 44 * n_words or 10 * word_chars > 63 * n_words", "10 * word_chars between 46 * n_words and 58 * n_words"),
+    ("ends", "20 * n_ended_lines < 19 * n_lines", "n_ended_lines = n_lines"),
+    ("capitals", "100 * n_capitals < word_chars or 100 * n_capitals > 3 * word_chars", "1000 * n_capitals between 12 * word_chars and 25 * word_chars"),
+    ("digits", "100 * n_digits > word_chars", "n_digits = 0"),
+    ("repeats", "n_dup_lines > 0", "n_lines >= 4"),
+    ("size", "n_words < 50", "n_words >= 100"),
+    ("longest", "longest_word > 30", "longest_word <= 20"),
 )
 
 #: A document is kept at this posterior or above.
 THRESHOLD = 0.5
 
 #: The share of its votes that a rule is first taken to cast against, on a good and on a bad document.
-START = (0.001, 0.3)
+START = (0.02, 0.3)
 
 #: Rounds of expectation-maximisation at most, and the change of the good share that ends it.
 ROUNDS, CHANGE = 200, 1e-9
@@ -83,21 +91,25 @@ def _count_of(chars: str, text: str = "t") -> str:
 def features(text: str = "text") -> Column:
     """A struct of counts over the whole of one text column, named by ``text``."""
     of_words = (
-        "struct(cast(size(words) as bigint) as n_words, cast(size(array_distinct(words)) as bigint) as n_distinct_words, "
+        "struct(cast(size(words) as bigint) as n_words, cast(coalesce(array_max(transform(words, w -> length(w))), 0) as bigint) as longest_word, "
         f"{repeat_words('words')} as n_repeat_words)"
     )
     words = f"array_remove(split(translate(t, {_sql(_BLANKS)}, '     '), ' '), '')"
-    of_lines = "struct(cast(size(ls) as bigint) as n_lines, cast(size(ls) - size(array_distinct(ls)) as bigint) as n_dup_lines)"
+    ended = f"instr({_sql(ENDS)}, right(trim(trailing {_sql(' ' + _BLANKS)} from l), 1)) > 0"
+    of_lines = (
+        "struct(cast(size(ls) as bigint) as n_lines, cast(size(ls) - size(array_distinct(ls)) as bigint) as n_dup_lines, "
+        f"cast(size(filter(ls, l -> {ended})) as bigint) as n_ended_lines)"
+    )
     lines = f"filter(split(t, '\\n'), l -> length(translate(l, {_sql(' ' + _BLANKS)}, '')) > 0)"
     parts = (
         f"struct(transform(array({words}), words -> {of_words})[0] as a, transform(array({lines}), ls -> {of_lines})[0] as b, "
         f"cast(length(translate(t, {_sql(' ' + _BLANKS)}, '')) as bigint) as word_chars, {_count_of(SYMBOLS)} as n_symbols, "
-        f"{_count_of(_CAPITALS)} as n_capitals, {_count_of('!')} as n_exclaims)"
+        f"{_count_of(_CAPITALS)} as n_capitals, {_count_of('0123456789')} as n_digits)"
     )
     flat = (
         "struct(f.a.n_words as n_words, f.word_chars as word_chars, f.n_symbols as n_symbols, f.b.n_dup_lines as n_dup_lines, "
-        "f.a.n_repeat_words as n_repeat_words, f.b.n_lines as n_lines, f.a.n_distinct_words as n_distinct_words, "
-        "f.n_capitals as n_capitals, f.n_exclaims as n_exclaims)"
+        "f.a.n_repeat_words as n_repeat_words, f.b.n_lines as n_lines, f.b.n_ended_lines as n_ended_lines, f.a.longest_word as longest_word, "
+        "f.n_capitals as n_capitals, f.n_digits as n_digits)"
     )
     # one-element arrays bind a value, so that no later use computes it again
     return F.expr(f"transform(array(coalesce(`{text}`, '')), t -> transform(array({parts}), f -> {flat})[0])[0]")
@@ -116,7 +128,7 @@ def fit(featured: DataFrame) -> dict:
     """Accuracies and the good share, by expectation-maximisation over the counts of all vote patterns
     of the documents that pass the base test.
 
-    Starts from START, under which one vote against outweighs all votes for; where no document has a
+    Starts from START, under which votes against tell bad documents from good ones; where no document has a
     word, that stays.
     """
     names = [f"vote_{name}" for name, _, _ in RULES]
