@@ -8,6 +8,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.sources.versions import Versions
+
 from .clean import MAC_COMPONENT, MAC_LINE, content_skeleton, skeleton, variable_type
 from .sampling import hamming
 
@@ -65,34 +67,47 @@ class StructuralVariants:
 
 
 class CachedVariants:
-    """Another source's variants, kept as a table under ``path`` by a digest of seed and count; seeds that are
-    there are never asked for again."""
+    """Another source's variants, kept as versions of a table under ``path`` by a digest of seed and count; seeds that
+    are there are never asked for again, and a run that fails or is repeated keeps nothing twice."""
 
     def __init__(self, source: VariantSource, path: str):
         self.source, self.path = source, path
 
     def variants(self, seeds: DataFrame, count: int) -> DataFrame:
-        spark = seeds.sparkSession
+        kept = Versions(seeds.sparkSession, self.path)
+        at = kept.latest()
         keyed = seeds.withColumn("_key", F.sha2(F.concat_ws("\n", F.lit(str(count)), "content"), 256))
-        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-        kinds = "_key string, variant string"
-        missing = keyed.dropDuplicates(["_key"])
-        missing = missing.join(spark.read.schema(kinds).parquet(self.path).select("_key").distinct(), "_key", "left_anti") if there else missing
-        made = self.source.variants(missing.drop("_key"), count).select(F.col("origin").alias("line_id"), "variant")
-        # a seed without variants is noted too
-        rows = missing.select("_key", "line_id").join(made, "line_id", "left").select("_key", "variant")
-        rows.write.mode("append").parquet(self.path)
-        known = spark.read.schema(kinds).parquet(self.path).where("variant is not null")
-        return keyed.join(known, "_key").select(F.col("line_id").alias("origin"), "content", "variant")
-
-
-def answer_lines(answers: DataFrame) -> DataFrame:
-    """(id, line): the lines of answers without fences, bullets, numbering, quotes and introductions."""
-    rows = answers.select("id", F.explode(F.split("answer", "\n")).alias("line"))
-    line = F.trim(F.regexp_replace(F.trim("line"), r"^(?:[-*•]\s+|\d+[.)]\s*)", ""))
-    line = F.regexp_replace(line, r"""^["'`]+|["'`]+$""", "")
-    return rows.select("id", line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("```") & ~F.col("line").rlike(r"(?i)^(here (are|is)|sure|output)\b.*:?$"))
+        missing, known = keyed.dropDuplicates(["_key"]), kept.read("variants", at)
+        missing = missing if known is None else missing.join(known.select("_key").distinct(), "_key", "left_anti")
+        if known is None or not missing.isEmpty():
+            made = self.source.variants(missing.drop("_key"), count).select(F.col("origin").alias("line_id"), "variant").distinct()
+            # a seed without variants is noted too
+            rows = missing.select("_key", "line_id").join(made, "line_id", "left").select("_key", "variant")
+            at = kept.commit({"variants": rows if known is None else known.unionByName(rows)}, at)
+        return keyed.join(kept.read("variants", at).where("variant is not null"), "_key").select(F.col("line_id").alias("origin"), "content", "variant")
+
+
+# How a strict cleaner's answers explain themselves.
+INTRODUCTIONS = "以下是|说明|这些日志|所有可变|构造|解释|以下为|请确保|严格|仅替换|这里提供|如果需要|请注意|供参考|版本[0-9]"
+
+
+def answer_lines(answers: DataFrame, mode: str = "variants", dataset: str = "") -> DataFrame:
+    """(id, line): the lines of answers (id, answer), without what isn't part of a log.
+
+    ``mode="variants"``: without bullets (``-``, ``*``) and numbering (``1.``, ``1)``, ``1:``, ``1-``) in front, quotation marks
+    around and fences. ``mode="logs"``, the stricter one: without fences, rules, headings, bold and quoted lines, numbering (``1.``, ``1)``,
+    ``1、``, ``1．``) in front, and lines that explain; lines of Apache logs get the header that they lack."""
+    stripped = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    if mode == "variants":
+        rows = answers.select("id", F.explode(F.split("answer", r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")).alias("line"))
+        line = stripped(F.regexp_replace(stripped(F.col("line")), r"^\s*(?:[-*]|\d+[).:-])\s*", ""))
+        kept = rows.select("id", line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("```"))
+        return kept.select("id", F.regexp_replace("line", r"""^["']+|["']+$""", "").alias("line"))
+    rows = answers.select("id", F.explode(F.split("answer", "\n")).alias("line")).select("id", stripped(F.col("line")).alias("line"))
+    rows = rows.where(~F.col("line").rlike(r"^(```|---|#|\*\*|>)"))
+    line = stripped(F.regexp_replace("line", r"^\d+[.)、．]\s*", ""))
+    kept = rows.select("id", line.alias("line")).where((F.col("line") != "") & ~F.col("line").rlike(f"^({INTRODUCTIONS})"))
+    return kept.select("id", with_apache_header(F.col("line")).alias("line")) if dataset == "Apache" else kept
 
 
 def garbage(line: Column) -> Column:

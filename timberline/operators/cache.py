@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.ordering import with_checkpoints
+from timberline.sources.versions import Versions
+
 from .clean import WILDCARD
 from .online import common
 
@@ -60,6 +63,8 @@ class TemplateCache:
         self.merge_above = merge_above
         self.root: dict = {}
         self.templates: list[str] = []
+        #: templates that were merged into others: their paths stay, and count in how deep a line gets
+        self.merged: list[str] = []
 
     def _leaves(self, node: dict) -> Iterator[int]:
         for step, child in node.items():
@@ -130,6 +135,7 @@ class TemplateCache:
                     best, share = k, now
         if best is not None and share > self.merge_above:
             self._remove(best)
+            self.merged.append(self.templates[best])
             self.templates[best] = " ".join(a if a == b else WILDCARD for a, b in zip(words, self.templates[best].split(), strict=True))
             self._store(best)
             return best
@@ -142,6 +148,13 @@ class TemplateCache:
         self.templates.append(template)
         self._store(len(self.templates) - 1)
 
+    def restore_merged(self, template: str) -> None:
+        """The path of a template that was merged into another one."""
+        node = self.root
+        for token in split(template):
+            node = node.setdefault(token, {})
+        self.merged.append(template)
+
     def number(self, content: str, source: TemplateOracle) -> int:
         found, similar = self.find(split(content))
         if found is not None:
@@ -149,24 +162,36 @@ class TemplateCache:
         return self.add(source.template(content, [self.templates[k] for k in similar]), similar)
 
 
-def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | None = None, known: DataFrame | None = None, keep_key: bool = False) -> DataFrame:
-    """(line_id, template), one cache for each ``key`` (or for the whole log), lines in order; a line whose
-    template is empty or bare has ``<*>``.
+#: The number of rows that hold a merged template's path in a table of templates.
+MERGED = -2
 
-    ``known``: (cache, number, template) that caches start with, such as :func:`templates_of` gave before and a table
-    has kept; so a log can be read on from where it was left. ``keep_key``: the key is in the result, as ``cache``."""
+
+def _run(rows: DataFrame, source: TemplateOracle | None, known: DataFrame | None) -> DataFrame:
+    """(line_id, number, template, cache) of (line_id, content, cache); merged templates as rows without a line."""
     source = source or Rules()
 
     def mine(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         pdf, cache = pdf.sort_values("line_id"), TemplateCache()
-        for template in start.sort_values("number")["template"]:
-            cache.restore(template)
+        for number, template in start.sort_values(["number", "template"])[["number", "template"]].itertuples(index=False):
+            cache.restore_merged(template) if number == MERGED else cache.restore(template)
         numbers = [cache.number(content, source) for content in pdf["content"]]
-        return pd.DataFrame({"line_id": pdf["line_id"], "number": numbers, "template": [cache.templates[k] if k >= 0 else WILDCARD for k in numbers], "cache": pdf["cache"]})
+        told = [(line, k, cache.templates[k] if k >= 0 else WILDCARD) for line, k in zip(pdf["line_id"], numbers, strict=True)]
+        told += [(None, MERGED, t) for t in cache.merged]
+        out = pd.DataFrame(told, columns=["line_id", "number", "template"]).astype({"line_id": "Int64"})
+        return out.assign(cache=(pdf if len(pdf) else start)["cache"].iloc[0])
 
+    held = known.select("cache", "number", "template") if known is not None else rows.sparkSession.createDataFrame([], "cache string, number bigint, template string")
+    return rows.groupBy("cache").cogroup(held.groupBy("cache")).applyInPandas(mine, "line_id bigint, number bigint, template string, cache string")
+
+
+def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | None = None, known: DataFrame | None = None, keep_key: bool = False) -> DataFrame:
+    """(line_id, template), one cache for each ``key`` (or for the whole log), lines in order; a line whose
+    template is empty or bare has ``<*>``.
+
+    ``known``: (cache, number, template) that caches start with, such as :func:`templates_of` gave before and a table
+    has kept; so a log can be read on from where it was left. ``keep_key``: the key is in the result, as ``cache``."""
     rows = lines.select("line_id", "content", (F.col(key).cast("string") if key else F.lit("")).alias("cache"))
-    held = known.select("cache", "number", "template") if known is not None else lines.sparkSession.createDataFrame([], "cache string, number bigint, template string")
-    found = rows.groupBy("cache").cogroup(held.groupBy("cache")).applyInPandas(mine, "line_id bigint, number bigint, template string, cache string")
+    found = _run(rows, source, known).where("line_id is not null")
     if known is not None:
         return found.select("line_id", "template", "number", "cache")
     return found.select("line_id", "template", *(["cache"] if keep_key else []))
@@ -177,3 +202,37 @@ def templates_of(found: DataFrame, known: DataFrame) -> DataFrame:
     template, which is that of its last lines, or the one known before."""
     new = found.where("number >= 0").groupBy("cache", "number").agg(F.max("template").alias("new"))
     return known.select("cache", "number", "template").join(new, ["cache", "number"], "full").select("cache", "number", F.coalesce("new", "template").alias("template"))
+
+
+def read_on(lines: DataFrame, path: str, source: TemplateOracle | None = None, key: str | None = None) -> DataFrame:
+    """(cache, line_id, number, template) of all lines read so far, in this run and those before it under ``path``.
+
+    Of each log only the lines behind its last one are read, with the templates that its cache held then. Templates, lines
+    and last lines are one version of the state, so that a run that fails, or that is given the same lines again, changes
+    nothing; a log that is read in parts has the result of a log that is read at once."""
+    spark = lines.sparkSession
+    kept = Versions(spark, path)
+    at = kept.latest()
+    known, done, last = (kept.read(name, at) for name in ("templates", "lines", "last"))
+    own = lines.select("line_id", "content", (F.col(key).cast("string") if key else F.lit("")).alias("cache"))
+    if last is not None:
+        own = own.join(last, "cache", "left").where("last is null or line_id > last").drop("last")
+    if at and own.isEmpty():
+        return _read(kept, at)
+    with_checkpoints(spark)
+    held = known if known is not None else spark.createDataFrame([], "cache string, number bigint, template string")
+    found = _run(own, source, held).checkpoint()
+    new = found.where("line_id is not null").select("cache", "line_id", "number")
+    merged = found.where(F.col("number") == MERGED).select("cache", "number", "template").unionByName(held.where(F.col("number") == MERGED)).distinct()
+    ends = new.groupBy("cache").agg(F.max("line_id").alias("last"))
+    tables = {
+        "templates": templates_of(found, held.where("number >= 0")).unionByName(merged),
+        "lines": new if done is None else done.unionByName(new),
+        "last": ends if last is None else ends.unionByName(last).groupBy("cache").agg(F.max("last").alias("last")),
+    }
+    return _read(kept, kept.commit(tables, at))
+
+
+def _read(kept: Versions, at: int) -> DataFrame:
+    named = kept.read("lines", at).join(kept.read("templates", at).where("number >= 0"), ["cache", "number"], "left")
+    return named.select("cache", "line_id", "number", F.coalesce("template", F.lit(WILDCARD)).alias("template"))

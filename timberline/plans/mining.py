@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from timberline.operators import cache, extract, miners, online
+from timberline.functions.ordering import with_checkpoints
+from timberline.operators import answers, cache, extract, miners, online
 
 from .shared import MASKS, SPACED, events, items, masked_sql, normal_sql, orders, q, rounded, spaced_sql, split_sql, texts, with_log
 
@@ -137,6 +140,47 @@ _SWEEP_SQL = with_log(
     "SELECT threshold, round(coalesce(pa, 0), 6)::DOUBLE AS pa, round(pta, 6)::DOUBLE AS pta, round(rta, 6)::DOUBLE AS rta, templates FROM ours JOIN theirs USING (threshold)",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 
+#: Answers to be read: by line_id % 6 one with a name, one with a back-tick only, one in quotation marks, one without a template,
+#: one that is too general, and one that doesn't match its line.
+_SLOTTED = "replace(template, '<*>', '{slot}')"
+_ANSWERS = (
+    f"CASE line_id % 6 WHEN 0 THEN concat('Well:', chr(10), 'Log template: `', {_SLOTTED}, '`', chr(10), 'or `x`') WHEN 1 THEN concat('I think `', {_SLOTTED}, '`') "
+    f"WHEN 2 THEN concat('Log template: \"', {_SLOTTED}, '\"') WHEN 3 THEN concat('it is ', template) WHEN 4 THEN 'Log template: `{{a}} - {{b}}`' ELSE concat('Log template: `', {_SLOTTED}, ' no more`') END"
+)
+
+
+def _m08_answers(spark, sf_dir):
+    lines = events(spark, sf_dir)
+    # a content that several lines have gets the answer of the first one
+    first = lines.groupBy("content").agg(F.min_by(F.struct("line_id", "template"), "line_id").alias("x")).select("content", "x.*")
+    said = first.select(F.col("content").alias("message"), F.expr(_ANSWERS).alias("answer"))
+    return answers.templates(lines.select("line_id", "content"), said).select("line_id", "template", "source")
+
+
+#: What masking leaves of a content of each kind.
+_MASKED_KINDS = (
+    "CASE WHEN content LIKE 'user %' THEN 'user <*> viewed item <*> from <*>' WHEN content LIKE 'click %' THEN 'click on button <*> by user=<*>' WHEN content LIKE 'order %' THEN 'order <*> paid by user <*>, amount: <*> cents' "
+    "WHEN content LIKE 'new %' THEN 'new account created for user <*>' ELSE 'request failed with code <*> path /srv/app/<*>/run' END"
+)
+_ANSWERED_SQL = with_log(
+    "log_events",
+    "first_ AS (SELECT content, min(line_id) % 6 AS k FROM log GROUP BY content) SELECT line_id, CASE WHEN k < 3 THEN template ELSE "
+    f"{_MASKED_KINDS} END AS template, CASE k WHEN 3 THEN 'no template' WHEN 4 THEN 'too general' WHEN 5 THEN 'no match' ELSE 'answer' END AS source FROM log JOIN first_ USING (content)",
+)
+
+
+def _s12(spark, sf_dir):
+    """The log of orders read in three parts by kind, the second one twice: what has been read, by template."""
+    with_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/read-on-{uuid.uuid4().hex}"
+    lines = orders(spark, sf_dir).selectExpr("line_id", "content", "concat('log', line_id % 8) AS log")
+    low, high = lines.agg(F.min("line_id"), F.max("line_id")).first()
+    cuts = [low, low + (high - low) // 3, low + (high - low) * 2 // 3, high + 1]
+    for a, b in ((0, 1), (1, 2), (1, 2), (2, 3)):
+        found = cache.read_on(lines.where((F.col("line_id") >= cuts[a]) & (F.col("line_id") < cuts[b])), path, key="log")
+    return found.select("cache", "line_id", "template")
+
+
 _COUNT = "SELECT template, count(*) AS n FROM found GROUP BY template"
 
 QUERIES = {
@@ -180,6 +224,8 @@ QUERIES = {
     "e07_trace": (lambda spark, sf_dir: miners.trace(events(spark, sf_dir), ANCHOR_MASKS, (), (":",), 0.4), TRACE_SQL),
     "m03_normalised_anchors": (lambda spark, sf_dir: _counts(miners.by_normalised_anchors(events(spark, sf_dir), (), (), (":",), 0.4)), None),
     "m08_template_cache": (lambda spark, sf_dir: _counts(cache.cached(events(spark, sf_dir))), None),
+    "m08_answers": (_m08_answers, _ANSWERED_SQL),
+    "s12_read_in_parts": (_s12, with_log("log_orders", "SELECT 'log' || line_id % 8 AS cache, line_id, CASE WHEN content LIKE '%opened%' THEN 'order <*> opened for customer <*>' WHEN content LIKE '%pending' THEN 'order <*> pending' ELSE 'order <*> fulfilled, customer: <*> priority <*>' END AS template FROM log")),
     "e01_threshold_sweep": (
         lambda spark, sf_dir: rounded(miners.sweep(events(spark, sf_dir), events(spark, sf_dir).select("template").distinct(), (0.2, 0.4, 0.6), masks=ANCHOR_MASKS, literals=(":",))),
         _SWEEP_SQL,

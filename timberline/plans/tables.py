@@ -117,9 +117,21 @@ def _keyed(run):
     return query
 
 
-def _e12(spark, sf_dir):
-    answers = orders(spark, sf_dir).select(F.col("line_id").alias("id"), F.concat(F.lit('Here are lines:\n1. "'), "content", F.lit('"\n- '), "content", F.lit("\n```\n\n")).alias("answer"))
-    return augment.answer_lines(answers).groupBy("id").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
+#: Answers whose lines a cleaner must tell from those of logs.
+_ANSWER = "concat('Here are lines:', chr(10), '1. \"', content, '\"', chr(10), 'Output buffer full ', cast(line_id as string), chr(10), '  - ', content, chr(10), '```text', chr(10), '2) Sure ', content, chr(10), '--- ', content, chr(10), '# ', content, chr(10), '** ', content, chr(10), '> ', content, chr(10), '10、 ', content, chr(10), chr(10), '说明 ', content)"
+
+
+def _e12(mode):
+    def query(spark, sf_dir):
+        answers = orders(spark, sf_dir).select(F.col("line_id").alias("id"), F.expr(_ANSWER).alias("answer"))
+        return augment.answer_lines(answers, mode).groupBy("id", "line").agg(F.count("*").alias("n"))
+
+    return query
+
+
+def _e12_sql(*forms) -> str:
+    each = ", ".join(forms)
+    return with_log("log_orders", f"l AS (SELECT line_id AS id, unnest([{each}]) AS line FROM log) SELECT id, line, count(*) AS n FROM l GROUP BY 1, 2")
 
 
 def _e16(spark, sf_dir):
@@ -234,7 +246,14 @@ QUERIES = {
     "m04_drain_two_logs": (_keyed(lambda rows: online.drain(rows, (r"blk_\d+", r"(\d+\.){3}\d+"), key=["dataset"])), None),
     "m05_spell_two_logs": (_keyed(lambda rows: online.spell(rows, (r"blk_\d+", r"(\d+\.){3}\d+", r"\b\d+\b"), 0.5, key=["dataset"])), None),
     "m06_logram_two_logs": (_keyed(lambda rows: miners.logram(rows, (r"\b\d+\b",), 15, 10, key=["dataset"])), _two_sql(_LOGRAM)),
-    "e12_answer_lines": (_e12, with_log("log_orders", "SELECT line_id AS id, 2::BIGINT AS n, content AS low, content AS high FROM log")),
+    "e12_answer_lines": (
+        _e12("variants"),
+        _e12_sql("'Here are lines:'", "content", "'Output buffer full ' || line_id", "content", "'Sure ' || content", "'-- ' || content", "'# ' || content", "'* ' || content", "'> ' || content", "'10、 ' || content", "'说明 ' || content"),
+    ),
+    "e12_answer_lines_of_logs": (
+        _e12("logs"),
+        _e12_sql("'Here are lines:'", "'\"' || content || '\"'", "'Output buffer full ' || line_id", "'- ' || content", "'Sure ' || content", "content"),
+    ),
     "e16_unknown_groups": (_e16, with_log("log_events", r"SELECT regexp_replace(content, '\b\d\b', '<*>', 'g') AS template, count(*) AS n FROM log GROUP BY 1 HAVING count(*) = 1 OR min(content) = max(content)")),
     "l05_similar_examples": (
         _l05,
