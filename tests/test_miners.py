@@ -165,11 +165,6 @@ def test_parameters():
     assert extract.values("x", "x") == [] and extract.values(None, None) == []
 
 
-def test_farthest():
-    texts = ["a b c", "a b d", "x y z", "a b c"]
-    assert sampling.farthest(texts, 2) == [0, 2] and sampling.farthest([], 3) == []
-
-
 def test_permutation(spark):
     lines = [(i, f"job {i % 4} of {'abc'[i % 3]} ended, code {i}") for i in range(60)]
     a = spark.createDataFrame(lines, "line_id bigint, content string")

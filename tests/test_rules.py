@@ -263,8 +263,6 @@ def test_target_counts_are_the_closest():
 def test_ratios(spark):
     pairs = spark.createDataFrame([("abcd", "bcde"), ("", "a"), ("same", "same")], "a string, b string")
     assert [round(r.similarity, 6) for r in sampling.matching_blocks_ratio(pairs, "a", "b").collect()] == [0.75, 0.0, 1.0]
-    got = sampling.farthest_lines(spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c d"), (4, "a c")], "line_id bigint, content string"), 10, 2).collect()
-    assert len(got) == 2 and {1, 3} >= {r.line_id for r in got} - {4}
 
 
 def test_every_kind_of_refusal_occurs(spark):

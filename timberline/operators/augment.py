@@ -302,3 +302,45 @@ def budgeted(selected: DataFrame, most: int | None, order: Sequence[Column], hig
     """The first ``most`` rows of a selection; ``high_only``: of those whose ``priority`` is high."""
     rows = selected.where("priority = 'high'") if high_only else selected
     return rows if most is None else rows.orderBy(*order).limit(most)
+
+
+# ---- levels of repetition ---------------------------------------------------------------------------
+
+
+def by_level(lines: DataFrame, shape: Column, most: int = 8, key: Sequence[str] = ()) -> DataFrame:
+    """(level, key, line_id, content, shape): at level k (1 to ``most``) the first k lines of each shape, by line number.
+
+    Lines are ranked once, up to ``most``; levels are a comparison with the rank. As the limit stands in the filter, only the
+    first lines of a shape in each partition are sent on, however many there are."""
+    key = list(key)
+    shaped = lines.select(*key, "line_id", "content", shape.alias("shape"))
+    rank = F.row_number().over(Window.partitionBy(*key, "shape").orderBy("line_id"))
+    first = shaped.withColumn("rank", rank).where(F.col("rank") <= most)
+    return first.select(F.explode(F.sequence(F.col("rank"), F.lit(most))).alias("level"), *key, "line_id", "content", "shape")
+
+
+#: Shapes with more lines than this, lines longer than this and lines with addresses of pages are no seeds; so many seeds a level.
+SEED_LINES, SEED_LENGTH, SEEDS = 5, 400, 30
+
+
+def level_oracle(levels: DataFrame, sizes: Sequence[int] = (60, 100, 200), seed: int = 1) -> DataFrame:
+    """(level, size, line_id, content, variant): generated lines of each level of :func:`by_level`, about ``size`` of them.
+
+    Seeds are the first lines of rare shapes, 30 of a level at most, by a seeded hash; where a level has no such
+    line, those of its most frequent shapes. Each gives size / seeds variants (one at least) that keep its shape
+    (:func:`mutated`), without repeats."""
+    shapes = levels.groupBy("level", "shape").agg(F.count("*").alias("n"), F.min(F.struct("line_id", "content")).alias("first")).select("level", "shape", "n", "first.*")
+    fit = (F.col("n") <= SEED_LINES) & (F.length("content") <= SEED_LENGTH) & ~F.col("content").rlike("https?://")
+    some = shapes.groupBy("level").agg(F.max(fit).alias("_some"))
+    open_ = shapes.join(some, "level").where(fit | ~F.col("_some"))
+    order = F.when(F.col("_some"), F.lit(0)).otherwise(-F.col("n")), F.md5(F.concat_ws(":", F.lit(str(seed)), "content"))
+    rank = F.row_number().over(Window.partitionBy("level").orderBy(*order))
+    seeds = open_.withColumn("rank", rank).where(F.col("rank") <= SEEDS)
+    counted = seeds.join(seeds.groupBy("level").agg(F.count("*").alias("seeds")), "level").select("level", "line_id", "content", "seeds")
+    each = counted.select("*", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"))
+    wanted = F.greatest(F.lit(1), F.floor(F.col("size") / F.col("seeds")).cast("int"))
+    made = each.select("*", wanted.alias("_wanted"), F.explode(F.sequence(F.lit(1), 3 * wanted)).alias("_turn"))
+    made = made.withColumn("variant", mutated(F.col("content"), F.col("_turn"))).where(F.col("variant") != F.col("content"))
+    once = made.groupBy("level", "size", "line_id", "content", "_wanted", "variant").agg(F.min("_turn").alias("_turn"))
+    kept = once.withColumn("_k", F.row_number().over(Window.partitionBy("level", "size", "line_id").orderBy("_turn"))).where(F.col("_k") <= F.col("_wanted"))
+    return kept.groupBy("level", "size", "variant").agg(F.min(F.struct("line_id", "content")).alias("of")).select("level", "size", "of.line_id", "of.content", "variant")

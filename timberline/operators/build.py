@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Sequence
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.ordering import numbered
+
 from .clean import selected_template
 
 #: Lines of each template.
@@ -115,3 +120,113 @@ def replaced_last(line: Column, content: Column, new: Column) -> Column:
     at = F.length(line) - F.instr(F.reverse(line), F.reverse(content)) - F.length(content) + 2
     done = F.concat(F.substring(line, F.lit(1), at - 1), new, F.substring(line, at + F.length(content), F.length(line)))
     return F.when(F.instr(line, content) > 0, done)
+
+
+# ---- whole data sets --------------------------------------------------------------------------------
+
+
+def seeded(seed: int, *columns: str) -> Column:
+    """A seeded order, the same for every level, so that the active templates of a level are among those of the next."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *columns))
+
+
+def chosen_events(lines: DataFrame, events: DataFrame, most: int = 8, longest: int = 220) -> DataFrame:
+    """(dataset, event_id, event_number, template, line_id, line, content, placeholder_count) of the events that can be built from.
+
+    ``lines``: (dataset, line_id, event_id, line, content); ``events``: (dataset, event_id, template). Of each event that
+    :func:`select_templates` takes, the first line counts, in which its content must be found; events are numbered by the number in their ids."""
+    first = lines.groupBy("dataset", "event_id").agg(F.min(F.struct("line_id", "line", "content")).alias("first")).select("dataset", "event_id", "first.*")
+    found = select_templates(events.where("event_id != ''"), most, longest).join(first, ["dataset", "event_id"])
+    found = found.where(replaced_last(F.col("line"), F.col("content"), filled(F.col("template"), F.lit(None).cast("int"))).isNotNull())
+    number = F.regexp_extract("event_id", r"(\d+)", 1).cast("bigint")
+    return found.withColumn("event_number", number).withColumn("placeholder_count", placeholders(F.col("template")))
+
+
+def counts_for(lines: int, targets: pd.Series) -> pd.DataFrame:
+    """(counts, achieved) of entropies that a slot shall have."""
+    made = {t: target_counts(lines, t) for t in targets.unique()}
+    return pd.DataFrame({"counts": [made[t] for t in targets], "achieved": [entropy(made[t]) for t in targets]})
+
+
+def _entropies(plans: DataFrame, lines: int) -> DataFrame:
+    """Adds ``value_counts`` and ``achieved`` to (..., slot_entropy): each entropy that occurs is sought once."""
+
+    @F.pandas_udf("counts array<int>, achieved double")
+    def sought(targets: pd.Series) -> pd.DataFrame:
+        return counts_for(lines, targets)
+
+    once = plans.select("slot_entropy").distinct().withColumn("_c", sought("slot_entropy"))
+    return plans.join(once.select("slot_entropy", F.col("_c.counts").alias("value_counts"), F.col("_c.achieved").alias("achieved")), "slot_entropy")
+
+
+def level_report(chosen: DataFrame, targets: Sequence[float], lines: int = LINES, seed: int = 1) -> DataFrame:
+    """The report of data sets at target levels: a row for each of :func:`chosen_events` and level.
+
+    Ranks are places in the seeded order of a data set; the first ``active_count`` events are active, as many as breadth
+    times depth need for the target (:func:`parameters`). Line numbers count from 1 within a data set and level."""
+    order = ["dataset", "_order", "event_number", "event_id"]
+    ranked = numbered(chosen.withColumn("_order", seeded(seed, "dataset", "event_id")), order, "_n")
+    sizes = ranked.groupBy("dataset").agg(F.count("*").alias("groups"), F.min("_n").alias("_first"))
+    each = F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("target_score")
+    plans = sizes.select("*", each)
+    target = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("target_score")))
+    active = F.least(F.col("groups"), F.greatest(F.lit(1), F.rint(F.col("groups") * F.sqrt(target)).cast("bigint")))
+    plans = plans.withColumn("active_count", active).withColumn("activation_ratio", F.col("active_count") / F.col("groups"))
+    plans = plans.withColumn("slot_entropy", F.least(F.lit(1.0), target / F.col("activation_ratio")))
+    plans = _entropies(plans.withColumn("requested_activation_ratio", F.sqrt(target)), lines)
+    rows = ranked.join(plans, "dataset").withColumn("selection_rank", F.col("_n") - F.col("_first") + 1)
+    on = F.col("selection_rank") <= F.col("active_count")
+    return rows.select(
+        "dataset", "target_score", F.lit("ground-truth").alias("construction_mode"), "selection_rank", "requested_activation_ratio", "activation_ratio",
+        "event_id", on.cast("int").alias("active"), F.lit(lines).alias("line_budget"), ((F.col("selection_rank") - 1) * lines + 1).alias("start_line_id"),
+        (F.col("selection_rank") * lines).alias("end_line_id"), F.col("slot_entropy").alias("requested_entropy_per_active_slot"), F.col("slot_entropy").alias("target_entropy_per_active_slot"),
+        F.col("achieved").alias("achieved_entropy_per_active_slot"), F.when(on, F.col("achieved")).otherwise(0.0).alias("ground_truth_group_ld"), "value_counts", "placeholder_count", "template",
+    )
+
+
+def built_lines(report: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(dataset, target_score, line_id, line, content, event_id, template): the lines of a report, made of the events' first lines."""
+    source = chosen.select("dataset", "event_id", F.col("line").alias("_line"), F.col("content").alias("_content"))
+    each = report.join(source, ["dataset", "event_id"]).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("line_budget") - 1)))
+    # the k-th line has the value into whose run of counts k falls
+    variant = F.aggregate("value_counts", F.struct(F.lit(0).alias("v"), F.lit(0).alias("end")), lambda s, c: F.struct((s["v"] + F.when(s["end"] + c <= F.col("_k"), 1).otherwise(0)).alias("v"), (s["end"] + c).alias("end")))["v"]
+    content = filled(F.col("template"), F.when(F.col("active") == 1, variant))
+    return each.select("dataset", "target_score", (F.col("start_line_id") + F.col("_k")).alias("line_id"), replaced_last(F.col("_line"), F.col("_content"), content).alias("line"), content.alias("content"), "event_id", "template")
+
+
+# ---- logs of a set share of varied positions --------------------------------------------------------
+
+
+def tail_plan(mean_length: Column, target: Column) -> tuple[Column, Column]:
+    """How many varied and how many fixed tokens a tail must have for a share ``target`` of all positions to vary.
+
+    60 tokens at least, and 80 more than the share needs behind lines of this length and an anchor."""
+    whole = mean_length + 1
+    total = F.greatest(F.lit(60), F.ceil(target * whole / F.greatest(1 - target, F.lit(1e-9))) + 80)
+    varied = F.greatest(F.lit(1), F.least(total, F.rint(target * (whole + total)).cast("bigint")))
+    return varied, total - varied
+
+
+def _letters(i: Column) -> Column:
+    """A number in letters, a to z, ba, bb and so on."""
+    letter = lambda n: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), n.cast("int") + 1, F.lit(1))
+    return F.when(i < 26, letter(i)).when(i < 676, F.concat(letter(F.floor(i / 26)), letter(i % 26))).otherwise(F.concat(letter(F.floor(i / 676)), letter(F.floor(i / 26) % 26), letter(i % 26)))
+
+
+def with_tails(lines: DataFrame, targets: Sequence[float], key: Sequence[str] = ()) -> DataFrame:
+    """(key, target_score, line_id, content): every line with a tail for each target, for each log that ``key`` tells apart.
+
+    A tail is an anchor, the varied tokens, of which each has one of two values by a hash of line and place, and the fixed ones; so
+    values of different places don't part the lines in the same way. Tails are planned by the log's mean length in tokens."""
+    key = list(key)
+    rows = lines.select(*key, "line_id", F.trim("content").alias("content"))
+    mean = rows.groupBy(*key).agg(F.avg(F.size(F.split("content", r"\s+"))).alias("_mean"))
+    each = F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("target_score")
+    varied, fixed = tail_plan(F.col("_mean"), F.col("target_score"))
+    plans = mean.select("*", each).select("*", varied.alias("_varied"), fixed.alias("_fixed"))
+    planned = rows.join(plans, key) if key else rows.crossJoin(F.broadcast(plans))  # a row for each target
+    # 31 bits of the line keep the product within 64
+    draw = lambda i: F.shiftright(F.col("line_id") % (1 << 31) * 1103515245 + i * 12345, 8).bitwiseAND(F.lit(1).cast("bigint"))
+    changing = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_varied") - 1), lambda i: F.concat(F.lit("zv"), _letters(i), F.lit("<*>"), F.when(draw(i) == 0, "a").otherwise("b")))
+    staying = F.when(F.col("_fixed") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("_fixed") - 1, F.lit(0))), lambda i: F.concat(F.lit("zf"), _letters(i)))).otherwise(F.array().cast("array<string>"))
+    return planned.select(*key, "target_score", "line_id", F.concat_ws(" ", "content", F.lit("dganchor"), F.array_join(changing, " "), F.when(F.col("_fixed") > 0, F.array_join(staying, " "))).alias("content"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timberline.functions.ordering import with_checkpoints
+
 from .clean import shape, signature
 
 # Words that never stand for a line.
@@ -117,28 +119,37 @@ def unknown_groups(assigned: DataFrame) -> DataFrame:
     return groups.where("n = 1 or _low = _high").select("template", "n")
 
 
-def farthest_lines(lines: DataFrame, sample: int, k: int) -> DataFrame:
-    """(rank, line_id) of ``k`` lines as far apart as can be, from the ``sample`` distinct contents with the smallest hashes."""
-    once = lines.groupBy("content").agg(F.min("line_id").alias("line_id"))
-    rows = once.orderBy(F.xxhash64("content"), "content").limit(sample).collect()  # ``sample`` rows
-    chosen = farthest([r["content"] for r in rows], k)
-    return lines.sparkSession.createDataFrame([(n, rows[i]["line_id"]) for n, i in enumerate(chosen, 1)], "rank bigint, line_id bigint")
-
-
-def farthest(texts: Sequence[str], k: int) -> list[int]:
-    """Numbers of ``k`` texts, each as far as can be from those before by the share of common words; starts with 0.
-
-    For a bounded sample on the driver.
-    """
-    words = [set(t.split()) for t in texts]
-
-    def apart(a: set, b: set) -> float:
-        return 1 - len(a & b) / max(1, len(a | b))
-
-    chosen = [0] if texts else []
-    gap = [apart(w, words[0]) for w in words] if texts else []
-    while len(chosen) < min(k, len(texts)):
-        best = max((i for i in range(len(texts)) if i not in chosen), key=lambda i: (gap[i], -i))
-        chosen.append(best)
-        gap = [min(g, apart(w, words[best])) for g, w in zip(gap, words, strict=True)]
-    return chosen
+def adaptive_sample(lines: DataFrame, k: int, candidates: int | None = 128, seed: int = 1) -> DataFrame:
+    """(rank, line_id, content, gap) of ``k`` lines that lie far apart, of all distinct contents of a log.
+
+    The first is the longest by words (then the most frequent, then the first by line number). Each next one is, of the contents that are
+    left, the one whose multiset Jaccard distance to the nearest one chosen (``gap``) is the greatest; of equals the most frequent,
+    then the first. ``candidates``: only so many contents take part in a draw, those with the smallest hashes of content, draw and seed; None: all.
+
+    Contents stay in the table: a pick is one aggregate, whose one row reaches the driver. With all contents as
+    candidates, each carries its least distance from pick to pick, which is cut by a checkpoint now and then."""
+    once = lines.groupBy("content").agg(F.min("line_id").alias("line_id"), F.count("*").alias("n")).select("*", F.split(F.trim("content"), r"\s+").alias("words"))
+    with_checkpoints(lines.sparkSession)
+    rows = once.withColumn("gap", F.lit(2.0)).checkpoint()
+    first = rows.agg(F.max(F.struct(F.size("words").alias("size"), "n", (-F.col("line_id")).alias("early"), "content", "words")).alias("x")).first()["x"]
+    if first is None:
+        return lines.sparkSession.createDataFrame([], "rank bigint, line_id bigint, content string, gap double")
+    chosen = [(1, -first["early"], first["content"], None)]
+    picks = [first["words"]]
+    while len(chosen) < k:
+        taken = [c[2] for c in chosen]
+        rest = rows.where(~F.col("content").isin(taken))
+        new = picks if candidates is not None else picks[-1:]
+        apart = [1 - multiset_jaccard(F.col("words"), F.array(*[F.lit(w) for w in words])) for words in new]
+        if candidates is not None:
+            rest = rest.orderBy(F.xxhash64("content", F.lit(len(chosen)), F.lit(seed)), "content").limit(candidates)
+        least = F.least(F.col("gap"), *apart)
+        rest = rest.withColumn("gap", F.round(least, 12))
+        if candidates is None:
+            rows = rest.checkpoint() if len(chosen) % 8 == 0 else rest
+        best = rest.agg(F.max(F.struct("gap", "n", (-F.col("line_id")).alias("early"), "content", "words")).alias("x")).first()["x"]
+        if best is None:
+            break
+        chosen.append((len(chosen) + 1, -best["early"], best["content"], best["gap"]))
+        picks.append(best["words"])
+    return lines.sparkSession.createDataFrame(chosen, "rank bigint, line_id bigint, content string, gap double")

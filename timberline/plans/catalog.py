@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import accuracy, checks, cleaning, collections, construction, mining, reporting, spread, tables
+from . import accuracy, building, checks, cleaning, collections, construction, mining, reporting, spread, tables
 
-_MODULES = (cleaning, accuracy, checks, spread, mining, construction, reporting, tables, collections)
+_MODULES = (cleaning, accuracy, checks, spread, mining, construction, reporting, tables, collections, building)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

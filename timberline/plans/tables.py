@@ -155,10 +155,6 @@ def _l03b(spark, sf_dir):
     return rounded(sampling.matching_blocks_ratio(pairs.drop("k"), "a", "b"))
 
 
-def _l06(spark, sf_dir):
-    return sampling.farthest_lines(events(spark, sf_dir).select("line_id", "content"), 200, 8)
-
-
 def _b04(spark, sf_dir):
     rows = [(t, k, c) for t in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9) for k, c in enumerate(build.target_counts(64, t))]
     return spark.createDataFrame(rows, "target double, place int, lines int")
@@ -264,7 +260,6 @@ QUERIES = {
         with_log("log_orders", "p AS (SELECT line_id, string_split(content, ' ') AS a, string_split(content || ' order pending', ' ') AS b FROM log) SELECT line_id, round(list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))) / sqrt(len(a) * len(b)::DOUBLE), 6)::DOUBLE AS cosine FROM p"),
     ),
     "l03_matching_blocks": (_l03b, None),
-    "l06_farthest_lines": (_l06, None),
     "b04_target_counts": (_b04, None),
     "t24_corrected": (_t24, None),
     "t10_spaced_proxifier": (_t10, with_log("log_text", f"SELECT line_id, regexp_replace({spaced_sql(r"regexp_replace(regexp_replace(content, '\d{2}:\d{2}(:\d{2})*', '<*>', 'g'), '\(.*?\)', '', 'g')", (':', ',', '(', ')'))}, ' +', ' ', 'g') AS text FROM log")),
