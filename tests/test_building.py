@@ -144,3 +144,19 @@ def test_oracle_of_levels(spark):
             assert len(own) == len(set(own)) and 0.5 * size <= len(own) <= size
     # from level 6 on every shape has more than five lines: the most frequent ones are seeds
     assert {r.content for r in got if r.level == 8}
+
+
+@pytest.mark.parametrize("k", [1, 3, 200])
+def test_similar_examples(spark, k):
+    rng = random.Random(k)
+    make = lambda: " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(1, 8)))
+    asked, examples = [make() for _ in range(40)], [(i, make()) for i in range(120)]
+    once = {}
+    for i, t in examples:
+        once.setdefault(t, i)
+    want = []
+    for a in set(asked):
+        like = sorted((-round(1 - apart(a, t), 6), i) for t, i in once.items() if apart(a, t) < 1)
+        want += [(a, i, n, -s) for n, (s, i) in enumerate(like[:k], 1)]
+    got = sampling.similar_examples(spark.createDataFrame([(a,) for a in asked], "template string"), spark.createDataFrame(examples, "line_id bigint, content string"), k)
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -51,7 +51,9 @@ def abstracts(pairs: DataFrame, general: str, special: str, name: str = "abstrac
 def round_robin(lines: DataFrame, key: str, kinds: int, copies: int) -> DataFrame:
     """For each key ``copies`` lines that go round its first ``kinds`` distinct contents (by line_id)."""
     firsts = lines.groupBy(key, "content").agg(F.min("line_id").alias("first"))
-    ranked = firsts.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("first")) - 1).where(F.col("k") < kinds)
+    # the limit stands in the filter, so that only the first contents of a key in each partition are sent on
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("first"))
+    ranked = firsts.withColumn("rank", rank).where(F.col("rank") <= kinds).withColumn("k", F.col("rank") - 1)
     sizes = ranked.groupBy(key).agg(F.count("*").alias("kinds"))
     slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("k", F.pmod(F.col("slot"), F.col("kinds")).cast("int"))
     return slots.join(ranked.select(key, F.col("k").cast("int").alias("k"), "content"), [key, "k"]).select(key, "slot", "content")

@@ -150,6 +150,14 @@ def varied_share(lines: DataFrame, key: str, tokens: Column) -> DataFrame:
     return size.join(varied, key, "left").select(key, "lines", (F.coalesce("varied", F.lit(0)) / F.greatest("width", F.lit(1))).alias("share"))
 
 
+def average_varied_share(shares: DataFrame, template: str = "template") -> DataFrame:
+    """One row (share, templates): the mean of :func:`varied_share` over templates of several lines that have a variable, 0 where there is none.
+
+    Templates all of whose words are in a dictionary are to be left out as well; as these have no variable, that follows."""
+    held = shares.where((F.col("lines") > 1) & F.col(template).contains("*"))
+    return held.agg(F.coalesce(F.avg("share"), F.lit(0.0)).alias("share"), F.count("*").alias("templates"))
+
+
 def rank_within(rows: DataFrame, by: str, order: Sequence[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= most)

@@ -24,6 +24,11 @@ def template_counts(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("template").agg(F.count("*").alias("n"))
 
 
+def structured_counts(structured: DataFrame, template: str = "EventTemplate") -> DataFrame:
+    """(template, n) of a structured table; rows whose template is null or blank don't count."""
+    return template_counts(structured.select(F.trim(F.col(template)).alias("template")).where(F.col("template") != ""))
+
+
 def distinct_contents(lines: DataFrame, text: Column, key: Sequence[str] = ()) -> DataFrame:
     """(text, n, first_line) of equal texts (of equal ``key``, such as a data set): what miners work on, so that
     repeated lines cost nothing."""

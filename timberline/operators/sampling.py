@@ -86,22 +86,49 @@ def matching_blocks_ratio(pairs: DataFrame, a: str, b: str, name: str = "similar
     return pairs.withColumn(name, ratio(F.col(a), F.col(b)))
 
 
-def similar_examples(asked: DataFrame, examples: DataFrame, k: int) -> DataFrame:
-    """(template, line_id, rank, similarity): for each template the ``k`` examples (line_id, content) that are most like
-    it by tokens shared with repeats; equal contents count once, by their first line. Only pairs that share a token meet."""
-    once = examples.groupBy("content").agg(F.min("line_id").alias("line_id"))
+def _items(rows: DataFrame, id_: str, text: str, size: str) -> DataFrame:
+    """(id, size, item): a text's tokens with the number of their occurrence, so that a multiset is a set."""
+    words = rows.select(id_, F.split(text, " ").alias("w")).select(id_, F.size("w").alias(size), F.posexplode("w").alias("pos", "token"))
+    nth = F.row_number().over(Window.partitionBy(id_, "token").orderBy("pos"))  # one text's tokens
+    return words.select(id_, size, F.struct("token", nth.alias("nth")).alias("item"))
 
-    def spread(rows: DataFrame, id_: str, text: str, n: str, size: str) -> DataFrame:
-        words = rows.select(id_, F.split(text, " ").alias("w")).select(id_, F.size("w").alias(size), F.explode("w").alias("token"))
-        return words.groupBy(id_, size, "token").agg(F.count("*").alias(n))
 
-    pairs = spread(asked.select("template").distinct(), "template", "template", "na", "sa").join(spread(once, "line_id", "content", "nb", "sb"), "token")
-    shared = pairs.groupBy("template", "line_id", "sa", "sb").agg(F.sum(F.least("na", "nb")).alias("both"))
-    like = shared.withColumn("similarity", F.round(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both")), 6))
+def _ranked_examples(pairs: DataFrame, k: int) -> DataFrame:
+    like = pairs.withColumn("similarity", F.round(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both")), 6))
     rank = F.row_number().over(Window.partitionBy("template").orderBy(F.desc("similarity"), "line_id"))
     return like.withColumn("rank", rank).where(F.col("rank") <= k).select("template", "line_id", "rank", "similarity")
 
 
+def similar_examples(asked: DataFrame, examples: DataFrame, k: int, probes: int = 2) -> DataFrame:
+    """(template, line_id, rank, similarity): for each template of ``asked`` the ``k`` distinct contents of ``examples``
+    (line_id, content) with the greatest multiset Jaccard similarity above 0, by the first line that has them.
+
+    Templates and contents meet by items (tokens with the number of their occurrence), rare ones first: contents that share
+    one of a template's ``probes`` rarest items give a bound, the k-th best similarity among them. What reaches the bound s shares s of
+    the template's items, and so one of its (1 - s) rarest ones and one more; only these are joined. Common words meet nothing but
+    where a template's bound leaves no other way."""
+    once = examples.groupBy("content").agg(F.min("line_id").alias("line_id"))
+    with_checkpoints(examples.sparkSession)
+    theirs = _items(once, "line_id", "content", "sb").checkpoint()
+    often = theirs.groupBy("item").agg(F.count("*").alias("freq"))
+    ours = _items(asked.select("template").distinct(), "template", "template", "sa").join(often, "item", "left")
+    # items that no content has come first: they count as rare, and meet nothing
+    ours = ours.withColumn("place", F.row_number().over(Window.partitionBy("template").orderBy(F.coalesce("freq", F.lit(0)), "item"))).checkpoint()
+    sets = ours.groupBy("template", "sa").agg(F.collect_list("item").alias("mine"))
+    held = theirs.groupBy("line_id", "sb").agg(F.collect_list("item").alias("items"))
+
+    def met(some: DataFrame) -> DataFrame:
+        """Templates and contents that share one of ``some`` items, with all that they share."""
+        found = some.select("template", "item").join(theirs.select("line_id", "item"), "item").select("template", "line_id").distinct()
+        both = F.size(F.array_intersect("mine", "items")).alias("both")
+        return found.join(sets, "template").join(held, "line_id").select("template", "line_id", "sa", "sb", both)
+
+    known = ours.where("freq is not null").withColumn("nth", F.row_number().over(Window.partitionBy("template").orderBy("place")))
+    bound = _ranked_examples(met(known.where(F.col("nth") <= probes)), k).where(F.col("rank") == k).select("template", (F.col("similarity") - 1e-6).alias("bound"))
+    near = ours.join(bound, "template", "left").where(F.col("place") <= F.col("sa") - F.ceil(F.greatest(F.coalesce("bound", F.lit(0.0)), F.lit(0.0)) * F.col("sa")) + 1)
+    return _ranked_examples(met(near.where("freq is not null")), k)
+
+
 def shape_clusters(lines: DataFrame, event: str, most: int) -> DataFrame:
     """(event, line_id) of the first ``most`` distinct contents in each event's largest cluster of equal coarse shapes
     (of equals, the one that comes first)."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline import api
-from timberline.operators import rules
+from timberline.operators import augment, miners, rules
 from timberline.settings import LEGACY_MASKS, SETTINGS
 
 from .mining import _cleaned_sql, anchors_sql, ngram_sql, positional_sql, positional_text_sql
@@ -104,6 +104,27 @@ def _legacy_sql(dataset: str) -> str:
     return text
 
 
+def _p08(spark, sf_dir):
+    """Lines in their collection's form, in another one's, and behind marks of an answer."""
+    names = [d for d, _ in augment.FORMATS]
+    lines = events(spark, sf_dir).select(F.explode(F.array(*[F.lit(d) for d in names])).alias("dataset"), "line_id", "content")
+    form = reduce(lambda out, d: out.when(F.col("dataset") == d, F.expr(_filled(LINES[d][0]))), names, F)
+    line = F.when(F.expr("line_id % 5 = 1"), F.concat(F.lit("odd "), "content")).when(F.expr("line_id % 5 = 2"), F.concat(F.lit("> "), form)).when(F.expr("line_id % 5 = 3"), F.concat(form, F.lit(" for example"))).otherwise(form)
+    ok = reduce(lambda out, d: out.when(F.col("dataset") == d, augment.format_ok(d, F.col("line"))), names, F)
+    return lines.withColumn("line", line).select("dataset", "line_id", ok.alias("ok"))
+
+
+_P08 = with_log(
+    "log_events",
+    "SELECT dataset, line_id, line_id % 5 IN (0, 4) AS ok FROM log, unnest(['Android', 'Apache', 'BGL', 'HDFS', 'Hadoop', 'HealthApp', 'Mac', 'OpenSSH', 'OpenStack', 'Proxifier', 'Spark', 'Zookeeper']) u(dataset)",
+)
+
+
+def _s08(spark, sf_dir):
+    rows = events(spark, sf_dir).selectExpr("line_id AS LineId", "CASE line_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE concat(template, ' ') END AS EventTemplate")
+    return miners.structured_counts(rows)
+
+
 # ---- levels, miners and collections in one run -------------------------------------------------------
 
 _DATASETS = ("HDFS", "Zookeeper", "Spark")
@@ -177,6 +198,8 @@ _E18 = with_log(
 QUERIES = {
     "e18_runs": (_e18, _E18),
     "e18_mined": (_mined, with_log("log_events", f"{_mined_sql()} SELECT miner, level, dataset, template, n FROM made")),
+    "p08_formats_by_collection": (_p08, _P08),
+    "s08_structured_counts": (_s08, with_log("log_events", "SELECT template, count(*) AS n FROM log WHERE line_id % 4 = 3 GROUP BY 1")),
     "t35_headers": (_t35, _t35_sql()),
     "t36_masks": (_ruled("mask", "removed"), _ruled_sql(_masks_sql)),
     "t36_legacy_masks": (_ruled("legacy mask"), _ruled_sql(_legacy_sql)),

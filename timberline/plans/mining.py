@@ -37,7 +37,7 @@ def _a21(spark, sf_dir):
 
 def _a22(width):
     def query(spark, sf_dir):
-        grouped = texts(spark, sf_dir).select(F.split(F.trim(F.regexp_replace("content", r"\s+", " ")), " ").alias("tokens"), F.lit(1).cast("bigint").alias("n"))
+        grouped = miners.distinct_contents(texts(spark, sf_dir), F.trim(F.regexp_replace("content", r"\s+", " "))).select(F.split("text", " ").alias("tokens"), "n")
         return miners.gram_counts(grouped, width).groupBy("freq").agg(F.count("*").alias("grams"))
 
     return query

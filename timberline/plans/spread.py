@@ -35,6 +35,12 @@ def _a07(spark, sf_dir):
     return rounded(rows)
 
 
+def _a07_average(spark, sf_dir):
+    # templates of one line, and ones without a variable, are among them
+    lines = events(spark, sf_dir).selectExpr("CASE line_id % 5 WHEN 0 THEN concat(template, ' of ', cast(line_id as string)) WHEN 1 THEN replace(template, '<*>', 'x') ELSE template END AS template", "content")
+    return rounded(diversity.average_varied_share(diversity.varied_share(lines, "template", F.split("content", " "))))
+
+
 _VALUES = f"""sizes AS (SELECT template, count(*) AS gs FROM log GROUP BY template),
 spread AS (SELECT template, {tokens_sql('content')} AS toks, unnest({positions_sql("string_split(template, ' ')")}) AS pos FROM log),
 counts AS (SELECT template, pos, toks[pos + 1] AS v, count(*) AS n FROM spread WHERE pos < len(toks) GROUP BY 1, 2, 3),
@@ -72,6 +78,16 @@ QUERIES = {
         lambda spark, sf_dir: rounded(_scores(spark, sf_dir).select("template", F.col("position").cast("bigint").alias("position"), "distinct_ratio")),
         with_log("log_events", f"{_VALUES} SELECT template, pos::BIGINT AS position, round(ratio, 6)::DOUBLE AS distinct_ratio FROM scores"),
     ),
+    "a07_average": (
+        _a07_average,
+        with_log(
+            "log_events",
+            "r AS (SELECT CASE line_id % 5 WHEN 0 THEN template || ' of ' || line_id WHEN 1 THEN replace(template, '<*>', 'x') ELSE template END AS template, string_split(content, ' ') AS w FROM log), "
+            "s AS (SELECT template, count(*) AS n, max(len(w)) AS width FROM r GROUP BY 1 HAVING count(*) > 1 AND contains(template, '*')), "
+            "k AS (SELECT template, i, count(DISTINCT coalesce(w[i], '%')) AS kinds FROM r JOIN s USING (template), unnest(range(1, width + 1)) u(i) GROUP BY 1, 2) "
+            "SELECT round(coalesce(avg(share), 0), 6)::DOUBLE AS share, count(*) AS templates FROM (SELECT template, count(*) FILTER (kinds > 1) / count(*)::DOUBLE AS share FROM k GROUP BY 1) x",
+        ),
+    ),
     "a07_varied_share": (
         _a07,
         with_log("log_events", "t AS (SELECT template, string_split(content, ' ') AS w FROM log), s AS (SELECT template, max(len(w)) AS width, count(*) AS lines FROM t GROUP BY 1), p AS (SELECT t.template, i, count(DISTINCT CASE WHEN i <= len(w) THEN w[i] ELSE '%' END) AS kinds FROM t JOIN s USING (template), unnest(range(1, width + 1)) r(i) GROUP BY 1, 2) SELECT s.template, any_value(lines) AS lines, round((count(*) FILTER (kinds > 1))::DOUBLE / any_value(width), 6)::DOUBLE AS share FROM p JOIN s USING (template) GROUP BY s.template"),
