@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,7 +58,7 @@ def positional_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select("n", F.posexplode(F.split("text", " ")).alias("pos", "tok")).groupBy("pos", "tok").agg(F.sum("n").alias("freq"))
 
 
-def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: int | Column = 4, digits_vary: bool | Column = False, key: Sequence[str] = (), text: Column | None = None) -> DataFrame:
+def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] = (), literals: Sequence[str] = (), threshold: int | Column = 4, digits_vary: bool | Column = False, key: Sequence[str] = (), text: Column | None = None, variable: Callable[[Column], Column] | None = None) -> DataFrame:
     """Positional-frequency mining over masked, de-duplicated contents, for each log that ``key`` tells apart.
 
     Each content's root is the frequency that most of its tokens have (of equals, the one that comes
@@ -71,6 +71,7 @@ def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
     one row, and the rest works on rows and on small tables by group.
 
     ``text``: the masked content, where its rules come from a table; thresholds may be columns of the key then.
+    ``variable``: which tokens are variable by themselves, in place of those with a slash or a mask, and numbers.
     """
     key = list(key)
     keyed = lines.select(*key, "line_id", (brain_text(F.col("content"), masks, removed, literals) if text is None else text).alias("text"))
@@ -94,7 +95,8 @@ def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
     varying = held.join(many, [*group, "pos"]).select(*group, "tok").distinct()
     spots = many.groupBy(*group).agg(F.collect_list("pos").alias("many"))
     digits = F.lit(digits_vary) if isinstance(digits_vary, bool) else digits_vary
-    own = lambda tok: tok.contains("/") | tok.contains(WILDCARD) | tok.rlike(r"^-?\d+$") | (digits & tok.rlike(r"\d"))
+    plainly = variable or (lambda tok: tok.contains("/") | tok.contains(WILDCARD) | tok.rlike(r"^-?\d+$"))
+    own = lambda tok: plainly(tok) | (digits & tok.rlike(r"\d"))
     rows = rows.join(spots, group, "left").withColumn("many", F.coalesce("many", F.array().cast("array<int>")))
     # tokens that vary at one place of their group and stand at another one too
     others = rows.select(*group, F.explode(F.filter("t", lambda x: ~F.array_contains("many", x["pos"]) & ~own(x["tok"]))).alias("x")).select(*group, "x.tok")

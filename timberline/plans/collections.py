@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline import api
-from timberline.operators import augment, miners, rules
+from timberline.operators import augment, chinese, miners, rules
 from timberline.settings import LEGACY_MASKS, SETTINGS
 
 from .mining import _cleaned_sql, anchors_sql, ngram_sql, positional_sql, positional_text_sql
@@ -195,7 +195,39 @@ _E18 = with_log(
     "SELECT miner, level, dataset, round(pa, 6)::DOUBLE AS pa, round(pta, 6)::DOUBLE AS pta, round(rta, 6)::DOUBLE AS rta FROM ours JOIN theirs USING (miner, level, dataset)",
 )
 
+# ---- alarms in Chinese -------------------------------------------------------------------------------
+
+#: A small dictionary, and the words that a line of each kind is made of.
+_WORDS = (("虚拟", 50), ("虚拟机", 40), ("机", 9), ("告警", 60), ("发生", 30), ("生告", 2), ("磁盘", 25), ("使用", 20), ("使用率", 12), ("率", 3), ("，", 100), ("请", 30), ("检查", 40))
+_NUMBER, _NAME = "cast(line_id % 90 as string)", "concat('vm', cast(line_id % 40 as string))"
+_VIEW = "content like 'user %'"
+_ALARM = f"case when {_VIEW} then concat('虚拟机', {_NAME}, '发生告警，使用率', {_NUMBER}, '%') else concat('磁盘 /dev/sd', cast(line_id % 3 as string), ' 请检查') end"
+_ALARM_WORDS = f"case when {_VIEW} then concat_ws(' ', '虚拟机', {_NAME}, '发生', '告警', '，', '使用率', concat({_NUMBER}, '%')) else concat_ws(' ', '磁盘', '␣', concat('/dev/sd', cast(line_id % 3 as string)), '␣', '请', '检查') end"
+
+
+def _alarms(spark, sf_dir):
+    return events(spark, sf_dir).selectExpr("line_id", f"{_ALARM} AS content"), spark.createDataFrame(list(_WORDS), "word string, freq bigint")
+
+
+def _t33(spark, sf_dir):
+    lines, dictionary = _alarms(spark, sf_dir)
+    cut = chinese.tokens(lines.select(F.col("content").alias("text")), dictionary)
+    return lines.join(cut, F.col("content") == F.col("text")).select("line_id", F.regexp_replace(F.array_join("tokens", " "), " {3}", " ␣ ").alias("words"))
+
+
+def _m01z(spark, sf_dir):
+    return miners.template_counts(chinese.brain(*_alarms(spark, sf_dir), threshold=4))
+
+
+_VARIES_Z = "contains(g.tok, '%') OR contains(g.tok, '*') OR regexp_matches(g.tok, '^-?[0-9]+$')"
+_M01Z = with_log(
+    "log_events",
+    f"{positional_sql(_ALARM_WORDS, 4, varies=_VARIES_Z)} SELECT replace(replace(replace(template, '<*>', '*'), ' ', ''), '␣', ' ') AS template, count(*) AS n FROM found GROUP BY 1",
+)
+
 QUERIES = {
+    "t33_chinese_words": (_t33, with_log("log_events", f"SELECT line_id, {_ALARM_WORDS} AS words FROM log")),
+    "m01_brain_chinese": (_m01z, _M01Z),
     "e18_runs": (_e18, _E18),
     "e18_mined": (_mined, with_log("log_events", f"{_mined_sql()} SELECT miner, level, dataset, template, n FROM made")),
     "p08_formats_by_collection": (_p08, _P08),

@@ -56,7 +56,11 @@ def positional_text_sql(content: str, masks=MASKS[:2], literals=SPACED) -> str:
     return f"regexp_replace({spaced_sql(masked_sql(content, masks), literals)}, ' +', ' ', 'g')"
 
 
-def positional_sql(text: str, threshold: int = 4, digits_vary: bool = False) -> str:
+#: Tokens that the positional miner takes for variables by themselves.
+_VARIES = "contains(g.tok, '/') OR contains(g.tok, '<*>') OR regexp_matches(g.tok, '^-?[0-9]+$')"
+
+
+def positional_sql(text: str, threshold: int = 4, digits_vary: bool = False, varies: str = _VARIES) -> str:
     """CTEs up to ``found`` over ``log``."""
     digits = " OR regexp_matches(g.tok, '[0-9]')" if digits_vary else ""
     return f"""texts AS (SELECT line_id, string_split({text}, ' ') AS w FROM log),
@@ -69,7 +73,7 @@ g AS (SELECT p.*, root, root_k FROM placed p JOIN root USING (line_id)),
 lead_ AS (SELECT width, root, root_k, min(line_id) AS line_id FROM g GROUP BY 1, 2, 3),
 open_ AS (SELECT g.width, g.root, g.root_k, g.pos FROM g JOIN lead_ l ON g.line_id = l.line_id AND g.width = l.width AND g.root = l.root AND g.root_k = l.root_k WHERE f <> g.root),
 vary AS (SELECT DISTINCT g.width, g.root, g.root_k, g.tok FROM g JOIN (SELECT g.width, g.root, g.root_k, g.pos FROM g JOIN open_ o ON g.width = o.width AND g.root = o.root AND g.root_k = o.root_k AND g.pos = o.pos GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT tok) >= {threshold}) m ON g.width = m.width AND g.root = m.root AND g.root_k = m.root_k AND g.pos = m.pos),
-said AS (SELECT line_id, pos, CASE WHEN contains(g.tok, '/') OR contains(g.tok, '<*>') OR regexp_matches(g.tok, '^-?[0-9]+$'){digits} OR v.tok IS NOT NULL THEN '<*>' ELSE g.tok END AS tok FROM g LEFT JOIN vary v ON g.width = v.width AND g.root = v.root AND g.root_k = v.root_k AND g.tok = v.tok),
+said AS (SELECT line_id, pos, CASE WHEN {varies}{digits} OR v.tok IS NOT NULL THEN '<*>' ELSE g.tok END AS tok FROM g LEFT JOIN vary v ON g.width = v.width AND g.root = v.root AND g.root_k = v.root_k AND g.tok = v.tok),
 found AS (SELECT line_id, string_agg(tok, ' ' ORDER BY pos) AS template FROM said GROUP BY line_id)"""
 
 
