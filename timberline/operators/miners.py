@@ -90,16 +90,20 @@ def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
     leaves = F.filter(F.transform("t", lambda x: F.when(x["freq"] != F.col("root"), x["pos"])), lambda p: p.isNotNull())
     leads = rows.groupBy(*group).agg(F.min(F.struct("id", leaves.alias("open"))).alias("lead")).select(*group, F.explode("lead.open").alias("pos"))
     spots = leads.groupBy(*group).agg(F.collect_list("pos").alias("open"))
-    held = rows.join(spots, group).select(*group, F.explode(F.filter("t", lambda x: F.array_contains("open", x["pos"]))).alias("x")).select(*group, "x.pos", "x.tok").distinct()
-    many = held.groupBy(*group, "pos").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= threshold).select(*group, "pos").checkpoint()
-    varying = held.join(many, [*group, "pos"]).select(*group, "tok").distinct()
-    spots = many.groupBy(*group).agg(F.collect_list("pos").alias("many"))
     digits = F.lit(digits_vary) if isinstance(digits_vary, bool) else digits_vary
     plainly = variable or (lambda tok: tok.contains("/") | tok.contains(WILDCARD) | tok.rlike(r"^-?\d+$"))
     own = lambda tok: plainly(tok) | (digits & tok.rlike(r"\d"))
+    # the tokens of a group by place, once each: those at open places, and those that may be variable elsewhere
+    opened = rows.join(spots, group, "left").withColumn("open", F.coalesce("open", F.array().cast("array<int>")))
+    spread = opened.select(*group, "open", F.explode(F.filter("t", lambda x: F.array_contains("open", x["pos"]) | ~own(x["tok"]))).alias("x"))
+    seen = spread.select(*group, "x.pos", "x.tok", F.array_contains("open", F.col("x.pos")).alias("is_open")).distinct().checkpoint()
+    held = seen.where("is_open")
+    many = held.groupBy(*group, "pos").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= threshold).select(*group, "pos")
+    varying = held.join(many, [*group, "pos"]).select(*group, "tok").distinct()
+    spots = many.groupBy(*group).agg(F.collect_list("pos").alias("many"))
     rows = rows.join(spots, group, "left").withColumn("many", F.coalesce("many", F.array().cast("array<int>")))
     # tokens that vary at one place of their group and stand at another one too
-    others = rows.select(*group, F.explode(F.filter("t", lambda x: ~F.array_contains("many", x["pos"]) & ~own(x["tok"]))).alias("x")).select(*group, "x.tok")
+    others = seen.where(~own(F.col("tok"))).join(many, [*group, "pos"], "left_anti").select(*group, "tok")
     both = others.distinct().join(varying, [*group, "tok"], "left_semi").checkpoint()
     out = lambda x: F.when(F.array_contains("many", x["pos"]) | own(x["tok"]), WILDCARD).otherwise(x["tok"])
     plain = rows.withColumn("out", F.transform("t", out))
