@@ -133,3 +133,14 @@ def test_scores_against_plain_loops():
     hard = [None, b"", b" \n", b"vileword", "Ein Wort öfter, VILEWORD!".encode(), b"plain words " * 40 + b"vileword" + b" more" * 50, b"x" * 3000, b"words here more of them nothing " * 9]
     for text, score in zip(hard, model.scores(hard)):
         assert abs(plain_score(model, text) - score) < 1e-4, text
+
+
+def test_two_fits_are_the_same():
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(40)]
+    labels = np.array([i % 4 == 0 for i in range(60)], np.int64)
+    texts = [" ".join([*rng.choice(words, 30), *(["nasty", "vile"] * 2 if y else [])]).encode() for y in labels]
+    a, b = (toxicity.fit(texts, labels, epochs=4) for _ in range(2))
+    assert (a.scores(texts) == b.scores(texts)).all()
+    again = toxicity.Model.from_bytes(a.to_bytes())
+    assert (again.scores([*texts, None, b""]) == b.scores([*texts, None, b""])).all()
