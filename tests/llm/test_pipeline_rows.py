@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -49,7 +51,10 @@ def test_stages_decide_as_their_operators(spark):
     from timberline.llm import quality, toxicity
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
-    long = " ".join(f"long{i}" for i in range(30_000))
+    # prose of one long text, in sentences of eight words
+    rng = random.Random(1)
+    sentences = (" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.choice([4, 5, 5]))) for _ in range(8)).capitalize() + "." for _ in range(4_000))
+    long = "\n".join(sentences)
     hard = [(None, None), (None, "ten words are in this text, and some more, of course"), (-5, ""), (-6, long), (-6, "another text of ten words, or perhaps of some more words"), (-7, " \n ")]
     rows = docs.unionByName(docs.limit(5)).unionByName(table(spark, hard))
     rows = rows.selectExpr("*", "'x' as kept", "1 as row", "2 as toxic_score", "'y' as others")
