@@ -6,9 +6,9 @@ import tracemalloc
 
 import pytest
 
-from timberline.operators import online
+from timberline.operators import cache, online
 
-LINES, WIDTH = 40_000, 300
+LINES, WIDTH = 100_000, 1_000
 
 
 @pytest.fixture
@@ -24,6 +24,7 @@ def test_lines_are_streamed(small_batches):
 
         def __init__(self):
             tracemalloc.start()
+            tracemalloc.reset_peak()
 
         def add(self, tokens):
             return 0
@@ -43,3 +44,19 @@ def test_groups_of_null_and_other_keys(spark):
     rows = spark.createDataFrame([(2, None, "b 1"), (1, None, "b 2"), (1, "x", "b 1"), (5, "x", "c")], "line_id long, log string, content string")
     found = online.drain(rows, similarity=0.4, key=["log"])
     assert sorted((r.log or "", r.line_id, r.template) for r in found.collect()) == [("", 1, "b <*>"), ("", 2, "b <*>"), ("x", 1, "b 1"), ("x", 5, "c")]
+
+
+def test_cached_lines_are_streamed(small_batches):
+    class Probe:
+        def template(self, content, similar):
+            if content != "probe":
+                tracemalloc.start()
+                tracemalloc.reset_peak()
+                return content
+            return f"peak {tracemalloc.get_traced_memory()[1] // 1_000_000}"
+
+    lines = small_batches.range(LINES + 1).selectExpr("id AS line_id", f"if(id = {LINES}, 'probe', rpad('same', {WIDTH}, 'x')) AS content")
+    found = cache.cached(lines, Probe())
+    assert found.count() == LINES + 1
+    peak = found.where(f"line_id = {LINES}").first().template
+    assert int(peak.removeprefix("peak ")) < LINES * WIDTH // 2_000_000

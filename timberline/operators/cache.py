@@ -11,7 +11,6 @@ import re
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from timberline.sources.versions import Versions
 
 from .clean import WILDCARD
 from .online import common
+from .streamed import in_order, named
 
 _TOKEN = re.compile(r"""[\s!"#$%&'()+,\-/:;=?@.\[\\\]^_`{|}~]|[^\s!"#$%&'()+,\-/:;=?@.\[\\\]^_`{|}~]+""")
 
@@ -169,19 +169,24 @@ MERGED = -2
 def _run(rows: DataFrame, source: TemplateOracle | None, known: DataFrame | None) -> DataFrame:
     """(line_id, number, template, cache) of (line_id, content, cache); merged templates as rows without a line."""
     source = source or Rules()
+    lines = rows.select("cache", F.lit(1).alias("step"), "line_id", F.lit(None).cast("bigint").alias("number"), F.col("content").alias("text"))
+    if known is not None:
+        lines = lines.unionByName(known.select("cache", F.lit(0).alias("step"), F.lit(None).cast("bigint").alias("line_id"), "number", F.col("template").alias("text")))
 
-    def mine(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf, cache = pdf.sort_values("line_id"), TemplateCache()
-        for number, template in start.sort_values(["number", "template"])[["number", "template"]].itertuples(index=False):
-            cache.restore_merged(template) if number == MERGED else cache.restore(template)
-        numbers = [cache.number(content, source) for content in pdf["content"]]
-        told = [(line, k, cache.templates[k] if k >= 0 else WILDCARD) for line, k in zip(pdf["line_id"], numbers, strict=True)]
-        told += [(None, MERGED, t) for t in cache.merged]
-        out = pd.DataFrame(told, columns=["line_id", "number", "template"]).astype({"line_id": "Int64"})
-        return out.assign(cache=(pdf if len(pdf) else start)["cache"].iloc[0])
+    def mine(of: Iterator[dict]) -> Iterator[tuple]:
+        cache = TemplateCache()
+        for row in of:
+            if row["step"]:
+                yield row["cache"], row["line_id"], cache.number(row["text"], source), None
+            else:
+                cache.restore_merged(row["text"]) if row["number"] == MERGED else cache.restore(row["text"])
+        yield from ((row["cache"], None, k, t) for k, t in enumerate(cache.templates))
+        yield from ((row["cache"], None, MERGED, t) for t in cache.merged)
 
-    held = known.select("cache", "number", "template") if known is not None else rows.sparkSession.createDataFrame([], "cache string, number bigint, template string")
-    return rows.groupBy("cache").cogroup(held.groupBy("cache")).applyInPandas(mine, "line_id bigint, number bigint, template string, cache string")
+    found = in_order(lines, ["cache"], ["step", "number", "line_id", "text"], mine)
+    told = named(found, ["cache"]).withColumn("template", F.coalesce("template", F.lit(WILDCARD)))
+    merged = found.where(F.col("line_id").isNull() & (F.col("number") == MERGED))
+    return told.unionByName(merged).select("line_id", "number", "template", "cache")
 
 
 def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | None = None, known: DataFrame | None = None, keep_key: bool = False) -> DataFrame:
@@ -221,7 +226,7 @@ def read_on(lines: DataFrame, path: str, source: TemplateOracle | None = None, k
         return _read(kept, at)
     with_checkpoints(spark)
     held = known if known is not None else spark.createDataFrame([], "cache string, number bigint, template string")
-    found = _run(own, source, held).checkpoint()
+    found = _run(own, source, held)
     new = found.where("line_id is not null").select("cache", "line_id", "number")
     merged = found.where(F.col("number") == MERGED).select("cache", "number", "template").unionByName(held.where(F.col("number") == MERGED)).distinct()
     ends = new.groupBy("cache").agg(F.max("line_id").alias("last"))
