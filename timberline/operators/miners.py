@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.ordering import with_checkpoints
 
+from . import grams
 from .clean import WILDCARD, anchor_text, coarse_key, last_masked, masked, normalised, one_spaced, spaced, without
 from .tokens import message_split, plain_tokens
 
@@ -120,48 +121,24 @@ def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
 # ---- n-grams ----------------------------------------------------------------------------------------
 
 
-def _bigrams(tokens: Column) -> Column:
-    """Circular: the last token is followed by the first."""
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("a"), F.get(tokens, F.when(i + 1 < F.size(tokens), i + 1).otherwise(0)).alias("b")))
-
-
-def _trigrams(tokens: Column) -> Column:
-    return F.transform(F.filter(F.transform(tokens, lambda t, i: i), lambda i: i + 2 < F.size(tokens)), lambda i: F.struct(F.get(tokens, i).alias("a"), F.get(tokens, i + 1).alias("b"), F.get(tokens, i + 2).alias("c")))
-
-
-def gram_counts(texts: DataFrame, width: int, key: Sequence[str] = ()) -> DataFrame:
-    """(a, b[, c], freq) over (tokens, n), for each ``key``."""
-    grams = _bigrams(F.col("tokens")) if width == 2 else _trigrams(F.col("tokens"))
-    names = ["a", "b", "c"][:width]
-    return texts.select(*key, "n", F.explode(grams).alias("g")).groupBy(*key, *[F.col(f"g.{c}").alias(c) for c in names]).agg(F.sum("n").alias("freq"))
-
-
 def logram(lines: DataFrame, masks: Sequence[str] = (), bigram_threshold: int | Column = 15, trigram_threshold: int | Column = 10, key: Sequence[str] = (), text: Column | None = None) -> DataFrame:
     """N-gram mining in two passes, for each log that ``key`` tells apart: a rare trigram makes its tokens candidates,
     and a candidate is variable unless a bigram with a neighbour is frequent (for the first token, above the threshold
     and to the right only; the last one's right neighbour is the first). Only the last mask counts.
 
-    Contents travel by the number of their first line. ``text``: the masked content, where its rules come from a
-    table; thresholds may be columns of the key then."""
+    Counted are grams of all lines; those that are frequent, a small part, are looked up in the distinct texts, which travel by
+    the number of their first line. ``text``: the masked content, where its rules come from a table; thresholds may be
+    columns of the key then."""
     key = list(key)
-    own = [*key, "id"]
     keyed = lines.select(*key, "line_id", F.array_join(plain_tokens(last_masked(F.col("content"), masks) if text is None else text), " ").alias("text"))
-    texts = distinct_contents(keyed, F.col("text"), key).select(*key, "text", "n", F.col("first_line").alias("id"), F.split("text", " ").alias("tokens"))
-    two, three = gram_counts(texts, 2, key), gram_counts(texts, 3, key)
-    spread3 = texts.select(*own, F.posexplode(_trigrams(F.col("tokens"))).alias("pos", "g")).select(*own, "pos", "g.*")
-    rare = spread3.join(three, [*key, "a", "b", "c"]).where(F.col("freq") < trigram_threshold).select(*own, F.explode(F.array(F.col("pos"), F.col("pos") + 1, F.col("pos") + 2)).alias("pos")).distinct()
-    spread2 = texts.select(*own, F.posexplode(_bigrams(F.col("tokens"))).alias("pos", "g")).select(*own, "pos", "g.*")
-    frequent = spread2.join(two, [*key, "a", "b"]).select(*own, "pos", "freq")
-    right = frequent.withColumnRenamed("freq", "right")
-    left = frequent.select(*own, (F.col("pos") + 1).alias("pos"), F.col("freq").alias("left"))
-    judged = rare.join(right, [*own, "pos"], "left").join(left, [*own, "pos"], "left")
-    t = bigram_threshold
-    kept = F.when(F.col("pos") == 0, F.col("right") > t).otherwise((F.col("left") >= t) | (F.col("right") >= t))
-    variable = judged.where(~kept).groupBy(*own).agg(F.collect_set("pos").alias("places"))
-    put = F.array_join(F.transform(F.col("tokens"), lambda x, i: F.when(F.array_contains("places", i), WILDCARD).otherwise(x)), " ")
-    templates = texts.join(variable, own, "left")
-    plain = F.regexp_replace(F.when(F.col("places").isNull(), F.array_join("tokens", " ")).otherwise(put), ",", "")
-    return keyed.join(templates.select(*key, "text", plain.alias("template")), [*key, "text"]).select(*key, "line_id", "template")
+    with_checkpoints(lines.sparkSession)
+    pair, triple = (F.lit(t) if isinstance(t, int) else t for t in (bigram_threshold, trigram_threshold))
+    frequent = grams.counts(keyed, (2, 3), key).where(F.col("freq") >= F.when(F.col("gram").startswith("3 "), triple).otherwise(pair)).checkpoint()
+    texts = distinct_contents(keyed, F.col("text"), key).select(*key, "text", F.col("first_line").alias("id"))
+    known = grams.found(texts, frequent, (2, 3), key).select(*key, "id", grams.mark(pair).alias("mark"))
+    marks = known.groupBy(*key, "id").agg(F.collect_list("mark").alias("marks"))
+    made = texts.join(marks, [*key, "id"], "left").select(*key, "text", grams.templates("text", "marks").alias("template"))
+    return keyed.join(made, [*key, "text"]).select(*key, "line_id", "template")
 
 
 # ---- word anchors -----------------------------------------------------------------------------------

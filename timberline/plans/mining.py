@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from timberline.functions.ordering import with_checkpoints
-from timberline.operators import answers, cache, extract, miners, online
+from timberline.operators import answers, cache, extract, grams, miners, online
 
 from .shared import MASKS, SPACED, events, items, masked_sql, normal_sql, orders, q, rounded, spaced_sql, split_sql, texts, with_log
 
@@ -37,8 +37,8 @@ def _a21(spark, sf_dir):
 
 def _a22(width):
     def query(spark, sf_dir):
-        grouped = miners.distinct_contents(texts(spark, sf_dir), F.trim(F.regexp_replace("content", r"\s+", " "))).select(F.split("text", " ").alias("tokens"), "n")
-        return miners.gram_counts(grouped, width).groupBy("freq").agg(F.count("*").alias("grams"))
+        lines = texts(spark, sf_dir).select(F.trim(F.regexp_replace("content", r"\s+", " ")).alias("text"))
+        return grams.counts(lines, [width]).groupBy("freq").agg(F.count("*").alias("grams"))
 
     return query
 
