@@ -71,11 +71,11 @@ def column_of(kind: str) -> str:
 def with_rules(lines: DataFrame, rules: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """``lines`` with an array of rules for each kind (``rules_<kind>``), empty where their collection has none.
 
-    Which side of the join is sent round is left to Spark, which knows the table's size."""
+    The arrays, a row for each collection, are sent to the lines: lines joined by a shuffle would stand in one task for each collection."""
     held = rules.where(F.col("kind").isin(*kinds)).groupBy("dataset").agg(
         *[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "pattern", "replacement")))), lambda r: F.struct(r["pattern"].alias("pattern"), r["replacement"].alias("replacement"))).alias(column_of(k)) for k in kinds]
     )
-    joined = lines.join(held, "dataset", "left")
+    joined = lines.join(F.broadcast(held), "dataset", "left")
     return joined.withColumns({column_of(k): F.coalesce(column_of(k), F.array().cast(RULE_LIST)) for k in kinds})
 
 
