@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,37 +12,37 @@ from timberline.operators import cache, clean, metrics, miners, online, rules
 from timberline.settings import SETTINGS, Settings
 
 
-def _rules(kind: str) -> Column:
-    return F.col(rules.column_of(kind))
+#: The rules of each collection, as :func:`rules.read` gives them.
+Known = Mapping[str, Mapping[str, Sequence[tuple[str, str]]]]
 
 
-def _plain(lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    text = rules.rewritten(F.col("content"), _rules("mask"))
+def _plain(lines: DataFrame, key: Sequence[str], known: Known) -> DataFrame:
+    text = rules.rewritten_by(F.col("content"), known, "mask")
     return lines.select(*key, "line_id", text.alias("template"))
 
 
-def _positional(lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    text = clean.one_spaced(rules.rewritten(F.col("content"), _rules("mask"), _rules("removed"), _rules("positional spaced")))
+def _positional(lines: DataFrame, key: Sequence[str], known: Known) -> DataFrame:
+    text = clean.one_spaced(rules.rewritten_by(F.col("content"), known, "mask", "removed", "positional spaced"))
     return miners.brain(lines, threshold=F.col("brain_threshold"), digits_vary=F.col("digits_vary"), key=[*key, "brain_threshold", "digits_vary"], text=text)
 
 
-def _ngram(lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    text = rules.rewritten_after_space(F.col("content"), _rules("last mask"))
+def _ngram(lines: DataFrame, key: Sequence[str], known: Known) -> DataFrame:
+    text = rules.rewritten_by(F.col("content"), known, "last mask", before=" ")
     set_by = ["bigram_threshold", "trigram_threshold"]
     return miners.logram(lines, bigram_threshold=F.col(set_by[0]), trigram_threshold=F.col(set_by[1]), key=[*key, *set_by], text=text)
 
 
-def _anchor_text(content: Column, *kinds: str) -> Column:
-    return clean.anchor_tokens(rules.rewritten(content, *(_rules(k) for k in (*kinds, "anchor spaced"))))
+def _anchor_text(content: Column, known: Known, *kinds: str) -> Column:
+    return clean.anchor_tokens(rules.rewritten_by(content, known, *kinds, "anchor spaced"))
 
 
-def _anchor(lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    text = _anchor_text(F.col("content"), "mask", "removed")
+def _anchor(lines: DataFrame, key: Sequence[str], known: Known) -> DataFrame:
+    text = _anchor_text(F.col("content"), known, "mask", "removed")
     return miners.by_anchors(lines, threshold=F.col("anchor_threshold"), key=[*key, "anchor_threshold"], text=text)
 
 
-def _normalised_anchor(lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    text = _anchor_text(clean.normalised(F.col("content")))
+def _normalised_anchor(lines: DataFrame, key: Sequence[str], known: Known) -> DataFrame:
+    text = _anchor_text(clean.normalised(F.col("content")), known)
     found = miners.by_anchors(lines, threshold=F.col("anchor_threshold"), key=[*key, "anchor_threshold"], text=text).withColumnRenamed("template", "group")
     own = lines.select(*key, "line_id", "content").join(found.select(*key, "line_id", "group"), [*key, "line_id"])
     groups = own.select("content", F.struct(*key, "group").alias("of"))
@@ -50,23 +50,23 @@ def _normalised_anchor(lines: DataFrame, key: Sequence[str]) -> DataFrame:
     return own.join(made, [*key, "group"]).select(*key, "line_id", "template")
 
 
-def _tree(lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    text = rules.rewritten(F.col("content"), _rules("mask"))
+def _tree(lines: DataFrame, key: Sequence[str], known: Known) -> DataFrame:
+    text = rules.rewritten_by(F.col("content"), known, "mask")
     return online.drain(lines, depth="drain_depth", similarity="drain_similarity", key=[*key, "drain_depth", "drain_similarity"], text=text)
 
 
-def _subsequence(lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    return online.spell(lines, tau="spell_tau", key=[*key, "spell_tau"], text=rules.rewritten(F.col("content"), _rules("mask")))
+def _subsequence(lines: DataFrame, key: Sequence[str], known: Known) -> DataFrame:
+    return online.spell(lines, tau="spell_tau", key=[*key, "spell_tau"], text=rules.rewritten_by(F.col("content"), known, "mask"))
 
 
-def _cache(lines: DataFrame, key: Sequence[str]) -> DataFrame:
+def _cache(lines: DataFrame, key: Sequence[str], known: Known) -> DataFrame:
     own = lines.withColumn("_log", F.to_json(F.struct(*key)))
     found = cache.cached(own, key="_log", keep_key=True)
     return own.select("_log", "line_id", *key).join(found.withColumnRenamed("cache", "_log"), ["_log", "line_id"]).select(*key, "line_id", "template")
 
 
-#: name: (lines with line_id, content, rules and thresholds; key) to (key, line_id, template).
-MINERS: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {
+#: name: (lines with line_id, content and thresholds; key; rules) to (key, line_id, template).
+MINERS: dict[str, Callable[[DataFrame, Sequence[str], Known], DataFrame]] = {
     "mask": _plain,
     "positional": _positional,
     "ngram": _ngram,
@@ -86,7 +86,7 @@ def configured(lines: DataFrame, rule_table: DataFrame | None = None, thresholds
     spark = lines.sparkSession
     rule_table = rules.rule_table(spark) if rule_table is None else rule_table
     thresholds = rules.threshold_table(spark) if thresholds is None else thresholds
-    return rules.with_rules(lines, rule_table, _KINDS).join(thresholds, "dataset")
+    return rules.with_rules(lines, rule_table, _KINDS).join(F.broadcast(thresholds), "dataset")
 
 
 def contents(lines: DataFrame, dataset: str) -> DataFrame:
@@ -100,8 +100,10 @@ def mine_all(lines: DataFrame, miner: str, datasets: Sequence[str] | None = None
     ``key`` tells logs apart (such as level and dataset) and holds ``dataset``, which decides on rules and thresholds;
     line numbers may meet between logs. ``datasets``: only these."""
     own = lines if datasets is None else lines.where(F.col("dataset").isin(*datasets))
-    own = configured(own.select(*key, "line_id", "content"), rule_table, thresholds)
-    return MINERS[miner](own, list(key)).select(*key, "line_id", "template")
+    thresholds = rules.threshold_table(lines.sparkSession) if thresholds is None else thresholds
+    # a row for each collection: lines stay where they are
+    own = own.select(*key, "line_id", "content").join(F.broadcast(thresholds), "dataset")
+    return MINERS[miner](own, list(key), rules.read(rule_table, _KINDS)).select(*key, "line_id", "template")
 
 
 def mine(lines: DataFrame, miner: str, dataset: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Rules by collection as tables: masks, spacing and thresholds are rows that lines are joined with.
+"""Rules by collection as tables: masks, spacing and thresholds are rows.
 
-One plan then serves any number of collections: a line takes the rules of its collection as an array, which one
-expression applies in their order.
+One plan then serves any number of collections. Tables of rules are small: where their patterns are known to the plan
+(:func:`read`, :func:`rewritten_by`), each is compiled once for a task. A line can also take the rules of its collection as an
+array, which one expression applies in their order (:func:`with_rules`); the engine then compiles a pattern anew for every rule of every line.
 """
 
 from __future__ import annotations
@@ -86,6 +87,35 @@ def rewritten(text: Column, *rules: Column) -> Column:
     return text
 
 
+def read(table: DataFrame | None, kinds: Sequence[str]) -> dict[str, dict[str, list[tuple[str, str]]]]:
+    """{collection: {kind: [(pattern, replacement)]}} of a table of rules, in the order of their ranks; of this library's where none is given."""
+    if table is None:
+        rows = [r for name, own in SETTINGS.items() for r in rules_of(name, own)]
+    else:
+        rows = [tuple(r) for r in table.where(F.col("kind").isin(*kinds)).select("dataset", "kind", "rank", "pattern", "replacement").collect()]
+    found: dict[str, dict[str, list[tuple[str, str]]]] = {}
+    for dataset, kind, _, pattern, by in sorted(rows, key=lambda r: [(x is not None, x) for x in r]):
+        if kind in kinds:
+            found.setdefault(dataset, {}).setdefault(kind, []).append((pattern, by))
+    return found
+
+
+def rewritten_by(text: Column, known: Mapping[str, Mapping[str, Sequence[tuple[str, str]]]], *kinds: str, before: str = "") -> Column:
+    """``text`` after every rule that its line's collection (``dataset``) has of ``kinds``, in order; ``before`` is put in front where there is one."""
+    chains: dict[tuple[tuple[str, str], ...], list[str]] = {}
+    for dataset, own in known.items():
+        chain = tuple(rule for kind in kinds for rule in own.get(kind, ()))
+        if chain and dataset is not None:
+            chains.setdefault(chain, []).append(dataset)
+    out = F
+    for chain, names in chains.items():
+        changed = F.concat(F.lit(before), text) if before else text
+        for pattern, by in chain:
+            changed = F.regexp_replace(changed, F.lit(pattern), F.lit(by))
+        out = out.when(F.col("dataset").isin(*names), changed)
+    return out.otherwise(text) if chains else text
+
+
 def rewritten_after_space(text: Column, rules: Column) -> Column:
     """As the n-gram miner has it: where there is a rule, with a space before the text."""
     return F.when(F.size(rules) > 0, rewritten(F.concat(F.lit(" "), text), rules)).otherwise(text)
@@ -96,11 +126,24 @@ def header_table(spark: SparkSession, settings: Mapping[str, Settings] = SETTING
     return spark.createDataFrame([(d, *header_pattern(own.log_format)) for d, own in settings.items()], "dataset string, names array<string>, header string")
 
 
+#: Stands between the fields of a line that is split in one go; lines that hold it, or that end within, are split field by field.
+_BETWEEN, _APART = "\x01", r"[\x01\n\r\u0085\u2028\u2029]"
+
+
 def split_headers(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """``lines`` (dataset, line, ...) of any collections with format_ok, fields (a map by name) and content.
 
-    A line that doesn't fit its collection's form, or has no collection, keeps its whole text as content and has no fields."""
-    found = lines.join(headers, "dataset", "left").withColumn("format_ok", F.coalesce(F.expr("trim(line) rlike header"), F.lit(False)))
-    values = F.expr("transform(names, (name, k) -> regexp_extract(trim(line), header, k + 1))")
-    fields = F.when(F.col("format_ok"), F.map_from_arrays("names", values))
-    return found.withColumn("fields", fields).withColumn("content", F.coalesce(F.col("fields")["Content"], F.col("line"))).drop("names", "header")
+    A line that doesn't fit its collection's form, or has no collection, keeps its whole text as content and has no fields.
+    The forms, a row for each collection, are read for the plan: a pattern is compiled once for a task, and a line matched once."""
+    text, split = F.trim("line"), F
+    for r in headers.collect():
+        marked = "".join(f"{_BETWEEN}${k}" for k in range(1, len(r["names"]) + 1))
+        split = split.when(F.col("dataset") == r["dataset"], F.regexp_replace(text, r["header"], marked))
+    # the line itself is there where no header is
+    split = split.otherwise(F.lit(None).cast("string")) if split is not F else F.lit(None).cast("string")
+    found = lines.join(F.broadcast(headers), "dataset", "left").withColumn("_split", F.when(~F.col("line").rlike(_APART), split))
+    fields = F.expr("CASE WHEN trim(line) rlike header THEN transform(names, (name, k) -> regexp_extract(trim(line), header, k + 1)) END")
+    values = F.when(F.col("_split").isNull(), F.when(F.col("line").rlike(_APART), fields)).when(F.col("_split").startswith(_BETWEEN), F.slice(F.split("_split", _BETWEEN), F.lit(2), F.size("names")))
+    found = found.withColumn("_values", values).withColumn("format_ok", F.col("_values").isNotNull())
+    found = found.withColumn("fields", F.when(F.col("format_ok"), F.map_from_arrays("names", "_values")))
+    return found.withColumn("content", F.coalesce(F.col("fields")["Content"], F.col("line"))).drop("names", "header", "_split", "_values")

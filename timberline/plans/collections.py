@@ -72,8 +72,7 @@ def _t35_sql() -> str:
 def _ruled(*kinds):
     def query(spark, sf_dir):
         lines = _of_all(events(spark, sf_dir)).withColumn("content", F.expr(_TAIL))
-        with_ = rules.with_rules(lines, rules.rule_table(spark), kinds)
-        return with_.select("dataset", "line_id", rules.rewritten(F.col("content"), *[F.col(rules.column_of(k)) for k in kinds]).alias("text"))
+        return lines.select("dataset", "line_id", rules.rewritten_by(F.col("content"), rules.read(None, kinds), *kinds).alias("text"))
 
     return query
 
