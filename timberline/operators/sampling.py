@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from timberline.functions.ordering import with_checkpoints
 
 from .clean import shape, signature
+from .counted import with_counts
 
 # Words that never stand for a line.
 STOP_WORDS = (
@@ -25,11 +26,12 @@ STOP_WORDS = (
 def top_tokens(lines: DataFrame, tokens: Column, k: int = 3) -> DataFrame:
     """(line_id, rank, token): of each line's distinct tokens of three characters or more, but stop words, the
     ``k`` most frequent of the whole log (how often they occur); ties in the order of the alphabet."""
-    words = lines.select("line_id", F.explode(tokens).alias("token")).where((F.length("token") > 2) & ~F.col("token").isin(STOP_WORDS))
-    counts = words.groupBy("token").agg(F.count("*").alias("n"))
-    found = words.distinct().join(counts, "token")
-    rank = F.row_number().over(Window.partitionBy("line_id").orderBy(F.desc("n"), "token"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("line_id", "rank", "token")
+    kept = F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(STOP_WORDS))
+    counts = lines.select(F.explode(kept).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    found = with_counts(lines.select("line_id", F.explode(F.array_distinct(kept)).alias("token")), counts, ["token"], "n")
+    # a dense rank, as several rows may have one line_id: as the limit stands in the filter, only a line's best tokens are sent on
+    rank = F.dense_rank().over(Window.partitionBy("line_id").orderBy(F.desc("n"), "token"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("line_id", "rank", "token").distinct()
 
 
 def clusters(lines: DataFrame) -> DataFrame:
