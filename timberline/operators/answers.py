@@ -75,13 +75,15 @@ def templates(messages: DataFrame, answers: DataFrame, message: str = "content")
     ``answers``: (message, answer), one for each message; repeated messages are judged once."""
     once = messages.select(F.col(message).alias("_m")).distinct()
     read = once.join(answers.select(F.col("message").alias("_m"), "answer"), "_m", "left").withColumn("_said", answered(F.col("answer")))
-    masked = read.select("_m", F.size(F.split(F.trim("_m"), r"\s+")).alias("_words"), "_said", post_processed(F.col("_said")).alias("_made"), post_processed(F.col("_m")).alias("_own"))
-    matches = fits(cache_tokens(F.col("_made")), cache_tokens(F.col("_m")))
+    masked = read.select("_m", F.size(F.split(F.trim("_m"), r"\s+")).alias("_words"), "_said", post_processed(F.col("_said")).alias("_made"))
+    # tokens are made once, and a message is masked only where its answer doesn't count
+    masked = masked.select("*", cache_tokens(F.col("_made")).alias("_template"), cache_tokens(F.col("_m")).alias("_tokens"))
+    matches = fits(F.col("_template"), F.col("_tokens"))
     source = (
         F.when(F.col("_words") < 2, "one word").when(F.coalesce(F.length("_said"), F.lit(0)) == 0, "no template").when(F.col("_made").isNull(), "too general")
         .when(matches, "answer").otherwise("no match")
     )
-    found = masked.withColumn("source", source).select("_m", F.when(F.col("source") == "answer", F.col("_made")).otherwise(F.col("_own")).alias("template"), "source")
+    found = masked.withColumn("source", source).select("_m", F.when(F.col("source") == "answer", F.col("_made")).otherwise(post_processed(F.col("_m"))).alias("template"), "source")
     return messages.join(found, F.col(message).eqNullSafe(F.col("_m"))).drop("_m")
 
 
