@@ -12,6 +12,7 @@ from timberline.functions.ordering import with_checkpoints
 
 from . import grams
 from .clean import WILDCARD, anchor_text, coarse_key, last_masked, masked, normalised, one_spaced, spaced, without
+from .counted import with_counts
 from .tokens import message_split, plain_tokens
 
 
@@ -79,7 +80,7 @@ def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
     texts = distinct_contents(keyed, F.col("text"), key)
     spread = texts.select(*key, "n", F.col("first_line").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "tok"))
     freq = spread.groupBy(*key, "pos", "tok").agg(F.sum("n").alias("freq"))
-    placed = spread.drop("n").join(freq, [*key, "pos", "tok"])
+    placed = with_counts(spread.drop("n"), freq, [*key, "pos", "tok"], "freq")
     rows = placed.groupBy(*key, "id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "freq"))).alias("t"))
     rows = rows.withColumn("freqs", F.transform("t", lambda x: x["freq"])).withColumn("kinds", F.array_distinct("freqs"))
     rows = rows.withColumn("times", F.transform("kinds", lambda f: F.size(F.filter("freqs", lambda x: x == f))))
@@ -94,17 +95,18 @@ def brain(lines: DataFrame, masks: Sequence[str] = (), removed: Sequence[str] =
     digits = F.lit(digits_vary) if isinstance(digits_vary, bool) else digits_vary
     plainly = variable or (lambda tok: tok.contains("/") | tok.contains(WILDCARD) | tok.rlike(r"^-?\d+$"))
     own = lambda tok: plainly(tok) | (digits & tok.rlike(r"\d"))
-    # the tokens of a group by place, once each: those at open places, and those that may be variable elsewhere
-    opened = rows.join(spots, group, "left").withColumn("open", F.coalesce("open", F.array().cast("array<int>")))
+    # the tokens of a group by place, once each: those at open places, and those that may be variable elsewhere; what is known
+    # of groups is sent to the rows, as a large group would stand in one task
+    opened = rows.join(F.broadcast(spots), group, "left").withColumn("open", F.coalesce("open", F.array().cast("array<int>")))
     spread = opened.select(*group, "open", F.explode(F.filter("t", lambda x: F.array_contains("open", x["pos"]) | ~own(x["tok"]))).alias("x"))
     seen = spread.select(*group, "x.pos", "x.tok", F.array_contains("open", F.col("x.pos")).alias("is_open")).distinct().checkpoint()
     held = seen.where("is_open")
     many = held.groupBy(*group, "pos").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= threshold).select(*group, "pos")
-    varying = held.join(many, [*group, "pos"]).select(*group, "tok").distinct()
+    varying = held.join(F.broadcast(many), [*group, "pos"]).select(*group, "tok").distinct()
     spots = many.groupBy(*group).agg(F.collect_list("pos").alias("many"))
-    rows = rows.join(spots, group, "left").withColumn("many", F.coalesce("many", F.array().cast("array<int>")))
+    rows = rows.join(F.broadcast(spots), group, "left").withColumn("many", F.coalesce("many", F.array().cast("array<int>")))
     # tokens that vary at one place of their group and stand at another one too
-    others = seen.where(~own(F.col("tok"))).join(many, [*group, "pos"], "left_anti").select(*group, "tok")
+    others = seen.where(~own(F.col("tok"))).join(F.broadcast(many), [*group, "pos"], "left_anti").select(*group, "tok")
     both = others.distinct().join(varying, [*group, "tok"], "left_semi").checkpoint()
     out = lambda x: F.when(F.array_contains("many", x["pos"]) | own(x["tok"]), WILDCARD).otherwise(x["tok"])
     plain = rows.withColumn("out", F.transform("t", out))
