@@ -61,3 +61,30 @@ def test_shuffled_bytes(spark):
     before = shuffled(spark)
     miners.logram(lines, (r"\b\d+\b",), 15, 10).write.format("noop").mode("overwrite").save()
     assert sum(n for k, n in shuffled(spark).items() if k not in before) < 8 * size
+
+
+def test_little_is_shuffled(spark):
+    """Most n-grams are rare: they leave their task as a distance between slots, and lines don't leave theirs."""
+    lines = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content")).selectExpr("doc_id * 1000000 + pos AS line_id", "content")
+    size = lines.agg(F.sum(F.octet_length("content"))).first()[0]
+    before = shuffled(spark)
+    miners.logram(lines, (r"\b\d+\b",), 15, 10).write.format("noop").mode("overwrite").save()
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 2 * size
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_mining_by_key_and_with_hashes_that_meet(spark, monkeypatch, same):
+    """Logs have n-grams of their own; where hashes meet, n-grams are told apart by themselves."""
+    if same:
+        at = grams.often
+        monkeypatch.setattr(grams, "often", lambda *a: (lambda table, sent: (table.withColumn("hash", F.col("hash") % 2), sent))(*at(*a)))
+    draw = random.Random(4)
+    logs = {log: [" ".join(draw.choice("abcd") for _ in range(draw.randrange(1, 7))) for _ in range(80)] for log in ("x", "y")}
+    rows = [(log, k, line) for log, own in logs.items() for k, line in enumerate(own)]
+    found = miners.logram(spark.createDataFrame(rows, "log string, line_id long, content string"), (), 6, 3, key=["log"]).orderBy("log", "line_id").collect()
+    assert [r.template for r in found] == plain(logs["x"], 6, 3) + plain(logs["y"], 6, 3)
+
+
+def test_frequent_slots_are_kept():
+    places = grams.np.asarray([0, 0, 5, 70_000, (1 << grams.RANGE) - 1])
+    assert grams._unpacked(grams._packed(places)).tolist() == places.tolist()

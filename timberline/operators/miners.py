@@ -128,16 +128,27 @@ def logram(lines: DataFrame, masks: Sequence[str] = (), bigram_threshold: int |
     and a candidate is variable unless a bigram with a neighbour is frequent (for the first token, above the threshold
     and to the right only; the last one's right neighbour is the first). Only the last mask counts.
 
-    Counted are grams of all lines; those that are frequent, a small part, are looked up in the distinct texts, which travel by
-    the number of their first line. ``text``: the masked content, where its rules come from a table; thresholds may be
-    columns of the key then."""
+    Counted are grams of all lines, first by slots of their hashes; only those whose slot is frequent are counted by themselves. What
+    is known of frequent ones is sent to the lines; where they are too many, or two share a hash, they are looked up by a shuffle in the
+    distinct texts, which travel by the number of their first line. ``text``: the masked content, where its rules come from a
+    table; thresholds may be columns of the key then."""
     key = list(key)
     keyed = lines.select(*key, "line_id", F.array_join(plain_tokens(last_masked(F.col("content"), masks) if text is None else text), " ").alias("text"))
     with_checkpoints(lines.sparkSession)
     pair, triple = (F.lit(t) if isinstance(t, int) else t for t in (bigram_threshold, trigram_threshold))
-    frequent = grams.counts(keyed, (2, 3), key).where(F.col("freq") >= F.when(F.col("gram").startswith("3 "), triple).otherwise(pair)).checkpoint()
+    if isinstance(bigram_threshold, int) and isinstance(trigram_threshold, int):
+        least = min(bigram_threshold, trigram_threshold)
+    else:
+        least = lines.agg(F.min(F.least(pair, triple))).first()[0] or 1
+    table, sent = grams.often(keyed, (2, 3), int(least), key)
+    frequent = F.col("freq") >= F.when(F.col("gram").startswith("3 "), triple).otherwise(pair)
+    held = table.select("hash", F.when(frequent, grams.kind(pair)).alias("kind")).groupBy("hash").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
+    held = held.where("kind is not null").checkpoint()
+    n, most = held.agg(F.count("*"), F.max("n")).first()
+    if n <= grams.SENT and (most or 1) == 1:
+        return grams.in_place(keyed, held, sent, key)
     texts = distinct_contents(keyed, F.col("text"), key).select(*key, "text", F.col("first_line").alias("id"))
-    known = grams.found(texts, frequent, (2, 3), key).select(*key, "id", grams.mark(pair).alias("mark"))
+    known = grams.found(texts, table.where(frequent).select(*key, "gram", "freq"), (2, 3), sent, key).select(*key, "id", grams.mark(pair).alias("mark"))
     marks = known.groupBy(*key, "id").agg(F.collect_list("mark").alias("marks"))
     made = texts.join(marks, [*key, "id"], "left").select(*key, "text", grams.templates("text", "marks").alias("template"))
     return keyed.join(made, [*key, "text"]).select(*key, "line_id", "template")
