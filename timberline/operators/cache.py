@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +22,25 @@ from .clean import WILDCARD
 from .online import common
 from .streamed import in_order, named
 
-_TOKEN = re.compile(r"""[\s!"#$%&'()+,\-/:;=?@.\[\\\]^_`{|}~]|[^\s!"#$%&'()+,\-/:;=?@.\[\\\]^_`{|}~]+""")
+#: Tokens, and the separators that stay.
+_TOKEN = re.compile(r"""[=|()]|[^\s!"#$%&'()+,\-/:;=?@.\[\\\]^_`{|}~]+""")
+
+#: Tokens of lists, and numbers of similar templates, that a cache remembers what was found for.
+HELD = 2_000_000
+
+#: A log is read in parts while a task finds no more than ``NEW`` lines that change its cache, all of them no more than ``MOST``, in so many ``ROUNDS``.
+NEW, MOST, ROUNDS = 5_000, 5_000, 8
 
 
 def split(text: str) -> list[str]:
     """Tokens and single separators, without punctuation but ``= | ( )``; no two wildcards together."""
+    parts = _TOKEN.findall(text)
+    if WILDCARD not in text:
+        return parts
     out: list[str] = []
-    for part in _TOKEN.findall(text):
-        if WILDCARD in part:
-            token = WILDCARD
-        else:
-            token = "".join(c for c in part if c in "=|()" or c not in "!\"#$%&'+,-/:;?@.[\\]^_`{}~").strip()
-        if token and not (token == WILDCARD and out and out[-1] == WILDCARD):
+    for part in parts:
+        token = WILDCARD if WILDCARD in part else part
+        if not (token == WILDCARD and out and out[-1] == WILDCARD):
             out.append(token)
     return out
 
@@ -65,6 +73,10 @@ class TemplateCache:
         self.templates: list[str] = []
         #: templates that were merged into others: their paths stay, and count in how deep a line gets
         self.merged: list[str] = []
+        #: the tokens of all paths, and what was found for token lists, others than these left out, since the last change
+        self.known: set[str] = set()
+        self.held: dict[tuple, tuple[int | None, list[int]]] = {}
+        self.room = HELD
 
     def _leaves(self, node: dict) -> Iterator[int]:
         for step, child in node.items():
@@ -104,17 +116,30 @@ class TemplateCache:
                 for k in range(at + 1, len(tokens)):
                     if tokens[k] in wild:
                         todo.append((wild, k, depth + 1))
+        if len(fits) == 1:
+            return fits.pop(), []
         if fits:
             return min(fits, key=lambda k: (-sum(t != WILDCARD for t in split(self.templates[k])), self.templates[k].count(WILDCARD), k)), []
         return None, sorted({k for node in reached for k in self._leaves(node)})
 
-    def _store(self, k: int) -> None:
+    def _forget(self) -> None:
+        self.held.clear()
+        self.room = HELD
+
+    def _path(self, template: str) -> dict:
+        """The end of a template's path, which is made where it is none."""
+        self._forget()
         node = self.root
-        for token in split(self.templates[k]):
+        for token in split(template):
+            self.known.add(token)
             node = node.setdefault(token, {})
-        node.setdefault(None, k)
+        return node
+
+    def _store(self, k: int) -> None:
+        self._path(self.templates[k]).setdefault(None, k)
 
     def _remove(self, k: int) -> None:
+        self._forget()
         node = self.root
         for token in split(self.templates[k]):
             node = node.get(token, {})
@@ -150,13 +175,20 @@ class TemplateCache:
 
     def restore_merged(self, template: str) -> None:
         """The path of a template that was merged into another one."""
-        node = self.root
-        for token in split(template):
-            node = node.setdefault(token, {})
+        self._path(template)
         self.merged.append(template)
 
     def number(self, content: str, source: TemplateOracle) -> int:
-        found, similar = self.find(split(content))
+        tokens, known = split(content), self.known
+        # tokens of no path are alike to all of them
+        kind = tuple([t if t in known else None for t in tokens])
+        if (told := self.held.get(kind)) is None:
+            told = self.find(tokens)
+            self.room -= len(kind) + len(told[1]) + 1
+            if self.room < 0:
+                self._forget()
+            self.held[kind] = told
+        found, similar = told
         if found is not None:
             return found
         return self.add(source.template(content, [self.templates[k] for k in similar]), similar)
@@ -189,6 +221,112 @@ def _run(rows: DataFrame, source: TemplateOracle | None, known: DataFrame | None
     return told.unionByName(merged).select("line_id", "number", "template", "cache")
 
 
+#: The place of a line in its log; lines without a number come first.
+Place = tuple[bool, int, str]
+
+
+class _Reader:
+    """The caches of logs at a line, which the lines that change them (``leads``, in order) make."""
+
+    def __init__(self, leads: dict[str | None, list[Place]]):
+        self.leads, self.source = leads, Rules()
+        self.caches: dict[str | None, TemplateCache] = {}
+        #: of each cache how many leads it has read, and the place of its last change
+        self.read: dict[str | None, int] = {}
+        self.last: dict[str | None, Place] = {}
+
+    def number(self, log: str | None, at: Place) -> tuple[int, bool]:
+        """The line's number, and whether it changes the cache without being a lead; a line before the last change starts anew."""
+        if log not in self.caches or log in self.last and at < self.last[log]:
+            self.caches[log], self.read[log] = TemplateCache(), 0
+            self.last.pop(log, None)
+        cache, leads = self.caches[log], self.leads.get(log, ())
+        while self.read[log] < len(leads) and leads[self.read[log]] <= at:
+            self.last[log] = leads[self.read[log]]
+            cache.number(self.last[log][2], self.source)
+            self.read[log] += 1
+        before = len(cache.templates) + len(cache.merged)
+        k = cache.number(at[2], self.source)
+        new = len(cache.templates) + len(cache.merged) != before
+        if new:
+            self.last[log] = at
+        return k, new
+
+
+def _placed(batch: pa.RecordBatch) -> list[tuple[Place, str | None]]:
+    """(place, cache) of a batch's lines, in order."""
+    rows = [((n is not None, n or 0, text), log) for n, text, log in zip(batch["line_id"].to_pylist(), batch["content"].to_pylist(), batch["cache"].to_pylist(), strict=True)]
+    rows.sort(key=lambda row: row[0])
+    return rows
+
+
+def _changing(leads: dict[str | None, set[Place]]) -> tuple[dict[str | None, list[Place]], dict[str | None, list[str]]] | None:
+    """Of some lines of each log those that change its cache when they are read in order, and the templates it has then. None
+    where they are too many, or where a line's template doesn't fit it, as then an equal line would change the cache too."""
+    kept, made, source, n = {}, {}, Rules(), 0
+    for log, places in leads.items():
+        cache, kept[log] = TemplateCache(), []
+        for place in sorted(places):
+            before = len(cache.templates) + len(cache.merged)
+            k = cache.number(place[2], source)
+            if len(cache.templates) + len(cache.merged) == before:
+                continue
+            kept[log].append(place)
+            n += 1
+            if n > MOST or cache.find(split(place[2]))[0] != k:
+                return None
+        made[log] = cache.templates
+    return kept, made
+
+
+def _in_parts(rows: DataFrame) -> DataFrame | None:
+    """(line_id, template, cache) of (line_id, content, cache) by the default source; None for logs that don't settle.
+
+    A cache changes at few lines; between these a line's number is a matter of the line alone. So tasks read their own lines, in any split
+    of the log, with the changes that are known, and tell which further lines would change a cache. When all lines have been read and
+    none does, what is known is what one reader of the whole log would have, and lines are numbered by it where they are."""
+
+    def news(leads: dict) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader, found = _Reader(leads), []
+            for batch in batches:
+                found += [(at, log) for at, log in _placed(batch) if reader.number(log, at)[1]] if len(found) <= NEW else []
+            columns = [[at[1] if at[0] else None for at, _ in found], [at[2] for at, _ in found], [log for _, log in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["line_id", "content", "cache"])
+
+        return rows.mapInArrow(run, "line_id bigint, content string, cache string")
+
+    leads: dict[str | None, list[Place]] = {}
+    for _ in range(ROUNDS):
+        told = news(leads).collect()
+        if not told:
+            break
+        more = {log: set(places) for log, places in leads.items()}
+        for r in told:
+            more.setdefault(r.cache, set()).add((r.line_id is not None, r.line_id or 0, r.content))
+        if (known := _changing(more)) is None:
+            return None
+        leads, made = known
+    else:
+        return None
+    if not leads:
+        made = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(leads)
+        for batch in batches:
+            placed = _placed(batch)
+            numbers = [reader.number(log, at)[0] for at, log in placed]
+            columns = [
+                pa.array([at[1] if at[0] else None for at, _ in placed], pa.int64()),
+                pa.array([WILDCARD if k < 0 else made[log][k] for k, (_, log) in zip(numbers, placed, strict=True)], pa.string()),
+                pa.array([log for _, log in placed], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["line_id", "template", "cache"])
+
+    return rows.mapInArrow(run, "line_id bigint, template string, cache string")
+
+
 def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | None = None, known: DataFrame | None = None, keep_key: bool = False) -> DataFrame:
     """(line_id, template), one cache for each ``key`` (or for the whole log), lines in order; a line whose
     template is empty or bare has ``<*>``.
@@ -196,7 +334,9 @@ def cached(lines: DataFrame, source: TemplateOracle | None = None, key: str | No
     ``known``: (cache, number, template) that caches start with, such as :func:`templates_of` gave before and a table
     has kept; so a log can be read on from where it was left. ``keep_key``: the key is in the result, as ``cache``."""
     rows = lines.select("line_id", "content", (F.col(key).cast("string") if key else F.lit("")).alias("cache"))
-    found = _run(rows, source, known).where("line_id is not null")
+    found = _in_parts(rows.withColumn("line_id", F.col("line_id").cast("bigint"))) if source is None and known is None else None
+    if found is None:
+        found = _run(rows, source, known).where("line_id is not null")
     if known is not None:
         return found.select("line_id", "template", "number", "cache")
     return found.select("line_id", "template", *(["cache"] if keep_key else []))
