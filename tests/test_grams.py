@@ -76,8 +76,8 @@ def test_little_is_shuffled(spark):
 def test_mining_by_key_and_with_hashes_that_meet(spark, monkeypatch, same):
     """Logs have n-grams of their own; where hashes meet, n-grams are told apart by themselves."""
     if same:
-        at = grams.often
-        monkeypatch.setattr(grams, "often", lambda *a: (lambda table, sent: (table.withColumn("hash", F.col("hash") % 2), sent))(*at(*a)))
+        told = grams.told
+        monkeypatch.setattr(grams, "told", lambda *a: told(*a).withColumn("n", F.lit(2)))
     draw = random.Random(4)
     logs = {log: [" ".join(draw.choice("abcd") for _ in range(draw.randrange(1, 7))) for _ in range(80)] for log in ("x", "y")}
     rows = [(log, k, line) for log, own in logs.items() for k, line in enumerate(own)]
@@ -88,3 +88,12 @@ def test_mining_by_key_and_with_hashes_that_meet(spark, monkeypatch, same):
 def test_frequent_slots_are_kept():
     places = grams.np.asarray([0, 0, 5, 70_000, (1 << grams.RANGE) - 1])
     assert grams._unpacked(grams._packed(places)).tolist() == places.tolist()
+
+
+def test_counts_of_hashes_that_meet_stay_apart():
+    np = grams.np
+    hashes, checks, n = grams._added(np.asarray([5, 2**63, 5, 5], np.uint64), np.asarray([1, 2, 1, 3], np.uint32), np.asarray([1, 4, 2, 1]))
+    assert list(zip(hashes.tolist(), checks.tolist(), n.tolist(), strict=True)) == [(5, 1, 3), (5, 3, 1), (2**63, 2, 4)]
+    data = grams._planes(np.diff(hashes, prepend=np.uint64(0))) + grams._planes(checks) + grams._planes(n.astype(np.uint32))
+    assert np.cumsum(grams._values(data, "<u8", 0, 3), dtype=np.uint64).tolist() == hashes.tolist()
+    assert grams._values(data, "<u4", 8, 3).tolist() == checks.tolist() and grams._values(data, "<u4", 12, 3).tolist() == n.tolist()

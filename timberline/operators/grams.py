@@ -56,11 +56,11 @@ def _grams(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, pa.Arra
     return row, place, pc.binary_join_element_wise(pa.scalar(str(width)), *parts, " ")
 
 
-def _hashes(tokens: pa.Array, sizes: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(tokens: pa.Array, sizes: np.ndarray, of: np.ndarray, width: int, by: str = "0123456789123456") -> tuple[np.ndarray, np.ndarray]:
     """(at, hash) of the grams of rows with ``sizes`` tokens each: the token where a gram begins, and 64 bits of its tokens,
     its width and what ``of`` has for its row."""
     coded = tokens.dictionary_encode()
-    known = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    known = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), hash_key=by, categorize=False)
     token = known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.uint64)
     size, begin = np.repeat(sizes, sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.arange(len(token))
@@ -178,6 +178,75 @@ def often(texts: DataFrame, widths: Sequence[int], least: int, key: Sequence[str
     return rows.mapInArrow(run, schema).groupBy("hash", *key, "gram").agg(F.sum("n").alias("freq")), sent
 
 
+def _added(hashes: np.ndarray, checks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by hash and check, ascending by hash."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, checks, n = hashes[order], checks[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])])[: len(hashes)])
+    return hashes[first], checks[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _values(data: bytes, kind: str, at: int, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at * n).reshape(width, n).T).view(kind).ravel()
+
+
+def told(texts: DataFrame, sent: Broadcast, pair: int, triple: int, key: Sequence[str] = ()) -> DataFrame:
+    """(hash, kind, n) of pairs and triples at or above their threshold, as of :func:`often`'s table; ``n``: 2 where a hash has several
+    grams. Grams travel as a hash and 31 bits of another one, counted by task, some eleven bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+        def parts(held: tuple) -> pa.RecordBatch:
+            hashes, checks, n = held
+            ends = np.searchsorted(hashes, np.arange(1, TASKS, dtype=np.uint64) * np.uint64(2**64 // TASKS))
+            rows = [(k, *x) for k, x in enumerate(zip(*(np.split(c, ends) for c in (hashes, checks, n)), strict=True)) if len(x[0])]
+            data = [_planes(np.diff(h, prepend=np.uint64(0))) + _planes(c) + _planes(np.minimum(m, 2**32 - 1).astype(np.uint32)) for _, h, c, m in rows]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+        for piece in _pieces(batches):
+            tokens, sizes = _split(piece["text"])
+            of = piece["_of"].to_numpy(zero_copy_only=False)
+            new = [held]
+            for width in (2, 3):
+                found = _hashes(tokens, sizes, of, width)[1]
+                own = _may(sent.value, found)
+                checks = _hashes(tokens, sizes, of, width, "timberline-check")[1][own]
+                checks = (checks >> np.uint64(32)).astype(np.uint32) & np.uint32(2**32 - 2) | np.uint32(width == 3)
+                new.append((found[own], checks, np.ones(len(checks), np.int64)))
+            held = _added(*(np.concatenate([x[k] for x in new]) for k in range(3)))
+            if len(held[0]) > PIECE // 2:
+                yield parts(held)
+                held = tuple(x[:0] for x in held)
+        if len(held[0]):
+            yield parts(held)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)), []
+        for batch in batches:
+            for data in batch["data"].to_pylist():
+                n = len(data) // 16
+                waiting.append((np.cumsum(_values(data, "<u8", 0, n), dtype=np.uint64), _values(data, "<u4", 8, n), _values(data, "<u4", 12, n).astype(np.int64)))
+            if sum(len(w[0]) for w in waiting) > max(PIECE // 4, len(held[0])):
+                held, waiting = _added(*(np.concatenate([x[k] for x in (held, *waiting)]) for k in range(3))), []
+        hashes, checks, n = _added(*(np.concatenate([x[k] for x in (held, *waiting)]) for k in range(3)))
+        meets = np.concatenate([[False], hashes[1:] == hashes[:-1], [False]])[: len(hashes) + 1]
+        several = meets[:-1] | meets[1:] if len(hashes) else np.zeros(0, bool)
+        is_triple = checks & 1 == 1
+        # where hashes meet, counts may be in parts: all of them are told
+        own = (n >= np.where(is_triple, triple, pair)) | several
+        kinds = np.where(is_triple, TRIPLE, np.where(n > pair, ABOVE, AT))[own].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[own].view(np.int64)), pa.array(kinds), pa.array(several[own].astype(np.int64) + 1)], ["hash", "kind", "n"])
+
+    rows = texts.select(_key(key), "text").mapInArrow(run, "part int, data binary")
+    return rows.repartition(TASKS, "part").mapInArrow(often, "hash bigint, kind int, n bigint")
+
+
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The columns of each batch of (hash, kind) as bytes."""
     for batch in batches:

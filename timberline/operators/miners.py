@@ -136,14 +136,18 @@ def logram(lines: DataFrame, masks: Sequence[str] = (), bigram_threshold: int |
     keyed = lines.select(*key, "line_id", F.array_join(plain_tokens(last_masked(F.col("content"), masks) if text is None else text), " ").alias("text"))
     with_checkpoints(lines.sparkSession)
     pair, triple = (F.lit(t) if isinstance(t, int) else t for t in (bigram_threshold, trigram_threshold))
-    if isinstance(bigram_threshold, int) and isinstance(trigram_threshold, int):
+    fixed = isinstance(bigram_threshold, int) and isinstance(trigram_threshold, int)
+    if fixed:
         least = min(bigram_threshold, trigram_threshold)
     else:
         least = lines.agg(F.min(F.least(pair, triple))).first()[0] or 1
     table, sent = grams.often(keyed, (2, 3), int(least), key)
     frequent = F.col("freq") >= F.when(F.col("gram").startswith("3 "), triple).otherwise(pair)
-    held = table.select("hash", F.when(frequent, grams.kind(pair)).alias("kind")).groupBy("hash").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
-    held = held.where("kind is not null").checkpoint()
+    if fixed:
+        held = grams.told(keyed, sent, bigram_threshold, trigram_threshold, key).checkpoint()
+    else:
+        held = table.select("hash", F.when(frequent, grams.kind(pair)).alias("kind")).groupBy("hash").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
+        held = held.where("kind is not null").checkpoint()
     n, most = held.agg(F.count("*"), F.max("n")).first()
     if n <= grams.SENT and (most or 1) == 1:
         return grams.in_place(keyed, held, sent, key)
